@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, line_dedup, mixing, ngram_join, quality_rules
+from . import chat_format, decontaminate, html_extract, language_id, license_scan, line_dedup, mixing, ngram_join, quality_rules, token_counts
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
+    "op2_chat_format": chat_format.op2_chat_format,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_html_extract": html_extract.op6_html_extract,
+    "op7_language_id": language_id.op7_language_id,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_license_scan": license_scan.op9_license_scan,
+    "op10_token_counts": token_counts.op10_token_counts,
 }
 
 SQL = {
     "op5_mix_sources": mixing.SQL,
     "op8_line_dedup": line_dedup.SQL,
+    "op9_license_scan": license_scan.SQL,
 }
