@@ -21,19 +21,19 @@ SQL: dict[str, str] = {}
 def add(name: str, frame: Callable[[DataFrame, DataFrame], DataFrame], columns: str, source: str = "", *more: str) -> None:
     """Registers a query. ``columns``: names, or name=SQL expression, with ~ before doubles (rounded to 6
     places on both sides), by semicolons;
-    ~~ rounds to 9 places. ``frame`` takes trades and references. No ``source``: no SQL."""
+    ~~ leaves doubles as they are (both sides do the same operations). ``frame`` takes trades and references. No ``source``: no SQL."""
     specs = [c.strip() for c in columns.split(";")]
-    places = lambda c: 9 if c.startswith("~~") else 6 if c.startswith("~") else 0
+    places = lambda c: -1 if c.startswith("~~") else 6 if c.startswith("~") else 0
     names = [(c.lstrip("~").partition("=")[0].strip(), places(c), c.partition("=")[2].strip()) for c in specs]
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = frame(driver_tables.trades(spark, sf_dir), driver_tables.references(spark, sf_dir))
         # adding 0.0 makes -0.0 plain 0.0
-        return out.select([(F.round(F.col(n).cast("double"), d) + 0.0).alias(n) if d else F.col(n).alias(n) for n, d, _ in names])
+        return out.select([(F.round(F.col(n).cast("double"), d) + 0.0).alias(n) if d > 0 else F.col(n).alias(n) for n, d, _ in names])
 
     QUERIES[name] = query
     if source:
-        picked = ", ".join(f"round(CAST({e or n} AS DOUBLE), {d}) + 0.0 AS {n}" if d else f"{e or n} AS {n}" for n, d, e in names)
+        picked = ", ".join(f"round(CAST({e or n} AS DOUBLE), {d}) + 0.0 AS {n}" if d > 0 else f"{e or n} AS {n}" for n, d, e in names)
         SQL[name] = sql(f"SELECT {picked} {source}", *more)
 
 

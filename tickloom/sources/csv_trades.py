@@ -7,6 +7,7 @@ order by block and place in the block, from which a dense line number is made wi
 from __future__ import annotations
 
 import csv
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -34,6 +35,16 @@ class Layout:
         return self.header_line + 1
 
 
+def _separator(lines: list[str]) -> str:
+    """The separator that most lines have equally often, and of those the more frequent one."""
+
+    def fit(s: str) -> tuple[int, int]:
+        counts = Counter(n for x in lines if (n := len(next(csv.reader([x], delimiter=s), [])) - 1) > 0)
+        return max(((k, n) for n, k in counts.items()), default=(0, 0))
+
+    return max(",;\t|", key=fit)
+
+
 def probe(spark: SparkSession, path: str, needed: tuple[str, ...] = ("price", "quantity")) -> Layout:
     """Layout from the first 50 lines: a header anywhere in them, or 8 or 9 columns without one."""
     lines = [r["value"] for r in spark.read.text(path).limit(PROBE_LINES).collect()]
@@ -42,10 +53,7 @@ def probe(spark: SparkSession, path: str, needed: tuple[str, ...] = ("price", "q
         rows = spark.read.option("encoding", encoding).option("sep", "\x01").csv(path, schema="value string").limit(PROBE_LINES).collect()
         lines = [r["value"] or "" for r in rows]
     text = "\n".join(lines).lstrip("﻿")
-    try:
-        separator = csv.Sniffer().sniff(text[:8192], delimiters=";,\t|").delimiter
-    except csv.Error:
-        separator = ","
+    separator = _separator(text.split("\n"))
     for k, row in enumerate(csv.reader(text.split("\n"), delimiter=separator), start=1):
         names = [N.header(x) for x in row]
         fields = {}

@@ -39,7 +39,7 @@ def streaming_waves(trades: DataFrame, interval: int, rules: WaveRules = RULES)
             held.remove()
             return
         n, quantities, sides, saved = held.get if held.exists else (0, [], [], "{}")
-        quantities, sides = list(quantities), list(sides)
+        n, quantities, sides = int(n), [int(x) for x in quantities], list(sides)
         detector = WaveState(rules, json.loads(saved))
         df = pd.concat(list(frames)).sort_values(["us", "sequence_no"], kind="stable")
         found = []
