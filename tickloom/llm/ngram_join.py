@@ -144,6 +144,8 @@ def _prune(threshold: float, tolerance: float):
         keys = band_keys(sigs)[:, :band]
         left = np.flatnonzero(blk == lo)
         right = left if lo == hi else np.flatnonzero(blk == hi)
+        if not len(left) or not len(right):  # one of the blocks has no member
+            return None
         firsts, seconds = [], []
         for k in range(0, len(left), 64):
             part = left[k : k + 64]
