@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import WORD, by_batch, cut, mix, row_key, table, window_hashes
+from .common import BLANK, by_batch, cut, mix, row_key, table, window_hashes
 
 WIDTH = 8
 #: A window counts only if so many of its tokens are no placeholders.
@@ -25,39 +26,93 @@ LITERALS = 4
 #: Benchmarks of up to so many windows (16 bytes each) are broadcast; larger ones are joined by a shuffle.
 BROADCAST_WINDOWS = 2_000_000
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t oz lb ml cl l s ms min h hr hrs sec secs second seconds minute minutes hour hours day days week weeks month months year years metre metres meter meters kilometre kilometres kilometer kilometers mile miles foot feet inch inches gram grams kilogram kilograms pound pounds ounce ounces litre litres liter liters dollar dollars euro euros cent cents percent degrees mph kph km/h m/s kwh kw w v hz".split())
-EDGES = re.compile(r"^[^\w$€£%]+|[^\w%]+$")
 NUMBER = re.compile(r"[$€£]?[+-]?\d[\d.,:/]*%?")
 NUMBER_UNIT = re.compile(r"([$€£]?[+-]?\d[\d.,]*)([A-Za-z/]+)")
 WORDLIKE, NUM, NAME, UNIT, NUM_UNIT, NOTHING = range(6)
 
 
-class Tokens(dict):
-    """Word to (hash, kind if it isn't at a sentence's start, ends a sentence); bounded memory."""
-
-    def __init__(self, room: int = 300_000):
-        super().__init__()
-        self.room = room
-
-    def __missing__(self, word: str) -> tuple[int, int, bool]:
-        if len(self) >= self.room:
-            self.clear()
-        core = EDGES.sub("", word)
-        kind = WORDLIKE
-        if not core:
-            kind = NOTHING
-        elif NUMBER.fullmatch(core):
-            kind = NUM
-        elif (m := NUMBER_UNIT.fullmatch(core)) and m[2].lower() in UNITS:
-            kind = NUM_UNIT
-        elif core.lower() in UNITS:
-            kind = UNIT
-        elif core[0].isupper() and core[1:].islower():
-            kind = NAME
-        value = self[word] = (xxhash.xxh3_64_intdigest(core.lower().encode("utf-8", "surrogatepass")), kind, word[-1] in ".!?:" or word[-2:] in ('."', '?"', '!"', ".)", "?)", "!)"))
-        return value
-
-
-HOLES = {k: xxhash.xxh3_64_intdigest(f"<{k}>".encode()) for k in (NUM, NAME, UNIT)}
+BLANK_, WORD_, FRONT_, ALPHA_, UPPER_, LOWER_, STOP_, COLON_, CLOSE_ = (1 << k for k in range(9))
+CODE_POINTS = 0x30000
+
+
+@lru_cache(maxsize=1)
+def _chars() -> tuple[np.ndarray, np.ndarray]:
+    """(classes as bits, lower case) of the code points below 0x30000; higher ones are symbols without case."""
+
+    def bits(c: str) -> int:
+        word = c.isalnum() or c in "_%"
+        kinds = ((c in BLANK, BLANK_), (word, WORD_), (word or c in "$€£", FRONT_), (c.isalpha(), ALPHA_), (c.isupper(), UPPER_), (c.islower(), LOWER_), (c in ".!?", STOP_), (c == ":", COLON_), (c in ')"', CLOSE_))
+        return sum(bit for yes, bit in kinds if yes)
+
+    every = [chr(k) for k in range(CODE_POINTS - 1)]
+    return np.array([*map(bits, every), 0], np.uint16), np.array([*(ord(c.lower()[0]) for c in every), 0], np.uint32)
+
+
+BASE = 0x9E3779B97F4A7C15
+
+
+class Tokens:
+    """Words of a text as arrays, without a Python step for each word. A word's hash is a polynomial in
+    its lower-cased code points, taken from running sums by the base's inverse modulo 2^64."""
+
+    def __init__(self):
+        self.chars = _chars()
+        self.powers = self.inverses = np.ones(1, np.uint64)
+        self._room(1 << 14)
+        self.units = np.zeros(1, np.uint64)
+        self.units = np.sort(self.of(" ".join(UNITS))[0])
+
+    def _room(self, n: int) -> None:
+        if n > len(self.powers):
+            k = np.full(2 * n, BASE, np.uint64), np.full(2 * n, pow(BASE, -1, 1 << 64), np.uint64)
+            k[0][0] = k[1][0] = 1
+            self.powers, self.inverses = np.cumprod(k[0]), np.cumprod(k[1])
+
+    def of(self, text: str):
+        """(hashes, kinds as if inside a sentence, ends a sentence, first and last place of each core)."""
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = len(points)
+        self._room(n + 1)
+        classes, lowered = self.chars
+        high = n and points.max() >= CODE_POINTS
+        at = np.minimum(points, CODE_POINTS - 1) if high else points
+        kind = classes[at]
+        solid = np.zeros(n + 2, bool)
+        np.equal(kind & BLANK_, 0, out=solid[1:-1])
+        edges = np.flatnonzero(solid[1:] != solid[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        if not len(starts):
+            return (np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, bool), starts, ends)
+        fronts, backs = np.flatnonzero(kind & FRONT_), np.flatnonzero(kind & WORD_)
+        lo = np.append(fronts, n)[np.searchsorted(fronts, starts)]
+        hi = np.append(backs, -1)[np.searchsorted(backs, ends) - 1] + 1
+        none = (lo >= hi) | (lo >= ends) | (hi <= starts)
+        lo, hi = np.where(none, starts, lo), np.where(none, starts, hi)
+        low = lowered[at]
+        if high:
+            low = np.where(points < CODE_POINTS, low, points)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(low * self.powers[:n], out=sums[1:])
+        hashes = mix((sums[hi] - sums[lo]) * self.inverses[lo])
+        cased = np.zeros(n + 1, np.int64)  # upper and lower counts in one sum
+        np.cumsum(((kind & UPPER_) > 0) * np.int64(1 << 32) + ((kind & LOWER_) > 0), out=cased[1:])
+        inner = cased[hi] - cased[np.minimum(lo + 1, hi)]
+        name = ((kind[lo] & UPPER_) > 0) & (inner > 0) & (inner < 1 << 32)
+        kinds = np.where(name, NAME, WORDLIKE).astype(np.int8)
+        kinds[self.units[np.minimum(np.searchsorted(self.units, hashes), len(self.units) - 1)] == hashes] = UNIT
+        kinds[none] = NOTHING
+        for k in np.flatnonzero(~none & ((kind[lo] & ALPHA_) == 0)).tolist():  # numbers begin with a digit or a currency
+            core = text[lo[k] : hi[k]]
+            if NUMBER.fullmatch(core):
+                kinds[k] = NUM
+            elif (m := NUMBER_UNIT.fullmatch(core)) and m[2].lower() in UNITS:
+                kinds[k] = NUM_UNIT
+        last, before = kind[ends - 1], kind[np.maximum(ends - 2, 0)]
+        done = ((last & (STOP_ | COLON_)) > 0) | (((last & CLOSE_) > 0) & ((before & STOP_) > 0) & (ends - starts > 1))
+        return hashes, kinds, done, lo, hi
+
+
+HOLES = {k: np.uint64(xxhash.xxh3_64_intdigest(f"<{k}>".encode())) for k in (NUM, NAME, UNIT)}
 
 
 def template(text: str | None, tokens: Tokens, values: bool = False):
@@ -65,28 +120,24 @@ def template(text: str | None, tokens: Tokens, values: bool = False):
 
     A unit is a placeholder only after a number, a name only inside a sentence; else both are words.
     """
-    words = WORD.findall(text or "")
-    if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, bool), []
-    found = [tokens[w] for w in words]
-    hashes = np.fromiter((x[0] for x in found), np.uint64, len(found))
-    kinds = np.fromiter((x[1] for x in found), np.int8, len(found))
+    text = text or ""
+    hashes, kinds, ends, lo, hi = tokens.of(text)
+    if not len(hashes):
+        return hashes, np.zeros(0, bool), []
+    joined = kinds == NUM_UNIT
     # line ends start sentences too, but a text may be re-wrapped: only punctuation counts
-    first = np.concatenate([[True], np.fromiter((x[2] for x in found), bool, len(found))[:-1]])
+    first = np.concatenate([[True], ends[:-1]])
     kinds[(kinds == NAME) & first] = WORDLIKE
     after_number = np.concatenate([[False], kinds[:-1] == NUM])
     kinds[(kinds == UNIT) & ~after_number] = WORDLIKE
-    keep = kinds != NOTHING
-    if (kinds == NUM_UNIT).any():
-        width = np.where(kinds == NUM_UNIT, 2, 1)[keep]
-        at = np.repeat(np.flatnonzero(keep), width)
+    at = np.flatnonzero(kinds != NOTHING)
+    second = np.zeros(len(at), bool)
+    if joined.any():  # 5kg is a number and a unit
+        at = np.repeat(at, np.where(joined[at], 2, 1))
         second = np.concatenate([[False], at[1:] == at[:-1]])
-        hashes, kinds = hashes[at], kinds[at]
-        kinds[kinds == NUM_UNIT] = NUM
-        kinds[second] = UNIT
-    else:
-        at = np.flatnonzero(keep)
-        hashes, kinds, second = hashes[at], kinds[at], np.zeros(len(at), bool)
+    hashes, kinds = hashes[at], kinds[at]
+    kinds[kinds == NUM_UNIT] = NUM
+    kinds[second] = UNIT
     run = np.concatenate([[False], (kinds[1:] == NAME) & (kinds[:-1] == NAME)]) if len(kinds) else np.zeros(0, bool)
     hole = kinds != WORDLIKE
     for k, h in HOLES.items():
@@ -94,9 +145,9 @@ def template(text: str | None, tokens: Tokens, values: bool = False):
     texts: list[str] = []
     if values:
         for place, extra, same in zip(at.tolist(), second.tolist(), run.tolist()):
-            core = EDGES.sub("", words[place]).lower()
-            m = NUMBER_UNIT.fullmatch(core) if extra or found[place][1] == NUM_UNIT else None
-            core = (m[2] if extra else m[1]) if m else core
+            core = text[lo[place] : hi[place]].lower()
+            if joined[place]:
+                core = NUMBER_UNIT.fullmatch(core)[2 if extra else 1]
             if same:
                 texts[-1] += " " + core
             else:
