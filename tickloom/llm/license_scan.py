@@ -53,6 +53,8 @@ TEMPLATES = {
     "Proprietary": ["All rights reserved.", "Copyright. All rights reserved."],
 }
 LEAST = 0.8
+#: Stands for a null path in keys; no path has a null character.
+NO_PATH = "\x00"
 #: Frequent words of English; they are the last to become anchors. Any order of terms gives valid anchors.
 FREQUENT = frozenset("a all an and any as at be been by can do either except for found free from has if in into is it its later law license may met not of on one only or other provided that the there they this to under use used was we what will with work you".split())
 
@@ -92,7 +94,7 @@ def own_licences(files: DataFrame, least: float = LEAST) -> DataFrame:
     has = F.array(*[F.lit(a) for a in anchors])
     text = F.coalesce(F.col("text"), F.lit(""))
     near = "(^|[^a-z0-9])(" + "|".join(re.escape(a) for a in anchors) + r")([^a-z0-9]|\z)"  # a term can have no letter or digit beside it
-    some = files.select("path", row_key("text").alias("rk"), text.alias("text")).filter(F.lower("text").rlike(near)).distinct()
+    some = files.select(F.coalesce("path", F.lit(NO_PATH)).alias("path"), row_key("text").alias("rk"), text.alias("text")).filter(F.lower("text").rlike(near)).distinct()
     lines = some.select("path", "rk", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("line", "unit"))
     units = lines.filter(F.lower("unit").rlike(near)).select("path", "rk", "line", _terms(F.col("unit")).alias("terms")).filter(F.arrays_overlap("terms", has))
     words = units.select("path", "rk", "line", F.size("terms").alias("n"), F.explode("terms").alias("term"))
@@ -106,7 +108,7 @@ def own_licences(files: DataFrame, least: float = LEAST) -> DataFrame:
     scored = dots.join(size, unit).join(F.broadcast(norms), "k").withColumn("score", F.round(F.col("dot") / (F.sqrt("square_norm") * F.col("norm")), 6))
     best = F.max_by(F.struct("licence", "score", "line"), F.struct("score", -F.col("k"), -F.col("line"))).alias("best")
     whole = F.max(F.when(F.col("line") == 0, F.col("score"))).alias("whole_score")
-    return scored.filter(F.col("score") >= least).groupBy("path", "rk").agg(best, whole).select("path", "rk", "best.*", "whole_score")
+    return scored.filter(F.col("score") >= least).groupBy("path", "rk").agg(best, whole).select(F.nullif("path", F.lit(NO_PATH)).alias("path"), "rk", "best.*", "whole_score")
 
 
 def scan(files: DataFrame, least: float = LEAST) -> DataFrame:
