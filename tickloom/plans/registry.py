@@ -248,18 +248,19 @@ add(
 add("minute_index", lambda t, r: csv_trades.minute_index(t, 15, "sequence_no"), "symbol; start=us // 900000000 * 900; first_row=min(seq); last_row=max(seq); trades=count(*); open_row=arg_min(seq, (us, seq)); close_row=arg_max(seq, (us, seq))", "FROM t GROUP BY symbol, us // 900000000 * 900")
 
 
-def _half(t: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two overlapping imports of the same trades: the first lacks sides and agents on every third row."""
+def _imports(t: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two overlapping exports: days up to the 18th, where small trades lack side and agents, and days from the 12th on."""
     keyed = t.withColumn("event_key", store.trade_key())
-    poor = F.col("sequence_no") % 3 == 0
-    first = keyed.filter("sequence_no % 5 < 3").withColumns({"aggressor": F.when(poor, "NONE").otherwise(F.col("aggressor")), "buyer_id": F.when(poor, "").otherwise(F.col("buyer_id")), "seller_id": F.when(poor, "").otherwise(F.col("seller_id")), "flags": F.when(~poor, F.col("flags"))})
-    return first, keyed.filter("sequence_no % 5 > 1")
+    poor = F.col("quantity") < 8
+    first = keyed.filter(F.col("session_date") <= F.lit("2024-01-18").cast("date")).withColumns({"aggressor": F.when(poor, "NONE").otherwise(F.col("aggressor")), "buyer_id": F.when(poor, "").otherwise(F.col("buyer_id")), "seller_id": F.when(poor, "").otherwise(F.col("seller_id")), "flags": F.when(~poor, F.col("flags"))})
+    return first, keyed.filter(F.col("session_date") >= F.lit("2024-01-12").cast("date"))
 
 
-add("dedupe_insert", lambda t, r: store.new_rows(*_half(t), "event_key"), "symbol; sequence_no=seq; price_ticks=p; quantity=q", "FROM t WHERE seq % 5 > 2")
+FIRST, BOTH = "session_date < date '2024-01-12'", "session_date BETWEEN date '2024-01-12' AND date '2024-01-18'"
+add("dedupe_insert", lambda t, r: store.new_rows(*_imports(t), "event_key"), "symbol; sequence_no=seq; price_ticks=p; quantity=q", "FROM t WHERE session_date > date '2024-01-18'")
 add(
     "enrich_merge",
-    lambda t, r: store.enriched(*_half(t)),
-    "symbol; sequence_no=seq; aggressor=CASE WHEN seq % 5 < 2 AND seq % 3 = 0 THEN 'NONE' ELSE side END; buyer_id=CASE WHEN seq % 5 < 2 AND seq % 3 = 0 THEN '' ELSE buyer END; change=CASE WHEN seq % 5 > 2 THEN 'inserted' WHEN seq % 5 = 2 AND seq % 3 = 0 AND (side <> 'NONE' OR buyer <> '' OR rlp) THEN 'enriched' ELSE 'kept' END",
+    lambda t, r: store.enriched(*_imports(t)),
+    f"symbol; sequence_no=seq; aggressor=CASE WHEN {FIRST} AND q < 8 THEN 'NONE' ELSE side END; buyer_id=CASE WHEN {FIRST} AND q < 8 THEN '' ELSE buyer END; change=CASE WHEN session_date > date '2024-01-18' THEN 'inserted' WHEN {BOTH} AND q < 8 AND (side <> 'NONE' OR buyer <> '' OR rlp) THEN 'enriched' ELSE 'kept' END",
     "FROM t",
 )
