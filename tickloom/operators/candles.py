@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schema import CANDLE, in_candle, indexed, order_key, ratio, with_start
 
 
-def build_candles(trades: DataFrame, interval: int) -> DataFrame:
-    """OHLCV by (symbol, start). First and last are ordered aggregates: one partial aggregation, no sort."""
+def build_candles(trades: DataFrame, interval: int, *more: Column) -> DataFrame:
+    """OHLCV by (symbol, start), and ``more`` aggregates of the same pass. First and last are ordered aggregates:
+    one partial aggregation, no sort."""
     key = order_key()
     return with_start(trades, interval).groupBy(*CANDLE).agg(
         F.min_by("price_ticks", key).alias("open_ticks"),
@@ -19,6 +20,7 @@ def build_candles(trades: DataFrame, interval: int) -> DataFrame:
         F.count("*").alias("trades"),
         F.min("us").alias("first_us"),
         F.max("us").alias("last_us"),
+        *more,
     )
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..schema import CANDLE, in_candle, ratio, when_chain
+from ..schema import CANDLE, ratio, when_chain, whole_candle
 from .aggression import candle_flow, level_aggression
 from .candles import build_candles
 from .efficiency import effort_events, efficiency_decay, flow_phases
-from .waves import RULES, WaveRules, all_waves, indexed
+from .waves import RULES, WaveRules, all_waves
 
 
 def evidence_quality(trades: DataFrame, interval: int) -> DataFrame:
@@ -20,27 +20,24 @@ def evidence_quality(trades: DataFrame, interval: int) -> DataFrame:
     return out.withColumn("label", label)
 
 
-def geometry(trades: DataFrame, interval: int) -> DataFrame:
+def _shape(candles: DataFrame) -> dict[str, Column]:
     c = F.col
-    b = build_candles(trades, interval)
-    span = c("high_ticks") - c("low_ticks")
+    span, body = c("high_ticks") - c("low_ticks"), c("close_ticks") - c("open_ticks")
     at = (c("close_ticks") - c("low_ticks")) / span
-    zone = when_chain((span <= 0, "CENTRO"), (at >= 0.80, "TOPO"), (at <= 0.20, "FUNDO"), default="MEIO")
-    body = c("close_ticks") - c("open_ticks")
-    return b.select(
-        *CANDLE,
-        "open_ticks",
-        "high_ticks",
-        "low_ticks",
-        "close_ticks",
-        F.when(body > 0, "ALTA").when(body < 0, "BAIXA").otherwise("NEUTRO").alias("direction"),
-        body.alias("body_ticks"),
-        span.alias("range_ticks"),
-        (c("high_ticks") - F.greatest("open_ticks", "close_ticks")).alias("upper_wick_ticks"),
-        (F.least("open_ticks", "close_ticks") - c("low_ticks")).alias("lower_wick_ticks"),
-        ratio(F.abs(body), span).alias("body_abs_share"),
-        zone.alias("close_zone"),
-    )
+    return {
+        "direction": F.when(body > 0, "ALTA").when(body < 0, "BAIXA").otherwise("NEUTRO"),
+        "body_ticks": body,
+        "range_ticks": span,
+        "upper_wick_ticks": c("high_ticks") - F.greatest("open_ticks", "close_ticks"),
+        "lower_wick_ticks": F.least("open_ticks", "close_ticks") - c("low_ticks"),
+        "body_abs_share": ratio(F.abs(body), span),
+        "close_zone": when_chain((span <= 0, "CENTRO"), (at >= 0.80, "TOPO"), (at <= 0.20, "FUNDO"), default="MEIO"),
+    }
+
+
+def geometry(trades: DataFrame, interval: int) -> DataFrame:
+    bars = build_candles(trades, interval)
+    return bars.withColumns(_shape(bars)).drop("volume", "trades", "first_us", "last_us")
 
 
 def facts(trades: DataFrame, interval: int) -> DataFrame:
@@ -69,18 +66,22 @@ def _hypotheses(trades: DataFrame, interval: int, rules: WaveRules | None, effic
     phases = flow_phases(trades, interval)
     name = F.when(c("directed") == 0, "SEM_DADOS_AGRESSOR").when(c("dominance") < 0.15, "EQUILIBRADA").when(c("delta") > 0, "COMPRA").otherwise("VENDA")
     ends = phases.withColumn("way", name).groupBy(*CANDLE).agg(F.min_by("way", "phase_no").alias("first_way"), F.max_by("way", "phase_no").alias("last_way"), F.count("*").alias("n_phases"))
-    flow = candle_flow(trades, interval).select(*CANDLE, "delta", "directed", "coverage", F.coalesce(c("delta") / F.nullif(c("directed"), F.lit(0)), F.lit(0.0)).alias("imbalance"))
-    x = geometry(trades, interval).join(flow, CANDLE).join(ends, CANDLE)
-    absorbed = level_aggression(trades, interval).filter("response = 'POSSIVEL_ABSORCAO'").select(*CANDLE, "price_ticks").join(geometry(trades, interval).select(*CANDLE, "high_ticks", "low_ticks"), CANDLE)
-    near = absorbed.groupBy(*CANDLE).agg(F.max(c("high_ticks") - c("price_ticks") <= 1).alias("near_high"), F.max(c("price_ticks") - c("low_ticks") <= 1).alias("near_low"))
+    # one pass over the trades for bars and flow, one each for phases, levels and waves; all meet by candle
+    q = lambda side: F.sum(F.when(c("aggressor") == side, c("quantity")).otherwise(0))
+    bars = build_candles(trades, interval, q("BUY").alias("buy"), q("SELL").alias("sell"))
+    known = c("buy") + c("sell")
+    x = bars.withColumns(_shape(bars) | {"delta": c("buy") - c("sell"), "directed": known, "coverage": ratio(known, c("volume")), "imbalance": ratio(c("buy") - c("sell"), known)}).join(ends, CANDLE)
+    levels = level_aggression(trades, interval).withColumns({"top_": F.max("price_ticks").over(whole_candle()), "bottom_": F.min("price_ticks").over(whole_candle())})
+    near = levels.filter("response = 'POSSIVEL_ABSORCAO'").groupBy(*CANDLE).agg(F.max(c("top_") - c("price_ticks") <= 1).alias("near_high"), F.max(c("price_ticks") - c("bottom_") <= 1).alias("near_low"))
     x = x.join(near, CANDLE, "left")
     if rules is not None:
-        every = all_waves(trades, interval, rules)
-        prices = indexed(trades, interval).select(*CANDLE, c("idx").alias("end_idx"), c("price_ticks").alias("end_price"))
-        bounds = geometry(trades, interval).select(*CANDLE, c("high_ticks").alias("top_"), c("low_ticks").alias("bottom_"))
-        done = every.filter("end_idx IS NOT NULL").join(prices, [*CANDLE, "end_idx"]).join(bounds, CANDLE)
-        done = done.groupBy(*CANDLE).agg(F.max((c("side") == "BUY") & (c("top_") - c("end_price") <= 2)).alias("ends_high"), F.max((c("side") == "SELL") & (c("end_price") - c("bottom_") <= 2)).alias("ends_low"))
-        x = x.join(done, CANDLE, "left").join(every.filter("end_idx IS NULL").select(*CANDLE, c("side").alias("open_side")), CANDLE, "left")
+        done = c("end_idx").isNotNull()
+        found = all_waves(trades, interval, rules).groupBy(*CANDLE).agg(
+            F.max(F.when(done & (c("side") == "BUY"), c("end_price"))).alias("buy_end"),
+            F.min(F.when(done & (c("side") == "SELL"), c("end_price"))).alias("sell_end"),
+            F.max(F.when(~done, c("side"))).alias("open_side"),
+        )
+        x = x.join(found, CANDLE, "left").withColumns({"ends_high": c("high_ticks") - c("buy_end") <= 2, "ends_low": c("sell_end") - c("low_ticks") <= 2})
     else:
         x = x.withColumns({"ends_high": F.lit(None).cast("boolean"), "ends_low": F.lit(None).cast("boolean"), "open_side": F.lit(None).cast("string")})
     if efficiency:

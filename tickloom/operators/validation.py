@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..schema import CANDLE, with_start
+from ..schema import CANDLE
 from .candles import build_candles
 from .interpret import _hypotheses
 from .quality import SESSION
@@ -31,8 +31,7 @@ def sample_status(n: Column) -> Column:
 def gated(trades: DataFrame, interval: int, references: DataFrame | None = None, include_synthetic: bool = False) -> DataFrame:
     """Candles with ``excluded``: SYNTHETIC, NO_REFERENCE, REFERENCE_MISMATCH or null."""
     c = F.col
-    synthetic = with_start(trades, interval).groupBy(*CANDLE).agg(F.max(F.lower(F.coalesce("source", F.lit(""))).startswith("synthetic")).alias("synthetic"))
-    x = build_candles(trades, interval).join(synthetic, CANDLE)
+    x = build_candles(trades, interval, F.max(F.lower(F.coalesce("source", F.lit(""))).startswith("synthetic")).alias("synthetic"))
     reason = F.when(c("synthetic") & F.lit(not include_synthetic), "SYNTHETIC")
     if references is not None:
         refs = references.filter(c("interval_seconds") == interval).select(*CANDLE, *[c(f"{f}_ticks").alias(f"ref_{f}") for f in ("open", "high", "low", "close")], c("volume").alias("ref_volume"))

@@ -96,7 +96,7 @@ class WaveState:
 
 WAVE_SCHEMA = (
     "symbol string, start long, wave int, side string, start_idx long, peak_idx long, peak_qty long, peak_dominance double, end_idx long, termination string, "
-    "end_side_qty long, end_opposite_qty long, end_coverage double, end_dominance double, pressure_decay double, last_idx long"
+    "end_side_qty long, end_opposite_qty long, end_coverage double, end_dominance double, pressure_decay double, end_price long, last_idx long"
 )
 
 
@@ -112,14 +112,14 @@ def _detect(rules: dict):
 
         for batch in batches:
             out = []
-            for symbol, start, i, buy, sell, dominance, coverage in zip(*(c.to_pylist() for c in batch.columns)):
+            for symbol, start, i, price, buy, sell, dominance, coverage in zip(*(c.to_pylist() for c in batch.columns)):
                 if (symbol, start) != key:
                     out += left()
                     key, state, n = (symbol, start), WaveState(WaveRules(**rules)), 0
                 last = i
                 wave = state.step(i, buy, sell, dominance, coverage)
                 if wave:
-                    out.append({"symbol": symbol, "start": start, "wave": n, "last_idx": i} | wave)
+                    out.append({"symbol": symbol, "start": start, "wave": n, "last_idx": i, "end_price": price} | wave)
                     n += 1
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
@@ -131,7 +131,7 @@ def _detect(rules: dict):
 
 def all_waves(trades: DataFrame, interval: int, rules: WaveRules = RULES) -> DataFrame:
     """Waves that ended (``end_idx`` set) and the one still open at a candle's end, if any."""
-    windows = pressure_window(trades, interval, rules.window).select(*CANDLE, "idx", "buy", "sell", "signed_dominance", "coverage")
+    windows = pressure_window(trades, interval, rules.window).select(*CANDLE, "idx", "price_ticks", "buy", "sell", "signed_dominance", "coverage")
     # the windows' shuffle already brought candles together: this sort needs no other
     return windows.sortWithinPartitions(*CANDLE, "idx").mapInArrow(_detect(asdict(rules)), WAVE_SCHEMA)
 
