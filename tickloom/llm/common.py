@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: A word is a maximal run of code points other than ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-WORD_SQL = r"[^\x20\x09-\x0D]+"
 BLANK = " \t\n\x0b\x0c\r"
 #: Stands for a null doc_id wherever a key is needed; it sorts before all others.
 NO_ID = -(1 << 63)

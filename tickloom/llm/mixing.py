@@ -8,9 +8,12 @@ uniform number from the hash of its doc_id, so that samples are reproducible and
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import WORD_SQL, cut, table
+from .common import WORD, by_batch, cut, row_key, table
 
 #: Topic: words and word groups that speak for it. A text has the topic with the most hits, the first of equal ones.
 TOPICS = {
@@ -30,15 +33,39 @@ def _pattern(words: str) -> str:
     return rf"(^|[^a-z])({words})([^a-z]|\z)"
 
 
+#: The same patterns; this engine writes the end of a text as \Z.
+PATTERNS = [re.compile(_pattern(words).replace(r"\z", r"\Z")) for words in TOPICS.values()]
+
+
+#: Every word of the topics: only texts that have one are searched for the patterns.
+MENTIONS = frozenset(w for words in TOPICS.values() for w in words.split("|"))
+RUN = re.compile("[a-z]+")
+
+
+def topic_and_tokens(text: str | None) -> tuple[str, int]:
+    text = text or ""
+    low = text.lower()
+    n = len(WORD.findall(text))
+    if MENTIONS.isdisjoint(RUN.findall(low)):
+        return GENERAL, n
+    hits = [len(p.findall(low)) for p in PATTERNS]
+    best = max(hits)
+    return (list(TOPICS)[hits.index(best)] if best else GENERAL), n
+
+
 def with_cells(docs: DataFrame) -> DataFrame:
-    """``docs`` with _source, _lang, _topic and _tokens (words)."""
-    low = F.lower(F.coalesce("text", F.lit("")))
-    hits = [F.regexp_count(low, F.lit(_pattern(words))) for words in TOPICS.values()]
-    best = F.greatest(*hits)
-    topic = F.when(best == 0, GENERAL)
-    for name, n in zip(TOPICS, hits):
-        topic = topic.when(n == best, name)
-    return docs.withColumns({"_source": F.coalesce(F.col("source").cast("string"), F.lit("")), "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "_topic": topic, "_tokens": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_SQL)).cast("long")})
+    """For each row of ``docs``: doc_id, rk (its hash), source, lang, and the cell _source, _lang, _topic with _tokens (words)."""
+
+    def make():
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            topics, tokens = zip(*map(topic_and_tokens, batch.column(4).to_pylist()))
+            return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(topics, pa.string()), pa.array(tokens, pa.int64())], ["doc_id", "rk", "source", "lang", "_topic", "_tokens"])
+
+        return f
+
+    rows = docs.select(F.col("doc_id").cast("long"), row_key("text", "source", "lang").alias("rk"), F.col("source").cast("string"), F.col("lang").cast("string"), "text")
+    found = by_batch(rows, make, "doc_id long, rk long, source string, lang string, _topic string, _tokens long")
+    return found.withColumns({"_source": F.coalesce("source", F.lit("")), "_lang": F.coalesce("lang", F.lit(""))})
 
 
 def rake(cells: DataFrame, powers: dict[str, float] = POWERS, targets: dict[str, dict[str, float]] | None = None, sweeps: int = SWEEPS) -> DataFrame:
@@ -69,6 +96,22 @@ def rake(cells: DataFrame, powers: dict[str, float] = POWERS, targets: dict[str,
     return out.select("_source", "_lang", "_topic", "tokens", "weight")
 
 
+def decide(docs: DataFrame, powers: dict[str, float] = POWERS, targets: dict[str, dict[str, float]] | None = None, budget: float = 1.0, sweeps: int = SWEEPS, salt: str = SALT) -> DataFrame:
+    """doc_id, rk, source, lang, topic, n_tokens, expected_copies and n_copies of the rows that are sampled; see ``mix``."""
+    found = cut(with_cells(docs))
+    cells = found.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("tokens")).filter("tokens > 0")
+    raked = rake(cut(cells), powers, targets, sweeps)
+    # cells by their key in the plan's own choice of join: Spark broadcasts them when their measured size is small
+    raked = raked.select("_source", "_lang", "_topic", (budget * F.col("weight") / F.col("tokens")).alias("expected_copies"))
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(salt + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    whole = F.floor("expected_copies")
+    out = found.join(raked, ["_source", "_lang", "_topic"]).filter("_tokens > 0").withColumn("n_copies", (whole + (draw < F.col("expected_copies") - whole).cast("long")).cast("long"))
+    return out.filter("n_copies > 0").select("doc_id", "rk", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), "expected_copies", "n_copies")
+
+
+ADDED = ["topic", "n_tokens", "expected_copies", "n_copies"]
+
+
 def mix(docs: DataFrame, powers: dict[str, float] = POWERS, targets: dict[str, dict[str, float]] | None = None, budget: float = 1.0, sweeps: int = SWEEPS, salt: str = SALT) -> DataFrame:
     """The sampled rows of ``docs``, all columns, with topic, n_tokens, expected_copies and n_copies >= 1.
 
@@ -77,20 +120,15 @@ def mix(docs: DataFrame, powers: dict[str, float] = POWERS, targets: dict[str, d
     rows share their fate; rows with a null doc_id all share one random number. Input columns of
     the four names that are added are replaced, others pass through. An empty table gives an empty result.
     """
-    found = with_cells(docs.drop("topic", "n_tokens", "expected_copies", "n_copies"))
-    cells = found.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("tokens")).filter("tokens > 0")
-    raked = rake(cut(cells), powers, targets, sweeps)
-    # cells by their key in the plan's own choice of join: Spark broadcasts them when their measured size is small
-    raked = raked.select("_source", "_lang", "_topic", (budget * F.col("weight") / F.col("tokens")).alias("expected_copies"))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(salt + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    whole = F.floor("expected_copies")
-    out = found.join(raked, ["_source", "_lang", "_topic"]).filter("_tokens > 0").withColumn("n_copies", (whole + (draw < F.col("expected_copies") - whole).cast("long")).cast("long"))
-    out = out.filter("n_copies > 0").withColumnsRenamed({"_topic": "topic", "_tokens": "n_tokens"})
-    return out.select(*docs.drop("topic", "n_tokens", "expected_copies", "n_copies").columns, "topic", "n_tokens", "expected_copies", "n_copies")
+    base = docs.drop(*ADDED)
+    taken = decide(docs, powers, targets, budget, sweeps, salt).select(F.col("doc_id").alias("__id"), F.col("rk").alias("__rk"), *ADDED).distinct()
+    keyed = base.withColumns({"__own_id": F.col("doc_id").cast("long"), "__own": row_key("text", "source", "lang")})
+    out = keyed.join(taken, (keyed["__own"] == taken["__rk"]) & keyed["__own_id"].eqNullSafe(taken["__id"]))
+    return out.select(*base.columns, *ADDED)
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    out = decide(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("expected_copies", 6).alias("expected_copies"), "n_copies")
 
 

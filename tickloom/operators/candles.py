@@ -93,6 +93,18 @@ def store_stats(trades: DataFrame, references: DataFrame) -> DataFrame:
     return a.crossJoin(F.broadcast(references.agg(F.count("*").alias("reference_candles"))))  # one row each
 
 
+def instrument_overview(instruments: DataFrame, trades: DataFrame) -> DataFrame:
+    """Every instrument with its trades, if it has any."""
+    g = symbol_overview(trades)
+    return instruments.join(g, "symbol", "left").withColumn("trades", F.coalesce("trades", F.lit(0)))
+
+
+def library_overview(trades: DataFrame, quality: DataFrame) -> DataFrame:
+    """Every session with its quality, in one join."""
+    q = quality.select("symbol", "session_date", "status", "score", "eligible")
+    return session_overview(trades).join(q, ["symbol", "session_date"], "left")
+
+
 def slice_trades(trades: DataFrame, start_us: int, end_us: int) -> DataFrame:
     """Trades in the half-open interval [start, end)."""
     return with_start(trades, 60).filter((F.col("us") >= start_us) & (F.col("us") < end_us))

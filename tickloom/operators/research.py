@@ -124,6 +124,19 @@ def distance(kind: str) -> Column:
     return F.when(both.isNull(), weighted / total).otherwise((weighted + both) / (total + aggression))
 
 
+def compare(trades: DataFrame, interval: int, first: tuple[str, int], second: tuple[str, int], points: int = 25) -> DataFrame:
+    """The normalised paths of two candles (symbol, start), side by side. Only their own trades are read."""
+    from ..schema import with_start
+    from .trajectory import trajectory_path
+
+    def path(of: tuple[str, int], name: str) -> DataFrame:
+        t = with_start(trades, interval).filter((F.col("symbol") == of[0]) & (F.col("start") == of[1]))
+        return trajectory_path(t, interval, points).select("point", F.col("y").alias(name))
+
+    both = path(first, "first_y").join(path(second, "second_y"), "point")
+    return both.withColumn("difference", F.abs(F.col("first_y") - F.col("second_y")))
+
+
 def similar(index: DataFrame, target: DataFrame, kind: str, limit: int = 8, *, other_sessions: bool = True, quality_only: bool = False, same_clock_minutes: int | None = None, same: tuple[str, ...] = ()) -> DataFrame:
     """The ``limit`` candles of ``index`` most like the one row of ``target``; a scan with the target broadcast.
 

@@ -51,6 +51,8 @@ add("symbol_overview", lambda t, r: candles.symbol_overview(t), "symbol; trades=
 add("session_overview", lambda t, r: candles.session_overview(t), "symbol; session_date; trades=count(*); first_us=min(us); last_us=max(us); volume=CAST(sum(q) AS BIGINT)", "FROM t GROUP BY symbol, session_date")
 add("reference_overview", lambda t, r: candles.reference_overview(r), f"symbol; interval_seconds={N}; candles=count(*); first_start=min(start); last_start=max(start); source='reference'", "FROM refs GROUP BY symbol")
 add("store_stats", lambda t, r: candles.store_stats(t, r), "trades=(SELECT count(*) FROM t); symbols=(SELECT count(DISTINCT symbol) FROM t); sessions=(SELECT count(*) FROM (SELECT DISTINCT symbol, session_date FROM t)); reference_candles=(SELECT count(*) FROM refs)", " ")
+add("library_overview", lambda t, r: candles.library_overview(t, quality.session_quality(t, DAILY)), "symbol; session_date; trades; status; ~score", "FROM ql")
+add("instrument_overview", lambda t, r: candles.instrument_overview(r.select("symbol").distinct(), t), "symbol; trades=count(*); first_us=min(us); last_us=max(us)", "FROM t GROUP BY symbol")
 add("trades_slice", lambda t, r: candles.slice_trades(t, 1_705_312_800_000_000, 1_705_399_200_000_000), "symbol; sequence_no=seq; us; price_ticks=p; quantity=q; aggressor=side", "FROM t WHERE us >= 1705312800000000 AND us < 1705399200000000")
 DNA = "~directional_efficiency; ~range_efficiency; ~body_to_range; ~close_location; ~reversal_rate; ~time_to_high_ms; ~time_to_low_ms; ~revisit_rate; ~vwap_ticks; ~mean_trade_size; ~aggressor_coverage; ~aggression_imbalance; ~upper_third_volume_share; ~middle_third_volume_share; ~lower_third_volume_share; ~~avg_intertrade_ms; ~median_intertrade_ms; ~p95_intertrade_ms; ~max_intertrade_ms; ~trades_per_second"
 DOUBLES = {x.strip("~ "): x.strip() for x in DNA.split(";")}
@@ -193,6 +195,16 @@ add(
     "FROM xz JOIN grid ON (x0 IS NULL OR px > x0) AND (x1 IS NULL OR px <= x)",
     PATH,
 )
+add(
+    "compare_paths",
+    lambda t, r: research.compare(t, N, ("SYM0", 1_704_844_800), ("SYM1", 1_705_017_600)),
+    "point=CAST(point AS INTEGER); ~first_y; ~second_y; ~difference=abs(first_y - second_y)",
+    """FROM (SELECT point, max(y) FILTER (WHERE symbol = 'SYM0') AS first_y, max(y) FILTER (WHERE symbol = 'SYM1') AS second_y FROM (
+      SELECT symbol, start, point, CASE WHEN x0 IS NULL OR px >= x THEN y ELSE y0 + (y - y0) * ((px - x0) / (x - x0)) END AS y
+      FROM xz JOIN grid ON (x0 IS NULL OR px > x0) AND (x1 IS NULL OR px <= x))
+      WHERE symbol = 'SYM0' AND start = 1704844800 OR symbol = 'SYM1' AND start = 1705017600 GROUP BY point)""",
+    PATH,
+)
 add("rule_family", lambda t, r: trajectory.rule_family(t, N), f"{ID}; family; ~confidence", "FROM famx")
 add("family_share", lambda t, r: trajectory.family_share(trajectory.rule_family(t, N)), "symbol; family; count=n_; ~share=n_ / sum(n_) OVER (PARTITION BY symbol)", "FROM (SELECT symbol, family, count(*) AS n_ FROM famx GROUP BY ALL)")
 add("kmeans_clusters", lambda t, r: trajectory.kmeans(trajectory.signatures(t, N))[0], f"{ID}; cluster; ~distance")

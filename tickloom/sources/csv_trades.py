@@ -9,6 +9,7 @@ from __future__ import annotations
 import csv
 from collections import Counter
 from dataclasses import dataclass
+from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -82,6 +83,14 @@ def numbered(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
     return raw.join(sizes.withColumn("_before", before), ["_file", "_block"]).withColumn("source_row", F.col("_before") + F.col("_n")).filter(F.col("source_row") > layout.header_line)
 
 
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Identity of a file's content, whatever its name: hash of its number of lines and of sums over their hashes and places."""
+    lines = spark.read.text(path).withColumn("h", F.xxhash64("value"))
+    wide = "decimal(38,0)"
+    r = lines.agg(F.count("*"), F.sum(F.col("h").cast(wide)), F.sum(F.xxhash64("value", F.lit("second")).cast(wide)), F.sum(F.length("value"))).first()
+    return sha256(":".join(map(str, r)).encode()).hexdigest()
+
+
 def _field(layout: Layout, name: str) -> Column | None:
     return N.blank_to_null(F.col(f"_c{layout.fields[name]}")) if name in layout.fields else None
 

@@ -145,6 +145,11 @@ class Store:
             t = t.filter((F.col("ts") < F.lit(end).cast("timestamp_ntz")) & (F.col("session_date") <= F.lit(end).cast("date")))
         return t
 
+    def export_parquet(self, trades: DataFrame, path: str) -> None:
+        """A folder for each symbol and day, its rows in order."""
+        keys = PARTITIONS["trades"]
+        trades.repartition(*keys).sortWithinPartitions(*keys, "ts", "sequence_no").write.option("compression", "zstd").partitionBy(*keys).parquet(path)
+
     def export_csv(self, trades: DataFrame, path: str) -> None:
         """The canonical eight columns, in order."""
         t = trades.select("symbol", F.date_format("ts", "dd/MM/yyyy"), F.date_format("ts", "HH:mm:ss.SSS"), "buyer_id", "price_ticks", "quantity", "seller_id", "aggressor", "ts", "sequence_no")
