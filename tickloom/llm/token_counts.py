@@ -45,7 +45,8 @@ class Counter:
         self.unknown, self.bytes, self.cached = lowest - UNKNOWN_PENALTY, bytes_, cached
         self.cache: dict[str, tuple[int, float]] = {}
         # a place before a space is a border only if no piece holds a space after another character
-        apart = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p, _ in pieces)
+        # and no run of characters that are no pieces, which counts as one, can go on over it
+        apart = (bytes_ or SPACE in self.single) and not any(re.search(f"[^{SPACE}]{SPACE}", p) for p, _ in pieces)
         line = "\n" if bytes_ and not any("\n" in p for p, _ in pieces) else ""
         self.parts = re.compile(f"{SPACE}+[^{SPACE}{line}]*|[^{SPACE}{line}]+" + (f"|{line}" if line else "")) if apart else re.compile(r".+", re.S)
 
