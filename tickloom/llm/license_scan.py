@@ -16,7 +16,7 @@ from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import row_key, table
+from .common import cut, row_key, table
 
 TERM = "[a-z0-9]+([.][0-9]+)*"
 #: Fixed texts: usual notices of licences.
@@ -100,9 +100,9 @@ def own_licences(files: DataFrame, least: float = LEAST) -> DataFrame:
     words = units.select("path", "rk", "line", F.size("terms").alias("n"), F.explode("terms").alias("term"))
     weights = spark.createDataFrame([(t, w, [k for k, _, ts, _ in templates if t in ts]) for t, w in squares.items()], "term string, square double, ks array<int>")
     norms = spark.createDataFrame([(k, name, norm) for k, name, _, norm in templates], "k int, licence string, norm double")
-    # both hold the fixed templates' terms only
-    hit = words.join(F.broadcast(weights), "term")
     unit = ["path", "rk", "line"]
+    # both broadcast tables hold the fixed templates' terms only; the texts are read once for both sums below
+    hit = cut(words.join(F.broadcast(weights), "term").select(*unit, "n", "square", "ks"))
     size = hit.groupBy(*unit).agg((F.sum("square") + (F.first("n") - F.count("*")) * F.lit(other)).alias("square_norm"))
     dots = hit.select(*unit, "square", F.explode("ks").alias("k")).groupBy(*unit, "k").agg(F.sum("square").alias("dot"))
     scored = dots.join(size, unit).join(F.broadcast(norms), "k").withColumn("score", F.round(F.col("dot") / (F.sqrt("square_norm") * F.col("norm")), 6))
@@ -122,7 +122,7 @@ def scan(files: DataFrame, least: float = LEAST) -> DataFrame:
     columns of the four names are replaced, others pass through. An empty table gives an empty result.
     """
     files = files.drop("licence", "score", "line", "origin")
-    own = own_licences(files, least)
+    own = cut(own_licences(files, least))
     up = F.regexp_replace("path", "[^/]*$", "")
     named = F.upper(F.regexp_extract("path", "([^/]*)$", 1)).rlike(r"^(LICENSE|LICENCE|COPYING|NOTICE|UNLICENSE)([.]|\z)")
     declared = own.filter(F.col("path").isNotNull() & (F.col("whole_score").isNotNull() | named))
