@@ -52,10 +52,10 @@ def streaming_waves(trades: DataFrame, interval: int, rules: WaveRules = RULES)
             directed, total = buy + sell, sum(quantities)
             wave = detector.step(n, buy, sell, (buy - sell) / directed if directed else 0.0, directed / total if total else 0.0)
             if wave:
-                found.append((key[0], key[1], wave["side"], wave["start_idx"], wave["end_idx"], wave["termination"]))
+                found.append((key[0], int(key[1]), wave["side"], wave["start_idx"], wave["end_idx"], wave["termination"]))
             n += 1
         held.update((n, quantities, sides, json.dumps(detector.saved())))
-        held.setTimeoutTimestamp(max((key[1] + interval) * 1000, held.getCurrentWatermarkMs() + 1))
+        held.setTimeoutTimestamp(int(max((key[1] + interval) * 1000, held.getCurrentWatermarkMs() + 1)))
         yield pd.DataFrame(found, columns=[c.split()[0] for c in out.split(", ")])
 
     t = trades.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", "5 minutes").withColumn("us", F.unix_micros("event_time"))
