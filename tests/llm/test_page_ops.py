@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.llm import chat_format, html_extract, language_id, license_scan, token_counts
+from tickloom.llm import chat_format, html_extract, language_id, license_scan, license_texts, token_counts
 
 # ---- 2
 
@@ -201,6 +201,62 @@ def test_licences(spark):
     assert (alone.licence, alone.origin) == (None, "none")
 
 
+MIT_FILE = """MIT License
+
+Copyright (c) 2021 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+
+
+def test_wrapped_and_whole_licences(spark):
+    import textwrap
+
+    code = "\nimport os\nprint(os.sep)\n" * 40
+    wrap = lambda text, mark, width: "\n".join(mark + line for line in textwrap.wrap(text, width))
+    gpl, bsd = license_scan.TEMPLATES["GPL-3.0"][1], license_scan.TEMPLATES["BSD-3-Clause"][1]
+    rows = [
+        ("m/terms.txt", MIT_FILE),
+        ("m/code.py", code),
+        ("g/main.c", "/*\n" + wrap(gpl, " * ", 66) + "\n */" + code),
+        ("g/main.m4", "first line\n" + wrap(gpl, "dnl ", 50) + code),
+        ("b/main.py", "# Copyright 2020 Some Body.\n" + wrap(bsd, "# ", 76) + "\n#" + code),
+        ("p/page.txt", "many other words of a page " * 30 + bsd + " and more of the same page, which goes on and on" * 9),
+        ("x/main.py", "# a program of a library\n# in version 3 of the form that is not here" + code),
+        ("r/whole.txt", license_texts.FULL["Apache-2.0"]),
+        ("r/code.py", code),
+    ]
+    by = {r.path: r for r in license_scan.scan(files(spark, [(p, t, 1) for p, t in rows])).collect()}
+    assert {p: (r.licence, r.origin) for p, r in by.items()} == {
+        "m/terms.txt": ("MIT", "own"),
+        "m/code.py": ("MIT", "inherited"),
+        "g/main.c": ("GPL-3.0", "own"),
+        "g/main.m4": ("GPL-3.0", "own"),
+        "b/main.py": ("BSD-3-Clause", "own"),
+        "p/page.txt": ("BSD-3-Clause", "own"),
+        "x/main.py": (None, "none"),
+        "r/whole.txt": ("Apache-2.0", "own"),
+        "r/code.py": ("Apache-2.0", "inherited"),
+    }
+    assert by["g/main.c"].score == 1.0 and by["g/main.c"].line == 2 and by["m/terms.txt"].line == 0 and by["b/main.py"].line == 2
+
+
 def test_anchors_lose_no_match():
     templates, squares, other, anchors = license_scan._model(license_scan.LEAST)
     has = set(anchors)

@@ -1,7 +1,8 @@
 """License scans: sparse TF-IDF cosine to licence templates, then inheritance from the nearest directory.
 
-Only DataFrame functions run here. A text's units are its lines (headers) and the text as a whole
-(licence files). A unit's vector has the inverse document frequency of each of its terms (among the
+Only DataFrame functions run here. A text's units are its lines (headers), runs of terms as wide as a
+template, over line ends and inside lines (wrapped headers, notices in paragraphs), and the text as a
+whole (licence files), which is held against full licence texts too. A unit's vector has the inverse document frequency of each of its terms (among the
 templates; terms of no template have the highest), and a unit is a match if its cosine with a
 template is ``least`` or more. Only units with an anchor term are scored: the other terms of each
 template weigh so little that no unit without an anchor could reach ``least``. A file
@@ -17,6 +18,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import cut, row_key, table
+from .license_texts import FULL
 
 TERM = "[a-z0-9]+([.][0-9]+)*"
 #: Fixed texts: usual notices of licences.
@@ -80,14 +82,54 @@ def _model(least: float):
     return [(k, name, sorted(ts), math.sqrt(sum(squares[t] for t in ts))) for k, (name, ts) in enumerate(rows)], squares, weight(0), sorted(anchors)
 
 
+def _full_model():
+    """(full texts as (number, licence, terms, norm), squared weight of each term, that of others)."""
+    first = sum(map(len, TEMPLATES.values()))
+    df = Counter(t for text in FULL.values() for t in terms(text))
+    weight = lambda n: (1 + math.log((len(FULL) + 1) / (n + 1))) ** 2
+    squares = {t: weight(df[t]) for t in sorted(df)}
+    rows = [(first + k, name, sorted(terms(text))) for k, (name, text) in enumerate(FULL.items())]
+    return [(k, name, ts, math.sqrt(sum(squares[t] for t in ts))) for k, name, ts in rows], squares, weight(0)
+
+
 def _terms(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(TERM), F.lit(0)))
 
 
+def _starts(templates, squares, anchors, least: float):
+    """``(term, k, q, n, least_terms, terms)``: an anchor's places in each template, the template's width in terms, and the fewest of its terms that a match has."""
+    rows, texts = [], [t for ts in TEMPLATES.values() for t in ts]
+    for k, _, ts, norm in templates:
+        order = [m[0] for m in re.finditer(TERM, texts[k].lower())]
+        rest, need = (least * norm) ** 2 * 0.999, 0
+        for s in sorted((squares[t] for t in ts), reverse=True):
+            if rest > 0:
+                rest, need = rest - s, need + 1
+        rows += [(t, k, q, len(order), need, ts) for q, t in enumerate(order) if t in anchors]
+    return rows
+
+
+def _runs(some: DataFrame, starts: list) -> DataFrame:
+    """``path, rk, line, run, terms`` of the runs of terms that may match: as wide as a template and
+    laid over the text so that an anchor has the same place in both. ``line`` is that of the first term."""
+    spark = some.sparkSession
+    found = lambda c: F.regexp_extract_all(F.lower(c), F.lit(TERM), F.lit(0))
+    # comment marks that are words; others hold no term
+    bare = some.select("path", "rk", F.regexp_replace("text", r"(?im)^[ \t]*(dnl|rem)(?=[ \t])", "").alias("text"))
+    at = bare.select("path", "rk", "text", found(F.col("text")).alias("all")).select("path", "rk", "text", "all", F.posexplode("all").alias("pos", "term"))
+    places = spark.createDataFrame(starts, "term string, k int, q int, width int, need int, ts array<string>")
+    first = F.greatest(F.col("pos") - F.col("q"), F.lit(0))
+    near = at.join(F.broadcast(places), "term").select("path", "rk", "text", first.alias("first"), "width", "need", "ts", F.array_distinct(F.slice("all", first + 1, F.col("width"))).alias("terms"))
+    near = near.filter(F.size(F.array_intersect("terms", "ts")) >= F.col("need"))
+    ends = F.aggregate(F.split("text", "\n"), F.struct(F.lit(0).alias("seen"), F.lit(1).alias("line")), lambda a, c: F.struct((a["seen"] + F.size(found(c))).alias("seen"), (a["line"] + (a["seen"] + F.size(found(c)) <= F.col("first")).cast("int")).alias("line")))
+    return near.select("path", "rk", ends["line"].alias("line"), (F.col("first") * F.lit(1000) + F.col("width")).alias("run"), "terms").distinct()
+
+
 def own_licences(files: DataFrame, least: float = LEAST) -> DataFrame:
     """``path, rk, licence, score, line, whole_score``: the best match of each file that has one.
 
-    ``line``: number of the matching line from 1 on, or 0 for the whole text. ``whole_score``: that of the whole text, if it matches.
+    ``line``: number of the matching line from 1 on (of a run, that of its first term), or 0 for the whole text.
+    ``whole_score``: that of the whole text, if it matches. The whole text of a licence comes before other matches.
     """
     spark = files.sparkSession
     templates, squares, other, anchors = _model(least)
@@ -96,17 +138,22 @@ def own_licences(files: DataFrame, least: float = LEAST) -> DataFrame:
     near = "(^|[^a-z0-9])(" + "|".join(re.escape(a) for a in anchors) + r")([^a-z0-9]|\z)"  # a term can have no letter or digit beside it
     some = files.select(F.coalesce("path", F.lit(NO_PATH)).alias("path"), row_key("text").alias("rk"), text.alias("text")).filter(F.lower("text").rlike(near)).distinct()
     lines = some.select("path", "rk", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("line", "unit"))
-    units = lines.filter(F.lower("unit").rlike(near)).select("path", "rk", "line", _terms(F.col("unit")).alias("terms")).filter(F.arrays_overlap("terms", has))
-    words = units.select("path", "rk", "line", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    weights = spark.createDataFrame([(t, w, [k for k, _, ts, _ in templates if t in ts]) for t, w in squares.items()], "term string, square double, ks array<int>")
-    norms = spark.createDataFrame([(k, name, norm) for k, name, _, norm in templates], "k int, licence string, norm double")
-    unit = ["path", "rk", "line"]
+    units = lines.filter(F.lower("unit").rlike(near)).select("path", "rk", "line", F.lit(0).alias("run"), _terms(F.col("unit")).alias("terms")).filter(F.arrays_overlap("terms", has))
+    runs = _runs(some, _starts(templates, squares, set(anchors), least))
+    words = units.unionByName(runs).select("path", "rk", "line", "run", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    full, full_squares, full_other = _full_model()
+    # the two kinds of templates have weights of their own; numbers of full texts come after the others'
+    weigh = lambda rows, ws: [(t, w, [k for k, _, ts, _ in rows if t in ts]) for t, w in ws.items()]
+    weights = spark.createDataFrame([(t, w, ks, False) for t, w, ks in weigh(templates, squares)] + [(t, w, ks, True) for t, w, ks in weigh(full, full_squares)], "term string, square double, ks array<int>, full boolean")
+    norms = spark.createDataFrame([(k, name, norm) for k, name, _, norm in templates + full], "k int, licence string, norm double")
+    unit = ["path", "rk", "line", "run", "full"]
     # both broadcast tables hold the fixed templates' terms only; the texts are read once for both sums below
-    hit = cut(words.join(F.broadcast(weights), "term").select(*unit, "n", "square", "ks"))
-    size = hit.groupBy(*unit).agg((F.sum("square") + (F.first("n") - F.count("*")) * F.lit(other)).alias("square_norm"))
+    hit = cut(words.join(F.broadcast(weights), "term").filter("NOT full OR line = 0").select(*unit, "n", "square", "ks"))
+    rest = F.first("n") - F.count("*")
+    size = hit.groupBy(*unit).agg((F.sum("square") + rest * F.when(F.col("full"), full_other).otherwise(other)).alias("square_norm"))
     dots = hit.select(*unit, "square", F.explode("ks").alias("k")).groupBy(*unit, "k").agg(F.sum("square").alias("dot"))
     scored = dots.join(size, unit).join(F.broadcast(norms), "k").withColumn("score", F.round(F.col("dot") / (F.sqrt("square_norm") * F.col("norm")), 6))
-    best = F.max_by(F.struct("licence", "score", "line"), F.struct("score", -F.col("k"), -F.col("line"))).alias("best")
+    best = F.max_by(F.struct("licence", "score", "line"), F.struct("full", "score", -F.col("k"), F.col("run") == 0, -F.col("line"))).alias("best")
     whole = F.max(F.when(F.col("line") == 0, F.col("score"))).alias("whole_score")
     return scored.filter(F.col("score") >= least).groupBy("path", "rk").agg(best, whole).select(F.nullif("path", F.lit(NO_PATH)).alias("path"), "rk", "best.*", "whole_score")
 
@@ -117,7 +164,7 @@ def scan(files: DataFrame, least: float = LEAST) -> DataFrame:
     ``origin``: 'own', 'inherited' (from the licence file in the nearest directory upwards) or 'none'.
     A licence file is one whose whole text matches a template, or one named LICENSE, LICENCE, COPYING,
     NOTICE or UNLICENSE (with any extension) that has a match; of a directory's several the best score counts, then
-    the first path. Of a file's equal matches the first template counts, then the first line. Null and empty
+    the first path. Of a file's equal matches the first template counts, then a line before a run, then the first line. Null and empty
     texts match nothing but can inherit; a null path has no directory. Equal rows give equal results. Input
     columns of the four names are replaced, others pass through. An empty table gives an empty result.
     """
