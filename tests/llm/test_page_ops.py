@@ -124,6 +124,21 @@ def test_html_edges(page, text):
     assert html_extract.main_text(page) == text
 
 
+def test_html_keeps_uneven_parts():
+    long = "".join(f"<p>Paragraph {k} of the first part, with commas, and more, and enough text in it to score three points or more, as it has over one hundred letters.</p>" for k in range(6))
+    short = "<section><p>The short part, of one paragraph.</p></section><ul><li>an item</li></ul><table><tr><td>cell</td></tr></table><figure>a figure</figure>"
+    end = " The short part, of one paragraph. an item cell a figure"
+    for open_, close in (("<article>", "</article>"), ("<main>", "</main>"), ("<div>", "</div>"), ("<main><div><div>", "</div></div></main>")):
+        text = html_extract.main_text(f"<body>{open_}<h1>Head</h1><section>{long}</section>{short}{close}</body>")
+        assert text.startswith("Head Paragraph 0") and text.endswith(end) and "Paragraph 5" in text, open_
+    page = f"<body><div><a href=/>Home</a> <a href=/b>Other pages</a></div><div>{long}</div>bare <b>bold</b> <a href=x>a</a> text<p>after</p><ul><li><a href=/c>list of links</a></li></ul></body>"
+    text = html_extract.main_text(page)
+    assert text.endswith("letters. bare bold a text after") and text.startswith("Paragraph 0")
+    page = f"<main><div><a href=/>Home</a> <a href=/b>Other pages</a></div><article><section>{long}</section><section><p>end</p></section></article><div>after it</div></main>"
+    text = html_extract.main_text(page)
+    assert text.endswith("letters. end after it") and text.startswith("Paragraph 0")
+
+
 def test_html_frame(spark):
     long = "<article>" + "<p>word, word, word.</p>" * 20_000 + "</article>"
     df = spark.createDataFrame([(1, "u", PAGE, "t", None), (2, None, None, "t", 1), (3, "u", long, None, 2), (3, "u", long, None, 2)], "page_id long, url string, html string, text string, other int")

@@ -2,8 +2,9 @@
 
 Each paragraph gives points (one, one for each comma, and one for each 100 characters, three at most)
 to its parent and half of them to its grandparent; a container's score is discounted by the share of its text that is in
-links. The best container is kept, and of its siblings those that score at least a fifth of it (or are
-long paragraphs with few links).
+links. The best container is kept, and the whole article that it lies in. Of the rest of the main element (where
+there is none: of the siblings) all is kept but lists of links: blocks, and runs of text and inline elements, half of
+whose text or more is in links and that score little.
 """
 
 from __future__ import annotations
@@ -182,7 +183,7 @@ def _order(root: Node) -> list[Node]:
 
 
 def best_container(root: Node) -> list[Node]:
-    """The kept nodes in page order: the best container and such siblings as belong to it."""
+    """The kept nodes in page order: the best container and what belongs to it."""
     nodes = _order(root)
     own: dict[int, list[str]] = {}
     for n in reversed(nodes):
@@ -208,16 +209,46 @@ def best_container(root: Node) -> list[Node]:
     if not scored:
         return [root]
     best, most = max(scored, key=lambda x: x[1])  # the first of equal ones: the outer
-    if best.parent is None:
-        return [best]
+    above = [best]
+    while above[-1].parent is not None:
+        above.append(above[-1].parent)
+    # an article that holds the best container is kept whole; of a main element, or else of the parent, what is no list of links
+    whole = next((n for n in reversed(above) if n.tag == "article"), best)
+    top = next((n for n in reversed(above) if n.tag == "main" or n is whole), whole)
+    if top is whole and top.tag != "main" and top.parent is not None:
+        top = top.parent
+    if top is whole:
+        return [whole]
+    path = {id(n) for n in above}
     scores = {id(n): s for n, s in scored}
-    kept = []
-    for c in best.parent.children:
-        if not isinstance(c, Node):
-            continue
-        links = c.link_chars / max(c.chars, 1)
-        if c is best or scores.get(id(c), 0) >= max(10.0, 0.2 * most) or c.tag in PARAGRAPHS and links < 0.25 and c.chars:
-            kept.append(c)
+    kept: list[Node] = []
+    inline: list = []
+
+    def flush() -> None:  # bare text and inline elements between two blocks are one paragraph
+        run = Node("span", children=inline[:])
+        inline.clear()
+        chars = sum(len(SPACE.sub(" ", c).strip()) if isinstance(c, str) else c.chars for c in run.children)
+        if 2 * sum(c.link_chars for c in run.children if isinstance(c, Node)) < chars:
+            kept.append(run)
+
+    todo: list = [top]
+    while todo:
+        c = todo.pop()
+        if c is None:
+            flush()
+        elif isinstance(c, str):
+            inline.append(c)
+        elif id(c) in path and c is not whole:
+            flush()
+            todo.append(None)
+            todo.extend(reversed(c.children))
+        elif c is not whole and c.tag not in BLOCKS and not any(n.tag in BLOCKS for n in _order(c)):
+            inline.append(c)
+        else:
+            flush()
+            if c is whole or 2 * c.link_chars < c.chars or scores.get(id(c), 0) >= max(10.0, 0.2 * most):
+                kept.append(c)
+    flush()
     return kept
 
 
