@@ -199,6 +199,18 @@ def test_decontamination_finds_copies_and_reparameterised_items(spark):
     assert got[1].verbatim and not got[2].verbatim and got[1].coverage == 1.0
 
 
+def test_decontamination_finds_copies_in_any_case(spark):
+    rng = random.Random(4)
+    around = lambda text: prose(rng, 30) + ". " + text + " " + prose(rng, 30)
+    named = "Anna gave Bruno the red book of Carla and then Dario saw Elena with Fabio near the house of Gina while Hugo met Irene."
+    numbers = "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15"
+    cases = [ITEM, ITEM.upper().lower(), ITEM.upper(), ITEM.title(), named.lower(), named.upper(), named.title(), numbers]
+    docs = frame(spark, [(8 + k, around(c)) for k, c in enumerate(cases)] + [(20, around("1 2 3 5 8 13 21 34 55 89 144 1 2 4 9")), (21, prose(rng, 80))])
+    got = {(r.doc_id, r.item_id): r for r in leaks(spark, docs, [(1, ITEM), (2, named), (3, numbers)])}
+    assert set(got) == {(8, 1), (9, 1), (10, 1), (11, 1), (12, 2), (13, 2), (14, 2), (15, 3)}
+    assert all(r.coverage == 1.0 and r.verbatim for r in got.values())
+
+
 def test_slots_must_agree(spark):
     item = "Then Ann met Bob before Ann gave Bob the red book that Ann had kept for Bob since Ann saw Bob there."
     same = item.replace("Ann", "Eve").replace("Bob", "Dan")

@@ -4,7 +4,9 @@ Numbers, names and units become typed placeholders (a run of names is one), the
 without punctuation. Windows of the template are hash-joined with the benchmark's windows. For each
 document and item that share windows, the slots' values are then held together: an item's value
 must always have become the same value in the document (the values can differ from the item's: that
-is a re-parameterised question). A pair is a leak if windows that agree in this way cover at least ``share`` of the item.
+is a re-parameterised question). Windows of the lower-cased words with their values (no placeholders)
+are joined too, so that copies in other case, where names can't be told, and copies dense in numbers are found. A pair is a leak if
+windows that agree in one of the two ways cover at least ``share`` of the item.
 """
 
 from __future__ import annotations
@@ -121,15 +123,22 @@ def template(text: str | None, tokens: Tokens, values: bool = False):
     A unit is a placeholder only after a number, a name only inside a sentence; else both are words.
     """
     text = text or ""
-    hashes, kinds, ends, lo, hi = tokens.of(text)
+    return _template(text, tokens.of(text), values)[:3]
+
+
+def _template(text: str, found: tuple, values: bool = False):
+    """Also the first and last word of each place; ``found`` is the text's ``Tokens.of``."""
+    hashes, kinds, ends, lo, hi = found
     if not len(hashes):
-        return hashes, np.zeros(0, bool), []
+        return hashes, np.zeros(0, bool), [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    kinds = kinds.copy()
     joined = kinds == NUM_UNIT
     # line ends start sentences too, but a text may be re-wrapped: only punctuation counts
     first = np.concatenate([[True], ends[:-1]])
     kinds[(kinds == NAME) & first] = WORDLIKE
     after_number = np.concatenate([[False], kinds[:-1] == NUM])
     kinds[(kinds == UNIT) & ~after_number] = WORDLIKE
+    word = np.cumsum(kinds != NOTHING) - 1
     at = np.flatnonzero(kinds != NOTHING)
     second = np.zeros(len(at), bool)
     if joined.any():  # 5kg is a number and a unit
@@ -152,91 +161,143 @@ def template(text: str | None, tokens: Tokens, values: bool = False):
                 texts[-1] += " " + core
             else:
                 texts.append(core)
-    return hashes[~run], hole[~run], texts
+    ends_run = np.concatenate([~run[1:], [True]]) if len(run) else run
+    return hashes[~run], hole[~run], texts, word[at[~run]], word[at[ends_run]]
+
+
+def literals(found: tuple) -> np.ndarray:
+    """Hashes of the words as they are, but for their case. Where a window has no placeholder it is that of the template."""
+    return found[0][found[1] != NOTHING]
 
 
-def windows(hashes: np.ndarray, holes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of the windows that have enough literal tokens; a shorter template is one window."""
-    width = min(WIDTH, len(hashes))
-    if not width:
+def windows(hashes: np.ndarray, holes: np.ndarray | None = None, width: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the windows that have enough literal tokens (all of them without ``holes``).
+
+    Without a ``width`` they are an item's: a shorter text is one window.
+    """
+    width = width or min(WIDTH, len(hashes))
+    if not width or len(hashes) < width:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    literal = np.concatenate([[0], np.cumsum(~holes)])
-    ok = literal[width:] - literal[:-width] >= min(LITERALS, width)
     # a shorter item must not meet the windows of longer ones
     found = window_hashes(hashes, width) if width == WIDTH else mix(window_hashes(hashes, width) + np.uint64(width))
+    if holes is None:
+        return np.arange(len(found)), found
+    literal = np.concatenate([[0], np.cumsum(~holes)])
+    ok = literal[width:] - literal[:-width] >= min(LITERALS, width)
     return np.flatnonzero(ok), found[ok]
 
 
-def _window_rows(df: DataFrame, key: str, distinct: bool) -> DataFrame:
-    """``key, rk, hashes`` of each row's text."""
+def _lists(found: list[np.ndarray]) -> pa.ListArray:
+    sizes = np.cumsum([0, *map(len, found)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(found).view(np.int64)))
+
+
+def _item_rows(items: DataFrame) -> DataFrame:
+    """``item_id, irk, typed, plain, widths`` of each item: its windows' hashes and their widths."""
 
     def make():
         tokens = Tokens()
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [windows(*template(t, tokens)[:2])[1] for t in batch.column(2).to_pylist()]
-            found = [(np.unique(x) if distinct else x).view(np.int64) for x in found]
-            sizes = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(found)))], [key, "rk", "hashes"])
+            typed, plain, widths = [], [], []
+            for text in batch.column(2).to_pylist():
+                found = tokens.of(text or "")
+                t, w = _template(text or "", found), literals(found)
+                typed.append(windows(*t[:2])[1])
+                plain.append(windows(w)[1])
+                widths.append([min(WIDTH, len(t[0])), min(WIDTH, len(w))])
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(typed), _lists(plain), pa.array(widths, pa.list_(pa.int32()))], ["item_id", "irk", "typed", "plain", "widths"])
 
         return f
 
-    return by_batch(df.select(F.col(key).cast("long"), row_key("text").alias("rk"), "text"), make, f"{key} long, rk long, hashes array<long>")
+    return by_batch(items.select("item_id", "irk", "text"), make, "item_id long, irk long, typed array<long>, plain array<long>, widths array<int>")
 
 
-def agreement(doc: str | None, item: str | None, tokens: Tokens) -> tuple[int, int, int, bool]:
-    """(the item's windows, those in the document, those that agree in their slots, all values are the item's)."""
-    dh, dholes, dvalues = template(doc, tokens, values=True)
-    ih, iholes, ivalues = template(item, tokens, values=True)
-    at, found = windows(ih, iholes)
-    width = min(WIDTH, len(ih))
+def _doc_rows(docs: DataFrame, widths: list[int]) -> DataFrame:
+    """``doc_id, rk, hashes``: the distinct windows of each text, of both kinds and all ``widths``."""
+
+    def make():
+        tokens = Tokens()
+
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out = []
+            for text in batch.column(2).to_pylist():
+                found = tokens.of(text or "")
+                hashes, holes = _template(text or "", found)[:2]
+                w = literals(found)
+                out.append(np.unique(np.concatenate([np.zeros(0, np.uint64), *[x for k in widths for x in (windows(hashes, holes, k)[1], windows(w, None, k)[1])]])))
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(out)], ["doc_id", "rk", "hashes"])
+
+        return f
+
+    return by_batch(docs.select(F.col("doc_id").cast("long"), row_key("text").alias("rk"), "text"), make, "doc_id long, rk long, hashes array<long>")
+
+
+def _shifts(item: tuple, doc: tuple) -> dict[int, list[int]]:
+    """For each shift of the item against the document, the starts of the item's windows found there."""
+    wanted = set(item[1].tolist())
     where: dict[int, list[int]] = defaultdict(list)
-    if width == WIDTH:
-        dat, dfound = windows(dh, dholes)
-    elif width and len(dh) >= width:
-        dfound = mix(window_hashes(dh, width) + np.uint64(width))
-        dat = np.arange(len(dfound))
-    else:
-        dat, dfound = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    wanted = set(found.tolist())
-    for s, h in zip(dat.tolist(), dfound.tolist()):
+    for s, h in zip(doc[0].tolist(), doc[1].tolist()):
         if h in wanted:
             where[h].append(s)
-    # one shift of the item against the document for each copy of it; the best copy counts
     shifts: dict[int, list[int]] = defaultdict(list)
-    for s, h in zip(at.tolist(), found.tolist()):
+    for s, h in zip(item[0].tolist(), item[1].tolist()):
         for d in where[h]:
             shifts[d - s].append(s)
-    best = (0, 0, False)
-    for shift, starts in shifts.items():
+    return shifts
+
+
+def agreement(doc: str | None, item: str | None, tokens: Tokens) -> tuple[int, int, int, bool]:
+    """(the item's windows, those in the document, those that agree in their slots or word by word, all values are the item's).
+
+    The windows are the template's, or the words' where more of these are found.
+    """
+    dfound, ifound = tokens.of(doc or ""), tokens.of(item or "")
+    dh, dholes, dvalues, _, _ = _template(doc or "", dfound, values=True)
+    ih, iholes, ivalues, first, last = _template(item or "", ifound, values=True)
+    dw, iw = literals(dfound), literals(ifound)
+    typed, plain = windows(ih, iholes), windows(iw)
+    width, plain_width = min(WIDTH, len(ih)), min(WIDTH, len(iw))
+    # one shift of the item against the document for each copy of it; the best copy counts
+    same = max(_shifts(plain, windows(dw, None, plain_width)).values(), key=len, default=[]) if plain_width else []
+    held = set(same)
+    literal = {s for s in typed[0].tolist() if held and all(k in held for k in range(first[s], max(first[s], last[s + width - 1] - plain_width + 1) + 1))}
+    best = (len(literal), len(literal), True)
+    for shift, starts in (_shifts(typed, windows(dh, dholes, width)) if width else {}).items():
         slots = {p for s in starts for p in range(s, s + width) if iholes[p]}
         votes: dict[str, Counter] = defaultdict(Counter)
         for p in slots:
             votes[ivalues[p]][dvalues[p + shift]] += 1
         bad = {p for p in slots if votes[ivalues[p]].most_common(1)[0][0] != dvalues[p + shift]}
-        agree = sum(not any(p in bad for p in range(s, s + width)) for s in starts)
-        best = max(best, (agree, len(starts), all(ivalues[p] == dvalues[p + shift] for p in slots)))
-    return len(at), best[1], best[0], best[2]
+        agree = literal.union(s for s in starts if not any(p in bad for p in range(s, s + width)))
+        best = max(best, (len(agree), len(literal.union(starts)), all(ivalues[p] == dvalues[p + shift] for p in slots)))
+    if len(same) * len(typed[0]) > best[0] * len(plain[0]) or not len(typed[0]):
+        return len(plain[0]), len(same), len(same), True
+    return len(typed[0]), best[1], best[0], best[2]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) -> DataFrame:
     """``doc_id, rk, item_id, n_windows, n_matched, n_agreeing, coverage, verbatim`` of every leak.
 
-    ``benchmark``: item_id, text. Null and empty texts have no windows and leak nothing, items
-    without a window of enough literal tokens can't leak. Items of fewer than 8 tokens match only a
-    document of the same template as a whole. Equal rows of a table are one. A null doc_id or item_id
+    ``benchmark``: item_id, text. Null and empty texts have no windows and leak nothing. An
+    item of fewer than 8 tokens is one window, and leaks wherever that is in a document. Windows of mostly
+    placeholders count only with the item's own values. Equal rows of a table are one. A null doc_id or item_id
     is a key like another. Empty tables give an empty result. Other columns are not read.
     """
     items = benchmark.select(F.col("item_id").cast("long"), row_key("text").alias("irk"), "text").distinct()
-    wanted = _window_rows(items, "item_id", False).select("item_id", F.col("rk").alias("irk"), F.size("hashes").alias("n_item"), F.explode("hashes").alias("hash"))
-    wanted = cut(wanted.groupBy("item_id", "irk", "n_item", "hash").agg(F.count("*").alias("times")))
-    found = _window_rows(docs, "doc_id", True).select("doc_id", "rk", F.explode("hashes").alias("hash"))
+    own = cut(_item_rows(items))
+    widths = sorted(r.w for r in own.select(F.explode("widths").alias("w")).distinct().collect() if r.w)  # 8 at most
+    kind = lambda c, plain: own.select("item_id", "irk", F.size("typed").alias("n_typed"), F.size("plain").alias("n_plain"), F.explode(c).alias("hash"), F.lit(plain).alias("plain"))
+    wanted = kind("typed", False).unionAll(kind("plain", True))
+    wanted = cut(wanted.groupBy("item_id", "irk", "n_typed", "n_plain", "hash", "plain").agg(F.count("*").alias("times")))
+    found = _doc_rows(docs, widths).select("doc_id", "rk", F.explode("hashes").alias("hash"))
     hashes = wanted.select("hash").distinct()
     small = wanted.count() <= BROADCAST_WINDOWS
     found = cut(found.join(F.broadcast(hashes) if small else hashes, "hash", "left_semi").distinct())
-    shared = found.join(F.broadcast(wanted) if small else wanted, "hash").groupBy("doc_id", "rk", "item_id", "irk").agg(F.sum("times").alias("n"), F.first("n_item").alias("n_item"))
-    # windows can agree only where they are shared
-    pairs = cut(shared.filter(F.col("n") >= share * F.col("n_item")).select("doc_id", "rk", "item_id", "irk"))
+    count = lambda plain: F.sum(F.when(F.col("plain") == plain, F.col("times")).otherwise(0))
+    shared = found.join(F.broadcast(wanted) if small else wanted, "hash").groupBy("doc_id", "rk", "item_id", "irk", "n_typed", "n_plain").agg(count(False).alias("t"), count(True).alias("p"))
+    # windows can agree only where they are shared; a word starts two of the template's tokens at most (5kg)
+    pairs = cut(shared.filter((F.col("t") + 2 * F.col("p") >= share * F.col("n_typed")) & (F.col("n_typed") > 0) | (F.col("p") >= share * F.col("n_plain"))).select("doc_id", "rk", "item_id", "irk"))
     texts = docs.select(F.col("doc_id").cast("long"), row_key("text").alias("rk"), "text").join(_sized(pairs.select("doc_id", "rk").distinct()), _same("doc_id", "rk"), "left_semi").distinct()
     asked = items.withColumnRenamed("text", "item")
     both = pairs.join(texts, _on(pairs, texts, "doc_id", "rk")).select(pairs["doc_id"], pairs["rk"], pairs["item_id"], pairs["irk"], "text")
