@@ -96,6 +96,21 @@ def test_ngram_join_edges(spark):
     assert sorted((r.doc_id, r.copy_of, r.n_copies) for r in ngram_join.jaccard_groups(two).collect()) == [(1, 1, 1), (1, 1, 2), (2, 1, 2)]
 
 
+def test_ngram_join_links_rows_without_ids_of_their_own(spark, tmp_path):
+    rng = random.Random(6)
+    first, second, third = (prose(rng, 120) for _ in range(3))
+    near = lambda text: text + " one more"
+    rows = [(None, first), (None, near(first)), (None, second), (None, second), (None, near(second)), (7, third), (7, near(third)), (8, second), (9, prose(rng, 100)), (None, prose(rng, 90))]
+    got = ngram_join.jaccard_groups(frame(spark, rows, extra=True)).collect()
+    assert sorted((str(r.doc_id), str(r.class_id), r.n_copies, r.n_links) for r in got) == sorted(
+        [("None", "None", 1, 1)] * 3 + [("None", "None", 3, 1)] * 2 + [("7", "7", 1, 1)] * 2 + [("8", "None", 3, 1), ("9", "9", 1, 0), ("None", "None", 1, 0)]
+    )
+    assert len(ngram_join.similar_pairs(frame(spark, rows)).collect()) == 3
+    left = stages.ngram_jaccard(spark, frame(spark, rows), str(tmp_path)).collect()
+    texts = [r.text for r in left]  # one of each group, and what has none
+    assert len(texts) == 5 and all(sum(t in (x, near(x)) for t in texts) == 1 for x in (first, second, third))
+
+
 def test_pruning_table_is_the_posterior():
     least = ngram_join.least_matches(0.8, 1e-5)
     for n, m in least.items():

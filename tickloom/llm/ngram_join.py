@@ -1,7 +1,7 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
 1. Each text becomes its set of 5-word shingle hashes and a MinHash signature (125 values). Texts
-   with equal sets form one class, represented by its smallest doc_id.
+   with equal sets form one class, represented by its smallest doc_id and numbered, as doc_ids can repeat.
 2. Representatives that agree in one of 25 bands of 5 values are candidates. A bucket is dealt in
    blocks by a hash of the id, and each pair of blocks is its own group, so a huge bucket becomes many
    bounded tasks. A pair is looked at only in the first band in which it agrees.
@@ -100,7 +100,7 @@ def features(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """``(rep, set)`` for the documents in ``ids`` (rep, fp1): their shingle hashes as bytes."""
+    """``(rep, set)`` for the documents in ``ids`` (rep, id, rk): their shingle hashes as bytes."""
 
     def make():
         hashes = WordHashes()
@@ -111,9 +111,9 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
         return f
 
-    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("rep"), row_key("text").alias("rk"), "text")
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"), row_key("text").alias("rk"), "text")
     small = ids.count() <= BROADCAST_IDS
-    rows = rows.join(F.broadcast(ids) if small else ids, ["rep", "rk"], "left_semi").select("rep", "text")
+    rows = rows.join(F.broadcast(ids) if small else ids, ["id", "rk"]).select("rep", "text")
     return by_batch(rows, make, "rep long, set binary").dropDuplicates(["rep"])
 
 
@@ -235,7 +235,6 @@ def _verify(threshold: float, with_pairs: bool):
 
 
 def _linked(docs: DataFrame, reps: DataFrame, threshold: float, tolerance: float, width: int, with_pairs: bool = False) -> DataFrame:
-    reps = reps.filter("lead")
     bands = _bands(reps)
     full = bands.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w")).filter("n > 1")
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("w") / BLOCK_SHINGLES)).cast("int")
@@ -249,22 +248,19 @@ def _linked(docs: DataFrame, reps: DataFrame, threshold: float, tolerance: float
     )
     members = members.join(reps.select("rep", "sig"), "rep")
     pairs = cut(by_group(members, ["gid", "key"], _prune(threshold, tolerance), "gid long, key long, rep long, partners array<long>"))
-    ids = pairs.select("rep").distinct().join(reps.select("rep", "rk"), "rep")
+    ids = pairs.select("rep").distinct().join(reps.select("rep", "id", "rk"), "rep")
     sets = cut(_sets(docs, ids, width))
     schema = "rep long, links long, root long" + (", others array<long>, similarity array<double>" if with_pairs else "")
     return by_group(pairs.join(sets, "rep"), ["gid", "key"], _verify(threshold, with_pairs), schema)
 
 
 def _reps(found: DataFrame) -> DataFrame:
-    """A row for each distinct shingle set. Texts without words stay apart: each is a class of its own."""
+    """A row for each distinct shingle set, numbered by ``rep``. Texts without words stay apart: each is a class of its own."""
     own = found.filter("sig IS NOT NULL")
     best = F.min(F.struct("id", "rk"))
     reps = own.groupBy("fp1", "fp2").agg(best.alias("best"), F.count("*").alias("n_copies"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    reps = cut(reps.select("fp1", "fp2", F.col("best.id").alias("rep"), F.col("best.rk").alias("rk"), "n_copies", "n_shingles", "sig"))
-    # where sets share a smallest doc_id (it repeats with other texts), the set of the smallest fingerprint takes part in links
-    twice = reps.groupBy("rep").agg(F.count("*").alias("n"), F.min(F.struct("fp1", "fp2")).alias("main")).filter("n > 1").drop("n")
-    lead = F.col("main").isNull() | (F.struct("fp1", "fp2") == F.col("main"))
-    return reps.join(twice, "rep", "left").withColumn("lead", lead).drop("main")
+    reps = reps.select("fp1", "fp2", "best.id", "best.rk", "n_copies", "n_shingles", "sig")
+    return cut(reps.withColumn("rep", F.monotonically_increasing_id()))
 
 
 def similar_pairs(docs: DataFrame, threshold: float = 0.8, width: int = 5, tolerance: float = 1e-5) -> DataFrame:
@@ -272,11 +268,14 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8, width: int = 5, toler
     reps = _reps(features(docs, width))
     linked = _linked(docs, reps, threshold, tolerance, width, with_pairs=True)
     pairs = linked.select("rep", F.explode(F.arrays_zip("others", "similarity")).alias("p"))
-    return pairs.select(F.least("rep", "p.others").alias("a"), F.greatest("rep", "p.others").alias("b"), F.col("p.similarity").alias("similarity"))
+    pairs = pairs.select("rep", F.col("p.others").alias("other"), F.col("p.similarity").alias("similarity"))
+    pairs = pairs.join(reps.select("rep", F.col("id").alias("x")), "rep").join(reps.select(F.col("rep").alias("other"), F.col("id").alias("y")), "other")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
 
 
 def jaccard_groups(docs: DataFrame, threshold: float = 0.8, width: int = 5, tolerance: float = 1e-5) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, class_id, copy_of, n_copies, n_links (and the row's hash ``rk``).
+    """One row for each row of ``docs``: doc_id, class_id, copy_of, n_copies, n_links (and the row's hash ``rk``,
+    and ``class_rk``, that of the class's first row by doc_id and hash).
 
     ``copy_of`` is the smallest doc_id with the same shingle set, ``n_copies`` the rows with that
     set, ``n_links`` the number of other sets whose Jaccard similarity is ``threshold`` or more, and
@@ -286,8 +285,7 @@ def jaccard_groups(docs: DataFrame, threshold: float = 0.8, width: int = 5, tole
     Words are runs of code points other than ASCII white space. A text of fewer than ``width`` words
     is one shingle. Null, empty and blank texts link with nothing: class_id is their own doc_id.
     Equal rows are copies of each other. A null doc_id counts as the smallest and comes back as null. Where a
-    doc_id repeats with other texts, each row has its own copies, and of the texts whose class it
-    represents one (of the smallest hash) takes part in links. An empty table gives an empty
+    doc_id repeats with other texts, each row has its own copies and links. An empty table gives an empty
     result; other columns are not read.
     """
     found = cut(features(docs, width))
@@ -295,19 +293,23 @@ def jaccard_groups(docs: DataFrame, threshold: float = 0.8, width: int = 5, tole
     linked = cut(_linked(docs, reps, threshold, tolerance, width))
     links = linked.groupBy("rep").agg(F.sum("links").alias("n_links"))
     roots = components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
-    linked_to = links.join(roots, "rep", "left").withColumn("lead", F.lit(True))
-    info = reps.select("fp1", "fp2", "rep", "lead", "n_copies").join(linked_to, ["rep", "lead"], "left").filter("n_copies > 1 OR n_links > 0")
+    ids = reps.select("rep", "id", "rk")
+    classes = roots.join(ids, "rep").groupBy("root").agg(F.min(F.struct("id", "rk")).alias("class"))
+    linked_to = links.join(roots.join(classes, "root").select("rep", "class"), "rep", "left")
+    copies = reps.select("fp1", "fp2", "rep", F.struct("id", "rk").alias("copy"), "n_copies")
+    info = copies.join(linked_to, "rep", "left").filter("n_copies > 1 OR n_links > 0")
     out = found.select("id", "rk", "fp1", "fp2", F.col("sig").isNull().alias("blank")).join(info.withColumn("blank", F.lit(False)), ["fp1", "fp2", "blank"], "left")
     real = lambda c: F.nullif(c, F.lit(NO_ID))
     return out.select(
         real(F.col("id")).alias("doc_id"),
-        real(F.coalesce("root", "rep", "id")).alias("class_id"),
-        real(F.coalesce("rep", "id")).alias("copy_of"),
+        real(F.coalesce("class.id", "copy.id", "id")).alias("class_id"),
+        real(F.coalesce("copy.id", "id")).alias("copy_of"),
         F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         "rk",
+        F.coalesce("class.rk", "copy.rk", "rk").alias("class_rk"),
     )
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_groups(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("rk")
+    return jaccard_groups(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("rk", "class_rk")

@@ -36,14 +36,15 @@ def line_dedup_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that of the smallest doc_id, and of equal rows one."""
     groups = ngram_join.jaccard_groups(docs)
-    drop = groups.filter(~F.col("doc_id").eqNullSafe(F.col("class_id")))
-    # equal rows, or one doc_id with more texts of one class: of rows (class_id, class_id) one stays
-    same = groups.filter(F.col("doc_id").eqNullSafe(F.col("class_id")) & ((F.col("n_copies") > 1) | (F.col("n_links") > 0)))
-    same = same.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("rk").alias("first")).filter("n > 1")
+    first = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("rk") == F.col("class_rk"))
+    drop = groups.filter(~first)
+    # a doc_id (null too) can repeat over classes, so a row's hash tells which it is; of equal rows one stays
+    same = groups.filter(first & ((F.col("n_copies") > 1) | (F.col("n_links") > 0)))
+    same = same.groupBy("doc_id", F.col("rk").alias("first")).agg(F.count("*").alias("n")).filter("n > 1")
     out = _without(docs, drop.select("doc_id", "rk"), "text")
     out = _key(out, "text")
-    out = out.join(F.broadcast(same) if same.count() <= 100_000 else same, out["__id"].eqNullSafe(same["doc_id"]), "left").select(*[out[c] for c in out.columns], "n", "first")
-    one = out.filter("n > 1 AND __key = first").withColumn("__n", F.row_number().over(Window.partitionBy("__id").orderBy("__key"))).filter("__n = 1")
+    out = out.join(F.broadcast(same) if same.count() <= 100_000 else same, out["__id"].eqNullSafe(same["doc_id"]) & (out["__key"] == same["first"]), "left").select(*[out[c] for c in out.columns], "n")
+    one = out.filter("n > 1").withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__key").orderBy("__key"))).filter("__n = 1")
     return out.filter("n IS NULL").select(*docs.columns).unionAll(one.select(*docs.columns))
 
 
