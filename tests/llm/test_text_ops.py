@@ -226,6 +226,15 @@ def test_decontamination_finds_copies_in_any_case(spark):
     assert all(r.coverage == 1.0 and r.verbatim for r in got.values())
 
 
+def test_short_items_leak_inside_longer_documents(spark):
+    rng = random.Random(5)
+    around = lambda text: prose(rng, 30) + ". " + text + " " + prose(rng, 30)
+    items = [(1, "Which river crosses Verona?"), (2, "solve 12 + 30 quickly now"), (3, "name the third planet of our sun")]
+    docs = [(k, around(t)) for k, t in items] + [(10 + k, around(t.upper())) for k, t in items] + [(20, around("name the fourth planet of our sun")), (21, "which river")]
+    got = {(r.doc_id, r.item_id): r.coverage for r in leaks(spark, frame(spark, docs), items)}
+    assert got == {(k + d, k): 1.0 for k in (1, 2, 3) for d in (0, 10)}
+
+
 def test_slots_must_agree(spark):
     item = "Then Ann met Bob before Ann gave Bob the red book that Ann had kept for Bob since Ann saw Bob there."
     same = item.replace("Ann", "Eve").replace("Bob", "Dan")
