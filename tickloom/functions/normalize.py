@@ -26,7 +26,9 @@ ALIASES = {
     "trades": ["trades", "negocios", "numero de negocios", "n negocios"],
 }
 NUMBER = "decimal(28,8)"
-TIME_FORMATS = ["dd/MM/yyyy HH:mm:ss.SSSSSS", "dd/MM/yyyy HH:mm:ss.SSS", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "dd/MM/yy HH:mm:ss.SSS", "dd/MM/yy HH:mm:ss", "dd/MM/yy HH:mm", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss"]
+#: Day first with a year of four or two digits, or year first; hours and minutes, and seconds with a fraction.
+DAY_FIRST = r"^\d{1,2}/\d{1,2}/(\d{4}|\d{2}) +\d{1,2}:\d{1,2}(:\d{1,2}([.,]\d{1,6})?)?$"
+YEAR_FIRST = r"^\d{4}-\d{1,2}-\d{1,2}[T ]+\d{1,2}:\d{1,2}:\d{1,2}([.,]\d{1,6})?$"
 
 
 def header(name: str) -> str:
@@ -66,16 +68,24 @@ def brazilian_number(c: Column) -> Column:
     return _as_number(F.replace(F.replace(F.replace(F.trim(c), F.lit(" "), F.lit("")), F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
 
 
+def _wall_clock(value: Column) -> Column:
+    """The parts of a time put together; no session time zone takes part, so no hour is skipped or doubled."""
+    parts = F.split(value, r"[/ :.,T-]+")
+    part = lambda k: F.try_element_at(parts, F.lit(k)).try_cast("int")
+    year = lambda k: F.when(F.length(F.try_element_at(parts, F.lit(k))) > 2, part(k)).otherwise(part(k) + F.when(part(k) < 69, 2000).otherwise(1900))
+    fraction = F.rpad(F.coalesce(F.try_element_at(parts, F.lit(7)), F.lit("0")), 6, "0")
+    seconds = (F.coalesce(part(6), F.lit(0)) + fraction.try_cast("int") / F.lit(1_000_000)).cast("decimal(16,6)")
+    day_first, year_first = value.rlike(DAY_FIRST), value.rlike(YEAR_FIRST)
+    make = lambda y, m, d: F.try_make_timestamp_ntz(y, m, d, part(4), part(5), seconds)
+    return F.when(day_first, make(year(3), part(2), part(1))).when(year_first, make(part(1), part(2), part(3))).when(value.rlike(r"^\d{4}-\d{2}-\d{2}([T ]|$)"), value.try_cast("timestamp_ntz"))
+
+
 def timestamp(whole: Column | None, day: Column | None = None, time: Column | None = None) -> Column:
-    """Wall-clock time: ISO first, then the known formats; null if none fits."""
-    tries = []
-    for value in ([whole] if whole is not None else []) + ([F.concat_ws(" ", F.trim(day), F.trim(time))] if day is not None and time is not None else []):
-        value = F.regexp_replace(F.trim(value), r",(\d+)$", r".$1")
-        tries.append(F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}[T ]"), value.try_cast("timestamp_ntz")))
-        for f in TIME_FORMATS:
-            # of the same length as the format: a year of two digits must not be read as one of four
-            tries.append(F.when(F.length(value) == len(f), F.try_to_timestamp(value, F.lit(f)).cast("timestamp_ntz")))
-    return F.coalesce(*tries)
+    """Wall-clock time of one text, or else of a day and a time of day; null if neither is one."""
+    tries = [_wall_clock(F.trim(whole))] if whole is not None else []
+    if day is not None and time is not None:
+        tries.append(_wall_clock(F.concat(F.trim(day), F.lit(" "), F.trim(time))))
+    return F.coalesce(*tries) if tries else F.lit(None).cast("timestamp_ntz")
 
 
 def aggressor(c: Column) -> Column:
@@ -91,6 +101,11 @@ def to_ticks(price: Column, tick: float) -> Column:
     return F.when(F.abs(ratio - ticks) <= 1e-6, ticks.cast("long"))
 
 
+def to_price(ticks: Column, tick: float) -> Column:
+    """The price of a number of ticks, rounded to 10 places."""
+    return F.round(ticks.cast("double") * F.lit(float(tick)), 10)
+
+
 def whole_number(c: Column, number=generic_number) -> Column:
     n = number(c)
     return F.when((n >= 0) & (n == F.floor(n)), n.cast("long"))

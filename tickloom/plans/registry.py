@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import aggression, candles, dna, efficiency, interpret, quality, reconcile, research, simulate, trajectory, transitions, validation, waves
 from ..sources import csv_trades, driver_tables, store
+from ..sources.scratch import shared_folder
+from ..schema import is_rlp, micros
 from .sql import N, sql
 
 HORIZONS = [1, 3, 5]
@@ -276,3 +279,24 @@ add(
     f"symbol; sequence_no=seq; aggressor=CASE WHEN {FIRST} AND q < 8 THEN 'NONE' ELSE side END; buyer_id=CASE WHEN {FIRST} AND q < 8 THEN '' ELSE buyer END; change=CASE WHEN session_date > date '2024-01-18' THEN 'inserted' WHEN {BOTH} AND q < 8 AND (side <> 'NONE' OR buyer <> '' OR rlp) THEN 'enriched' ELSE 'kept' END",
     "FROM t",
 )
+
+
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trades written as headerless CSV and read again."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    store.export_csv(driver_tables.trades(spark, sf_dir), path, driver_tables.TICK, trade_ids=True)
+    t = csv_trades.trades_or_error(csv_trades.read_trades(spark, path, tick_size=driver_tables.TICK))
+    return t.select("symbol", micros(t).alias("us"), "session_date", "price_ticks", "quantity", "trade_id", "aggressor", "buyer_id", "seller_id", F.coalesce(is_rlp(), F.lit(False)).alias("rlp"))
+
+
+QUERIES["csv_roundtrip"] = csv_roundtrip
+SQL["csv_roundtrip"] = sql("SELECT symbol, us, session_date, p AS price_ticks, q AS quantity, CAST(seq AS VARCHAR) AS trade_id, side AS aggressor, nullif(buyer, '') AS buyer_id, nullif(seller, '') AS seller_id, rlp FROM t")
+TURNS = "(SELECT count(*) FILTER (WHERE us > b) AS up, count(*) FILTER (WHERE us < b) AS dn FROM (SELECT us, lag(us) OVER (ORDER BY seq) AS b FROM t))"
+add("source_probe", lambda t, r: csv_trades.source_probe(t, order="sequence_no"), "rows; symbols; symbol; source_order; problem='more than one symbol'", f"FROM (SELECT count(*) AS rows, count(DISTINCT symbol) AS symbols, min(symbol) AS symbol FROM t), LATERAL (SELECT CASE WHEN dn > 0 AND up = 0 THEN 'DESCENDING' WHEN dn = 0 AND up > 0 THEN 'ASCENDING' WHEN dn = 0 THEN 'SAME_TIMESTAMP' ELSE 'MIXED' END AS source_order FROM {TURNS})")
+add(
+    "locate_candles",
+    lambda t, r: csv_trades.locate_candles(csv_trades.minute_index(t, 1, "sequence_no"), r, N),
+    "symbol; start; first_row; last_row; open_row; close_row; trades; status",
+    "FROM (SELECT refs.symbol, refs.start, min(seq) AS first_row, max(seq) AS last_row, arg_min(seq, (us, seq)) AS open_row, arg_max(seq, (us, seq)) AS close_row, count(seq) AS trades, CASE WHEN count(seq) > 0 THEN 'FOUND' ELSE 'NO_TRADES' END AS status FROM refs LEFT JOIN t ON t.symbol = refs.symbol AND t.start = refs.start GROUP BY ALL)",
+)
+add("locate_interval", lambda t, r: csv_trades.locate_interval(csv_trades.minute_index(t, 1, "sequence_no"), 1_705_312_800, 1_705_399_200), "symbol; first_row; last_row; open_row; close_row; trades; minutes", "FROM (SELECT symbol, min(seq) AS first_row, max(seq) AS last_row, arg_min(seq, (us, seq)) AS open_row, arg_max(seq, (us, seq)) AS close_row, count(*) AS trades, count(DISTINCT us // 60000000) AS minutes FROM t WHERE us >= 1705312800000000 AND us < 1705399200000000 GROUP BY symbol)")

@@ -1,12 +1,13 @@
 """CSV exports of trades and of reference candles, read and checked in parallel.
 
-Only the first lines are looked at on the driver (encoding, delimiter, layout). Lines keep their file
-order by block and place in the block, from which a dense line number is made without sorting the file.
+Files are read as lines, which are numbered by block and place in the block, without sorting a file: so blank lines
+count and every line is decoded by the file's own encoding. Only the first lines are looked at on the driver (separator, layout).
 """
 
 from __future__ import annotations
 
 import csv
+import re
 from collections import Counter
 from dataclasses import dataclass
 from hashlib import sha256
@@ -14,22 +15,31 @@ from hashlib import sha256
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import normalize as N
-from ..schema import REFERENCES
+from ..schema import REFERENCES, order_key, with_start
 
 PROBE_LINES = 50
 WIDTH = 32
+#: The columns of the exports without a header, and their words for the aggressor's side.
 HEADERLESS = {8: ["symbol", "date", "time", "buyer", "price", "quantity", "seller", "aggressor"], 9: ["symbol", "date", "time", "trade_id", "buyer", "price", "quantity", "seller", "aggressor"]}
 SIDES = {"comprador", "vendedor", "rlp", "indefinido", "undefined", ""}
 PROFIT_FIELDS = {"aggressor", "buyer", "seller", "trade_id"}
+#: Windows-1252 is ISO-8859-1 but for these bytes; the other five from 0x80 to 0x9F it doesn't have.
+_NO_CP1252 = (0x81, 0x8D, 0x8F, 0x90, 0x9D)
+_CP1252 = bytes(k for k in range(0x80, 0xA0) if k not in _NO_CP1252)
+#: Lines are compared with their predecessors in parts of so many lines, and then over the parts' borders.
+PART_LINES = 1_000_000
 
 
 @dataclass(frozen=True)
 class Layout:
     encoding: str
     separator: str
-    fields: dict[str, int]
+    #: Each field's columns, the preferred alias first.
+    fields: dict[str, tuple[int, ...]]
     header_line: int
     profit: bool
+    #: Number of columns of a layout without a header, or 0.
+    columns: int = 0
 
     @property
     def data_line(self) -> int:
@@ -46,76 +56,123 @@ def _separator(lines: list[str]) -> str:
     return max(",;\t|", key=fit)
 
 
+def _bytes_as_text(c: Column) -> Column:
+    return F.decode(c.cast("binary"), "ISO-8859-1")
+
+
+def encoding(spark: SparkSession, path: str) -> str:
+    """UTF-8 if all lines of the file are, else cp1252 if it has all their bytes, else ISO-8859-1."""
+    gaps = "[" + "".join(map(chr, _NO_CP1252)) + "]"
+    r = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(_bytes_as_text(F.col("value")).rlike(gaps)).alias("gaps")).first()
+    return "UTF-8" if r["utf8"] is not False else "ISO-8859-1" if r["gaps"] else "cp1252"
+
+
+def _decoded(encoding_: str) -> Column:
+    if encoding_ == "UTF-8":
+        return F.regexp_replace("value", "^﻿", "")
+    text = _bytes_as_text(F.col("value"))
+    return F.translate(text, _CP1252.decode("latin-1"), _CP1252.decode("cp1252")) if encoding_ == "cp1252" else text
+
+
+def _known_side(row: list[str], at: dict[str, int]) -> bool:
+    return row[at["aggressor"]].strip().lower() in SIDES and row[at["date"]].count("/") == 2 and row[at["time"]].count(":") == 2
+
+
 def probe(spark: SparkSession, path: str, needed: tuple[str, ...] = ("price", "quantity")) -> Layout:
-    """Layout from the first 50 lines: a header anywhere in them, or 8 or 9 columns without one."""
-    lines = [r["value"] for r in spark.read.text(path).limit(PROBE_LINES).collect()]
-    encoding = "ISO-8859-1" if any("�" in x for x in lines) else "UTF-8"
-    if encoding != "UTF-8":
-        rows = spark.read.option("encoding", encoding).option("sep", "\x01").csv(path, schema="value string").limit(PROBE_LINES).collect()
-        lines = [r["value"] or "" for r in rows]
-    text = "\n".join(lines).lstrip("﻿")
-    separator = _separator(text.split("\n"))
-    for k, row in enumerate(csv.reader(text.split("\n"), delimiter=separator), start=1):
+    """Layout from the first 50 physical lines: a header anywhere in them, or 8 or 9 columns without one."""
+    found = encoding(spark, path)
+    lines = [r["text"] for r in spark.read.text(path).select(_decoded(found).alias("text")).limit(PROBE_LINES).collect()]
+    separator = _separator(lines)
+    for k, line in enumerate(lines, start=1):
+        row = next(csv.reader([line], delimiter=separator), [])
         names = [N.header(x) for x in row]
-        fields = {}
-        for field, aliases in N.ALIASES.items():
-            found = [names.index(a) for a in aliases if a in names]
-            if found:
-                fields[field] = found[0]
+        fields = {f: tuple(names.index(a) for a in aliases if a in names) for f, aliases in N.ALIASES.items()}
+        fields = {f: at for f, at in fields.items() if at}
         if all(f in fields for f in needed) and ("timestamp" in fields or "date" in fields):
-            return Layout(encoding, separator, fields, k, bool(PROFIT_FIELDS & set(fields)))
+            return Layout(found, separator, fields, k, bool(PROFIT_FIELDS & set(fields)))
         if len(row) in HEADERLESS and needed == ("price", "quantity"):
-            names_ = HEADERLESS[len(row)]
-            at = {n: i for i, n in enumerate(names_)}
-            if row[at["aggressor"]].strip().lower() in SIDES and row[at["date"]].count("/") == 2 and row[at["time"]].count(":") == 2:
-                return Layout(encoding, separator, at, k - 1, True)
+            at = {n: i for i, n in enumerate(HEADERLESS[len(row)])}
+            if _known_side(row, at):
+                return Layout(found, separator, {n: (i,) for n, i in at.items()}, k - 1, True, len(row))
     raise ValueError("no known layout in the first lines")
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """``value``, a line's bytes, and ``source_row``, its number in its file."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")).withColumn("_place", F.monotonically_increasing_id())
+    lines = lines.withColumn("_n", F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_place")))
+    sizes = lines.groupBy("_file", "_block").agg(F.max("_n").alias("_size"))  # a row for each block
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lines.join(sizes.withColumn("_before", before).drop("_size"), ["_file", "_block"]).select("value", (F.col("_before") + F.col("_n")).alias("source_row"))
+
+
 def numbered(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
-    """``_c0 ..`` as strings and ``source_row``, the number of the physical line."""
+    """``_c0 ..`` as strings, ``_n_cells``, and ``source_row``, the number of the physical line. Lines of blank cells are left out.
+
+    A quoted cell can hold the separator, but no line end.
+    """
+    lines = _lines(spark, path).select(_decoded(layout.encoding).alias("_text"), "source_row")
+    some = f'[^\\s"{re.escape(layout.separator)}]'
+    lines = lines.filter(F.col("source_row") > layout.header_line).filter(F.col("_text").rlike(some))
+    outside = F.regexp_replace("_text", '"[^"]*"', "")
+    cells = F.length(outside) - F.length(F.replace(outside, F.lit(layout.separator), F.lit(""))) + 1
     schema = ", ".join(f"_c{k} string" for k in range(WIDTH))
-    raw = spark.read.option("encoding", layout.encoding).option("sep", layout.separator).option("mode", "PERMISSIVE").csv(path, schema=schema)
-    raw = raw.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block")).withColumn("_place", F.monotonically_increasing_id())
-    raw = raw.withColumn("_n", F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_place")))
-    sizes = raw.groupBy("_file", "_block").agg(F.count("*").alias("_size"))
-    before = F.coalesce(F.sum("_size").over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return raw.join(sizes.withColumn("_before", before), ["_file", "_block"]).withColumn("source_row", F.col("_before") + F.col("_n")).filter(F.col("source_row") > layout.header_line)
+    return lines.select("source_row", cells.alias("_n_cells"), F.from_csv("_text", schema, {"sep": layout.separator}).alias("_row")).select("source_row", "_n_cells", "_row.*")
 
 
 def fingerprint(spark: SparkSession, path: str) -> str:
-    """Identity of a file's content, whatever its name: hash of its number of lines and of sums over their hashes and places."""
-    lines = spark.read.text(path).withColumn("h", F.xxhash64("value"))
-    wide = "decimal(38,0)"
-    r = lines.agg(F.count("*"), F.sum(F.col("h").cast(wide)), F.sum(F.xxhash64("value", F.lit("second")).cast(wide)), F.sum(F.length("value"))).first()
+    """Identity of a file's content, whatever its name: hash of its number of lines and of two sums of hashes of lines with their numbers."""
+    lines = _lines(spark, path).select(F.length("value").alias("n"), *[F.xxhash64(F.lit(k), "value", "source_row").cast("decimal(38,0)").alias(f"h{k}") for k in range(2)])
+    r = lines.agg(F.count("*"), F.sum("n"), F.sum("h0"), F.sum("h1")).first()
     return sha256(":".join(map(str, r)).encode()).hexdigest()
 
 
 def _field(layout: Layout, name: str) -> Column | None:
-    return N.blank_to_null(F.col(f"_c{layout.fields[name]}")) if name in layout.fields else None
+    """A row's first cell that isn't blank, of the columns that stand for a field."""
+    return F.coalesce(*[N.blank_to_null(F.col(f"_c{k}")) for k in layout.fields[name]]) if name in layout.fields else None
+
+
+def _turns(trades: DataFrame, by: list[str], order: str) -> DataFrame:
+    """``by``, up, down, first, last: rows whose time is later or earlier than that of the row before, and the ends of ``order``. Parts of the rows are
+    compared on their own, and then the parts' borders, so that no task sorts all rows of a key."""
+    c = F.col
+    t = trades.filter("ts IS NOT NULL").select(*by, order, "ts", F.floor(c(order) / PART_LINES).alias("_part"))
+    t = t.withColumn("_before", F.lag("ts").over(Window.partitionBy(*by, "_part").orderBy(order)))
+    parts = t.groupBy(*by, "_part").agg(F.count_if(c("ts") > c("_before")).alias("up"), F.count_if(c("ts") < c("_before")).alias("down"), F.min_by("ts", order).alias("a"), F.max_by("ts", order).alias("b"), F.min(order).alias("first"), F.max(order).alias("last"))
+    parts = parts.withColumn("_before", F.lag("b").over(Window.partitionBy(*by).orderBy("_part")))  # a row for each part
+    return parts.groupBy(*by).agg((F.sum("up") + F.count_if(c("a") > c("_before"))).alias("up"), (F.sum("down") + F.count_if(c("a") < c("_before"))).alias("down"), F.min("first").alias("first"), F.max("last").alias("last"))
+
+
+def _source_order() -> Column:
+    up, down = F.coalesce("up", F.lit(0)), F.coalesce("down", F.lit(0))
+    return F.when((down > 0) & (up == 0), "DESCENDING").when((up > 0) & (down == 0), "ASCENDING").when((up == 0) & (down == 0), "SAME_TIMESTAMP").otherwise("MIXED")
 
 
-def read_trades(spark: SparkSession, path: str, *, tick_size: float, symbol: str | None = None, source: str = "csv") -> DataFrame:
+def read_trades(spark: SparkSession, path: str, *, tick_size: float, symbol: str | None = None, source: str = "csv", strict: bool = False) -> DataFrame:
     """Trades and what is wrong with a line in ``problem`` (null if nothing).
 
     A file in descending order is turned round: ``sequence_no`` counts the lines from its end. Equal
-    lines are separate trades. ``flags`` keeps the side as written, so that RLP stays distinct.
+    lines are separate trades. ``flags`` keeps the side as written, so that RLP stays distinct. ``strict`` is the rule of bulk
+    loads: lines have the layout's number of columns and the given symbol, quantities are digits, and a dot in a price is a decimal one.
     """
     if tick_size <= 0:
         raise ValueError("tick_size must be positive")
     layout = probe(spark, path)
     get = lambda n: _field(layout, n)
     text = lambda n: F.lit(None).cast("string") if get(n) is None else get(n)
-    number = N.profit_number if layout.profit else N.generic_number
+    number = N.profit_number if layout.profit and not strict else N.generic_number
     rows = numbered(spark, path, layout)
     given = F.lit(symbol.strip().upper() if symbol else None).cast("string")
+    own = F.upper(text("symbol"))
     quantity = N.whole_number(get("quantity"))
     t = rows.select(
         "source_row",
-        F.coalesce(given, F.upper(text("symbol"))).alias("symbol"),
+        "_n_cells",
+        own.alias("_own"),
+        F.coalesce(given, own).alias("symbol"),
         N.timestamp(get("timestamp"), get("date"), get("time")).alias("ts"),
         N.to_ticks(number(get("price")), tick_size).alias("price_ticks"),
-        F.when(quantity > 0, quantity).alias("quantity"),
+        F.when((quantity > 0) & (get("quantity").rlike(r"^[+]?\d+$") | F.lit(not strict)), quantity).alias("quantity"),
         text("trade_id").alias("trade_id"),
         N.aggressor(text("aggressor")).alias("aggressor"),
         F.lit(source).alias("source"),
@@ -124,10 +181,15 @@ def read_trades(spark: SparkSession, path: str, *, tick_size: float, symbol: str
         F.when(text("aggressor").isNotNull(), F.concat(F.lit("raw_aggressor="), F.upper(text("aggressor")))).alias("flags"),
     )
     problem = F.when(F.col("symbol").isNull(), "no symbol").when(F.col("ts").isNull(), "no time").when(F.col("price_ticks").isNull(), "price is no multiple of the tick").when(F.col("quantity").isNull(), "quantity is no positive integer")
-    t = t.withColumns({"problem": problem, "session_date": F.col("ts").cast("date")})
-    last = t.agg(F.min_by("ts", "source_row").alias("a"), F.max_by("ts", "source_row").alias("b"), F.max("source_row").alias("n"), F.min("source_row").alias("m")).first()
-    descending = last["a"] is not None and last["b"] < last["a"]
-    place = F.lit(last["n"] or 0) - F.col("source_row") + 1 if descending else F.col("source_row") - F.lit((last["m"] or 1) - 1)
+    if strict:
+        cells = F.col("_n_cells") != F.lit(layout.columns) if layout.columns else F.lit(False)
+        other = F.coalesce(F.col("_own") != given, F.lit(False))
+        problem = F.when(cells, "wrong number of columns").when(other, "another symbol").otherwise(problem)
+    # an expression that isn't deterministic keeps later filters above this step, so that no check runs on lines that are left out
+    problem = F.when(F.monotonically_increasing_id() < 0, F.lit("")).otherwise(problem)
+    t = t.withColumns({"problem": problem, "session_date": F.col("ts").cast("date")}).drop("_own", "_n_cells")
+    r = _turns(t, [], "source_row").select("first", "last", _source_order().alias("order")).first()  # one row
+    place = F.lit(r["last"]) - F.col("source_row") + 1 if r["order"] == "DESCENDING" else F.col("source_row") - F.lit((r["first"] or 1) - 1)
     return t.withColumn("sequence_no", place.cast("long"))
 
 
@@ -137,15 +199,30 @@ def trades_or_error(trades: DataFrame) -> DataFrame:
     return trades.filter(ok.isNull()).drop("problem")
 
 
+def source_probe(trades: DataFrame, symbol: str | None = None, order: str = "source_row") -> DataFrame:
+    """One row: rows, symbols, symbol, times, source_order and the ``problem`` that forbids slices of the source, or null:
+    it must have trades of one symbol, the given one if any, in rising or falling order of time."""
+    c = F.col
+    t = trades.filter("ts IS NOT NULL")
+    g = t.agg(F.count("*").alias("rows"), F.count_distinct("symbol").alias("symbols"), F.min("symbol").alias("symbol"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    g = g.crossJoin(F.broadcast(_turns(t, [], order))).withColumn("source_order", _source_order())  # one row each
+    given = F.lit(symbol.strip().upper() if symbol else None).cast("string")
+    problem = F.when(c("rows") == 0, "no trade with a time").when(c("symbols") > 1, "more than one symbol").when(F.coalesce(c("symbol"), given).isNull(), "no symbol").when(c("symbol") != given, "another symbol")
+    problem = problem.when(~c("source_order").isin("ASCENDING", "DESCENDING"), F.concat(F.lit("order is "), c("source_order")))
+    return g.select("rows", "symbols", F.coalesce(c("symbol"), given).alias("symbol"), "first_ts", "last_ts", "source_order", problem.alias("problem"))
+
+
 def read_references(spark: SparkSession, path: str, *, tick_size: float, interval: int, symbol: str | None = None, source: str = "reference_csv") -> DataFrame:
     """Reference candles. In the formatted export (volume as money beside quantity) prices and numbers are Brazilian."""
     layout = probe(spark, path, ("open", "high", "low", "close"))
     rows = numbered(spark, path, layout)
     names = layout.fields
-    formatted = "quantity" in names and names.get("volume") == names["quantity"] and "trades" not in names
+    formatted = "quantity" in names and names.get("volume", (-1,))[0] in names["quantity"] and "trades" not in names
+    if formatted:
+        names["volume"] = names["volume"][:1]  # the other is money
     number = N.brazilian_number if formatted else N.generic_number
     get = lambda n: _field(layout, n)
-    time = get("time") if "time" in names else F.lit("00:00:00")
+    time = F.coalesce(get("time"), F.lit("00:00:00")) if "time" in names else F.lit("00:00:00")
     start = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
     ticks = [N.to_ticks(number(get(c)), tick_size).alias(f"{c}_ticks") for c in ("open", "high", "low", "close")]
     count = lambda n: N.whole_number(get(n), number) if n in names else F.lit(None).cast("long")
@@ -161,24 +238,41 @@ def read_references(spark: SparkSession, path: str, *, tick_size: float, interva
 def import_diagnostics(trades: DataFrame, order: str = "source_row") -> DataFrame:
     """One row for each symbol: rows, source order with its inversions, known sides and agents, repeated trade ids."""
     c = F.col
-    w = Window.partitionBy("symbol").orderBy(order)
-    t = trades.withColumn("before", F.lag("ts").over(w))
     twice = trades.filter("trade_id IS NOT NULL").groupBy("symbol", "session_date", "trade_id").agg(F.count("*").alias("n")).groupBy("symbol").agg(F.sum(c("n") - 1).alias("repeated_trade_ids"))
-    g = t.groupBy("symbol").agg(
+    g = trades.groupBy("symbol").agg(
         F.count("*").alias("rows"),
-        F.count_if(c("ts") > c("before")).alias("up"),
-        F.count_if(c("ts") < c("before")).alias("down"),
         F.count_if(c("aggressor").isin("BUY", "SELL")).alias("known"),
         F.count_if((F.coalesce(F.trim("buyer_id"), F.lit("")) != "") & (F.coalesce(F.trim("seller_id"), F.lit("")) != "")).alias("agents"),
         F.count_if(c("flags").contains("RLP")).alias("rlp"),
     )
-    kind = F.when((c("down") > 0) & (c("up") == 0), "DESCENDING").when((c("up") > 0) & (c("down") == 0), "ASCENDING").when((c("up") == 0) & (c("down") == 0), "SAME_TIMESTAMP").otherwise("MIXED")
-    return g.join(twice, "symbol", "left").select("symbol", "rows", kind.alias("source_order"), c("down").alias("inversions"), F.coalesce("repeated_trade_ids", F.lit(0)).alias("repeated_trade_ids"), (c("known") / c("rows")).alias("known_share"), (c("agents") / c("rows")).alias("agents_share"), "rlp")
+    g = g.join(_turns(trades, ["symbol"], order), "symbol", "left").join(twice, "symbol", "left")
+    return g.select("symbol", "rows", _source_order().alias("source_order"), F.coalesce("down", F.lit(0)).alias("inversions"), F.coalesce("repeated_trade_ids", F.lit(0)).alias("repeated_trade_ids"), (c("known") / c("rows")).alias("known_share"), (c("agents") / c("rows")).alias("agents_share"), "rlp")
 
 
 def minute_index(trades: DataFrame, minutes: int = 1, row: str = "source_row") -> DataFrame:
     """First and last line, trades, and the lines of the opening and closing trade of each minute (or M2, M5, M15)."""
-    from ..schema import order_key, with_start
-
     key = order_key()
     return with_start(trades, 60 * minutes).groupBy("symbol", "start").agg(F.min(row).alias("first_row"), F.max(row).alias("last_row"), F.count("*").alias("trades"), F.min_by(row, key).alias("open_row"), F.max_by(row, key).alias("close_row"))
+
+
+def _located() -> list[Column]:
+    traded = F.when(F.col("trades") > 0, F.col("minute"))
+    return [F.min("first_row").alias("first_row"), F.max("last_row").alias("last_row"), F.min_by("open_row", traded).alias("open_row"), F.max_by("close_row", traded).alias("close_row"), F.coalesce(F.sum("trades"), F.lit(0)).alias("trades"), F.count("trades").alias("minutes")]
+
+
+def locate_interval(index: DataFrame, start: int, end: int) -> DataFrame:
+    """Each symbol's lines in [start, end) (seconds, whole minutes), from a minute index."""
+    if end <= start or start % 60 or end % 60:
+        raise ValueError("the interval must be of whole minutes, and its end after its start")
+    found = index.filter((F.col("start") >= start) & (F.col("start") < end)).withColumnRenamed("start", "minute")
+    return found.groupBy("symbol").agg(*_located()).select("symbol", F.lit(start).cast("long").alias("start"), F.lit(end).cast("long").alias("end"), "first_row", "last_row", "open_row", "close_row", "trades", "minutes")
+
+
+def locate_candles(index: DataFrame, candles: DataFrame, interval: int) -> DataFrame:
+    """The lines of each of ``candles`` (symbol, start), from a minute index; status FOUND or NO_TRADES."""
+    if interval <= 0 or interval % 60:
+        raise ValueError("the interval must be of whole minutes")
+    # a candle is joined by its minutes: an equality, where an overlap of intervals would be a loop over all pairs
+    wanted = candles.select("symbol", "start").distinct().withColumn("minute", F.explode(F.sequence(F.col("start"), F.col("start") + interval - 60, F.lit(60))))
+    found = wanted.join(index.withColumnRenamed("start", "minute"), ["symbol", "minute"], "left").groupBy("symbol", "start").agg(*_located())
+    return found.withColumn("status", F.when(F.col("minutes") > 0, "FOUND").otherwise("NO_TRADES"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..schema import CANDLE, order_key
 from ..operators.waves import RULES, WaveRules, WaveState
+from ..sources.store import Store
 
 
 def streaming_candles(trades: DataFrame, interval: int, late: str = "5 minutes") -> DataFrame:
@@ -63,6 +64,11 @@ def streaming_waves(trades: DataFrame, interval: int, rules: WaveRules = RULES)
     return t.groupBy(*CANDLE).applyInPandasWithState(step, out, state, "append", "EventTimeTimeout")
 
 
-def ingest(stream: DataFrame, store_path: str, checkpoint: str):
-    """Resumable load of new files into a Parquet folder: each micro-batch is one commit, and a restart goes on where it stopped."""
-    return stream.writeStream.format("parquet").option("path", store_path).option("checkpointLocation", checkpoint).partitionBy("symbol", "session_date").trigger(availableNow=True).start()
+def ingest(stream: DataFrame, store: Store, checkpoint: str):
+    """Resumable load of a stream of trades into the store. Each micro-batch adds the trades whose event_key isn't stored, so one that is
+    run again after a failure adds nothing twice, and a restart goes on where the checkpoint stands."""
+
+    def add(batch: DataFrame, _: int) -> None:
+        store.add_trades(batch)
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
