@@ -2,6 +2,7 @@
 
 import json
 import random
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,6 +148,87 @@ def test_html_frame(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+LONG = [f"Paragraph {k} of the text, with commas, and more, and enough words in it to score three points or more, as it has over one hundred letters." for k in range(4)]
+BODY, WHOLE = "".join(f"<p>{x}</p>" for x in LONG), " ".join(LONG)
+TALK = "".join(f"<p>I think, therefore, I comment, a lot, here, now, and for very long, until nobody, at all, can read it, ever, and so on {k}.</p>" for k in range(8))
+
+
+@pytest.mark.parametrize(
+    "page,before,after",
+    [
+        (f'<div id=content>{BODY}</div><div class="comment-body">{TALK}</div>', "", ""),
+        (f"<article>{BODY}<div class='comment-body'>{TALK}</div></article>", "", ""),
+        (f"<div class='main-nav'>Home, sweet, home, and, so, on</div><div class='cookie-text'>We, use, cookies, on, this</div><div class=post>{BODY}</div><div class='ad-content'>Buy, now, and, more</div>", "", ""),
+        (f"<p data-x=it's>first words here</p>{BODY}<p title=don't>last</p>", "first words here", "last"),
+        (f"<a href = \"x>y\">a</a><div title='a>b' data-y=\"it's\">{BODY}</div>", "", ""),
+        (f"<article>{BODY}<div class=remark>A short remark.</div><section><p>End.</p></section></article>", "", "A short remark. End."),
+        (f"<div id=page><div class=intro><p>Lead.</p></div><div class=body>{BODY}</div><div><p>Bye.</p></div></div><div>© 2024 Us. All rights reserved.</div>", "Lead.", "Bye."),
+        (f"<div class='content with-sidebar'>{BODY}</div><div class=sidebar>{TALK}</div>", "", ""),
+        (f"<div id=primary><article class='post-12 post category-ads tag-comments'>{BODY}</article><ol class=commentlist><li class=comment><article class='comment-body'>{TALK}</article></li></ol></div>", "", ""),
+        (f"<table><tr><td class=navbar>{TALK}</td><td>{BODY}</td></tr></table>", "", ""),
+        (f"<main>{BODY}<dl><dt>Term</dt><dd>Meaning</dd></dl><blockquote>Quote.</blockquote><pre>code  x</pre></main>", "", "Term Meaning Quote. code x"),
+        (f"<ul><li><a href=1>One page</a></li><li><a href=2>Two page</a></li></ul><div>{BODY}<ul><li><a href=3>Source</a> of it all, at length</li></ul></div>", "", "Source of it all, at length"),
+        (f"<div>{BODY}<figure><img src=x><figcaption>Cap.</figcaption></figure></div>", "", "Cap."),
+        (f"<div class=wrapper><h1>Head</h1><h2>A</h2>{BODY}<h2>B</h2><p>x</p></div>", "Head A", "B x"),
+        (f"<div role=navigation>{TALK}</div><div role=main>{BODY}</div><div role=contentinfo>{TALK}</div>", "", ""),
+        (f"<div class=mainNav>{TALK}</div><div>{BODY}</div><div id=siteFooter>{TALK}</div>", "", ""),
+    ],
+)
+def test_html_varied_markup(page, before, after):
+    assert html_extract.main_text(f"<html><body>{page}</body></html>") == " ".join(filter(None, (before, WHOLE, after)))
+
+
+class SlowText(HTMLParser):
+    """All text of a well-formed page by another parser: blocks joined by one space, scripts left out."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.skip = [""], 0
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.skip += tag in ("script", "style", "nav", "aside", "form")
+        if tag in html_extract.BLOCKS:
+            self.blocks.append("")
+        elif tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.skip -= tag in ("script", "style", "nav", "aside", "form")
+        if tag in html_extract.BLOCKS:
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.blocks[-1] += data
+
+    def text(self):
+        return " ".join(x for x in (" ".join(b.split()) for b in self.blocks) if x)
+
+
+def test_html_articles_against_another_parser():
+    rng = random.Random(6)
+    words = ["alpha", "beta,", "&amp;", "&eacute;t&#233;", "x&lt;y", "ﬁn", "don't", "<b>bold</b>", "<a href='u?a=1&b=2'>go</a>", "<br>", "<i class=it's>i</i>", "<!-- p> -->", "one  \n two"]
+    for _ in range(300):
+        inline = lambda n: " ".join(rng.choice(words) for _ in range(n))
+
+        def block(depth):
+            kind = rng.choice(["p", "h2", "blockquote", "div", "section", "ul", "table", "junk"] if depth < 3 else ["p"])
+            if kind == "junk":
+                return rng.choice([f"<nav>{inline(3)}</nav>", f"<script>var a = '<p>{rng.random()}</p>';</script>", "<style>p > b {}</style>", f"<aside><p>{inline(4)}</p></aside>", f"<form>{inline(2)}<input></form>"])
+            if kind in ("p", "h2", "blockquote"):
+                return f"<{kind}>{inline(rng.randrange(1, 12))}</{kind}>"
+            if kind == "ul":
+                return "<ul>" + "".join(f"<li>{inline(3)}</li>" for _ in range(3)) + "</ul>"
+            if kind == "table":
+                return "<table><tr>" + "".join(f"<td>{inline(2)}</td>" for _ in range(3)) + "</tr></table>"
+            return f"<{kind} data-k='{rng.random()}'>" + "".join(block(depth + 1) for _ in range(rng.randrange(1, 4))) + f"</{kind}>"
+
+        article = "<article>" + BODY + "".join(block(0) for _ in range(rng.randrange(6))) + "</article>"
+        assert html_extract.main_text(f"<html><head><title>t</title></head><body><nav>{TALK}</nav>{article}<footer>{TALK}</footer></body></html>") == SlowText(article).text()
+
+
 # ---- 7
 
 VOCABULARY = {"en": "the of and that with this from there which house water people thing", "de": "der die und das nicht mit haus wasser leute sich werden ein zwischen", "fr": "le la les des est dans avec maison eau monde pour qui cette", "es": "el los las una con para casa agua gente cuando porque donde esta"}

@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import by_batch, table
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Quotes hold an attribute's value only right behind its equals sign; elsewhere they are letters like others.
+VALUES = r"""=\s*"[^"]*"|=\s*'[^']*'|=\s*[^\s>"'][^\s>]*|[^>]"""
+TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:{VALUES})*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"""([^\s=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 SPACE = re.compile(r"\s+")
 #: Fixed names of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -28,9 +30,14 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 PARAGRAPHS = frozenset("p pre td blockquote dd li h1 h2 h3 h4 h5 h6".split())
 UNWANTED = frozenset("head nav header footer aside form button select option input dialog menu svg math canvas object audio video map".split()) | RAW
 CLOSES_P = BLOCKS - {"body", "html"}
-#: Words in class, id or role that mark what is no article.
-UNWANTED_WORDS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs byline comment comments cookie cookies consent disqus footer form header hidden masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related replies respond search share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget complementary contentinfo search".split())
-WANTED_WORDS = frozenset("article body content entry main post story text".split())
+#: Words in class, id or role that mark what is no article. They count in compounds too (comment-body, mainNav).
+UNWANTED_WORDS = frozenset("ad ads adsense advert advertisement adverts banner breadcrumb breadcrumbs byline comment comments commentlist complementary consent contentinfo cookie cookies disqus footer form header hidden masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related replies respond search share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget".split())
+#: A compound with one of these is about the page's layout or a filing of the article, not about the element: has-sidebar, category-ads.
+LAYOUT_WORDS = frozenset("has with without no category tag status type format".split())
+#: Of an article element only these words at a compound's start count: reader comments and adverts are articles too.
+UNWANTED_ARTICLES = frozenset("ad advert comment comments promo related reply replies sponsored".split())
+#: A block outside the article that starts so is a footer without a mark.
+COPYRIGHT = re.compile(r"(©|\(c\)|copyright\b)", re.I)
 
 
 @dataclass(eq=False)
@@ -43,9 +50,10 @@ class Node:
     chars: int = 0
     link_chars: int = 0
 
-    def words(self) -> set[str]:
+    def compounds(self) -> list[list[str]]:
+        """The words of each class, id and role."""
         found = " ".join(a or b or c for n, a, b, c in ATTRIBUTE.findall(self.attributes) if n.lower() in ("class", "id", "role"))
-        return set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", found).lower())) - {""}
+        return [[w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower()) if w] for x in found.split()]
 
     def hidden(self) -> bool:
         return bool(self.attributes) and any(n.lower() == "hidden" or n.lower() == "aria-hidden" and (a or b or c).lower() == "true" or n.lower() == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", (a or b or c).lower()) for n, a, b, c in ATTRIBUTE.findall(self.attributes))
@@ -54,10 +62,11 @@ class Node:
 def unwanted(node: Node) -> bool:
     if node.tag in UNWANTED or node.hidden():
         return True
-    if node.tag in ("html", "body", "article", "main") or not node.attributes:
+    if node.tag in ("html", "body", "main") or not node.attributes:
         return False
-    words = node.words()
-    return bool(words & UNWANTED_WORDS) and not words & WANTED_WORDS
+    if node.tag == "article":
+        return any(words and words[0] in UNWANTED_ARTICLES for words in node.compounds())
+    return any(not UNWANTED_WORDS.isdisjoint(words) and LAYOUT_WORDS.isdisjoint(words) for words in node.compounds())
 
 
 def parse(source: str) -> Node:
@@ -246,6 +255,8 @@ def best_container(root: Node) -> list[Node]:
             inline.append(c)
         else:
             flush()
+            if c is not whole and COPYRIGHT.match(SPACE.sub(" ", _flat(c)).strip()):
+                continue
             if c is whole or 2 * c.link_chars < c.chars or scores.get(id(c), 0) >= max(10.0, 0.2 * most):
                 kept.append(c)
     flush()
