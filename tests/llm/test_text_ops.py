@@ -261,6 +261,118 @@ def test_decontamination_edges(spark):
     assert sorted((r.doc_id, r.item_id) for r in twice) == [(1, 1), (2, 2)]
 
 
+class SlowItem:
+    """A text's template by plain loops: a list of (token, value, first word, last word), and its words."""
+
+    def __init__(self, text):
+        words = []
+        for raw in (text or "").split():
+            front = [k for k, c in enumerate(raw) if c.isalnum() or c in "_%$€£"]
+            back = [k for k, c in enumerate(raw) if c.isalnum() or c in "_%"]
+            core = raw[front[0] : back[-1] + 1] if front and back and front[0] <= back[-1] else ""
+            ends = raw[-1] in ".!?:" or len(raw) > 1 and raw[-1] in ')"' and raw[-2] in ".!?"
+            words.append((core, ends))
+        self.words = [c.lower() for c, _ in words if c]
+        kinds, first = [], True
+        for k, (core, ends) in enumerate(words):
+            unit = decontaminate.NUMBER_UNIT.fullmatch(core)
+            if not core:
+                kind = "nothing"
+            elif not core[0].isalpha() and decontaminate.NUMBER.fullmatch(core):
+                kind = "number"
+            elif not core[0].isalpha() and unit and unit[2].lower() in decontaminate.UNITS:
+                kind = "both"
+            elif core.lower() in decontaminate.UNITS:
+                kind = "unit" if k and kinds[-1] == "number" else "word"
+            elif core[0].isupper() and not first and any(c.islower() for c in core[1:]) and not any(c.isupper() for c in core[1:]):
+                kind = "name"
+            else:
+                kind = "word"
+            kinds.append(kind)
+            first = ends
+        self.places, n = [], -1
+        for kind, (core, _) in zip(kinds, words):
+            if kind == "nothing":
+                continue
+            n += 1
+            low = core.lower()
+            if kind == "both":
+                number, unit = decontaminate.NUMBER_UNIT.fullmatch(low).groups()
+                self.places += [("<number>", number, n, n), ("<unit>", unit, n, n)]
+            elif kind == "name" and self.places and self.places[-1][0] == "<name>" and self.places[-1][3] == n - 1:
+                last = self.places[-1]
+                self.places[-1] = ("<name>", last[1] + " " + low, last[2], n)
+            else:
+                self.places.append((low if kind == "word" else f"<{kind}>", low, n, n))
+
+    def typed(self, width):
+        """Start to window, for windows with enough words that are no placeholders."""
+        tokens = [p[0] for p in self.places]
+        every = {s: tuple(tokens[s : s + width]) for s in range(len(tokens) - width + 1)} if width else {}
+        return {s: w for s, w in every.items() if sum(not (t[0] == "<" and t[-1] == ">") for t in w) >= min(4, width)}
+
+    def plain(self, width):
+        return {s: tuple(self.words[s : s + width]) for s in range(len(self.words) - width + 1)} if width else {}
+
+
+def slow_agreement(doc, item):
+    d, i = SlowItem(doc), SlowItem(item)
+    w, pw = min(8, len(i.places)), min(8, len(i.words))
+    typed, plain = i.typed(w), i.plain(pw)
+    shifts = lambda a, b: [[s for s in a if b.get(s + k) == a[s]] for k in range(-len(i.words) - 9, len(d.words) + len(d.places) + 9)]
+    same = max(shifts(plain, d.plain(pw)), key=len, default=[])
+    literal = set()
+    for s in typed:
+        lo, hi = i.places[s][2], i.places[s + w - 1][3] - pw + 1
+        if same and all(k in same for k in range(lo, max(lo, hi) + 1)):
+            literal.add(s)
+    best = len(literal)
+    dt = d.typed(w)
+    for k in range(-len(i.places), len(d.places) + 1):
+        starts = [s for s in typed if dt.get(s + k) == typed[s]]
+        slots = sorted({p for s in starts for p in range(s, s + w) if i.places[p][0] in ("<number>", "<name>", "<unit>")})
+        value = {p: (i.places[p][1], d.places[p + k][1]) for p in slots}
+        usual = lambda side, p: max([x[1 - side] for x in value.values() if x[side] == value[p][side]], key=[x[1 - side] for x in value.values() if x[side] == value[p][side]].count)
+        bad = {p for p in slots if usual(0, p) != value[p][1] or usual(1, p) != value[p][0]}
+        best = max(best, len(literal | {s for s in starts if not bad & set(range(s, s + w))}))
+    return max(best / len(typed) if typed else 0.0, len(same) / len(plain) if plain else 0.0)
+
+
+def test_leaks_equal_brute_force_on_random_templates(spark):
+    rng = random.Random(44)
+    words = ["what", "is", "the", "sum", "of", "apples", "and", "pears", "that", "buys", "for", "each", "friend", "a"]
+    names, units = ["Tom", "Mary", "Peru", "Lee"], ["kg", "km", "days"]
+
+    def part():
+        kind = rng.random()
+        if kind < 0.15:
+            return str(rng.randrange(2, 6))
+        if kind < 0.22:
+            return f"{rng.randrange(2, 6)}{rng.choice(units)}"
+        if kind < 0.28:
+            return f"{rng.randrange(2, 6)} {rng.choice(units)}"
+        if kind < 0.4:
+            return " ".join(rng.sample(names, rng.randrange(1, 3)))
+        return rng.choice(words) + rng.choice(["", "", "", ",", ".", "?"])
+
+    def changed(text):
+        swap = {str(k): str(rng.randrange(2, 9)) for k in range(2, 6)} | {n: rng.choice(names) for n in names} if rng.random() < 0.6 else {}
+        out = [swap.get(x, x) for x in text.split()]
+        if rng.random() < 0.3:
+            out[rng.randrange(len(out))] = "other"
+        return rng.choice([str, str, str.lower, str.upper])(" ".join(out))
+
+    items = [(k, " ".join(part() for _ in range(rng.choice([1, 3, 5, 8, 12, 20])))) for k in range(40)]
+    items += [(40, "What is the capital of Peru?"), (41, "12 + 7 - 3 * 4 = 9 10 11 12 13"), (42, "Tom has 3 apples and buys 5 more apples today"), (43, None), (44, "")]
+    docs = [(k, " ".join([*(part() for _ in range(rng.randrange(9))), changed(rng.choice(items[:40])[1]), *(part() for _ in range(rng.randrange(9)))])) for k in range(160)]
+    docs += [(200, "He asked: What is the capital of Peru? and left"), (201, "so 12 + 7 - 3 * 4 = 9 10 11 12 13 it is"), (202, "Tom has 4 apples and buys 4 more apples today"), (203, "Tom has 2 apples and buys 9 more apples today"), (204, None)]
+    want = {(d, i) for d, text in docs for i, item in items if item and slow_agreement(text, item) >= 0.5}
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert got == want
+    assert {(200, 40), (201, 41), (203, 42)} <= got and (202, 42) not in got and len(want) > 100
+
+
 # ---- 5
 
 

@@ -3,8 +3,8 @@
 Numbers, names and units become typed placeholders (a run of names is one), the rest is lower-cased
 without punctuation. Windows of the template are hash-joined with the benchmark's windows. For each
 document and item that share windows, the slots' values are then held together: an item's value
-must always have become the same value in the document (the values can differ from the item's: that
-is a re-parameterised question). Windows of the lower-cased words with their values (no placeholders)
+must always have become the same value in the document, and different values different ones (the values can differ from the
+item's: that is a re-parameterised question). Windows of the lower-cased words with their values (no placeholders)
 are joined too, so that copies in other case, where names can't be told, and copies dense in numbers are found. A pair is a leak if
 windows that agree in one of the two ways cover at least ``share`` of the item.
 """
@@ -27,6 +27,8 @@ WIDTH = 8
 LITERALS = 4
 #: Benchmarks of up to so many windows (16 bytes each) are broadcast; larger ones are joined by a shuffle.
 BROADCAST_WINDOWS = 2_000_000
+#: Items' texts are broadcast up to so many characters in all.
+BROADCAST_TEXT = 16_000_000
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t oz lb ml cl l s ms min h hr hrs sec secs second seconds minute minutes hour hours day days week weeks month months year years metre metres meter meters kilometre kilometres kilometer kilometers mile miles foot feet inch inches gram grams kilogram kilograms pound pounds ounce ounces litre litres liter liters dollar dollars euro euros cent cents percent degrees mph kph km/h m/s kwh kw w v hz".split())
 NUMBER = re.compile(r"[$€£]?[+-]?\d[\d.,:/]*%?")
 NUMBER_UNIT = re.compile(r"([$€£]?[+-]?\d[\d.,]*)([A-Za-z/]+)")
@@ -264,11 +266,14 @@ def agreement(doc: str | None, item: str | None, tokens: Tokens) -> tuple[int, i
     literal = {s for s in typed[0].tolist() if held and all(k in held for k in range(first[s], max(first[s], last[s + width - 1] - plain_width + 1) + 1))}
     best = (len(literal), len(literal), True)
     for shift, starts in (_shifts(typed, windows(dh, dholes, width)) if width else {}).items():
-        slots = {p for s in starts for p in range(s, s + width) if iholes[p]}
-        votes: dict[str, Counter] = defaultdict(Counter)
+        slots = sorted({p for s in starts for p in range(s, s + width) if iholes[p]})
+        there, back = defaultdict(Counter), defaultdict(Counter)
         for p in slots:
-            votes[ivalues[p]][dvalues[p + shift]] += 1
-        bad = {p for p in slots if votes[ivalues[p]].most_common(1)[0][0] != dvalues[p + shift]}
+            there[ivalues[p]][dvalues[p + shift]] += 1
+            back[dvalues[p + shift]][ivalues[p]] += 1
+        usual = lambda votes, key, value: votes[key].most_common(1)[0][0] == value
+        # two values of the item must not have become one either: 3 + 5 is no 4 + 4
+        bad = {p for p in slots if not (usual(there, ivalues[p], dvalues[p + shift]) and usual(back, dvalues[p + shift], ivalues[p]))}
         agree = literal.union(s for s in starts if not any(p in bad for p in range(s, s + width)))
         best = max(best, (len(agree), len(literal.union(starts)), all(ivalues[p] == dvalues[p + shift] for p in slots)))
     if len(same) * len(typed[0]) > best[0] * len(plain[0]) or not len(typed[0]):
@@ -301,7 +306,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) -> DataFram
     texts = docs.select(F.col("doc_id").cast("long"), row_key("text").alias("rk"), "text").join(_sized(pairs.select("doc_id", "rk").distinct()), _same("doc_id", "rk"), "left_semi").distinct()
     asked = items.withColumnRenamed("text", "item")
     both = pairs.join(texts, _on(pairs, texts, "doc_id", "rk")).select(pairs["doc_id"], pairs["rk"], pairs["item_id"], pairs["irk"], "text")
-    both = both.join(F.broadcast(asked) if small else asked, _on(both, asked, "item_id", "irk")).select("doc_id", both["item_id"], "rk", "text", "item")
+    brief = (asked.agg(F.sum(F.length("item"))).first()[0] or 0) <= BROADCAST_TEXT
+    both = both.join(F.broadcast(asked) if brief else asked, _on(both, asked, "item_id", "irk")).select("doc_id", both["item_id"], "rk", "text", "item")
 
     def make():
         tokens = Tokens()
