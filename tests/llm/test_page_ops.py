@@ -77,6 +77,59 @@ def test_chat_order_on_random_graphs(spark):
             assert calls[c, x] < n and place.get((c, x), 0) < n
 
 
+def test_chat_odd_values(spark):
+    messages = [
+        (1, 0, "assistant", '<tool_call>{"id":"s","name":"search","arguments":{"query":"\\ud800"}}</tool_call>'),
+        (1, 1, "tool", '{"tool_call_id":"s","content":1e999}'),
+        (1, 2, "assistant", '<tool_call>{"id":{"x":1},"name":["n"],"arguments":{}}</tool_call><tool_call>{"id":7,"name":"search","arguments":{"query":1e999}}</tool_call>'),
+        (1, 3, "tool", '{"tool_call_id":7,"content":"\\udfff!"}'),
+        (1, 4, "assistant", call("r", "any", {"a": {"$result": ["s"]}})),
+        (1, 5, "assistant", '<tool_call>{"id":"\\ud800","name":"search","arguments":{"\\ud801":1,"query":"x"}}</tool_call><tool_call>[1]</tool_call>'),
+        (1, 6, "tool", '{"tool_call_id":true,"content":1}'),
+    ]
+    rows = linked(spark, messages)
+    got = {(r.turn, r.kind, r.seq): r for r in rows}
+    assert got[0, "call", 0].status == got[1, "result", 0].status == "linked" and got[0, "call", 0].valid and not got[1, "result", 0].valid
+    assert json.loads(got[0, "call", 0].json)["arguments"]["query"] == "\ud800"
+    assert got[2, "call", 0].call_id is None and "name" not in json.loads(got[2, "call", 0].json)
+    assert got[2, "call", 1].call_id == "7" and got[2, "call", 1].status == got[3, "result", 0].status == "linked" and not got[2, "call", 1].valid
+    assert not got[4, "call", 0].valid and got[5, "call", 0].call_id == "\\ud800" and not got[5, "call", 0].valid and not got[5, "call", 1].valid
+    assert got[6, "result", 0].call_id is None and len(rows) == 9
+    assert {r.n_messages for r in linked(spark, messages * 3)} == {3}
+
+
+def slow_levels(turns, needs):
+    """Places of the calls by looking at them again and again until nothing changes."""
+    place = {}
+    while True:
+        new = {i: max([(turns[i], 1)] + [(max(t, turns[i]), l + 2 if t >= turns[i] else 1) for t, l in (place[n] for n in needs[i])]) for i in turns if i not in place and all(n in place for n in needs[i])}
+        if not new:
+            return place
+        place |= new
+
+
+def test_chat_levels_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(22)
+    calls, edges, want = [], [], {}
+    for conv in range(30):
+        n = 60 if conv % 3 == 0 else 14
+        turns = {f"c{k}": rng.randrange(5) for k in range(n)}
+        ids = list(turns)
+        needs = {i: ({ids[k - 1]} if conv % 3 == 0 else set(rng.sample(ids[:k], min(k, rng.randrange(3))))) if k else set() for k, i in enumerate(ids)}
+        if conv % 5 == 0:  # a cycle, and what waits for it
+            needs[ids[4]] |= {ids[7]}
+        place = slow_levels(turns, needs)
+        calls += [(conv, i, t) for i, t in turns.items()]
+        edges += [(conv, i, x) for i, xs in needs.items() for x in xs]
+        want |= {(conv, i): p for i, p in place.items()}
+    rounds = []
+    cut = chat_format.cut
+    monkeypatch.setattr(chat_format, "cut", lambda df: rounds.append(1) or cut(df))
+    got = chat_format.levels(spark.createDataFrame(calls, "conv_id long, call_id string, turn long"), spark.createDataFrame(edges, "conv_id long, call_id string, need string"))
+    assert {(r.conv_id, r.call_id): (r.at_turn, r.level) for r in got.collect()} == want
+    assert len(rounds) < 70  # chains of 60 take no 60 rounds of five tables
+
+
 def test_chat_schema_rules():
     s = {"type": "object", "properties": {"n": {"type": "integer", "minimum": 1, "maximum": 3}, "s": {"type": ["string", "null"], "enum": ["a", None]}, "l": {"type": "array", "items": {"type": "number"}}}, "required": ["n"], "additionalProperties": False}
     ok = chat_format.validate

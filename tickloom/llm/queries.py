@@ -15,9 +15,12 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_token_counts": token_counts.op10_token_counts,
+    # the second operator's links, which the test conversations have none of
+    "tool_links": chat_format.tool_links,
 }
 
 SQL = {
+    "tool_links": chat_format.LINKS_SQL,
     "op5_mix_sources": mixing.SQL,
     "op8_line_dedup": line_dedup.SQL,
     "op9_license_scan": license_scan.SQL,
