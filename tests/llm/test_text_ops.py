@@ -510,3 +510,19 @@ def test_pipeline_stages_on_edges(spark, tmp_path):
             assert stage(spark, docs, str(tmp_path)).count() <= docs.count()
     twice = stages.ngram_jaccard(spark, frame(spark, EDGES), str(tmp_path)).collect()
     assert sum(r.doc_id == 6 for r in twice) == 1 and {r.doc_id for r in twice} == {1, 2, 3, 4, 5, 6, 7, None}
+
+
+def test_pipeline_keeps_columns_that_clash(spark, tmp_path):
+    names = ["n", "first", "__id", "__key", "__KEY", "n_lines", "N_dropped", "__rk", "__own", "rk", "class_id", "topic_"]
+    rows = [(k, f"{k} " + " ".join(f"word{k}x{j}" for j in range(30)), "en", "web", 100, *[f"{k}-{n}" for n in names]) for k in range(12)]
+    docs = spark.createDataFrame(rows + rows[:1], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names if n != "__KEY") + ", extra string")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        docs_ = stage(spark, docs, str(tmp_path))
+        for r in docs_.collect():
+            own = [r[c] for c in docs.columns[5:]]
+            assert own == list(next(x for x in rows if x[0] == r.doc_id)[5:]), name
+        if stage is not stages.mixing_:
+            docs = docs_
+    assert docs.count() == 12

@@ -17,7 +17,7 @@ from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import cut, row_key, table
+from .common import cut, fresh, row_key, table
 from .license_texts import FULL
 
 TERM = "[a-z0-9]+([.][0-9]+)*"
@@ -170,22 +170,23 @@ def scan(files: DataFrame, least: float = LEAST) -> DataFrame:
     """
     files = files.drop("licence", "score", "line", "origin")
     own = cut(own_licences(files, least))
+    directory, found, path, rk, own_path, own_rk, mine, file_dir, depth = fresh(files, "__dir", "__up", "__path", "__rk", "__own_path", "__own_rk", "__own", "__file_dir", "__depth")
     up = F.regexp_replace("path", "[^/]*$", "")
     named = F.upper(F.regexp_extract("path", "([^/]*)$", 1)).rlike(r"^(LICENSE|LICENCE|COPYING|NOTICE|UNLICENSE)([.]|\z)")
     declared = own.filter(F.col("path").isNotNull() & (F.col("whole_score").isNotNull() | named))
-    dirs = declared.groupBy(up.alias("__dir")).agg(F.min_by(F.struct("licence", "score"), F.struct(-F.col("score"), F.col("path"))).alias("__up"))
-    base = files.withColumns({"__path": F.col("path"), "__rk": row_key("text")})
-    mine = own.select(F.col("path").alias("__own_path"), F.col("rk").alias("__own_rk"), F.struct("licence", "score", "line").alias("__own"))
-    out = base.join(mine, base["__path"].eqNullSafe(mine["__own_path"]) & (base["__rk"] == mine["__own_rk"]), "left").drop("__own_path", "__own_rk")
+    dirs = declared.groupBy(up.alias(directory)).agg(F.min_by(F.struct("licence", "score"), F.struct(-F.col("score"), F.col("path"))).alias(found))
+    base = files.withColumns({path: F.col("path"), rk: row_key("text")})
+    matched = own.select(F.col("path").alias(own_path), F.col("rk").alias(own_rk), F.struct("licence", "score", "line").alias(mine))
+    out = base.join(matched, F.col(path).eqNullSafe(F.col(own_path)) & (F.col(rk) == F.col(own_rk)), "left").drop(own_path, own_rk)
     # directories are joined once each, not once for each file
-    paths = files.filter("path IS NOT NULL").select(up.alias("__file_dir")).distinct()
-    parts = F.split("__file_dir", "/")
-    ancestors = paths.select("__file_dir", F.posexplode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.when(k == 0, "").otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("/"))))).alias("__depth", "__dir"))
-    nearest = ancestors.join(dirs, "__dir").groupBy("__file_dir").agg(F.max_by("__up", "__depth").alias("__up"))
-    out = out.withColumn("__file_dir", up).join(nearest, "__file_dir", "left")
-    pick = lambda c: F.coalesce(F.col(f"__own.{c}"), F.when(F.col("__own").isNull(), F.col(f"__up.{c}")))
-    origin = F.when(F.col("__own").isNotNull(), "own").when(F.col("__up").isNotNull(), "inherited").otherwise("none")
-    return out.select(*files.columns, pick("licence").alias("licence"), pick("score").alias("score"), F.col("__own.line").cast("long").alias("line"), origin.alias("origin"))
+    paths = files.filter("path IS NOT NULL").select(up.alias(file_dir)).distinct()
+    parts = F.split(file_dir, "/")
+    ancestors = paths.select(file_dir, F.posexplode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.when(k == 0, "").otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("/"))))).alias(depth, directory))
+    nearest = ancestors.join(dirs, directory).groupBy(file_dir).agg(F.max_by(found, depth).alias(found))
+    out = out.withColumn(file_dir, up).join(nearest, file_dir, "left")
+    pick = lambda c: F.coalesce(F.col(f"{mine}.{c}"), F.when(F.col(mine).isNull(), F.col(f"{found}.{c}")))
+    origin = F.when(F.col(mine).isNotNull(), "own").when(F.col(found).isNotNull(), "inherited").otherwise("none")
+    return out.select(*files.columns, pick("licence").alias("licence"), pick("score").alias("score"), F.col(f"{mine}.line").cast("long").alias("line"), origin.alias("origin"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

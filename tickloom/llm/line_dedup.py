@@ -15,7 +15,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import BLANK, NO_ID, cut, row_key, table
+from .common import BLANK, NO_ID, cut, fresh, row_key, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -94,14 +94,15 @@ def dedup_lines(docs: DataFrame, min_length: int = 40, min_docs: int = 5, batche
     known = runs.settled()
     # the hint is none: the number of settled keys grows with the corpus, so Spark picks by measured size
     drop = lines.join(known.select("h1", "h2", "owner"), ["h1", "h2"]).filter("id <> owner") if known is not None else lines.limit(0)
-    drop = drop.groupBy(F.col("id").alias("__id"), F.col("rk").alias("__rk")).agg(F.collect_set("pos").alias("__drop"))
+    own, rk, gone, parts = fresh(docs, "__id", "__rk", "__drop", "__lines")
+    drop = drop.groupBy(F.col("id").alias(own), F.col("rk").alias(rk)).agg(F.collect_set("pos").alias(gone))
     # a text's own positions only: as long as the text itself at most
-    base = docs.drop("n_lines", "n_dropped").withColumns({"__id": F.coalesce("doc_id", F.lit(NO_ID)), "__rk": row_key("text")})
-    joined = base.join(drop, ["__id", "__rk"], "left")
-    out = joined.withColumn("__lines", F.split(F.coalesce("text", F.lit("")), "\n")).withColumn("n_lines", F.size("__lines").cast("long"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop"))
-    text = F.when(F.col("__drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda p: F.col("__lines")[p]), "\n"))
-    out = out.withColumn("text", text).withColumn("n_dropped", F.coalesce(F.size("__drop"), F.lit(0)).cast("long"))
+    base = docs.drop("n_lines", "n_dropped").withColumns({own: F.coalesce("doc_id", F.lit(NO_ID)), rk: row_key("text")})
+    joined = base.join(drop, [own, rk], "left")
+    out = joined.withColumn(parts, F.split(F.coalesce("text", F.lit("")), "\n")).withColumn("n_lines", F.size(parts).cast("long"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
+    text = F.when(F.col(gone).isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda p: F.col(parts)[p]), "\n"))
+    out = out.withColumn("text", text).withColumn("n_dropped", F.coalesce(F.size(gone), F.lit(0)).cast("long"))
     return out.select(*docs.drop("n_lines", "n_dropped").columns, "n_lines", "n_dropped")
 
 

@@ -13,7 +13,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import WORD, by_batch, cut, row_key, table
+from .common import WORD, by_batch, cut, fresh, row_key, table
 
 #: Topic: words and word groups that speak for it. A text has the topic with the most hits, the first of equal ones.
 TOPICS = {
@@ -121,9 +121,10 @@ def mix(docs: DataFrame, powers: dict[str, float] = POWERS, targets: dict[str, d
     the four names that are added are replaced, others pass through. An empty table gives an empty result.
     """
     base = docs.drop(*ADDED)
-    taken = decide(docs, powers, targets, budget, sweeps, salt).select(F.col("doc_id").alias("__id"), F.col("rk").alias("__rk"), *ADDED).distinct()
-    keyed = base.withColumns({"__own_id": F.col("doc_id").cast("long"), "__own": row_key("text", "source", "lang")})
-    out = keyed.join(taken, (keyed["__own"] == taken["__rk"]) & keyed["__own_id"].eqNullSafe(taken["__id"]))
+    own_id, own, taken_id, key = fresh(base, "__own_id", "__own", "__id", "__rk")
+    taken = decide(docs, powers, targets, budget, sweeps, salt).select(F.col("doc_id").alias(taken_id), F.col("rk").alias(key), *ADDED).distinct()
+    keyed = base.withColumns({own_id: F.col("doc_id").cast("long"), own: row_key("text", "source", "lang")})
+    out = keyed.join(taken, (F.col(own) == F.col(key)) & F.col(own_id).eqNullSafe(F.col(taken_id)))
     return out.select(*base.columns, *ADDED)
 
 
