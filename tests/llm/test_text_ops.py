@@ -174,14 +174,44 @@ def test_thresholds(spark):
     assert len(rows) == 1000 + len(EDGES) + 1
     assert all(kept[i] for i, _ in good) and not any(kept[i] for i, _ in junk)
     assert not kept[1] and not kept[6] and kept[5000]  # no labels in that language: nothing is certified
-    # by brute force: the chosen cutoff is the one the rule names
-    at = quality_rules.choose(800, 200, [0] * 10, [200] * 10, 0.05 / 6, 0.05 / 12)
+    at = quality_rules.choose(800, 200, [0] * 10, [200] * 10, 0.05, 0.05 / 4)
     assert at == 0 and quality_rules.choose(10, 5, [0], [5], 0.01, 0.01) is None and quality_rules.choose(0, 5, [0], [5], 0.01, 0.01) is None
     none = quality_rules.judge(docs, labels.limit(0)).collect()
     assert all(r.kept == (not r.base_failed) for r in none)
     assert quality_rules.judge(frame(spark, []), labels).count() == 0
 
 
+def test_cutoffs_equal_brute_force(spark):
+    """By strata: the sequence is tested on lists of labelled scores, with the exact tail by sums of binomial terms."""
+    rng = random.Random(33)
+    rows = []
+    for lang, n, noise in (("a", 400, 0.01), ("b", 120, 0.0), ("c", 60, 0.0), ("d", 300, 0.2), (None, 90, 0.0)):
+        for k in range(n):
+            marks = rng.choice(["#", "!", "%%"]) if rng.random() < noise else ""
+            rows.append((len(rows), " ".join(f"w{rng.randrange(400)}{marks}" for _ in range(rng.randrange(11, 60))), lang, 1))
+        for k in range(n // 4):
+            marks = rng.choice(["###", "!!", ""])
+            rows.append((len(rows), " ".join(rng.choice(["A", "bc", "DEF"]) + marks + str(rng.randrange(900)) for _ in range(30)), lang, 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    want, certified = {}, set()
+    for lang in {r[2] for r in rows}:
+        held = {q: [dict(zip(quality_rules.COUNTS, quality_rules.counts(t))) for _, t, l, y in rows if l == lang and y == q] for q in (0, 1)}
+        held = {q: [c for c in cs if c["n_words"] >= 10 and 100 * c["n_repeat_words"] <= 20 * c["n_words"]] for q, cs in held.items()}
+        best = None
+        for setting in quality_rules.SETTINGS:
+            over = {q: sum(any(eval(e.replace("greatest", "max"), {"max": max}, c) > setting[r] for r, (e, _) in quality_rules.RULES.items()) for c in cs) / len(cs) for q, cs in held.items()}
+            n, k = len(held[1]), round(over[1] * len(held[1]))
+            if sum(math.comb(n, i) * 0.05**i * 0.95 ** (n - i) for i in range(k + 1)) > 0.05 / 5:
+                break
+            certified.add(lang)
+            if over[0] - over[1] > (best[0] + 1e-12 if best else 0):
+                best = over[0] - over[1], setting
+        want[lang or ""] = best and best[1]
+    found = quality_rules.features(docs).join(docs.select("doc_id", "quality"), "doc_id")
+    got = {r.stratum: None if r.symbols is None else {x: r[x] for x in quality_rules.RULES} for r in quality_rules.cutoffs(found).collect()}
+    assert got == want and {"a", "b", None} <= certified and "c" not in certified and want["a"] and want["b"]
+
+
 def test_guarantee_holds_over_samples():
     """Over many labelled samples, a chosen cutoff's true false-rejection rate exceeds the limit at most as often as delta allows."""
     rng = random.Random(3)

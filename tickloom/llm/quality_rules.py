@@ -1,15 +1,15 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule rejects a text whose score exceeds a cutoff. For every stratum (language) and rule, the
-cutoffs of a fixed grid are tested from the loosest to the strictest on the labelled holdout: H0 says
-that more than ``risk / rules`` of the stratum's good texts would be rejected, and its exact p-value
-is the binomial tail P(Bin(n, risk / rules) <= false rejections), so that H0 falls exactly when the
-Clopper-Pearson upper bound is under the limit. Testing stops at the first cutoff that isn't
-certified (fixed-sequence testing), and strata x rules share ``delta`` by Bonferroni. So, with
-probability 1 - delta, no certified cutoff of any stratum exceeds its limit, whichever is chosen
-later; by the union bound a stratum's good texts are rejected at a rate of at most ``risk``. Of the certified cutoffs
-the one with the best difference between the rejected shares of bad and good texts is used, the loosest of equal ones.
-A stratum without enough labels has no certified cutoff, and its texts pass.
+Each rule rejects a text whose score exceeds a cutoff. For every stratum (language) the rules' cutoffs
+are tested together on the labelled holdout, as one fixed sequence of settings from the loosest to the strictest: H0
+says that more than ``risk`` of the stratum's good texts would be rejected by one rule or another, and its exact p-value
+is the binomial tail P(Bin(n, risk) <= false rejections), so that H0 falls exactly when the
+Clopper-Pearson upper bound is under the limit. Testing stops at the first setting that isn't
+certified (fixed-sequence testing), and the strata share ``delta`` by Bonferroni. So, with
+probability 1 - delta, no certified setting of any stratum rejects more than ``risk`` of its good texts, whichever is chosen
+later. Of the certified settings the one with the best difference between the rejected shares of bad and good texts is used, the
+loosest of equal ones. A stratum without enough labels (86 good ones, if none is rejected, for four strata at 0.05) has no certified
+setting, and its texts pass.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import WORD, by_batch, cut, row_key, table
 
@@ -36,6 +36,8 @@ RULES = {
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_word_lines", "n_exclaims", "n_upper", "n_top_word"]
 SYMBOLS = "#*$%&|<>"
 BASE_FAILED = "n_words < 10 OR 100 * n_repeat_words > 20 * n_words"
+#: The settings of the sequence: each rule's next cutoff, or its last.
+SETTINGS = [{rule: grid[min(k, len(grid) - 1)] for rule, (_, grid) in RULES.items()} for k in range(max(len(grid) for _, grid in RULES.values()))]
 #: Cutoff tables of up to so many strata are broadcast; larger ones are joined by a shuffle.
 BROADCAST_STRATA = 10_000
 
@@ -89,7 +91,7 @@ def binomial_tail(n: int, k: int, p: float) -> float:
 
 
 def choose(good: int, bad: int, good_over: list[int], bad_over: list[int], limit: float, delta: float) -> int | None:
-    """Index of the cutoff to use, or None: certified in sequence, then the best separation."""
+    """Index of the setting to use, or None: certified in sequence, then the best separation."""
     best, at = 0.0, None
     for k, (g, b) in enumerate(zip(good_over, bad_over)):
         if not good or binomial_tail(good, g, limit) > delta:
@@ -100,28 +102,33 @@ def choose(good: int, bad: int, good_over: list[int], bad_over: list[int], limit
     return at
 
 
+def rejects(cutoff) -> Column:
+    """Whether a rule rejects a text; ``cutoff`` gives a rule's, a null one rejects nothing."""
+    out = F.lit(False)
+    for rule, (score, _) in RULES.items():
+        out = out | F.coalesce(F.expr(score) > cutoff(rule), F.lit(False))
+    return out
+
+
 def cutoffs(labelled: DataFrame, risk: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """``stratum`` and a cutoff for each rule (null: none certified). ``labelled``: stratum, quality and COUNTS.
+    """``stratum`` and a cutoff for each rule (null: no setting is certified). ``labelled``: stratum, quality and COUNTS.
 
     Only texts that pass the base rule count, since the rules decide on no others.
     """
     rows = labelled.filter(f"NOT ({BASE_FAILED}) AND quality IN (0, 1)")
-    sums = [F.sum((F.col("quality") == q).cast("long")).alias(f"all_{q}") for q in (0, 1)]
-    for rule, (score, grid) in RULES.items():
-        sums += [F.sum(((F.col("quality") == q) & (F.expr(score) > c)).cast("long")).alias(f"{rule}_{k}_{q}") for k, c in enumerate(grid) for q in (0, 1)]
+    is_ = lambda q: F.col("quality") == q
+    sums = [F.count_if(is_(q)).alias(f"all_{q}") for q in (0, 1)]
+    sums += [F.count_if(is_(q) & rejects(lambda rule: F.lit(setting[rule]))).alias(f"over_{k}_{q}") for k, setting in enumerate(SETTINGS) for q in (0, 1)]
     table_ = cut(rows.groupBy("stratum").agg(*sums))  # a row for each stratum
-    tests = max(1, table_.count()) * len(RULES)
+    share = delta / max(1, table_.count())
 
     def pick(batches):
         for df in batches:
             out = []
             for r in df.to_dict("records"):
-                row = {"stratum": r["stratum"]}
-                for rule, (_, grid) in RULES.items():
-                    over = [[r[f"{rule}_{k}_{q}"] for k in range(len(grid))] for q in (1, 0)]
-                    at = choose(r["all_1"], r["all_0"], *over, risk / len(RULES), delta / tests)
-                    row[rule] = None if at is None else grid[at]
-                out.append(row)
+                over = [[r[f"over_{k}_{q}"] for k in range(len(SETTINGS))] for q in (1, 0)]
+                at = choose(r["all_1"], r["all_0"], *over, risk, share)
+                out.append({"stratum": r["stratum"]} | (dict.fromkeys(RULES) if at is None else SETTINGS[at]))
             yield pd.DataFrame(out, columns=["stratum", *RULES]).astype({r: "float64" for r in RULES})
 
     return table_.mapInPandas(pick, "stratum string, " + ", ".join(f"{r} double" for r in RULES))
@@ -140,12 +147,8 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float
     limits = cut(cutoffs(found.join(known, "doc_id"), risk, delta).withColumnsRenamed({r: f"cut_{r}" for r in RULES}))
     if limits.count() <= BROADCAST_STRATA:
         limits = F.broadcast(limits)
-    over = [F.coalesce(F.expr(score) > F.col(f"cut_{rule}"), F.lit(False)) for rule, (score, _) in RULES.items()]
-    rejected = over[0]
-    for x in over[1:]:
-        rejected = rejected | x
     out = found.join(limits, "stratum", "left").withColumn("base_failed", F.expr(BASE_FAILED))
-    return out.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(~rejected))
+    return out.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(~rejects(lambda rule: F.col(f"cut_{rule}"))))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
