@@ -120,5 +120,8 @@ def test_counterfactual(spark):
     p = r.prices
     assert (p[0], p[-1], max(p), min(p), len(p), r.label) == (100, 108, 110, 95, 40, "SIMULATED")
     assert one(simulate.counterfactual_paths(c, 40)) == r
+    assert one(simulate.counterfactual_paths(c, 40, seed=7)).prices != p and max(abs(a - b) for a, b in zip(p, p[1:])) <= 15
     with pytest.raises(ValueError):
-        simulate.path(5, 4, 1, 2, 10, "x")
+        simulate.counterfactual_paths(c, 3)
+    with pytest.raises(Exception, match="inconsistent OHLC"):
+        simulate.counterfactual_paths(c.withColumn("high_ticks", F.lit(90).cast("long"))).collect()

@@ -27,7 +27,8 @@ def level_aggression(trades: DataFrame, interval: int) -> DataFrame:
     """A row for each candle and price: flow, intensity among the candle's levels, and what prices did
     after the level's last trade."""
     w = in_candle()
-    after = w.rowsBetween(1, Window.unboundedFollowing)
+    # backwards, so that each trade adds to what the later ones gave; a frame that ends with the candle is computed anew for every row
+    after = Window.partitionBy(*CANDLE).orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
     t = indexed(trades, interval).withColumns(
         {
             "visit": F.coalesce(F.col("price_ticks") != F.lag("price_ticks").over(w), F.lit(True)).cast("int"),
@@ -102,7 +103,7 @@ def candle_flow(trades: DataFrame, interval: int) -> DataFrame:
     """The flow summary of each candle, by one aggregation."""
     from ..schema import order_key
 
-    key = order_key()
+    key = order_key(trades)
     buy_, sell_ = F.col("aggressor") == "BUY", F.col("aggressor") == "SELL"
     one = lambda c: F.sum(c.cast("int"))
     named = lambda side, who: side & (F.trim(F.coalesce(who, F.lit(""))) != "")

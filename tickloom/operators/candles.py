@@ -8,9 +8,9 @@ from ..schema import CANDLE, in_candle, indexed, order_key, ratio, with_start
 
 
 def build_candles(trades: DataFrame, interval: int, *more: Column) -> DataFrame:
-    """OHLCV by (symbol, start), and ``more`` aggregates of the same pass. First and last are ordered aggregates:
-    one partial aggregation, no sort."""
-    key = order_key()
+    """OHLCV by (symbol, start), and ``more`` aggregates of the same pass. First and last are ordered aggregates, so only
+    partly aggregated candles are shuffled, not trades."""
+    key = order_key(trades)
     return with_start(trades, interval).groupBy(*CANDLE).agg(
         F.min_by("price_ticks", key).alias("open_ticks"),
         F.max("price_ticks").alias("high_ticks"),

@@ -21,17 +21,28 @@ def candle_dna(trades: DataFrame, interval: int) -> DataFrame:
             "lo": F.min("price_ticks").over(whole),
             "run_hi": F.max("price_ticks").over(running),
             "run_lo": F.min("price_ticks").over(running),
-            "level_qty": F.sum("quantity").over(Window.partitionBy(*CANDLE, "price_ticks")),
         }
     )
     sign = F.when(F.col("d") != 0, F.signum("d"))
     t = t.withColumn("s", sign).withColumn("last_s", F.last("s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    # a level's first trade stands for it: so levels are counted, and the strongest found, by plain sums over trades
+    level = Window.partitionBy(*CANDLE, "price_ticks").orderBy("idx")
+    every = level.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    t = t.withColumns({"new_level": F.row_number().over(level) == 1, "level_qty": F.sum("quantity").over(every)})
+    t = t.withColumn("most", F.max("level_qty").over(whole))
+    by_gap = Window.partitionBy(*CANDLE).orderBy("gap")  # nulls first: the first trade's has place 0
+    t = t.withColumn("gap_place", F.row_number().over(by_gap) - 1)
     run = (F.col("idx") == 0) | (F.col("d") != 0)
     one = lambda c: F.sum(F.when(c, 1).otherwise(0))
     qty = lambda c: F.sum(F.when(c, F.col("quantity")).otherwise(0))
     third = (F.col("hi") - F.col("lo")) / 3
     lower = (F.col("hi") > F.col("lo")) & (p <= F.col("lo") + third)
     upper = (F.col("hi") > F.col("lo")) & ~(p <= F.col("lo") + third) & (p >= F.col("hi") - third)
+    # the gaps beside the two percentiles; interpolated below as percentiles are
+    n_gaps = F.col("n") - 1
+    place = {"g50": (n_gaps - 1) * 0.5, "g95": (n_gaps - 1) * 0.95}
+    t = t.withColumn("n", F.count("*").over(whole))
+    ends = {f"{k}_lo": F.floor(x) for k, x in place.items()} | {f"{k}_hi": F.ceil(x) for k, x in place.items()}
     g = t.groupBy(*CANDLE).agg(
         F.min_by("price_ticks", "idx").alias("open"),
         F.max_by("price_ticks", "idx").alias("close"),
@@ -43,7 +54,7 @@ def candle_dna(trades: DataFrame, interval: int) -> DataFrame:
         one(F.col("d") != 0).alias("price_change_events"),
         one(F.col("d") == 0).alias("unchanged_transitions"),
         one(F.col("s") * F.col("last_s") < 0).alias("reversals"),
-        F.count_distinct("price_ticks").alias("unique_prices"),
+        one(F.col("new_level")).alias("unique_prices"),
         F.min(F.when(p == F.col("hi"), F.col("idx"))).alias("hi_idx"),
         F.min(F.when(p == F.col("lo"), F.col("idx"))).alias("lo_idx"),
         F.min(F.when(p == F.col("hi"), F.col("us"))).alias("hi_us"),
@@ -52,7 +63,7 @@ def candle_dna(trades: DataFrame, interval: int) -> DataFrame:
         F.max("us").alias("last_us"),
         one(run & (p == F.col("hi"))).alias("high_visits"),
         one(run & (p == F.col("lo"))).alias("low_visits"),
-        F.max_by("price_ticks", F.struct("level_qty", -p)).alias("most_traded_price_ticks"),
+        F.min(F.when(F.col("level_qty") == F.col("most"), p)).alias("most_traded_price_ticks"),
         F.sum(p * F.col("quantity")).alias("weighted"),
         F.max("quantity").alias("max_trade_size"),
         qty(F.col("aggressor") == "BUY").alias("buy_aggression_qty"),
@@ -61,11 +72,12 @@ def candle_dna(trades: DataFrame, interval: int) -> DataFrame:
         qty(upper).alias("upper_qty"),
         F.max(F.col("run_hi") - p).alias("max_drawdown_ticks"),
         F.max(p - F.col("run_lo")).alias("max_drawup_ticks"),
-        F.coalesce(F.percentile("gap", 0.5), F.lit(0.0)).alias("median_intertrade_ms"),
-        F.coalesce(F.percentile("gap", 0.95), F.lit(0.0)).alias("p95_intertrade_ms"),
+        *[F.max(F.when(F.col("gap_place") == 1 + k, F.col("gap"))).alias(name) for name, k in ends.items()],
         F.coalesce(F.max("gap"), F.lit(0.0)).alias("max_intertrade_ms"),
     )
     c = F.col
+    part = lambda share: (c("trades") - 2) * share - F.floor((c("trades") - 2) * share)
+    between = lambda k, share: F.coalesce(F.when(c(f"{k}_lo") == c(f"{k}_hi"), c(f"{k}_lo")).otherwise((1 - part(share)) * c(f"{k}_lo") + part(share) * c(f"{k}_hi")), F.lit(0.0))
     rng, net, known = c("high") - c("low"), c("close") - c("open"), c("buy_aggression_qty") + c("sell_aggression_qty")
     return g.select(
         *CANDLE,
@@ -106,8 +118,8 @@ def candle_dna(trades: DataFrame, interval: int) -> DataFrame:
         "max_drawup_ticks",
         # the gaps add up to the candle's span
         ratio((c("last_us") - c("first_us")) / 1000.0, c("trades") - 1).alias("avg_intertrade_ms"),
-        "median_intertrade_ms",
-        "p95_intertrade_ms",
+        between("g50", 0.5).alias("median_intertrade_ms"),
+        between("g95", 0.95).alias("p95_intertrade_ms"),
         "max_intertrade_ms",
         (c("trades") / float(interval)).alias("trades_per_second"),
         "trades",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..schema import CANDLE, indexed, ratio, when_chain, whole_candle
+from ..schema import CANDLE, indexed, ratio, when_chain, whole_candle, with_start
 from .aggression import BALANCED, candle_flow, dominance
 
 PHASES = ["INICIO", "MEIO", "FINAL"]
@@ -130,3 +130,13 @@ def paradox_scan(trades: DataFrame, interval: int) -> DataFrame:
     """Paradoxical candles with their highest score."""
     g = paradox_flags(trades, interval).groupBy(*CANDLE).agg(F.max("score").alias("score"), F.count("*").alias("flags"))
     return g.withColumn("priority", severity(F.col("score")))
+
+
+def paradox_ranking(trades: DataFrame, interval: int, limit: int = 50) -> DataFrame:
+    """Each symbol's ``limit`` paradoxical candles of the highest score, then the first, with the candles looked at and the paradoxical ones' share."""
+    found = paradox_scan(trades, interval)
+    all_ = with_start(trades, interval).select(*CANDLE).distinct().groupBy("symbol").agg(F.count("*").alias("candles"))
+    by = Window.partitionBy("symbol").orderBy(F.desc(F.round("score", 12)), "start")
+    some = found.groupBy("symbol").agg(F.count("*").alias("paradoxical"))
+    top = found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= max(1, min(limit, 200)))
+    return top.join(all_.join(some, "symbol"), "symbol").withColumn("share", F.col("paradoxical") / F.col("candles"))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..schema import CANDLE, ratio, when_chain, whole_candle
-from .aggression import candle_flow, level_aggression
-from .candles import build_candles
-from .efficiency import effort_events, efficiency_decay, flow_phases
+from ..functions.normalize import to_price
+from ..schema import CANDLE, indexed_once, ratio, when_chain, whole_candle
+from .aggression import candle_flow, level_aggression, top_agents
+from .candles import build_candles, timeline
+from .dna import candle_dna
+from .efficiency import effort_events, efficiency_decay, flow_phases, paradox_flags, paradox_scan
+from .simulate import counterfactual_paths
 from .waves import RULES, WaveRules, all_waves
 
 
@@ -40,33 +43,105 @@ def geometry(trades: DataFrame, interval: int) -> DataFrame:
     return bars.withColumns(_shape(bars)).drop("volume", "trades", "first_us", "last_us")
 
 
-def facts(trades: DataFrame, interval: int) -> DataFrame:
-    """Observed facts with their main figures: GEOMETRIA, AGRESSAO_TOTAL, COMPOSICAO_AGRESSAO,
-    DIVERGENCIA_PRECO_FLUXO, NIVEL_MAIS_AGREDIDO. Those on flow are absent where there are no aggressor data."""
+def facts(trades: DataFrame, interval: int, rules: WaveRules | None = RULES) -> DataFrame:
+    """Observed facts: symbol, start, place, code, two figures ``a`` and ``b``, and a ``detail``. ``rules`` None leaves waves out.
+
+    GEOMETRIA: body, range, close zone. AGRESSAO_TOTAL: delta, coverage, whether there are data. COMPOSICAO_AGRESSAO: the shares of buyers and sellers
+    in the volume. DIVERGENCIA_PRECO_FLUXO: price change, delta, priority. EFICIENCIA_FLUXO: price change, ticks for 1000 contracts, the
+    numbers of effort and decay events. CANDLE_PARADOXAL: score, flags, priority. NIVEL_MAIS_AGREDIDO: price, directed volume, direction.
+    AGENTE: quantity and share of the largest agent of a side, with both. ULTIMO_TERMINO_ONDA: pressure decay, end, side and kind of the last wave
+    that ended. ONDA_ABERTA_FECHAMENTO: start, peak, side of the open one.
+    """
     c = F.col
-    flow = candle_flow(trades, interval).select(*CANDLE, "buy", "sell", "delta", "directed", "coverage", "relation", "price_direction", c("direction").alias("flow_direction"), "buy_share_directed")
-    top = level_aggression(trades, interval).filter("directed > 0").groupBy(*CANDLE).agg(F.max_by(F.struct("price_ticks", c("directed").alias("level_directed")), F.struct("directed", F.abs("delta"), "volume", "price_ticks")).alias("top"))
-    x = geometry(trades, interval).join(flow, CANDLE).join(top, CANDLE, "left")
-    fact = lambda code, a, b, there=F.lit(True): F.when(there, F.struct(F.lit(code).alias("code"), a.cast("double").alias("a"), b.cast("double").alias("b")))
-    some = c("directed") > 0
+    trades = indexed_once(trades, interval)
+    phases = flow_phases(trades, interval)
+    flow = candle_flow(trades, interval)
+    per = lambda df, **cols: df.groupBy(*CANDLE).agg(*[v.alias(k) for k, v in cols.items()])
+    x = geometry(trades, interval).join(flow.select(*CANDLE, "delta", "directed", "coverage", "relation", "priority", "buy_share_volume", "sell_share_volume", "price_change"), CANDLE)
+    top = level_aggression(trades, interval).filter("directed > 0")
+    first = F.max_by(F.struct("price_ticks", c("directed").alias("level_directed"), c("direction").alias("level_direction")), F.struct("directed", F.abs("delta"), "volume", "price_ticks"))
+    agents = top_agents(trades, interval, 1)
+    agent = lambda side: F.max(F.when(c("side") == side, F.struct("quantity", "share", "agent")))
+    parts = [
+        per(top, top=first),
+        per(effort_events(phases), efforts=F.count("*")),
+        per(efficiency_decay(phases), decays=F.count("*")),
+        paradox_scan(trades, interval).select(*CANDLE, c("score").alias("paradox_score"), c("flags").alias("paradox_flags"), c("priority").alias("paradox_priority")),
+        per(agents, buyer=agent("BUY"), seller=agent("SELL")),
+    ]
+    if rules is not None:
+        done = c("end_idx").isNotNull()
+        parts.append(per(all_waves(trades, interval, rules), ended=F.max_by(F.when(done, F.struct("pressure_decay", "end_idx", "side", "termination")), F.when(done, c("wave"))), open=F.max(F.when(~done, F.struct("start_idx", "peak_qty", "side")))))
+    for part in parts:
+        x = x.join(part, CANDLE, "left")
+    if rules is None:
+        x = x.withColumns({"ended": F.lit(None).cast("struct<pressure_decay:double,end_idx:long,side:string,termination:string>"), "open": F.lit(None).cast("struct<start_idx:long,peak_qty:long,side:string>")})
+    none = F.lit(None).cast("string")
+    zero = lambda k: F.coalesce(k, F.lit(0)).cast("string")
+    fact = lambda code, a, b, detail=none, there=F.lit(True): F.when(there, F.struct(F.lit(code).alias("code"), a.cast("double").alias("a"), b.cast("double").alias("b"), detail.alias("detail")))
     rows = F.array_compact(
         F.array(
-            fact("GEOMETRIA", c("body_ticks"), c("range_ticks")),
-            fact("AGRESSAO_TOTAL", c("delta"), c("coverage"), some),
-            fact("COMPOSICAO_AGRESSAO", c("buy"), c("sell"), some),
-            fact("DIVERGENCIA_PRECO_FLUXO", c("body_ticks"), c("delta"), c("relation") == "DIVERGENTE"),
-            fact("NIVEL_MAIS_AGREDIDO", c("top.price_ticks"), c("top.level_directed"), c("top").isNotNull()),
+            fact("GEOMETRIA", c("body_ticks"), c("range_ticks"), c("close_zone")),
+            fact("AGRESSAO_TOTAL", c("delta"), c("coverage"), (c("directed") > 0).cast("string")),
+            fact("COMPOSICAO_AGRESSAO", c("buy_share_volume"), c("sell_share_volume")),
+            fact("DIVERGENCIA_PRECO_FLUXO", c("price_change"), c("delta"), c("priority"), c("relation") == "DIVERGENTE"),
+            fact("EFICIENCIA_FLUXO", c("price_change"), ratio(c("price_change") * 1000.0, c("directed"), None), F.concat_ws("/", zero(c("efforts")), zero(c("decays")))),
+            fact("CANDLE_PARADOXAL", c("paradox_score"), c("paradox_flags"), c("paradox_priority"), c("paradox_score").isNotNull()),
+            fact("NIVEL_MAIS_AGREDIDO", c("top.price_ticks"), c("top.level_directed"), c("top.level_direction"), c("top").isNotNull()),
+            *[fact("AGENTE", c(f"{side}.quantity"), c(f"{side}.share"), F.concat(F.lit(f"{name} "), c(f"{side}.agent")), c(side).isNotNull()) for side, name in (("buyer", "BUY"), ("seller", "SELL"))],
+            fact("ULTIMO_TERMINO_ONDA", c("ended.pressure_decay"), c("ended.end_idx"), F.concat_ws(" ", "ended.side", "ended.termination"), c("ended").isNotNull()),
+            fact("ONDA_ABERTA_FECHAMENTO", c("open.start_idx"), c("open.peak_qty"), c("open.side"), c("open").isNotNull()),
         )
     )
-    return x.select(*CANDLE, F.explode(rows).alias("f")).select(*CANDLE, "f.code", "f.a", "f.b")
+    return x.select(*CANDLE, F.posexplode(rows).alias("place", "f")).select(*CANDLE, "place", "f.*")
+
+
+def synthesis(found: DataFrame) -> DataFrame:
+    """The two strongest hypotheses of each candle that has any, from ``hypotheses``."""
+    at = lambda k: F.max(F.when(F.col("rank") == k, F.col("code")))
+    return found.groupBy(*CANDLE).agg(at(1).alias("first_code"), at(2).alias("second_code"), F.max("score").alias("best_score"))
+
+
+def candle_detail(trades: DataFrame, interval: int, tick_size: float, rules: WaveRules = RULES, with_timeline: bool = True, seed: int = 42) -> DataFrame:
+    """All that is known of each candle in one row: prices, DNA, levels, flow, phases, waves, paradox flags, facts, hypotheses, a counterfactual path
+    and, unless left out, its timeline. The arrays are as long as the candle's own trades and levels; filter the trades for single candles."""
+    c = F.col
+    trades = indexed_once(trades, interval)
+    bars = build_candles(trades, interval)
+    prices = {f"{k}_price": to_price(c(f"{k}_ticks"), tick_size) for k in ("open", "high", "low", "close")}
+    dna = candle_dna(trades, interval)
+    of = lambda df, name, *order: df.groupBy(*CANDLE).agg(F.array_sort(F.collect_list(F.struct(*order, *[k for k in df.columns if k not in CANDLE and k not in order]))).alias(name))
+    flags = paradox_flags(trades, interval)
+    phases = flow_phases(trades, interval)
+    events = effort_events(phases).select(*CANDLE, F.lit("ESFORCO_SEM_RESULTADO").alias("code"), "side", c("phase").alias("from_phase"), c("phase").alias("to_phase"), c("effort_vs_median").alias("value"))
+    events = events.unionByName(efficiency_decay(phases).select(*CANDLE, "code", "side", "from_phase", "to_phase", c("efficiency_ratio").alias("value")))
+    parts = [
+        dna.select(*CANDLE, F.struct(*[k for k in dna.columns if k not in CANDLE], to_price(c("most_traded_price_ticks"), tick_size).alias("most_traded_price"), to_price(c("vwap_ticks"), tick_size).alias("vwap")).alias("dna")),
+        of(level_aggression(trades, interval), "levels", "price_ticks"),
+        candle_flow(trades, interval).select(*CANDLE, F.struct("buy", "sell", "rlp", "unknown", "delta", "direction", "dominance", "coverage", "relation", "priority").alias("flow")),
+        of(phases, "phases", "phase_no"),
+        of(events, "events", "code", "side", "from_phase"),
+        of(all_waves(trades, interval, rules), "waves", "wave"),
+        of(flags, "paradox", "code"),
+        of(facts(trades, interval, rules), "facts", "place"),
+        of(hypotheses(trades, interval, rules), "hypotheses", "rank"),
+        counterfactual_paths(bars, seed=seed).select(*CANDLE, c("prices").alias("counterfactual"), "label"),
+    ]
+    if with_timeline:
+        parts.append(of(timeline(trades, interval), "timeline", "trade_number"))
+    out = bars.withColumns(prices)
+    for part in parts:
+        out = out.join(part, CANDLE, "left")
+    return out
 
 
 def _hypotheses(trades: DataFrame, interval: int, rules: WaveRules | None, efficiency: bool) -> DataFrame:
     c = F.col
+    trades = indexed_once(trades, interval)
     phases = flow_phases(trades, interval)
     name = F.when(c("directed") == 0, "SEM_DADOS_AGRESSOR").when(c("dominance") < 0.15, "EQUILIBRADA").when(c("delta") > 0, "COMPRA").otherwise("VENDA")
     ends = phases.withColumn("way", name).groupBy(*CANDLE).agg(F.min_by("way", "phase_no").alias("first_way"), F.max_by("way", "phase_no").alias("last_way"), F.count("*").alias("n_phases"))
-    # one pass over the trades for bars and flow, one each for phases, levels and waves; all meet by candle
+    # bars, phases, levels and waves are partitioned by candle already, so they meet without a shuffle
     q = lambda side: F.sum(F.when(c("aggressor") == side, c("quantity")).otherwise(0))
     bars = build_candles(trades, interval, q("BUY").alias("buy"), q("SELL").alias("sell"))
     known = c("buy") + c("sell")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..schema import CANDLE, ratio, when_chain
+from ..schema import CANDLE, indexed_once, ratio, when_chain
 from .candles import build_candles
 from .dna import candle_dna
 from .quality import SCHEDULES, SESSION, Schedule, session_quality
@@ -46,6 +46,7 @@ def _frame_regime(w, frame) -> dict[str, Column]:
 
 def research_index(trades: DataFrame, interval: int, schedules: list[Schedule] = SCHEDULES) -> DataFrame:
     c = F.col
+    trades = indexed_once(trades, interval)  # candles and DNA come from one shuffle of the trades
     base = with_session(shape(build_candles(trades, interval).drop("first_us", "last_us")))
     s = Window.partitionBy(*SESSION).orderBy("start")
     whole = Window.partitionBy(*SESSION)
@@ -137,8 +138,8 @@ def compare(trades: DataFrame, interval: int, first: tuple[str, int], second: tu
     return both.withColumn("difference", F.abs(F.col("first_y") - F.col("second_y")))
 
 
-def similar(index: DataFrame, target: DataFrame, kind: str, limit: int = 8, *, other_sessions: bool = True, quality_only: bool = False, same_clock_minutes: int | None = None, same: tuple[str, ...] = ()) -> DataFrame:
-    """The ``limit`` candles of ``index`` most like the one row of ``target``; a scan with the target broadcast.
+def candidates(index: DataFrame, target: DataFrame, *, other_sessions: bool = True, quality_only: bool = False, same_clock_minutes: int | None = None, same: tuple[str, ...] = ()) -> DataFrame:
+    """The candles of ``index`` that the one row of ``target`` may be compared with, with the target's columns as ``t_``; the target is broadcast.
 
     ``same``: columns that must agree (volatility_bucket, session_regime, regime_medium).
     """
@@ -153,5 +154,17 @@ def similar(index: DataFrame, target: DataFrame, kind: str, limit: int = 8, *, o
         found = found.filter(F.abs(clock("start") - clock("t_start")) <= same_clock_minutes)
     for x in same:
         found = found.filter(F.col(x) == F.col(f"t_{x}"))
+    return found
+
+
+def low_quality(index: DataFrame, target: DataFrame, other_sessions: bool = True) -> DataFrame:
+    """One row: the candles looked at, those that ``quality_only`` leaves out, and whether the target's own session is eligible."""
+    found = candidates(index, target, other_sessions=other_sessions)
+    return found.agg(F.count("*").alias("looked_at"), F.count_if(~F.col("eligible")).alias("excluded_low_quality"), F.coalesce(F.bool_and("t_eligible"), F.lit(False)).alias("target_eligible"))
+
+
+def similar(index: DataFrame, target: DataFrame, kind: str, limit: int = 8, **filters) -> DataFrame:
+    """The ``limit`` candles of ``index`` most like the one row of ``target``, by one scan of the index; ``filters`` are those of ``candidates``."""
+    found = candidates(index, target, **filters)
     score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), (1 - F.round(distance(kind), 9)) * 100)), 1)
     return found.select(*CANDLE, score.alias("score")).orderBy(F.desc("score"), "start", "symbol").limit(max(1, min(limit, 50)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..schema import CANDLE, in_candle, indexed, when_chain, whole_candle
+from ..schema import CANDLE, in_candle, indexed, indexed_once, when_chain, whole_candle
 from .dna import candle_dna
 
 POINTS = 25
@@ -37,9 +37,12 @@ def trajectory_path(trades: DataFrame, interval: int, points: int = POINTS) -> D
     return t.select(*CANDLE, "point", y.alias("y"))
 
 
-def rule_family(trades: DataFrame, interval: int) -> DataFrame:
-    """The first rule that a candle fits, and its confidence."""
+def rule_family(trades: DataFrame, interval: int, dna: DataFrame | None = None) -> DataFrame:
+    """The first rule that a candle fits, and its confidence. ``dna``: that of the same trades, where it is there already."""
     c = F.col
+    if dna is None:
+        trades = indexed_once(trades, interval)
+        dna = candle_dna(trades, interval)
     half = F.floor(c("n") / 2)
     t = indexed(trades, interval).withColumn("n", F.count("*").over(whole_candle()))
     g = t.groupBy(*CANDLE).agg(
@@ -50,7 +53,7 @@ def rule_family(trades: DataFrame, interval: int) -> DataFrame:
         F.min(F.when(c("idx") <= half, c("price_ticks"))).alias("half_lo"),
         F.max(F.when(c("idx") <= half, c("price_ticks"))).alias("half_hi"),
     )
-    d = candle_dna(trades, interval).select(*CANDLE, c("directional_efficiency").alias("de"), c("reversal_rate").alias("rr"), (c("high_first") == "HIGH_FIRST").alias("high_first"), (c("high_first") == "LOW_FIRST").alias("low_first"))
+    d = dna.select(*CANDLE, c("directional_efficiency").alias("de"), c("reversal_rate").alias("rr"), (c("high_first") == "HIGH_FIRST").alias("high_first"), (c("high_first") == "LOW_FIRST").alias("low_first"))
     g = g.join(d, CANDLE).withColumn("rng", c("hi") - c("lo"))
     o, cl, hi, lo, rng, de, rr = (c(x) for x in ("o", "c", "hi", "lo", "rng", "de", "rr"))
     up, down = cl > o, cl < o
@@ -74,6 +77,12 @@ def rule_family(trades: DataFrame, interval: int) -> DataFrame:
     return g.select(*CANDLE, family.alias("family"), confidence.alias("confidence"))
 
 
+def eligible_families(families: DataFrame, index: DataFrame) -> DataFrame:
+    """Families without the candles whose session isn't eligible; a candle that the index doesn't have stays."""
+    gate = index.select(*CANDLE, F.col("eligible").alias("_eligible"))
+    return families.join(gate, CANDLE, "left").filter(F.coalesce("_eligible", F.lit(True))).drop("_eligible")
+
+
 def family_share(families: DataFrame) -> DataFrame:
     g = families.groupBy("symbol", "family").agg(F.count("*").alias("count"))
     return g.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy("symbol")))
@@ -81,6 +90,7 @@ def family_share(families: DataFrame) -> DataFrame:
 
 def signatures(trades: DataFrame, interval: int, points: int = POINTS) -> DataFrame:
     """``vector``: the path and six DNA features clipped to 1."""
+    trades = indexed_once(trades, interval)
     path = trajectory_path(trades, interval, points).groupBy(*CANDLE).agg(F.transform(F.array_sort(F.collect_list(F.struct("point", "y"))), lambda x: x["y"]).alias("path"))
     c = F.col
     clip = lambda x: F.least(x, F.lit(1.0))
@@ -109,7 +119,8 @@ def kmeans(vectors: DataFrame, k: int | None = None, max_iter: int = 80) -> tupl
     v = vectors.persist()
     n = v.count()
     if not n:
-        return v.select("*", F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("double").alias("distance")), []
+        v.unpersist()
+        return vectors.select("*", F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("double").alias("distance")), []
     k = max(1, min(k or max(2, min(8, round(n**0.5))), n))
     centroids = [list(v.orderBy("start", "symbol").first()["vector"])]
     while len(centroids) < k:
@@ -123,7 +134,8 @@ def kmeans(vectors: DataFrame, k: int | None = None, max_iter: int = 80) -> tupl
             break
         centroids = new
     centroids = sorted(centroids)
-    out = _nearest(v, centroids).select(*vectors.columns, (F.col("best.j") + 1).alias("cluster"), F.col("best.d").alias("distance"))
+    v.unpersist()
+    out = _nearest(vectors, centroids).select(*vectors.columns, (F.col("best.j") + 1).alias("cluster"), F.col("best.d").alias("distance"))
     return out, centroids
 
 

@@ -84,12 +84,22 @@ def stability(families: DataFrame, features: DataFrame | None = None) -> DataFra
     return g.select(*keys, "count", (c("count") / c("candles")).alias("share"), "sessions", "prevalence", "mean_session_share", "session_share_std", "consistency", "context_spread", "score", label.alias("label"))
 
 
-def distributions(families: DataFrame) -> DataFrame:
-    """Counts of each family by hour, part of the day and month, in long form."""
+def distributions(families: DataFrame, features: DataFrame | None = None) -> DataFrame:
+    """Counts of each family by hour, part of the day and month, and by volatility, medium regime and the session's regime where
+    ``features`` (a research index) has the candle; in long form."""
     rows = with_session(families)
-    kinds = F.array(
-        F.struct(F.lit("hour").alias("kind"), F.format_string("%02dh", F.floor(F.col("start") % 86_400 / 3600)).alias("value")),
-        F.struct(F.lit("daypart").alias("kind"), daypart(F.col("start")).alias("value")),
-        F.struct(F.lit("month").alias("kind"), F.date_format("session_date", "yyyy-MM").alias("value")),
+    contexts = {"volatility": "volatility_bucket", "context_regime": "regime_medium", "session_regime": "session_regime"}
+    if features is not None:
+        rows = rows.join(features.select("symbol", "start", *contexts.values()), ["symbol", "start"], "left")
+    else:
+        rows = rows.withColumns({c: F.lit(None).cast("string") for c in contexts.values()})
+    of = lambda kind, value: F.when(value.isNotNull(), F.struct(F.lit(kind).alias("kind"), value.alias("value")))
+    kinds = F.array_compact(
+        F.array(
+            of("hour", F.format_string("%02dh", F.floor(F.col("start") % 86_400 / 3600))),
+            of("daypart", daypart(F.col("start"))),
+            of("month", F.date_format("session_date", "yyyy-MM")),
+            *[of(kind, F.col(c)) for kind, c in contexts.items()],
+        )
     )
     return rows.select("symbol", "family", F.explode(kinds).alias("x")).groupBy("symbol", "family", "x.kind", "x.value").agg(F.count("*").alias("count"))

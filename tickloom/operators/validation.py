@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..schema import CANDLE
+from ..schema import CANDLE, indexed_once
 from .candles import build_candles
 from .interpret import _hypotheses
 from .quality import SESSION
@@ -12,6 +12,7 @@ from .research import with_session
 from .waves import RULES, WaveRules
 
 Z = 1.959963984540054
+#: The hypotheses that expect a rise, and those that expect a fall.
 UP = ["AGRESSAO_ALINHADA_ALTA", "ALTA_COM_DELTA_VENDEDOR", "REJEICAO_MINIMA"]
 DOWN = ["AGRESSAO_ALINHADA_BAIXA", "BAIXA_COM_DELTA_COMPRADOR", "REJEICAO_MAXIMA"]
 
@@ -73,6 +74,7 @@ def hypothesis_outcomes(trades: DataFrame, interval: int, horizons: list[int], r
     ``confidence`` is null in the row over all confidences, else that of the hypotheses it counts.
     """
     c = F.col
+    trades = indexed_once(trades, interval)  # gates, bars, phases, levels and waves come from one shuffle of the trades
     candles = gated(trades, interval, references, include_synthetic)
     wave = F.when(c("open_side") == "BUY", "UP").when(c("open_side") == "SELL", "DOWN")
     last = F.when(c("last_way") == "COMPRA", "UP").when(c("last_way") == "VENDA", "DOWN")

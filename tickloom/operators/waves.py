@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..schema import CANDLE, in_candle, indexed, ratio
 
@@ -144,31 +144,37 @@ def open_waves(trades: DataFrame, interval: int, rules: WaveRules = RULES) -> Da
     return all_waves(trades, interval, rules).filter("end_idx IS NULL").select(*CANDLE, "wave", "side", "start_idx", "peak_qty", "peak_dominance", "last_idx", F.lit("ABERTA_NO_FIM_DO_CANDLE").alias("status"))
 
 
-def future_range(price: Column, horizon: int) -> dict[str, Column]:
-    w = in_candle().rowsBetween(1, horizon)
-    return {"next_max": F.max(price).over(w), "next_min": F.min(price).over(w), "next_n": F.count(price).over(w), "next_prices": F.collect_list(price).over(w)}
-
-
 def wave_post_event(trades: DataFrame, interval: int, rules: WaveRules = RULES) -> DataFrame:
-    """What prices did in the trades after each wave's end. It looks ahead, for validation only."""
-    found = waves(trades, interval, rules)
-    t = indexed(trades, interval).withColumns(future_range(F.col("price_ticks"), rules.horizon))
-    t = t.join(found.select(*CANDLE, F.col("end_idx").alias("idx"), "wave", "side", "termination"), [*CANDLE, "idx"])
-    down, up = F.col("price_ticks") - F.col("next_min"), F.col("next_max") - F.col("price_ticks")
-    buy = F.col("side") == "BUY"
-    zero = lambda c: F.greatest(F.lit(0), F.coalesce(c, F.lit(0)))
-    t = t.withColumns({"max_reversal_ticks": zero(F.when(buy, down).otherwise(up)), "max_continuation_ticks": zero(F.when(buy, up).otherwise(down))})
-    back = lambda p: F.when(buy, F.col("price_ticks") - p).otherwise(p - F.col("price_ticks")) >= rules.reversal_ticks
-    first = F.array_position(F.transform("next_prices", back), True)
-    r, c = F.col("max_reversal_ticks"), F.col("max_continuation_ticks")
-    outcome = F.when(F.col("next_n") == 0, "SEM_JANELA_POSTERIOR").when((r >= rules.reversal_ticks) & (r > c), "REVERSAO_COMPATIVEL").when((c >= rules.reversal_ticks) & (c > r), "CONTINUACAO").otherwise("ESTAGNACAO_OU_DISPUTA")
-    return t.select(*CANDLE, "wave", "side", "termination", F.col("idx").alias("end_idx"), F.col("next_n").alias("observations"), "max_reversal_ticks", "max_continuation_ticks", F.nullif(first, F.lit(0)).alias("first_reversal_offset"), outcome.alias("outcome"))
+    """What prices did in the trades after each wave's end. It looks ahead, for validation only.
+
+    Each ended wave is joined with the places that follow its end, so only these trades are read further, not a window for every trade.
+    """
+    c = F.col
+    t = indexed(trades, interval)
+    found = waves(t, interval, rules).select(*CANDLE, "wave", "side", "termination", "end_idx", "end_price")
+    after = found.withColumn("idx", F.explode(F.sequence(c("end_idx") + 1, c("end_idx") + rules.horizon)))
+    x = found.join(after.select(*CANDLE, "wave", "idx").join(t.select(*CANDLE, "idx", "price_ticks"), [*CANDLE, "idx"]), [*CANDLE, "wave"], "left")
+    away = F.when(c("side") == "BUY", c("end_price") - c("price_ticks")).otherwise(c("price_ticks") - c("end_price"))  # positive: the price turned
+    g = x.groupBy(*CANDLE, "wave").agg(
+        *[F.first(k).alias(k) for k in ("side", "termination", "end_idx")],
+        F.count("price_ticks").alias("observations"),
+        F.greatest(F.lit(0), F.coalesce(F.max(away), F.lit(0))).alias("max_reversal_ticks"),
+        F.greatest(F.lit(0), F.coalesce(F.max(-away), F.lit(0))).alias("max_continuation_ticks"),
+        F.min(F.when(away >= rules.reversal_ticks, c("idx") - c("end_idx"))).alias("first_reversal_offset"),
+    )
+    r, k = c("max_reversal_ticks"), c("max_continuation_ticks")
+    outcome = F.when(c("observations") == 0, "SEM_JANELA_POSTERIOR").when((r >= rules.reversal_ticks) & (r > k), "REVERSAO_COMPATIVEL").when((k >= rules.reversal_ticks) & (k > r), "CONTINUACAO").otherwise("ESTAGNACAO_OU_DISPUTA")
+    return g.withColumn("outcome", outcome)
 
 
 def wave_agents(trades: DataFrame, interval: int, rules: WaveRules = RULES, limit: int = 5) -> DataFrame:
-    """The largest agents of each wave's side, from its start to its end."""
-    found = all_waves(trades, interval, rules).select(*CANDLE, "wave", "side", "start_idx", F.coalesce("end_idx", "last_idx").alias("to_idx"))
-    t = indexed(trades, interval).join(found, CANDLE).filter("idx BETWEEN start_idx AND to_idx AND aggressor = side")
+    """The largest agents of each wave's side, from its start to its end. A candle's waves don't overlap, so each trade takes the
+    last wave that started before it: waves are joined with the trades that start them, not with all of their candle."""
+    t = indexed(trades, interval)
+    mark = F.struct("wave", F.col("side").alias("wave_side"), F.coalesce("end_idx", "last_idx").alias("to_idx")).alias("mark")
+    starts = all_waves(t, interval, rules).select(*CANDLE, F.col("start_idx").alias("idx"), mark)
+    t = t.join(starts, [*CANDLE, "idx"], "left").withColumn("mark", F.last("mark", ignorenulls=True).over(in_candle().rowsBetween(Window.unboundedPreceding, 0)))
+    t = t.filter("idx <= mark.to_idx AND aggressor = mark.wave_side").select(*CANDLE, "mark.wave", F.col("mark.wave_side").alias("side"), "buyer_id", "seller_id", "quantity")
     agent = F.trim(F.coalesce(F.when(F.col("side") == "BUY", F.col("buyer_id")).otherwise(F.col("seller_id")), F.lit("")))
     g = t.groupBy(*CANDLE, "wave", "side", agent.alias("agent")).agg(F.sum("quantity").alias("quantity"), F.count("*").alias("trades"))
     one = Window.partitionBy(*CANDLE, "wave")

@@ -39,9 +39,11 @@ def micros(df: DataFrame, c: str = "ts") -> Column:
 
 
 def with_start(trades: DataFrame, interval: int) -> DataFrame:
-    """Adds ``us`` and the candle's ``start`` (epoch seconds, aligned to the epoch)."""
+    """Adds ``us`` and the candle's ``start`` (epoch seconds, aligned to the epoch). Trades that are ``indexed`` keep theirs."""
     if interval <= 0:
         raise ValueError("interval must be positive")
+    if "idx" in trades.columns:
+        return trades
     us = trades if "us" in trades.columns else trades.withColumn("us", micros(trades))
     return us.withColumn("start", (F.floor(F.floor(F.col("us") / 1_000_000) / interval) * interval).cast("long"))
 
@@ -52,17 +54,30 @@ def order() -> list[Column]:
     return [F.col("us"), F.coalesce("sequence_no", F.lit(LAST)), number.isNull().cast("int"), F.coalesce(number, F.lit(0)), F.coalesce("trade_id", F.lit(""))]
 
 
-def order_key() -> Column:
+def order_key(trades: DataFrame | None = None) -> Column:
+    """A key for ordered aggregates; of indexed trades their place, which needs no sort."""
+    if trades is not None and "idx" in trades.columns:
+        return F.col("idx")
     return F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order())])
 
 
 def indexed(trades: DataFrame, interval: int) -> DataFrame:
     """Trades with their candle's ``start`` and their place ``idx`` in it. Later windows partition by
-    the same keys and order by ``idx``, so they share its one shuffle."""
+    the same keys and order by ``idx``, so they share its one shuffle. Indexed trades are given back as they are: what
+    several operators take is indexed and written once (``indexed_once``), and then needs no shuffle or sort again."""
+    if "idx" in trades.columns:
+        return trades
     w = Window.partitionBy(*CANDLE).orderBy(*order())
     return with_start(trades, interval).withColumn("idx", F.row_number().over(w) - 1)
 
 
+def indexed_once(trades: DataFrame, interval: int) -> DataFrame:
+    """Indexed trades, written to the shared folder: for results that several aggregates of the same candles go into."""
+    from .sources.scratch import cut
+
+    return trades if "idx" in trades.columns else cut(indexed(trades, interval))
+
+
 def in_candle() -> Window:
     return Window.partitionBy(*CANDLE).orderBy("idx")
 

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.candles import build_candles
 
 TICK = 0.01
+#: Schemas by path, so that each file's footer is read once.
+_SCHEMAS: dict[str, T.StructType] = {}
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as trades of two symbols."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    path = f"{sf_dir}/events.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    e = spark.read.schema(_SCHEMAS[path]).parquet(path)
     k = F.get_json_object("props", "$.k").cast("long")
     blank = F.col("event_id") % 11 == 0
     return e.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -19,3 +19,9 @@ def shared_folder(spark: SparkSession) -> str:
             folder = tempfile.mkdtemp(prefix="tickloom-")
         sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written to the shared folder, so that a lost executor costs no recomputation. It keeps its partitioning and order."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
