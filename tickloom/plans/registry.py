@@ -11,6 +11,7 @@ from ..operators import aggression, candles, dna, efficiency, interpret, quality
 from ..sources import csv_trades, driver_tables, store
 from ..sources.scratch import shared_folder
 from ..schema import is_rlp, micros
+from . import sql as queries_sql
 from .sql import N, sql
 
 HORIZONS = [1, 3, 5]
@@ -91,10 +92,23 @@ add(
     f"{ID}; idx; buy=CAST(coalesce(sum(q) FILTER (WHERE side = 'BUY') OVER w, 0) AS BIGINT); sell=CAST(coalesce(sum(q) FILTER (WHERE side = 'SELL') OVER w, 0) AS BIGINT); total=CAST(sum(q) OVER w AS BIGINT); ~signed_dominance=coalesce(sum(CASE side WHEN 'BUY' THEN q WHEN 'SELL' THEN -q ELSE 0 END) OVER w / nullif(sum(CASE WHEN side <> 'NONE' THEN q ELSE 0 END) OVER w, 0), 0); ~coverage=sum(CASE WHEN side <> 'NONE' THEN q ELSE 0 END) OVER w / sum(q) OVER w",
     "FROM b WINDOW w AS (PARTITION BY symbol, start ORDER BY idx ROWS BETWEEN 24 PRECEDING AND CURRENT ROW)",
 )
-add("waves", lambda t: waves.waves(t, DAY_S), f"{ID}; wave; side; start_idx; peak_idx; peak_qty; ~peak_dominance; end_idx; termination; end_side_qty; end_opposite_qty; ~end_coverage; ~end_dominance; ~pressure_decay")
-add("open_waves", lambda t: waves.open_waves(t, DAY_S), f"{ID}; wave; side; start_idx; peak_qty; ~peak_dominance; last_idx; status")
-add("wave_post_event", lambda t: waves.wave_post_event(t, DAY_S), f"{ID}; wave; side; termination; end_idx; observations; max_reversal_ticks; max_continuation_ticks; first_reversal_offset; outcome")
-add("wave_agents", lambda t: waves.wave_agents(t, DAY_S), f"{ID}; wave; side; agent; quantity; trades; ~share; rank")
+DAILY_WAVES = queries_sql.waves("wv", DAY_S, waves.RULES)
+SHORT_WAVES = queries_sql.waves("wn", N, waves.RULES)
+add("waves", lambda t: waves.waves(t, DAY_S), f"{ID}; wave; side; start_idx; peak_idx; peak_qty; ~peak_dominance; end_idx; termination; end_side_qty; end_opposite_qty; ~end_coverage; ~end_dominance; ~pressure_decay", "FROM wv WHERE end_idx IS NOT NULL", *DAILY_WAVES)
+add("open_waves", lambda t: waves.open_waves(t, DAY_S), f"{ID}; wave; side; start_idx; peak_qty; ~peak_dominance; last_idx; status='ABERTA_NO_FIM_DO_CANDLE'", "FROM wv WHERE end_idx IS NULL", *DAILY_WAVES)
+add("wave_post_event", lambda t: waves.wave_post_event(t, DAY_S), f"{ID}; wave; side; termination; end_idx; observations; max_reversal_ticks; max_continuation_ticks; first_reversal_offset; outcome=CASE WHEN observations = 0 THEN 'SEM_JANELA_POSTERIOR' WHEN max_reversal_ticks >= 2 AND max_reversal_ticks > max_continuation_ticks THEN 'REVERSAO_COMPATIVEL' WHEN max_continuation_ticks >= 2 AND max_continuation_ticks > max_reversal_ticks THEN 'CONTINUACAO' ELSE 'ESTAGNACAO_OU_DISPUTA' END",
+    """FROM (SELECT v.symbol, v.start, v.wave, any_value(v.side) AS side, any_value(v.termination) AS termination, any_value(v.end_idx) AS end_idx, count(b.p) AS observations,
+      greatest(0, coalesce(max(CASE v.side WHEN 'BUY' THEN v.end_price - b.p ELSE b.p - v.end_price END), 0)) AS max_reversal_ticks, greatest(0, coalesce(max(CASE v.side WHEN 'BUY' THEN b.p - v.end_price ELSE v.end_price - b.p END), 0)) AS max_continuation_ticks,
+      min(b.idx - v.end_idx) FILTER (WHERE CASE v.side WHEN 'BUY' THEN v.end_price - b.p ELSE b.p - v.end_price END >= 2) AS first_reversal_offset
+      FROM wv v LEFT JOIN wv_b b ON b.symbol = v.symbol AND b.start = v.start AND b.idx BETWEEN v.end_idx + 1 AND v.end_idx + 50 WHERE v.end_idx IS NOT NULL GROUP BY v.symbol, v.start, v.wave)""",
+    *DAILY_WAVES,
+)
+add("wave_agents", lambda t: waves.wave_agents(t, DAY_S), f"{ID}; wave; side; agent; quantity=CAST(q_ AS BIGINT); trades=n_; ~share; rank",
+    """FROM (SELECT *, row_number() OVER (PARTITION BY symbol, start, wave ORDER BY q_ DESC, agent) AS rank FROM (SELECT *, q_ / sum(q_) OVER (PARTITION BY symbol, start, wave) AS share FROM (
+      SELECT v.symbol, v.start, v.wave, v.side, CASE v.side WHEN 'BUY' THEN b.buyer ELSE b.seller END AS agent, sum(b.q) AS q_, count(*) AS n_
+      FROM wv v JOIN wv_b b ON b.symbol = v.symbol AND b.start = v.start AND b.trade_side = v.side AND b.idx BETWEEN v.start_idx AND coalesce(v.end_idx, v.last_idx) GROUP BY ALL)) WHERE agent <> '') WHERE rank <= 5""",
+    *DAILY_WAVES,
+)
 add("flow_phases", lambda t: efficiency.flow_phases(t, N), f"{ID}; phase_no; phase; trades; volume; buy; sell; directed; delta; flow_direction; ~dominance; price_change; ~seconds; ~contracts_per_second; ~buy_response; ~sell_response; ~response; ~effort_vs_median; label", "FROM ph")
 add("effort_events", lambda t: efficiency.effort_events(efficiency.flow_phases(t, N)), f"{ID}; phase; side=flow_direction; ~effort_vs_median; label; price_change; directed", "FROM eff")
 add("efficiency_decay", lambda t: efficiency.efficiency_decay(efficiency.flow_phases(t, N)), f"{ID}; side; code='PERDA_EFICIENCIA_' || side; from_phase; to_phase; ~initial_efficiency=r0; ~final_efficiency=r1; ~efficiency_ratio; initial_volume=v0; final_volume=v1; not_collapsed=v1 >= v0 * 0.8", "FROM dec")
@@ -127,6 +141,14 @@ FACTS = """SELECT symbol, start, 'GEOMETRIA' AS code, c - o AS a, CAST(h - l AS
     UNION ALL SELECT symbol, start, 'NIVEL_MAIS_AGREDIDO', arg_max(p, (directed, abs(delta), volume, p)), max(directed), arg_max(direction, (directed, abs(delta), volume, p)) FROM lv WHERE directed > 0 GROUP BY symbol, start
     UNION ALL SELECT symbol, start, 'AGENTE', q_, share, side || ' ' || agent FROM ar WHERE rank = 1"""
 FACTS = FACTS.format(zone=ZONE, severity=SEVERITY.format("max(score)"))
+add(
+    "facts_with_waves",
+    lambda t: interpret.facts(t, DAY_S).filter("code IN ('ULTIMO_TERMINO_ONDA', 'ONDA_ABERTA_FECHAMENTO')"),
+    f"{ID}; code; ~a; ~b; detail",
+    """FROM (SELECT symbol, start, 'ULTIMO_TERMINO_ONDA' AS code, arg_max(pressure_decay, wave) AS a, max(end_idx) AS b, arg_max(side || ' ' || termination, wave) AS detail FROM wv WHERE end_idx IS NOT NULL GROUP BY symbol, start
+      UNION ALL SELECT symbol, start, 'ONDA_ABERTA_FECHAMENTO', start_idx, peak_qty, side FROM wv WHERE end_idx IS NULL)""",
+    *DAILY_WAVES,
+)
 add("facts_flow", lambda t: interpret.facts(t, N, rules=None), f"{ID}; code; ~a; ~b; detail", f"FROM ({FACTS})", AGENTS.format(k="symbol, start"))
 CODES = ["AGRESSAO_ALINHADA_ALTA", "AGRESSAO_ALINHADA_BAIXA", "ALTA_COM_DELTA_VENDEDOR", "BAIXA_COM_DELTA_COMPRADOR", "ESFORCO_AGRESSOR_SEM_RESULTADO", "PERDA_EFICIENCIA_FLUXO", "REJEICAO_MAXIMA", "REJEICAO_MINIMA", "ONDA_ABERTA_SUSTENTA_FECHAMENTO", "DISPUTA_EQUILIBRADA", "MUDANCA_CONTROLE_INTRABAR"]
 PLACED = f"hypp AS (SELECT *, list_position({CODES!r}, code) AS place FROM {{hyp}})"
@@ -134,7 +156,7 @@ CONF = "CASE WHEN score >= 0.72 THEN 'FORTE' WHEN score >= 0.48 THEN 'MODERADA'
 add("hypotheses", lambda t: interpret.hypotheses(t, N, rules=None), f"{ID}; code; ~score; confidence={CONF}", "FROM hyp")
 SYN = "FROM (SELECT *, row_number() OVER (PARTITION BY symbol, start ORDER BY round(score, 9) DESC, place) AS rank FROM hypp) GROUP BY symbol, start"
 add("synthesis", lambda t: interpret.synthesis(interpret.hypotheses(t, N, rules=None)), f"{ID}; first_code=max(code) FILTER (WHERE rank = 1); second_code=max(code) FILTER (WHERE rank = 2); ~best_score=max(score)", SYN, PLACED.format(hyp="hyp"))
-add("hypotheses_with_waves", lambda t: interpret.hypotheses(t, N), f"{ID}; code; ~score; confidence; rank")
+add("hypotheses_with_waves", lambda t: interpret.hypotheses(t, N), f"{ID}; code; ~score; confidence={CONF}; rank", "FROM (SELECT *, row_number() OVER (PARTITION BY symbol, start ORDER BY round(score, 9) DESC, place) AS rank FROM hypp)", *SHORT_WAVES, queries_sql.with_waves("wn"), PLACED.format(hyp="hypw"))
 add(
     "session_quality",
     lambda t: quality.session_quality(t, DAILY),
@@ -282,7 +304,12 @@ add(
     "FROM hb",
     OUT,
 )
-add("hypothesis_outcomes_with_waves", lambda t, r: validation.hypothesis_outcomes(t, N, HORIZONS, r), "symbol; code; horizon; way; confidence; n; hits; ~hit_rate; ~wilson_low; ~wilson_high; ~lift_points")
+add("hypothesis_outcomes_with_waves", lambda t, r: validation.hypothesis_outcomes(t, N, HORIZONS, r), f"symbol; code; horizon; way; confidence; n; hits; ~hit_rate=hits / n; ~wilson_low=greatest(0.0, {WIL.format('-')}); ~wilson_high=least(1.0, {WIL.format('+')}); ~lift_points=(hits / n - base) * 100",
+    "FROM hb",
+    *SHORT_WAVES,
+    queries_sql.with_waves("wn"),
+    OUT.replace("hyp.*", "hypw.*").replace("FROM hyp LEFT", "FROM hypw LEFT").replace("  WHEN code = 'MUDANCA", "  WHEN code = 'ONDA_ABERTA_SUSTENTA_FECHAMENTO' THEN CASE open_side WHEN 'BUY' THEN 'UP' ELSE 'DOWN' END WHEN code = 'MUDANCA"),
+)
 add("counterfactual_paths", lambda t: simulate.path_checks(candles.build_candles(t, N)), f"{ID}; points=64; from_open=true; to_close=true; up_to_high=true; down_to_low=true; label='SIMULATED'", "FROM c")
 add(
     "import_diagnostics",

@@ -6,6 +6,28 @@ N = 14_400
 ID = "symbol, start"
 DAY = "date '1970-01-01' + CAST(start // 86400 AS INTEGER)"
 
+HYPOTHESES = """hyp AS (
+  SELECT c.symbol, c.start, x.code, x.score FROM c JOIN f USING (symbol, start)
+  JOIN (SELECT symbol, start, arg_min(way, phase_no) AS w0, arg_max(way, phase_no) AS w1, count(*) AS np FROM (
+        SELECT symbol, start, phase_no, CASE WHEN directed = 0 THEN '-' WHEN dominance < 0.15 THEN '=' WHEN delta > 0 THEN 'COMPRA' ELSE 'VENDA' END AS way FROM ph) GROUP BY ALL) e USING (symbol, start)
+  LEFT JOIN (SELECT symbol, start, max(effort_vs_median) AS effort FROM eff GROUP BY ALL) ef USING (symbol, start)
+  LEFT JOIN (SELECT symbol, start, min(CASE WHEN efficiency_ratio = 0 THEN 1 ELSE efficiency_ratio END) AS fall FROM dec GROUP BY ALL) de USING (symbol, start)
+  LEFT JOIN (SELECT lv.symbol, lv.start, bool_or(h - p <= 1) AS nh, bool_or(p - l <= 1) AS nl FROM lv JOIN c USING (symbol, start) WHERE response = 'POSSIVEL_ABSORCAO' GROUP BY ALL) ab USING (symbol, start),
+  LATERAL (SELECT h - l AS sp, coalesce(abs(delta) / nullif(directed, 0), 0) AS st, CASE WHEN h = l THEN 'CENTRO' WHEN (c.c - l) / (h - l) >= 0.8 THEN 'TOPO' WHEN (c.c - l) / (h - l) <= 0.2 THEN 'FUNDO' ELSE 'MEIO' END AS zone) g,
+  LATERAL (
+    SELECT 'AGRESSAO_ALINHADA_ALTA' AS code, 0.35 + 0.30 * st + 0.20 * coverage + CASE WHEN zone = 'TOPO' THEN 0.12 ELSE 0 END AS score WHERE c.c > o AND delta > 0
+    UNION ALL SELECT 'AGRESSAO_ALINHADA_BAIXA', 0.35 + 0.30 * st + 0.20 * coverage + CASE WHEN zone = 'FUNDO' THEN 0.12 ELSE 0 END WHERE c.c < o AND delta < 0
+    UNION ALL SELECT 'ALTA_COM_DELTA_VENDEDOR', 0.38 + 0.25 * st + 0.18 * coverage WHERE c.c > o AND delta < 0
+    UNION ALL SELECT 'BAIXA_COM_DELTA_COMPRADOR', 0.38 + 0.25 * st + 0.18 * coverage WHERE c.c < o AND delta > 0
+    UNION ALL SELECT 'ESFORCO_AGRESSOR_SEM_RESULTADO', 0.48 + least(0.22, effort * 0.10) + 0.15 * coverage WHERE effort IS NOT NULL
+    UNION ALL SELECT 'PERDA_EFICIENCIA_FLUXO', 0.58 + least(0.20, (1 - greatest(0.0, fall)) * 0.20) WHERE fall IS NOT NULL
+    UNION ALL SELECT 'REJEICAO_MAXIMA', 0.58 + least(0.18, (h - greatest(o, c.c)) / greatest(sp, 1) * 0.20) + 0.10 WHERE (h - greatest(o, c.c)) / greatest(sp, 1) >= 0.25 AND nh
+    UNION ALL SELECT 'REJEICAO_MINIMA', 0.58 + least(0.18, (least(o, c.c) - l) / greatest(sp, 1) * 0.20) + 0.10 WHERE (least(o, c.c) - l) / greatest(sp, 1) >= 0.25 AND nl
+    UNION ALL SELECT 'DISPUTA_EQUILIBRADA', 0.60 + 0.15 * coverage WHERE directed > 0 AND st < 0.15 AND zone = 'MEIO'
+    UNION ALL SELECT 'MUDANCA_CONTROLE_INTRABAR', 0.66 WHERE np >= 3 AND w0 <> w1 AND w0 IN ('COMPRA', 'VENDA') AND w1 IN ('COMPRA', 'VENDA')
+  ) x
+)"""
+
 BASE = f"""
 t AS (
   SELECT 'SYM' || (user_id % 2) AS symbol, epoch_us(ts) AS us, CAST(ts AS DATE) AS session_date,
@@ -261,27 +283,7 @@ nx AS (
   SELECT *, CASE WHEN lead(start) OVER w = start + {N} THEN lead(family) OVER w END AS f1, CASE WHEN lead(start) OVER w = start + {N} AND lead(start, 2) OVER w = start + 2 * {N} THEN lead(family, 2) OVER w END AS f2
   FROM famx WINDOW w AS (PARTITION BY symbol, session_date ORDER BY start)
 ),
-hyp AS (
-  SELECT c.symbol, c.start, x.code, x.score FROM c JOIN f USING (symbol, start)
-  JOIN (SELECT symbol, start, arg_min(way, phase_no) AS w0, arg_max(way, phase_no) AS w1, count(*) AS np FROM (
-        SELECT symbol, start, phase_no, CASE WHEN directed = 0 THEN '-' WHEN dominance < 0.15 THEN '=' WHEN delta > 0 THEN 'COMPRA' ELSE 'VENDA' END AS way FROM ph) GROUP BY ALL) e USING (symbol, start)
-  LEFT JOIN (SELECT symbol, start, max(effort_vs_median) AS effort FROM eff GROUP BY ALL) ef USING (symbol, start)
-  LEFT JOIN (SELECT symbol, start, min(CASE WHEN efficiency_ratio = 0 THEN 1 ELSE efficiency_ratio END) AS fall FROM dec GROUP BY ALL) de USING (symbol, start)
-  LEFT JOIN (SELECT lv.symbol, lv.start, bool_or(h - p <= 1) AS nh, bool_or(p - l <= 1) AS nl FROM lv JOIN c USING (symbol, start) WHERE response = 'POSSIVEL_ABSORCAO' GROUP BY ALL) ab USING (symbol, start),
-  LATERAL (SELECT h - l AS sp, coalesce(abs(delta) / nullif(directed, 0), 0) AS st, CASE WHEN h = l THEN 'CENTRO' WHEN (c.c - l) / (h - l) >= 0.8 THEN 'TOPO' WHEN (c.c - l) / (h - l) <= 0.2 THEN 'FUNDO' ELSE 'MEIO' END AS zone) g,
-  LATERAL (
-    SELECT 'AGRESSAO_ALINHADA_ALTA' AS code, 0.35 + 0.30 * st + 0.20 * coverage + CASE WHEN zone = 'TOPO' THEN 0.12 ELSE 0 END AS score WHERE c.c > o AND delta > 0
-    UNION ALL SELECT 'AGRESSAO_ALINHADA_BAIXA', 0.35 + 0.30 * st + 0.20 * coverage + CASE WHEN zone = 'FUNDO' THEN 0.12 ELSE 0 END WHERE c.c < o AND delta < 0
-    UNION ALL SELECT 'ALTA_COM_DELTA_VENDEDOR', 0.38 + 0.25 * st + 0.18 * coverage WHERE c.c > o AND delta < 0
-    UNION ALL SELECT 'BAIXA_COM_DELTA_COMPRADOR', 0.38 + 0.25 * st + 0.18 * coverage WHERE c.c < o AND delta > 0
-    UNION ALL SELECT 'ESFORCO_AGRESSOR_SEM_RESULTADO', 0.48 + least(0.22, effort * 0.10) + 0.15 * coverage WHERE effort IS NOT NULL
-    UNION ALL SELECT 'PERDA_EFICIENCIA_FLUXO', 0.58 + least(0.20, (1 - greatest(0.0, fall)) * 0.20) WHERE fall IS NOT NULL
-    UNION ALL SELECT 'REJEICAO_MAXIMA', 0.58 + least(0.18, (h - greatest(o, c.c)) / greatest(sp, 1) * 0.20) + 0.10 WHERE (h - greatest(o, c.c)) / greatest(sp, 1) >= 0.25 AND nh
-    UNION ALL SELECT 'REJEICAO_MINIMA', 0.58 + least(0.18, (least(o, c.c) - l) / greatest(sp, 1) * 0.20) + 0.10 WHERE (least(o, c.c) - l) / greatest(sp, 1) >= 0.25 AND nl
-    UNION ALL SELECT 'DISPUTA_EQUILIBRADA', 0.60 + 0.15 * coverage WHERE directed > 0 AND st < 0.15 AND zone = 'MEIO'
-    UNION ALL SELECT 'MUDANCA_CONTROLE_INTRABAR', 0.66 WHERE np >= 3 AND w0 <> w1 AND w0 IN ('COMPRA', 'VENDA') AND w1 IN ('COMPRA', 'VENDA')
-  ) x
-),
+{HYPOTHESES},
 el AS (
   SELECT c.*, {DAY.replace('start', 'c.start')} AS session_date FROM c JOIN refs ON refs.symbol = c.symbol AND refs.start = c.start AND refs.o = c.o AND refs.h = c.h AND refs.l = c.l AND refs.c = c.c AND refs.v = c.v
 ),
@@ -295,4 +297,61 @@ bl AS (SELECT symbol, horizon, count(*) AS eligible, count(*) FILTER (WHERE delt
 
 
 def sql(body: str, *more: str) -> str:
-    return f"WITH {', '.join([BASE.strip(), *more])}\n{body}"
+    recursive = "RECURSIVE " if any("_s AS (" in x for x in more) else ""
+    return f"WITH {recursive}{', '.join([BASE.strip(), *more])}\n{body}"
+
+
+def waves(name: str, interval: int, rules) -> list[str]:
+    """The wave detector by recursion over each candle's trades: ``{name}_b`` (trades), ``{name}_s`` (a state for each trade, with the wave
+    that it ends), ``{name}`` (ended and open waves)."""
+    w = f"(PARTITION BY symbol, start ORDER BY idx ROWS BETWEEN {rules.window - 1} PRECEDING AND CURRENT ROW)"
+    return [
+        f"""{name}_b AS MATERIALIZED (
+  SELECT symbol, start, idx, p, q, side AS trade_side, buyer, seller, CAST(buy AS BIGINT) AS buy, CAST(sell AS BIGINT) AS sell, CASE WHEN buy + sell > 0 THEN (buy - sell) / (buy + sell) ELSE 0.0 END AS dom, (buy + sell) / total AS cov
+  FROM (SELECT *, coalesce(sum(q) FILTER (WHERE side = 'BUY') OVER w, 0) AS buy, coalesce(sum(q) FILTER (WHERE side = 'SELL') OVER w, 0) AS sell, sum(q) OVER w AS total
+        FROM (SELECT *, row_number() OVER (PARTITION BY symbol, start ORDER BY us, seq) - 1 AS idx FROM (SELECT * REPLACE (us // 1000000 // {interval} * {interval} AS start) FROM t)) WINDOW w AS {w})
+)""",
+        f"""{name}_s AS (
+  SELECT symbol, start, CAST(-1 AS BIGINT) AS idx, CAST(NULL AS VARCHAR) AS side, CAST(NULL AS VARCHAR) AS ending, CAST(NULL AS VARCHAR) AS leaning, CAST(0 AS BIGINT) AS first_i, CAST(0 AS BIGINT) AS run,
+         CAST(0 AS BIGINT) AS s0, CAST(0 AS BIGINT) AS pk_i, CAST(0 AS BIGINT) AS pk_q, CAST(0 AS DOUBLE) AS pk_d, CAST(0 AS BIGINT) AS wave,
+         CAST(NULL AS VARCHAR) AS e_side, CAST(NULL AS BIGINT) AS e_s0, CAST(NULL AS BIGINT) AS e_pk_i, CAST(NULL AS BIGINT) AS e_pk_q, CAST(NULL AS DOUBLE) AS e_pk_d, CAST(NULL AS VARCHAR) AS e_type,
+         CAST(NULL AS BIGINT) AS e_qty, CAST(NULL AS BIGINT) AS e_oth, CAST(NULL AS DOUBLE) AS e_cov, CAST(NULL AS DOUBLE) AS e_dom, CAST(NULL AS DOUBLE) AS e_decay
+  FROM (SELECT DISTINCT symbol, start FROM {name}_b)
+  UNION ALL
+  SELECT symbol, start, idx, CASE WHEN ends THEN NULL WHEN begins THEN lside ELSE side END, CASE WHEN ends OR begins OR early THEN CASE WHEN early THEN ending END WHEN side IS NULL THEN ending ELSE kind END,
+         CASE WHEN early THEN leaning WHEN ends OR begins THEN NULL WHEN side IS NULL THEN lside ELSE leaning END, CASE WHEN early OR side IS NOT NULL THEN first_i ELSE nfirst END,
+         CASE WHEN early THEN run WHEN ends OR begins THEN 0 ELSE nrun END, CASE WHEN begins THEN nfirst ELSE s0 END, CASE WHEN begins THEN idx ELSE npk_i END, CASE WHEN begins THEN lqty ELSE npk_q END, CASE WHEN begins THEN abs(dom) ELSE npk_d END,
+         wave + CASE WHEN ends THEN 1 ELSE 0 END, CASE WHEN ends THEN side END, CASE WHEN ends THEN s0 END, CASE WHEN ends THEN npk_i END, CASE WHEN ends THEN npk_q END, CASE WHEN ends THEN npk_d END, CASE WHEN ends THEN kind END,
+         CASE WHEN ends THEN qty END, CASE WHEN ends THEN oth END, CASE WHEN ends THEN cov END, CASE WHEN ends THEN dom END, CASE WHEN ends THEN 1.0 - least(qty / greatest(npk_q, 1), 1.0) END
+  FROM (SELECT *, NOT early AND side IS NULL AND lside IS NOT NULL AND nrun >= {rules.confirm_start} AS begins, NOT early AND side IS NOT NULL AND kind IS NOT NULL AND nrun >= {rules.confirm_end} AS ends
+    FROM (SELECT *, CASE WHEN side IS NULL THEN CASE WHEN lside IS NULL THEN 0 WHEN lside = leaning THEN run + 1 ELSE 1 END WHEN kind IS NULL THEN 0 WHEN kind = ending THEN run + 1 ELSE 1 END AS nrun,
+                 CASE WHEN lside IS NULL OR lside IS DISTINCT FROM leaning THEN idx ELSE first_i END AS nfirst
+      FROM (SELECT *, CASE WHEN side IS NOT NULL AND NOT early THEN CASE WHEN cov >= {rules.coverage} AND -same >= {rules.takeover} THEN 'TROCA_CONTROLE' WHEN same <= {rules.release} THEN CASE WHEN qty / greatest(npk_q, 1) <= {rules.decay} THEN 'EXAUSTAO' ELSE 'NEUTRALIZACAO' END END END AS kind
+        FROM (SELECT *, CASE WHEN side IS NOT NULL AND NOT early AND qty > pk_q THEN idx ELSE pk_i END AS npk_i, CASE WHEN side IS NOT NULL AND NOT early THEN greatest(pk_q, qty) ELSE pk_q END AS npk_q, CASE WHEN side IS NOT NULL AND NOT early THEN greatest(pk_d, same) ELSE pk_d END AS npk_d
+          FROM (SELECT s.symbol, s.start, n.idx, s.side, s.ending, s.leaning, s.first_i, s.run, s.s0, s.pk_i, s.pk_q, s.pk_d, s.wave, n.dom, n.cov, n.idx + 1 < {rules.window} AS early,
+                       CASE s.side WHEN 'BUY' THEN n.buy ELSE n.sell END AS qty, CASE s.side WHEN 'BUY' THEN n.sell ELSE n.buy END AS oth, CASE s.side WHEN 'BUY' THEN n.dom ELSE -n.dom END AS same,
+                       CASE WHEN n.cov >= {rules.coverage} THEN CASE WHEN n.dom >= {rules.activate} THEN 'BUY' WHEN n.dom <= -{rules.activate} THEN 'SELL' END END AS lside, CASE WHEN n.dom > 0 THEN n.buy ELSE n.sell END AS lqty
+                FROM {name}_s s JOIN {name}_b n ON n.symbol = s.symbol AND n.start = s.start AND n.idx = s.idx + 1)))))
+)""",
+        f"""{name} AS MATERIALIZED (
+  SELECT symbol, start, wave - 1 AS wave, e_side AS side, e_s0 AS start_idx, e_pk_i AS peak_idx, e_pk_q AS peak_qty, e_pk_d AS peak_dominance, idx AS end_idx, e_type AS termination, e_qty AS end_side_qty,
+         e_oth AS end_opposite_qty, e_cov AS end_coverage, e_dom AS end_dominance, e_decay AS pressure_decay, p AS end_price, idx AS last_idx
+  FROM {name}_s JOIN {name}_b USING (symbol, start, idx) WHERE e_side IS NOT NULL
+  UNION ALL SELECT symbol, start, wave, side, s0, pk_i, pk_q, pk_d, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, idx
+  FROM {name}_s WHERE side IS NOT NULL AND idx = (SELECT max(idx) FROM {name}_b b WHERE b.symbol = {name}_s.symbol AND b.start = {name}_s.start)
+)""",
+    ]
+
+
+def with_waves(waves_: str) -> str:
+    """The hypotheses with the evidence of waves, as ``hypw``."""
+    out = HYPOTHESES.replace("hyp AS (", "hypw AS (", 1)
+    joined = f"""LEFT JOIN (SELECT symbol, start, max(end_price) FILTER (WHERE end_idx IS NOT NULL AND side = 'BUY') AS be, min(end_price) FILTER (WHERE end_idx IS NOT NULL AND side = 'SELL') AS se,
+    max(side) FILTER (WHERE end_idx IS NULL) AS open_side FROM {waves_} GROUP BY ALL) wz USING (symbol, start),
+  LATERAL (SELECT h - l AS sp"""
+    out = out.replace(",\n  LATERAL (SELECT h - l AS sp", "\n  " + joined, 1)
+    out = out.replace("* 0.20) + 0.10 WHERE (h - greatest(o, c.c)) / greatest(sp, 1) >= 0.25 AND nh", "* 0.20) + 0.10 * CAST(coalesce(nh, false) AS INTEGER) + 0.10 * CAST(coalesce(h - be <= 2, false) AS INTEGER) WHERE (h - greatest(o, c.c)) / greatest(sp, 1) >= 0.25 AND (coalesce(nh, false) OR coalesce(h - be <= 2, false))")
+    out = out.replace("* 0.20) + 0.10 WHERE (least(o, c.c) - l) / greatest(sp, 1) >= 0.25 AND nl", "* 0.20) + 0.10 * CAST(coalesce(nl, false) AS INTEGER) + 0.10 * CAST(coalesce(se - l <= 2, false) AS INTEGER) WHERE (least(o, c.c) - l) / greatest(sp, 1) >= 0.25 AND (coalesce(nl, false) OR coalesce(se - l <= 2, false))")
+    held = "UNION ALL SELECT 'ONDA_ABERTA_SUSTENTA_FECHAMENTO', 0.62 + 0.15 * coverage WHERE open_side = 'BUY' AND (c.c > o OR zone = 'TOPO') OR open_side = 'SELL' AND (c.c < o OR zone = 'FUNDO')\n    "
+    out = out.replace("UNION ALL SELECT 'DISPUTA_EQUILIBRADA'", held + "UNION ALL SELECT 'DISPUTA_EQUILIBRADA'", 1)
+    return out.replace("SELECT c.symbol, c.start, x.code, x.score FROM", "SELECT c.symbol, c.start, x.code, x.score, wz.open_side FROM", 1)
