@@ -138,7 +138,9 @@ def test_interpretation(spark):
     assert one(interpret.evidence_quality(few, 60)).label == "LIMITADA"
     none = trades(spark, [(i, 100 + i, 10, "NONE", "") for i in range(12)])
     assert one(interpret.evidence_quality(none, 60)).label == "INDISPONIVEL"
-    assert {r.code for r in interpret.facts(none, 60).collect()} == {"GEOMETRIA"}  # unavailable isn't zero
+    told = {r.code: r for r in interpret.facts(none, 60).collect()}
+    assert set(told) == {"GEOMETRIA", "AGRESSAO_TOTAL", "COMPOSICAO_AGRESSAO", "EFICIENCIA_FLUXO"}
+    assert told["AGRESSAO_TOTAL"].detail == "false" and told["EFICIENCIA_FLUXO"].b is None  # unavailable isn't zero
 
 
 def test_two_symbols_are_two_runs(spark):

@@ -155,6 +155,30 @@ PLACED = f"hypp AS (SELECT *, list_position({CODES!r}, code) AS place FROM {{hyp
 CONF = "CASE WHEN score >= 0.72 THEN 'FORTE' WHEN score >= 0.48 THEN 'MODERADA' ELSE 'FRACA' END"
 add("hypotheses", lambda t: interpret.hypotheses(t, N, rules=None), f"{ID}; code; ~score; confidence={CONF}", "FROM hyp")
 SYN = "FROM (SELECT *, row_number() OVER (PARTITION BY symbol, start ORDER BY round(score, 9) DESC, place) AS rank FROM hypp) GROUP BY symbol, start"
+DETAIL = "symbol; start; ~open_price=round(o * 0.01, 10); ~close_price=round(c * 0.01, 10); n_levels; ~level_volume; n_phases; n_events; n_flags; n_waves; n_facts; first_hypothesis; n_timeline=k; n_path=64; range_ticks=h - l"
+add(
+    "candle_detail",
+    lambda t: interpret.candle_detail(t, N, driver_tables.TICK).select(
+        "symbol",
+        "start",
+        "open_price",
+        "close_price",
+        *[F.coalesce(F.size(x), F.lit(0)).cast("long").alias(f"n_{n}") for n, x in (("levels", "levels"), ("phases", "phases"), ("events", "events"), ("flags", "paradox"), ("waves", "waves"), ("facts", "facts"), ("timeline", "timeline"), ("path", "counterfactual"))],
+        F.aggregate("levels", F.lit(0).cast("long"), lambda a, x: a + x["volume"]).alias("level_volume"),
+        F.try_element_at("hypotheses", F.lit(1))["code"].alias("first_hypothesis"),
+        "dna.range_ticks",
+    ),
+    DETAIL,
+    f"""FROM c JOIN (SELECT symbol, start, count(*) AS n_levels, sum(volume) AS level_volume FROM lv GROUP BY ALL) USING (symbol, start) JOIN (SELECT symbol, start, count(*) AS n_phases FROM ph GROUP BY ALL) USING (symbol, start)
+      JOIN (SELECT symbol, start, count(*) FILTER (WHERE kind = 'e') AS n_events, count(*) FILTER (WHERE kind = 'p') AS n_flags, count(*) FILTER (WHERE kind = 'w') AS n_waves, count(*) FILTER (WHERE kind = 'f') AS n_facts FROM (
+        SELECT symbol, start, '-' AS kind FROM c UNION ALL SELECT symbol, start, 'e' FROM eff UNION ALL SELECT symbol, start, 'e' FROM dec UNION ALL SELECT symbol, start, 'p' FROM par UNION ALL SELECT symbol, start, 'w' FROM wn
+        UNION ALL SELECT symbol, start, 'f' FROM ({FACTS}) UNION ALL SELECT symbol, start, 'f' FROM wn WHERE end_idx IS NULL UNION ALL SELECT DISTINCT symbol, start, 'f' FROM wn WHERE end_idx IS NOT NULL) GROUP BY ALL) USING (symbol, start)
+      LEFT JOIN (SELECT symbol, start, arg_max(code, (round(score, 9), -place)) AS first_hypothesis FROM hypp GROUP BY ALL) USING (symbol, start)""",
+    AGENTS.format(k="symbol, start"),
+    *SHORT_WAVES,
+    queries_sql.with_waves("wn"),
+    PLACED.format(hyp="hypw"),
+)
 add("synthesis", lambda t: interpret.synthesis(interpret.hypotheses(t, N, rules=None)), f"{ID}; first_code=max(code) FILTER (WHERE rank = 1); second_code=max(code) FILTER (WHERE rank = 2); ~best_score=max(score)", SYN, PLACED.format(hyp="hyp"))
 add("hypotheses_with_waves", lambda t: interpret.hypotheses(t, N), f"{ID}; code; ~score; confidence={CONF}; rank", "FROM (SELECT *, row_number() OVER (PARTITION BY symbol, start ORDER BY round(score, 9) DESC, place) AS rank FROM hypp)", *SHORT_WAVES, queries_sql.with_waves("wn"), PLACED.format(hyp="hypw"))
 add(
@@ -257,8 +281,12 @@ add(
     f"{ID}; family",
     "FROM famx WHERE NOT EXISTS (SELECT 1 FROM ql WHERE ql.symbol = famx.symbol AND ql.session_date = famx.session_date AND NOT (status IN ('COMPLETE', 'LIKELY_COMPLETE') AND score >= 88))",
 )
-add("kmeans_clusters", lambda t: trajectory.kmeans(trajectory.signatures(t, N))[0], f"{ID}; cluster; ~distance")
-add("cluster_summary", lambda t: trajectory.cluster_summary(trajectory.kmeans(trajectory.signatures(t, N))[0], trajectory.rule_family(t, N)), "cluster; size; ~cohesion; dominant_rule; ~dominance; medoid_symbol; medoid_start")
+add("kmeans_clusters", lambda t: trajectory.kmeans(trajectory.signatures(t, N))[0], f"{ID}; cluster; ~distance", "FROM km", *queries_sql.clusters(PATH))
+add("cluster_summary", lambda t: trajectory.cluster_summary(trajectory.kmeans(trajectory.signatures(t, N))[0], trajectory.rule_family(t, N)), "cluster; size; ~cohesion; dominant_rule; ~dominance=n_ / size; medoid_symbol=m.symbol; medoid_start=m.start",
+    """FROM (SELECT cluster, count(*) AS size, avg(distance) AS cohesion, arg_min({'symbol': symbol, 'start': start}, (distance, start, symbol)) AS m FROM km GROUP BY cluster)
+      JOIN (SELECT cluster, arg_max(family, (n, -s_)) AS dominant_rule, max(n) AS n_ FROM (SELECT cluster, family, count(*) AS n, min(start) AS s_ FROM km JOIN famx USING (symbol, start) GROUP BY ALL) GROUP BY cluster) USING (cluster)""",
+    *queries_sql.clusters(PATH),
+)
 add("transitions", lambda t: transitions.transitions(trajectory.rule_family(t, N), N), "symbol; from_family=family; to_family=f1; count=n_; ~probability=n_ / sum(n_) OVER (PARTITION BY symbol, family)", "FROM (SELECT symbol, family, f1, count(*) AS n_ FROM nx WHERE f1 IS NOT NULL GROUP BY ALL)")
 add("motifs", lambda t: transitions.motifs(trajectory.rule_family(t, N), N), "symbol; first=family; second=f1; third=f2; count=n_; rank", "FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY n_ DESC, s_, family, f1, f2) AS rank FROM (SELECT symbol, family, f1, f2, count(*) AS n_, min(start) AS s_ FROM nx WHERE f2 IS NOT NULL GROUP BY ALL)) WHERE rank <= 12")
 add("sequence_neighbours", lambda t: transitions.neighbours(trajectory.rule_family(t, N), N), f"{ID}; previous=CASE WHEN lag(start) OVER w = start - {N} THEN lag(family) OVER w END; family; next=f1", "FROM nx WINDOW w AS (PARTITION BY symbol, session_date ORDER BY start)")

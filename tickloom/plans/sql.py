@@ -355,3 +355,33 @@ def with_waves(waves_: str) -> str:
     held = "UNION ALL SELECT 'ONDA_ABERTA_SUSTENTA_FECHAMENTO', 0.62 + 0.15 * coverage WHERE open_side = 'BUY' AND (c.c > o OR zone = 'TOPO') OR open_side = 'SELL' AND (c.c < o OR zone = 'FUNDO')\n    "
     out = out.replace("UNION ALL SELECT 'DISPUTA_EQUILIBRADA'", held + "UNION ALL SELECT 'DISPUTA_EQUILIBRADA'", 1)
     return out.replace("SELECT c.symbol, c.start, x.code, x.score FROM", "SELECT c.symbol, c.start, x.code, x.score, wz.open_side FROM", 1)
+
+
+def clusters(paths: str) -> list[str]:
+    """Lloyd's rounds by recursion: ``sg`` (vectors), ``seed_s`` (the first centroids), ``ll_s`` (the rounds), ``km`` (clusters)."""
+    near = "list_transform({0}, lambda c: round(list_distance(c, vec) / sqrt(len(vec)), 12))"
+    return [
+        paths,
+        f"""sg AS MATERIALIZED (
+  SELECT symbol, start, list_concat(v, [directional_efficiency, range_efficiency, least(reversal_rate, 1.0), least(revisit_rate, 1.0), least(time_to_high_ms / {N * 1000.0}, 1.0), least(time_to_low_ms / {N * 1000.0}, 1.0)]) AS vec
+  FROM (SELECT symbol, start, list(CASE WHEN x0 IS NULL OR px >= x THEN y ELSE y0 + (y - y0) * ((px - x0) / (x - x0)) END ORDER BY point) AS v FROM xz JOIN grid ON (x0 IS NULL OR px > x0) AND (x1 IS NULL OR px <= x) GROUP BY symbol, start)
+  JOIN dna USING (symbol, start)
+)""",
+        "many AS (SELECT greatest(1, least(greatest(2, least(8, CAST(round_even(sqrt(count(*)), 0) AS BIGINT))), count(*))) AS k FROM sg)",
+        f"""seed_s AS (
+  SELECT 1 AS i, [arg_min(vec, (start, symbol))] AS cs FROM sg
+  UNION ALL SELECT i + 1, list_append(any_value(cs), arg_min(vec, (-d, start, symbol))) FROM (SELECT i, cs, vec, start, symbol, list_min({near.format('cs')}) AS d FROM seed_s, sg WHERE i < (SELECT k FROM many)) GROUP BY i
+)""",
+        f"""ll_s AS (
+  SELECT 0 AS i, cs, false AS done FROM seed_s WHERE i = (SELECT k FROM many)
+  UNION ALL
+  SELECT i + 1, fresh, fresh = cs FROM (
+    SELECT i, any_value(cs) AS cs, list(coalesce(mean, cs[j]) ORDER BY j) AS fresh FROM (
+      SELECT g.i, g.cs, g.j, m.mean FROM (SELECT i, cs, unnest(range(1, len(cs) + 1)) AS j FROM ll_s WHERE NOT done AND i < 80) g
+      LEFT JOIN (SELECT j, list(a ORDER BY d) AS mean FROM (SELECT j, d, round(avg(vec[d]), 12) AS a FROM (SELECT vec, list_position(ds, list_min(ds)) AS j FROM (SELECT vec, {near.format('cs')} AS ds FROM ll_s, sg WHERE NOT done AND i < 80)), range(1, 32) r(d) GROUP BY j, d) GROUP BY j) m ON m.j = g.j
+    ) GROUP BY i)
+)""",
+        f"""km AS MATERIALIZED (
+  SELECT symbol, start, CAST(list_position(ds, list_min(ds)) AS INTEGER) AS cluster, list_min(ds) AS distance FROM (SELECT symbol, start, {near.format('cs')} AS ds FROM sg, (SELECT list_sort(arg_max(cs, i)) AS cs FROM ll_s))
+)""",
+    ]
