@@ -469,3 +469,16 @@ def test_viterbi_against_brute_force():
             n += (len(p.encode()) if bytes_ else not unknown) if new else 1
             unknown = new
         assert counter.of(text) == (n, best[-1]), (pieces, text)
+
+
+def test_fractional_scores_are_added_from_the_start():
+    rng = random.Random(10)
+    for _ in range(40):
+        alphabet = "abc▁"
+        pieces = list({"".join(rng.choice(alphabet[:3]) for _ in range(rng.randrange(1, 4))) for _ in range(12)} | {"▁", "▁a", "▁b", "▁ab"})
+        scored = [(p, -rng.randrange(1, 60) / 10) for p in sorted(pieces)]
+        counter = token_counts.Counter(scored, -6.0, rng.random() < 0.5)
+        assert not counter.whole and counter.parts.pattern != ".+"
+        for _ in range(100):
+            text = "".join(rng.choice("aabbc  d") for _ in range(rng.randrange(1, 40)))
+            assert counter.of(text) == counter._search("▁" + text.replace(" ", "▁"))

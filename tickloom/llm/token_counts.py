@@ -5,7 +5,8 @@ only the best score, its start's order for ties, and the number of pieces. The r
 tokenizers: starts are taken in ascending order and a later one must be strictly better; a character
 that is no piece costs the lowest score less 10 and counts as its UTF-8 bytes if the vocabulary has byte pieces,
 or else each run of such characters as one piece. No piece goes on after a space that
-follows another character, so texts fall into parts whose counts are kept in a bounded cache.
+follows another character, so texts fall into parts. Where all scores are whole numbers the parts' counts are kept in a bounded cache;
+other scores are carried from part to part, as a search over the whole text adds them.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ class Counter:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.single = {p: s for p, s in pieces if len(p) == 1}
+        # sums of whole numbers are the same whatever comes before; other scores must be added from the text's start on
+        self.whole = all(float(s).is_integer() for _, s in pieces) and float(lowest).is_integer()
         self.unknown, self.bytes, self.cached = lowest - UNKNOWN_PENALTY, bytes_, cached
         self.cache: dict[str, tuple[int, float]] = {}
         # a place before a space is a border only if no piece holds a space after another character
@@ -50,12 +53,13 @@ class Counter:
         line = "\n" if bytes_ and not any("\n" in p for p, _ in pieces) else ""
         self.parts = re.compile(f"{SPACE}+[^{SPACE}{line}]*|[^{SPACE}{line}]+" + (f"|{line}" if line else "")) if apart else re.compile(r".+", re.S)
 
-    def _search(self, part: str) -> tuple[int, float]:
+    def _search(self, part: str, before: float = 0.0) -> tuple[int, float]:
+        """(pieces, score with that of the text ``before``) of one part."""
         n = len(part)
         ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
         for end, (length, score) in self.automaton.iter(part):
             ends[end + 1].append((end + 1 - length, score))
-        best, count, unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        best, count, unknown = [before] + [0.0] * n, [0] * (n + 1), [False] * (n + 1)
         for e in range(1, n + 1):
             top, at = None, -1
             for s, score in ends[e]:
@@ -76,6 +80,10 @@ class Counter:
             return 0, 0.0
         total, score = 0, 0.0
         for part in self.parts.findall(SPACE + text.replace(" ", SPACE)):
+            if not self.whole:
+                n, score = self._search(part, score)
+                total += n
+                continue
             found = self.cache.get(part)
             if found is None:
                 found = self._search(part)
