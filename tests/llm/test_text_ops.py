@@ -500,6 +500,29 @@ def test_line_dedup_query_is_native(spark, tmp_path):
     assert got[0].n_dropped == 1 and got[5].n_dropped == 0 and got[0].kept_sha256 == hashlib.sha256(b"own 0").hexdigest()
 
 
+def test_line_runs_outlive_a_call(spark, tmp_path):
+    rng = random.Random(80)
+    line = lambda k: f"the line number {k} is long enough to be looked at by the operator"
+    text = lambda: "\n".join(line(rng.randrange(30)) for _ in range(4))
+    batches = [[(100 * b + k, text()) for k in range(12)] for b in (3, 1, 7, 5, 9)]  # ids neither rise nor fall
+    held = []
+    for b in batches:
+        runs = line_dedup.LineRuns(spark, str(tmp_path / "runs"), 4, 2)  # a new session finds the runs of the last
+        found = line_dedup.dedup_lines(spark.createDataFrame(b, "doc_id long, text string"), min_docs=4, batches=2, runs=runs)
+        held += b
+        docs_of, owner = defaultdict(set), {}
+        for d, t in held:
+            for x in t.split("\n"):
+                docs_of[x].add(d)
+                owner[x] = max(owner.get(x, d), d)
+        want = {d: "\n".join(x for x in t.split("\n") if len(docs_of[x]) < 4 or owner[x] == d) for d, t in b}
+        assert {r.doc_id: r.text for r in found.collect()} == want
+    names = [p.name for p in (tmp_path / "runs").iterdir()]
+    assert len(names) < 10 and sum(map(len, runs.levels)) == len(names)
+    (tmp_path / "runs" / "run-0-unfinished").mkdir()  # a run without its mark of completion isn't there
+    assert line_dedup.LineRuns(spark, str(tmp_path / "runs"), 4, 2).settled().count() == runs.settled().count()
+
+
 # ---- pipeline
 
 

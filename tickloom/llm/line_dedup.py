@@ -1,21 +1,22 @@
 """Line dedup: levelled sorted runs of line hashes, compacted periodically.
 
 Only DataFrame functions run here. Documents come in batches, the largest doc_ids first. A run is a
-table of line hashes, sorted by hash, with the number of documents and the largest doc_id holding
+Parquet table of line hashes, sorted by hash in each of its files, with the number of documents and the largest doc_id holding
 each. A new batch is merge-joined with the runs there are: keys that have already reached
-``min_docs`` are settled and are anti-joined away, and the rest of the batch becomes a run of level
+``min_docs`` under an owner that the batch can't change are anti-joined away, and the rest of the batch becomes a run of level
 0. ``fanout`` runs of a level are merged into one of the next. At the end the runs are merged once
-more, and each document's lines are joined with the keys that reached ``min_docs``.
+more, and each document's lines are joined with the keys that reached ``min_docs``. Runs outlive the session: ``LineRuns`` of the
+same folder goes on with them.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import BLANK, NO_ID, cut, fresh, row_key, table
+from .common import BLANK, NO_ID, cut, fresh, row_key, shared_folder, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -25,35 +26,61 @@ def _merge(runs: list[DataFrame]) -> DataFrame:
     return merged.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("owner").alias("owner"))
 
 
-@dataclass
 class LineRuns:
-    """Runs by level. ``add`` takes the keys ``(id, h1, h2)`` of one batch, once for each document."""
+    """Runs by level in a folder that all executors share. ``add`` takes the keys ``(id, h1, h2)`` of one batch, once for each document.
 
-    min_docs: int = 5
-    fanout: int = 2
-    levels: list[list[DataFrame]] = field(default_factory=list)
+    A run's name holds its own mark and those of the runs it was merged from. So a run is there once its table is complete, and
+    its parts are gone from that moment on, even if the session ends before their files are removed. One session at a time adds.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, min_docs: int = 5, fanout: int = 2):
+        self.spark, self.folder, self.min_docs, self.fanout = spark, folder.rstrip("/"), min_docs, fanout
+        self.levels: list[list[str]] = []
+        found = self._complete()
+        gone = {mark for name in found for mark in name.split("-")[3:]}
+        for name in sorted(found):
+            if name.split("-")[2] not in gone:
+                self._level(int(name.split("-")[1])).append(name)
+
+    def _files(self, name: str = ""):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _complete(self) -> list[str]:
+        fs, p = self._files("run-*/_SUCCESS")
+        return [x.getPath().getParent().getName() for x in fs.globStatus(p) or []]
+
+    def _level(self, level: int) -> list[str]:
+        while len(self.levels) <= level:
+            self.levels.append([])
+        return self.levels[level]
 
-    def _all(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
+    def _read(self, names: list[str]) -> list[DataFrame]:
+        return [self.spark.read.schema("h1 long, h2 long, n_docs long, owner long").parquet(f"{self.folder}/{name}") for name in names]
 
     def settled(self) -> DataFrame | None:
-        return _merge(self._all()).filter(F.col("n_docs") >= self.min_docs) if self._all() else None
+        names = [name for level in self.levels for name in level]
+        return _merge(self._read(names)).filter(F.col("n_docs") >= self.min_docs) if names else None
 
     def add(self, keys: DataFrame) -> None:
-        """``keys`` must have no larger ids than the batches before, so that an owner never changes."""
+        """``keys`` must be of documents that no batch before had."""
         own = keys.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("id").alias("owner"))
         known = self.settled()
         if known is not None:
-            own = own.join(known.select("h1", "h2"), ["h1", "h2"], "left_anti")
-        self._push(0, own)
-
-    def _push(self, level: int, run: DataFrame) -> None:
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(cut(run.sortWithinPartitions("h1", "h2")))
+            known = known.select("h1", "h2", F.col("owner").alias("held"))
+            own = own.alias("own").join(known.alias("known"), (F.col("own.h1") == F.col("known.h1")) & (F.col("own.h2") == F.col("known.h2")) & (F.col("held") >= F.col("own.owner")), "left_anti")
+        self._push(0, own, [])
+
+    def _push(self, level: int, run: DataFrame, parts: list[str]) -> None:
+        name = "-".join(["run", str(level), uuid.uuid4().hex[:12], *[part.split("-")[2] for part in parts]])
+        run.sortWithinPartitions("h1", "h2").write.parquet(f"{self.folder}/{name}")
+        for part in parts:
+            fs, p = self._files(part)
+            fs.delete(p, True)
+        self._level(level).append(name)
         if len(self.levels[level]) >= self.fanout:
-            runs, self.levels[level] = self.levels[level], []
-            self._push(level + 1, _merge(runs))
+            names, self.levels[level] = self.levels[level], []
+            self._push(level + 1, _merge(self._read(names)), names)
 
 
 def line_keys(docs: DataFrame, min_length: int) -> DataFrame:
@@ -69,7 +96,7 @@ def line_keys(docs: DataFrame, min_length: int) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame, min_length: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_length: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 2, runs: LineRuns | None = None) -> DataFrame:
     """All columns of ``docs`` with ``text`` after dedup, and ``n_lines``, ``n_dropped``.
 
     A line's key is the line without ASCII white space at its ends, with A-Z lower-cased. Keys of at
@@ -79,13 +106,14 @@ def dedup_lines(docs: DataFrame, min_length: int = 40, min_docs: int = 5, batche
     Null or empty text: one empty line, none dropped, text ''. A null doc_id counts as one document
     that sorts before all others. Rows with an equal doc_id count as one document. Equal rows give
     equal results, one row for each. An empty table gives an empty result. Extra columns pass
-    through; ``n_lines`` and ``n_dropped`` of the input are replaced. Very long texts are split
+    through. With ``runs`` the documents of earlier calls count too, whose doc_ids must be others and whose results must be written before, and ``min_docs`` and ``fanout`` are those of
+    the runs. ``n_lines`` and ``n_dropped`` of the input are replaced. Very long texts are split
     and hashed whole.
     """
     lines = cut(line_keys(docs, min_length))
     keys = lines.select("id", "h1", "h2").distinct()
     low, high = lines.agg(F.min("id"), F.max("id")).first()
-    runs = LineRuns(min_docs, fanout)
+    runs = runs or LineRuns(docs.sparkSession, f"{shared_folder(docs.sparkSession)}/line-runs-{uuid.uuid4().hex}", min_docs, fanout)
     if low is not None:
         step = (high - low) // batches + 1
         for k in reversed(range(batches)):  # the largest ids first
