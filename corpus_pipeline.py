@@ -16,7 +16,8 @@ STAGES = [
     ("mixing to target weights", stages.mixing_),
 ]
 
-#: No SQL: quality rules, the n-gram join and decontamination aren't expressed in it; tests hold run() against brute force.
+#: No SQL: quality rules, the n-gram join and decontamination aren't expressed in it. Tests hold each stage's operator against brute force, and
+#: run() against the stages one by one and planted cases.
 ORACLE_SQL = None
 
 
