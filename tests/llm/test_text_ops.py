@@ -429,7 +429,7 @@ def test_raking(spark):
     rng = random.Random(8)
     cells = {(s, l, t): rng.randrange(10, 5000) for s in "abc" for l in "xy" for t in "pqr" if rng.random() < 0.9}
     df = spark.createDataFrame([(*k, v) for k, v in cells.items()], "_source string, _lang string, _topic string, tokens long")
-    got = {(r._source, r._lang, r._topic): r.weight for r in mixing.rake(df).collect()}
+    got = {(r._source, r._lang, r._topic): r.weight for r in mixing.rake(df, tolerance=1e-12).collect()}
     want, goals, total = brute_rake(cells, mixing.POWERS.values(), mixing.SWEEPS)
     assert got == pytest.approx(want)
     for d, goal in enumerate(goals):
@@ -439,6 +439,37 @@ def test_raking(spark):
     assert sum(v for k, v in fixed.items() if k[0] == "a") / total == pytest.approx(0.75, rel=0.02) and all(v == 0 for k, v in fixed.items() if k[0] == "c")
 
 
+def test_raking_ends_at_a_tolerance(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(s, l, t, rng.randrange(10, 5000)) for s in "abcd" for l in "xyz" for t in "pq"]
+    df = spark.createDataFrame(rows, "_source string, _lang string, _topic string, tokens long")
+    raked = mixing.rake(df, tolerance=1e-9)
+    marginals = mixing.shares(raked).collect()
+    assert {(r.dimension, r.category) for r in marginals} == {*(("source", c) for c in "abcd"), *(("lang", c) for c in "xyz"), *(("topic", c) for c in "pq")}
+    assert all(r.share == pytest.approx(r.goal, rel=1e-7) for r in marginals)
+    # beyond the size for a broadcast, the sums are joined by a shuffle with the same weights
+    monkeypatch.setattr(mixing, "BROADCAST_CATEGORIES", 0)
+    other = {tuple(r)[:3]: r.weight for r in mixing.rake(df, tolerance=1e-9).collect()}
+    assert other == pytest.approx({tuple(r)[:3]: r.weight for r in raked.collect()}, rel=1e-12)
+    # all of a is x and all of x is a: no weights give a half and x three quarters
+    odd = spark.createDataFrame([("a", "x", "p", 10), ("b", "y", "p", 10)], "_source string, _lang string, _topic string, tokens long")
+    with pytest.warns(UserWarning, match="off their targets after 3 sweeps"):
+        mixing.rake(odd, targets={"source": {"a": 1, "b": 1}, "lang": {"x": 3, "y": 1}}, sweeps=3)
+
+
+def test_mixing_topics_of_the_caller(spark):
+    docs = frame(spark, [(1, "lions and tigers"), (2, "oaks"), (3, "LIONS, oaks. lions"), (4, None)])
+    t = mixing.with_cells(docs, topics={"plant": "oak|oaks", "cat": "lions|tigers"}).orderBy("doc_id").collect()
+    assert [r._topic for r in t] == ["cat", "plant", "cat", "general"]
+    named = docs.withColumn("topic", F.when(F.col("doc_id") != 2, F.concat(F.lit("t"), "doc_id")))
+    own = mixing.with_cells(named, topic_column="topic").orderBy("doc_id").collect()
+    assert [r._topic for r in own] == ["t1", "", "t3", "t4"]
+    # the same text under two topics stays two rows
+    twice = frame(spark, [(1, "a b c")]).withColumn("topic", F.explode(F.array(F.lit("u"), F.lit("v"))))
+    got = mixing.mix(twice, topic_column="topic", budget=4.0).collect()
+    assert sorted((r.topic, r.n_copies) for r in got) == [("u", 4), ("v", 4)]
+
+
 def test_mixing_samples_to_the_weights(spark):
     rng = random.Random(9)
     docs = frame(spark, [(i, prose(rng, 50)) for i in range(900)], source="big").unionAll(frame(spark, [(1000 + i, prose(rng, 50)) for i in range(100)], source="small"))
