@@ -403,6 +403,29 @@ def test_leaks_equal_brute_force_on_random_templates(spark):
     assert {(200, 40), (201, 41), (203, 42)} <= got and (202, 42) not in got and len(want) > 100
 
 
+# ---- hot keys
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_spread_join_is_a_plain_join(spark, how):
+    rng = random.Random(13)
+    keys = ["hot"] * 700 + [None] * 300 + [rng.choice("abcdefgh") for _ in range(200)] + [f"k{i}" for i in range(1800)]
+    rows = spark.createDataFrame([(k, i, i % 3) for i, k in enumerate(keys)], "k string, i long, __part int")
+    one = spark.createDataFrame([(k, k.upper()) for k in {*keys} - {None, "a", "k7"}] + [("other", "x")], "k string, v string")
+    got = common.spread_join(rows, one, ["k"], ["i"], how)
+    want = rows.join(one, ["k"], how)
+    assert got.columns == want.columns
+    order = lambda df: sorted(map(tuple, df.collect()), key=lambda r: r[1])
+    assert order(got) == order(want)
+    # no part of the hot key is more than its share
+    plan = got._jdf.queryExecution().toString()
+    assert "pmod" in plan
+    # nothing is hot, and nothing is there
+    few = rows.filter("k LIKE 'k%'")
+    assert order(common.spread_join(few, one, ["k"], ["i"], how, keys_of=few.limit(0))) == order(few.join(one, ["k"], how))
+    assert common.spread_join(rows.limit(0), one, ["k"], ["i"], how).count() == 0
+
+
 # ---- 5
 
 

@@ -78,6 +78,31 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
+#: A key with more than 1 / HOT_PARTS of all rows is dealt over several tasks, so at most HOT_PARTS keys are.
+HOT_PARTS = 1000
+#: Keys that the frequent-items sketch tracks: it names every key with that share of the rows, whatever the table's size.
+TRACKED = 16_384
+
+
+def spread_join(rows: DataFrame, one: DataFrame, keys: list[str], by: list[str], how: str = "inner", keys_of: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined with ``one``, which has a row for each key at most, on ``keys``.
+
+    A hot key's rows are dealt in parts by a hash of the columns ``by``, and its row of ``one`` is repeated for each
+    part: 2 * HOT_PARTS more rows in all at most. Hot keys are found by a sketch of bounded size over ``keys_of`` (or
+    ``rows``). One that is missed or named without need changes where rows meet, never the result.
+    """
+    key = F.xxhash64(*keys)
+    top = (keys_of or rows).select(key.alias("k")).agg(F.expr(f"approx_top_k(k, {HOT_PARTS}, {TRACKED})").alias("top"), F.count("*").alias("n")).first()
+    hot = {r["item"]: -(-r["count"] * HOT_PARTS // top["n"]) for r in top["top"] or [] if r["count"] * HOT_PARTS > top["n"]}
+    if not hot:
+        return rows.join(one, keys, how)
+    [part] = fresh(rows, "__part")
+    parts = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in hot.items() for x in kv]), key).cast("int")
+    dealt = rows.withColumn(part, F.when(key.isin(*hot), F.pmod(F.xxhash64(*by), parts).cast("int")).otherwise(0))
+    repeated = one.withColumn(part, F.explode(F.when(key.isin(*hot), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))))
+    return dealt.join(repeated, [*keys, part], how).drop(part)
+
+
 def by_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """Maps Arrow batches in the tasks; ``make`` runs once in each task and returns the function for a batch."""
 

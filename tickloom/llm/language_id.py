@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import by_batch, cut, row_key, table
+from .common import by_batch, cut, spread_join, table
 from .html_extract import main_text
 
 #: The models are fitted on about so many labelled texts of each language, chosen by a hash of the id; a documented bound.
@@ -129,11 +129,11 @@ def identify(pages: DataFrame, labelled: DataFrame, id_column: str = "page_id",
     found = cut(found.withColumns(address(F.col("url"))))
     ts = range(len(languages))
     levels = [["_host", "_domain", "_suffix"], ["_domain", "_suffix"], ["_suffix"], []]
-    out = found
     sums = [found.groupBy(*keys).agg(*[F.sum(f"t{k}").alias(f"s{n}_{k}") for k in ts], F.count("*").alias(f"n{n}")) for n, keys in enumerate(levels)]
     # the levels' sums meet on the hosts, of which there are far fewer than pages
     hosts = sums[0].join(sums[1], levels[1]).join(sums[2], levels[2]).crossJoin(F.broadcast(sums[3]))  # one row
-    out = out.join(hosts, levels[0])
+    # a host may hold a third of all pages
+    out = spread_join(found, hosts, levels[0], [id_column, "url"])
     prior = [F.lit(1.0 / len(languages)) for _ in ts]
     for n in (3, 2, 1, 0):  # from all pages down to the host, without the page itself
         prior = [(F.col(f"s{n}_{k}") - F.col(f"t{k}") + KAPPA * prior[k]) / (F.col(f"n{n}") - 1 + KAPPA) for k in ts]
