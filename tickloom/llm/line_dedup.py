@@ -16,7 +16,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import BLANK, NO_ID, cut, fresh, row_key, shared_folder, table
+from .common import BLANK, NO_ID, cut, fresh, row_key, shared_folder, spread_join, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -120,8 +120,8 @@ def dedup_lines(docs: DataFrame, min_length: int = 40, min_docs: int = 5, batche
             lo, hi = low + k * step, low + (k + 1) * step
             runs.add(keys.filter((F.col("id") >= lo) & (F.col("id") < hi)) if batches > 1 else keys)
     known = runs.settled()
-    # the hint is none: the number of settled keys grows with the corpus, so Spark picks by measured size
-    drop = lines.join(known.select("h1", "h2", "owner"), ["h1", "h2"]).filter("id <> owner") if known is not None else lines.limit(0)
+    # no hint: the number of settled keys grows with the corpus, so Spark picks by measured size; one line may make up a third of all
+    drop = spread_join(lines, known.select("h1", "h2", "owner"), ["h1", "h2"], ["id", "rk", "pos"]).filter("id <> owner") if known is not None else lines.limit(0)
     own, rk, gone, parts = fresh(docs, "__id", "__rk", "__drop", "__lines")
     drop = drop.groupBy(F.col("id").alias(own), F.col("rk").alias(rk)).agg(F.collect_set("pos").alias(gone))
     # a text's own positions only: as long as the text itself at most
