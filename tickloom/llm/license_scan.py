@@ -17,7 +17,7 @@ from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import cut, fresh, row_key, table
+from .common import cut, fresh, row_key, spread_join, table
 from .license_texts import FULL
 
 TERM = "[a-z0-9]+([.][0-9]+)*"
@@ -183,7 +183,8 @@ def scan(files: DataFrame, least: float = LEAST) -> DataFrame:
     parts = F.split(file_dir, "/")
     ancestors = paths.select(file_dir, F.posexplode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.when(k == 0, "").otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("/"))))).alias(depth, directory))
     nearest = ancestors.join(dirs, directory).groupBy(file_dir).agg(F.max_by(found, depth).alias(found))
-    out = out.withColumn(file_dir, up).join(nearest, file_dir, "left")
+    # a directory may hold a third of all files
+    out = spread_join(out.withColumn(file_dir, up), nearest, [file_dir], [path, rk], "left", keys_of=files.select(up.alias(file_dir)))
     pick = lambda c: F.coalesce(F.col(f"{mine}.{c}"), F.when(F.col(mine).isNull(), F.col(f"{found}.{c}")))
     origin = F.when(F.col(mine).isNotNull(), "own").when(F.col(found).isNotNull(), "inherited").otherwise("none")
     return out.select(*files.columns, pick("licence").alias("licence"), pick("score").alias("score"), F.col(f"{mine}.line").cast("long").alias("line"), origin.alias("origin"))
