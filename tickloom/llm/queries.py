@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, filter_audit, html_extract, importance, language_id, license_scan, line_dedup, mixing, ngram_join, quality_rules, token_counts
+from . import chat_format, decontaminate, filter_audit, html_extract, importance, language_id, license_scan, line_dedup, mixing, ngram_join, quality_rules, token_counts, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_toxicity": toxicity.op11_toxicity,
     "op12_importance_resample": importance.op12_importance_resample,
     "op13_filter_audit": filter_audit.op13_filter_audit,
     # the second operator's links, which the test conversations have none of
