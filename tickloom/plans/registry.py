@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import aggression, candles, dna, efficiency, interpret, quality, reconcile, research, simulate, trajectory, transitions, validation, waves
-from ..sources import csv_trades, driver_tables, store
+from ..sources import csv_trades, derived, driver_tables, store
 from ..sources.scratch import shared_folder
 from ..schema import is_rlp, micros
 from . import sql as queries_sql
@@ -204,12 +204,24 @@ add(
       WHERE (start + {N}) * 1000000 > u0 AND start * 1000000 <= u1)""",
     RC,
 )
-add(
-    "research_index",
-    lambda t: research.research_index(t, N, DAILY),
-    f"{ID}; session_date; direction; ~body_share; ~upper_wick_share; ~lower_wick_share; ~volatility_ratio; volatility_bucket; session_regime; ~session_directional_efficiency=session_eff; ~session_net_to_range=session_ntr; regime_short; regime_medium; regime_to_date; opening_gap_ticks=gap; ~opening_gap_ratio=r; opening_gap_bucket=bucket; ~directional_efficiency; high_first",
-    "FROM rx",
-)
+RX = f"{ID}; session_date; direction; ~body_share; ~upper_wick_share; ~lower_wick_share; ~volatility_ratio; volatility_bucket; session_regime; ~session_directional_efficiency=session_eff; ~session_net_to_range=session_ntr; regime_short; regime_medium; regime_to_date; opening_gap_ticks=gap; ~opening_gap_ratio=r; opening_gap_bucket=bucket; ~directional_efficiency; high_first"
+add("research_index", lambda t: research.research_index(t, N, DAILY), RX, "FROM rx")
+
+
+def _refreshed(t: DataFrame) -> DataFrame:
+    """The stored research index after two imports, each followed by a refresh: days up to the 24th without the 9th and every fiftieth trade of
+    the 12th, and then all trades that are left."""
+    day = lambda d: F.lit(f"2024-01-{d:02}").cast("date")
+    early = (F.col("session_date") <= day(24)) & (F.col("session_date") != day(9)) & ((F.col("session_date") != day(12)) | (F.col("sequence_no") % 50 != 0))
+    held = store.Store(t.sparkSession, f"{shared_folder(t.sparkSession)}/store-{uuid.uuid4().hex}")
+    table = derived.index_table(DAILY)
+    for part in (t.filter(early), t.filter(~early)):
+        held.add_trades(part)
+        derived.refresh(held, table, N)
+    return derived.read(held, table, N)
+
+
+add("index_refresh", _refreshed, RX, "FROM rx")
 add("rolling_regime", lambda t: research.research_index(t, N, DAILY), f"{ID}; regime_short; regime_medium; regime_to_date", "FROM rx")
 add("volatility_bucket", lambda t: research.research_index(t, N, DAILY), f"{ID}; ~volatility_ratio; volatility_bucket", "FROM rx")
 add("opening_gap", lambda t: research.opening_gaps(research.with_session(candles.build_candles(t, N))), "symbol; session_date; opening_gap_ticks=gap; ~opening_gap_ratio=r; opening_gap_bucket=bucket", "FROM og")
