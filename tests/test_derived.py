@@ -103,7 +103,7 @@ def test_scan_names_the_touched_partitions_only(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     store.add_trades(library(spark))
     two = store.read("trades").select(*derived.SESSION).distinct().orderBy("session_date").limit(2)
-    scan = derived.trades_of(store, two, 2)
+    scan = store.partitions_of("trades", two)
     assert scan.select("_metadata.file_path").distinct().count() == 2
     plan = scan._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "session_date" in plan.partition("PartitionFilters")[2].partition("PushedFilters")[0]

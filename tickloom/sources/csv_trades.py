@@ -60,11 +60,19 @@ def _bytes_as_text(c: Column) -> Column:
     return F.decode(c.cast("binary"), "ISO-8859-1")
 
 
-def encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 if all lines of the file are, else cp1252 if it has all their bytes, else ISO-8859-1."""
+def encoding_marks() -> list[Column]:
+    """Aggregates over ``value`` that tell a file's encoding."""
     gaps = "[" + "".join(map(chr, _NO_CP1252)) + "]"
-    r = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(_bytes_as_text(F.col("value")).rlike(gaps)).alias("gaps")).first()
-    return "UTF-8" if r["utf8"] is not False else "ISO-8859-1" if r["gaps"] else "cp1252"
+    return [F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(_bytes_as_text(F.col("value")).rlike(gaps)).alias("gaps")]
+
+
+def encoding_told(marks) -> str:
+    """UTF-8 if all lines of the file are, else cp1252 if it has all their bytes, else ISO-8859-1."""
+    return "UTF-8" if marks["utf8"] is not False else "ISO-8859-1" if marks["gaps"] else "cp1252"
+
+
+def encoding(spark: SparkSession, path: str) -> str:
+    return encoding_told(spark.read.text(path).agg(*encoding_marks()).first())
 
 
 def _decoded(encoding_: str) -> Column:
@@ -78,10 +86,8 @@ def _known_side(row: list[str], at: dict[str, int]) -> bool:
     return row[at["aggressor"]].strip().lower() in SIDES and row[at["date"]].count("/") == 2 and row[at["time"]].count(":") == 2
 
 
-def probe(spark: SparkSession, path: str, needed: tuple[str, ...] = ("price", "quantity")) -> Layout:
-    """Layout from the first 50 physical lines: a header anywhere in them, or 8 or 9 columns without one."""
-    found = encoding(spark, path)
-    lines = [r["text"] for r in spark.read.text(path).select(_decoded(found).alias("text")).limit(PROBE_LINES).collect()]
+def layout_of(lines: list[str], encoding_: str, needed: tuple[str, ...] = ("price", "quantity")) -> Layout:
+    """Layout from the first physical lines: a header anywhere in them, or 8 or 9 columns without one."""
     separator = _separator(lines)
     for k, line in enumerate(lines, start=1):
         row = next(csv.reader([line], delimiter=separator), [])
@@ -89,40 +95,69 @@ def probe(spark: SparkSession, path: str, needed: tuple[str, ...] = ("price", "q
         fields = {f: tuple(names.index(a) for a in aliases if a in names) for f, aliases in N.ALIASES.items()}
         fields = {f: at for f, at in fields.items() if at}
         if all(f in fields for f in needed) and ("timestamp" in fields or "date" in fields):
-            return Layout(found, separator, fields, k, bool(PROFIT_FIELDS & set(fields)))
+            return Layout(encoding_, separator, fields, k, bool(PROFIT_FIELDS & set(fields)))
         if len(row) in HEADERLESS and needed == ("price", "quantity"):
             at = {n: i for i, n in enumerate(HEADERLESS[len(row)])}
             if _known_side(row, at):
-                return Layout(found, separator, {n: (i,) for n, i in at.items()}, k - 1, True, len(row))
+                return Layout(encoding_, separator, {n: (i,) for n, i in at.items()}, k - 1, True, len(row))
     raise ValueError("no known layout in the first lines")
 
 
+def probe(spark: SparkSession, path: str, needed: tuple[str, ...] = ("price", "quantity")) -> Layout:
+    """Layout from a file's first 50 lines."""
+    found = encoding(spark, path)
+    lines = [r["text"] for r in spark.read.text(path).select(_decoded(found).alias("text")).limit(PROBE_LINES).collect()]
+    return layout_of(lines, found, needed)
+
+
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with their file and block, and ``_place``, which rises with the lines of a block one by one."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")).withColumn("_place", F.monotonically_increasing_id())
+
+
+def blocks_of(lines: DataFrame) -> DataFrame:
+    """A row for each block: its first place, lines, and the lines of the file's blocks before it."""
+    sizes = lines.groupBy("_file", "_block").agg(F.min("_place").alias("_first"), F.count("*").alias("_lines"))
+    return sizes.withColumn("_before", F.coalesce(F.sum("_lines").over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+
+def number_lines(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``value``, a line's bytes, and ``source_row``, its number in its file. Only a row for each block is shuffled, no lines."""
+    row = F.col("_before") + F.col("_place") - F.col("_first") + 1
+    return lines.join(blocks.drop("_lines"), ["_file", "_block"]).select("value", row.alias("source_row"))
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """``value``, a line's bytes, and ``source_row``, its number in its file."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")).withColumn("_place", F.monotonically_increasing_id())
-    lines = lines.withColumn("_n", F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_place")))
-    sizes = lines.groupBy("_file", "_block").agg(F.max("_n").alias("_size"))  # a row for each block
-    before = F.coalesce(F.sum("_size").over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return lines.join(sizes.withColumn("_before", before).drop("_size"), ["_file", "_block"]).select("value", (F.col("_before") + F.col("_n")).alias("source_row"))
+    lines = placed_lines(spark, path)
+    return number_lines(lines, blocks_of(lines))
 
 
 def numbered(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
+    return cells_of(_lines(spark, path), layout)
+
+
+def cells_of(lines: DataFrame, layout: Layout) -> DataFrame:
     """``_c0 ..`` as strings, ``_n_cells``, and ``source_row``, the number of the physical line. Lines of blank cells are left out.
 
-    A quoted cell can hold the separator, but no line end.
+    A cell that starts with a quote can hold the separator, and quotes as doubled ones, but no line end.
     """
-    lines = _lines(spark, path).select(_decoded(layout.encoding).alias("_text"), "source_row")
-    some = f'[^\\s"{re.escape(layout.separator)}]'
-    lines = lines.filter(F.col("source_row") > layout.header_line).filter(F.col("_text").rlike(some))
-    outside = F.regexp_replace("_text", '"[^"]*"', "")
+    lines = lines.select(_decoded(layout.encoding).alias("_text"), "source_row")
+    sep = re.escape(layout.separator)
+    lines = lines.filter(F.col("source_row") > layout.header_line).filter(F.col("_text").rlike(f'[^\\s"{sep}]'))
+    outside = F.regexp_replace("_text", f'(^|{sep})"(?:[^"]|"")*"', "$1")
     cells = F.length(outside) - F.length(F.replace(outside, F.lit(layout.separator), F.lit(""))) + 1
     schema = ", ".join(f"_c{k} string" for k in range(WIDTH))
-    return lines.select("source_row", cells.alias("_n_cells"), F.from_csv("_text", schema, {"sep": layout.separator}).alias("_row")).select("source_row", "_n_cells", "_row.*")
+    row = F.from_csv("_text", schema, {"sep": layout.separator, "quote": '"', "escape": '"'})
+    return lines.select("source_row", cells.alias("_n_cells"), row.alias("_row")).select("source_row", "_n_cells", "_row.*")
 
 
 def fingerprint(spark: SparkSession, path: str) -> str:
+    return fingerprint_of(_lines(spark, path))
+
+
+def fingerprint_of(lines: DataFrame) -> str:
     """Identity of a file's content, whatever its name: hash of its number of lines and of two sums of hashes of lines with their numbers."""
-    lines = _lines(spark, path).select(F.length("value").alias("n"), *[F.xxhash64(F.lit(k), "value", "source_row").cast("decimal(38,0)").alias(f"h{k}") for k in range(2)])
+    lines = lines.select(F.length("value").alias("n"), *[F.xxhash64(F.lit(k), "value", "source_row").cast("decimal(38,0)").alias(f"h{k}") for k in range(2)])
     r = lines.agg(F.count("*"), F.sum("n"), F.sum("h0"), F.sum("h1")).first()
     return sha256(":".join(map(str, r)).encode()).hexdigest()
 
@@ -158,10 +193,15 @@ def read_trades(spark: SparkSession, path: str, *, tick_size: float, symbol: str
     if tick_size <= 0:
         raise ValueError("tick_size must be positive")
     layout = probe(spark, path)
+    t = parsed(numbered(spark, path, layout), layout, tick_size=tick_size, symbol=symbol, source=source, strict=strict)
+    return in_sequence(t, *source_order_of(t))
+
+
+def parsed(rows: DataFrame, layout: Layout, *, tick_size: float, symbol: str | None = None, source: str = "csv", strict: bool = False) -> DataFrame:
+    """The cells of ``rows`` as trades, with ``problem``, but no ``sequence_no``."""
     get = lambda n: _field(layout, n)
     text = lambda n: F.lit(None).cast("string") if get(n) is None else get(n)
     number = N.profit_number if layout.profit and not strict else N.generic_number
-    rows = numbered(spark, path, layout)
     given = F.lit(symbol.strip().upper() if symbol else None).cast("string")
     own = F.upper(text("symbol"))
     quantity = N.whole_number(get("quantity"))
@@ -187,10 +227,19 @@ def read_trades(spark: SparkSession, path: str, *, tick_size: float, symbol: str
         problem = F.when(cells, "wrong number of columns").when(other, "another symbol").otherwise(problem)
     # an expression that isn't deterministic keeps later filters above this step, so that no check runs on lines that are left out
     problem = F.when(F.monotonically_increasing_id() < 0, F.lit("")).otherwise(problem)
-    t = t.withColumns({"problem": problem, "session_date": F.col("ts").cast("date")}).drop("_own", "_n_cells")
-    r = _turns(t, [], "source_row").select("first", "last", _source_order().alias("order")).first()  # one row
-    place = F.lit(r["last"]) - F.col("source_row") + 1 if r["order"] == "DESCENDING" else F.col("source_row") - F.lit((r["first"] or 1) - 1)
-    return t.withColumn("sequence_no", place.cast("long"))
+    return t.withColumns({"problem": problem, "session_date": F.col("ts").cast("date")}).drop("_own", "_n_cells")
+
+
+def source_order_of(trades: DataFrame) -> tuple[str, int, int]:
+    """The order of times, and the first and last line with one."""
+    r = _turns(trades, [], "source_row").select(_source_order().alias("order"), "first", "last").first()  # one row
+    return r["order"], r["first"] or 1, r["last"] or 1
+
+
+def in_sequence(trades: DataFrame, source_order: str, first: int, last: int) -> DataFrame:
+    """``sequence_no`` from 1 on; it counts a file in descending order from its end."""
+    place = F.lit(last) - F.col("source_row") + 1 if source_order == "DESCENDING" else F.col("source_row") - F.lit(first - 1)
+    return trades.withColumn("sequence_no", place.cast("long"))
 
 
 def trades_or_error(trades: DataFrame) -> DataFrame:
@@ -199,17 +248,23 @@ def trades_or_error(trades: DataFrame) -> DataFrame:
     return trades.filter(ok.isNull()).drop("problem")
 
 
-def source_probe(trades: DataFrame, symbol: str | None = None, order: str = "source_row") -> DataFrame:
-    """One row: rows, symbols, symbol, times, source_order and the ``problem`` that forbids slices of the source, or null:
-    it must have trades of one symbol, the given one if any, in rising or falling order of time."""
+#: A source needs so many distinct times.
+LEAST_TIMES = 3
+
+
+def source_probe(trades: DataFrame, symbol: str | None = None, order: str = "source_row", least_times: int = 1) -> DataFrame:
+    """One row: rows, symbols, symbol, times (distinct ones), first_ts, last_ts, source_order and the ``problem`` that forbids slices of the source, or null:
+    it must have trades of one symbol, the given one if any, in rising or falling order of time, and at ``least_times`` distinct times."""
     c = F.col
     t = trades.filter("ts IS NOT NULL")
+    # distinct times by two aggregations, as a source has very many
+    times = t.groupBy("ts").agg(F.count("*").alias("n")).agg(F.count("*").alias("times"))
     g = t.agg(F.count("*").alias("rows"), F.count_distinct("symbol").alias("symbols"), F.min("symbol").alias("symbol"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    g = g.crossJoin(F.broadcast(_turns(t, [], order))).withColumn("source_order", _source_order())  # one row each
+    g = g.crossJoin(F.broadcast(_turns(t, [], order))).crossJoin(F.broadcast(times)).withColumn("source_order", _source_order())  # one row each
     given = F.lit(symbol.strip().upper() if symbol else None).cast("string")
     problem = F.when(c("rows") == 0, "no trade with a time").when(c("symbols") > 1, "more than one symbol").when(F.coalesce(c("symbol"), given).isNull(), "no symbol").when(c("symbol") != given, "another symbol")
-    problem = problem.when(~c("source_order").isin("ASCENDING", "DESCENDING"), F.concat(F.lit("order is "), c("source_order")))
-    return g.select("rows", "symbols", F.coalesce(c("symbol"), given).alias("symbol"), "first_ts", "last_ts", "source_order", problem.alias("problem"))
+    problem = problem.when(~c("source_order").isin("ASCENDING", "DESCENDING"), F.concat(F.lit("order is "), c("source_order"))).when(c("times") < least_times, "too few distinct times")
+    return g.select("rows", "symbols", F.coalesce(c("symbol"), given).alias("symbol"), "times", "first_ts", "last_ts", "source_order", problem.alias("problem"))
 
 
 def read_references(spark: SparkSession, path: str, *, tick_size: float, interval: int, symbol: str | None = None, source: str = "reference_csv") -> DataFrame:

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
@@ -22,8 +21,6 @@ SESSION = ["symbol", "session_date"]
 KEYS = ["interval_seconds", *SESSION]
 FILES = "path string, modificationTime timestamp, length bigint, content binary, symbol string, session_date date"
 STATE = "symbol string, session_date date, fingerprint string, interval_seconds int"
-#: Up to so many sessions are named in the scan's filter; beyond, they are joined with the scan.
-NAMED_SESSIONS = 1000
 
 
 @dataclass(frozen=True)
@@ -93,18 +90,6 @@ def stale(now: DataFrame, then: DataFrame, before: int) -> DataFrame:
     return s.select(*SESSION, (c("rebuild") & ~c("gone")).alias("rebuild"), "read", "gone", "now")
 
 
-def trades_of(store: Store, sessions: DataFrame, n: int) -> DataFrame:
-    """The trades of ``n`` sessions; other partitions are not read."""
-    trades = store.read("trades")
-    if n > NAMED_SESSIONS:
-        return trades.join(sessions, SESSION, "left_semi")
-    by_symbol: dict[str, list] = {}
-    for r in sessions.collect():
-        by_symbol.setdefault(r["symbol"], []).append(r["session_date"])
-    named = [(F.col("symbol") == s) & F.col("session_date").isin(days) for s, days in by_symbol.items()]
-    return trades.filter(reduce(lambda a, b: a | b, named, F.lit(False)))
-
-
 def refresh(store: Store, table: Derived, interval: int) -> dict[str, int]:
     """Brings the table up to date: the number of ``sessions``, and of those ``rebuilt``, ``read`` and ``removed``. The rows are written before
     their fingerprints, so a refresh that was broken off is done again."""
@@ -116,7 +101,7 @@ def refresh(store: Store, table: Derived, interval: int) -> dict[str, int]:
     n = found.agg(F.count_if(~c("gone")), F.count_if("rebuild"), F.count_if("read"), F.count_if("gone")).first()
     sessions, rebuilt, read, removed = n
     if rebuilt:
-        trades = trades_of(store, found.filter("read").select(*SESSION), read)
+        trades = store.partitions_of("trades", found.filter("read"))
         rows = table.build(trades, interval).join(found.filter("rebuild").select(*SESSION), SESSION, "left_semi")
         _write(rows.withColumn("interval_seconds", F.lit(interval)), _path(store, table, "rows"), KEYS)
     for r in found.filter("gone").select(*SESSION).toLocalIterator():

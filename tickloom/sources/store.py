@@ -7,15 +7,16 @@ changes rows rewrites the partitions it touches by dynamic partition overwrite.
 from __future__ import annotations
 
 import uuid
-from datetime import datetime, timezone
 from decimal import Decimal
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from ..schema import REFERENCES, TRADES, is_rlp
 from . import csv_trades
 
-PARTITIONS = {"trades": ["symbol", "session_date"], "reference_candles": ["symbol"], "session_quality": ["symbol"], "research_index": ["symbol", "interval_seconds"], "minute_index": ["fingerprint"], "instruments": ["symbol"], "import_batches": []}
+PARTITIONS = {"trades": ["symbol", "session_date"], "reference_candles": ["symbol"], "session_quality": ["symbol"], "research_index": ["symbol", "interval_seconds"], "minute_index": ["fingerprint"], "instruments": ["symbol"], "import_batches": [], "import_heads": [], "import_blocks": [], "quarantine": ["symbol", "session_date"], "live_candles": ["interval_seconds", "symbol", "session_date"], "live_marks": []}
 #: Types of the partition columns, which folder names don't tell.
 TYPES = {"symbol": T.StringType(), "session_date": T.DateType(), "interval_seconds": T.IntegerType(), "fingerprint": T.StringType()}
 COLUMNS = {
@@ -24,8 +25,10 @@ COLUMNS = {
 }
 TRADE_ROW = T.StructType(TRADES.fields + [T.StructField("event_key", T.StringType()), T.StructField("source_row", T.LongType())])
 BATCH = "batch_id string, fingerprint string, path string, state string, received long, inserted long, enriched long, message string, at timestamp"
-#: Up to so many symbols of a batch are named in a scan's filter; beyond, only its days prune the scan.
-NAMED_SYMBOLS = 1000
+#: Up to so many partitions of a batch are named in a scan's filter; beyond, they are joined with it.
+NAMED = 1000
+#: One slice for a deep analysis spans so many seconds at most.
+SLICE_SECONDS = 3 * 3600
 #: A file of trades has so many rows at most.
 FILE_ROWS = 5_000_000
 
@@ -67,6 +70,17 @@ def enriched(stored: DataFrame, rows: DataFrame, key: str = "event_key") -> Data
     return both.select(*[pick(c).alias(c) for c in names], change.alias("change"))
 
 
+def observed(seen: Observation) -> dict[str, int]:
+    """What a write observed. Where Spark finds out on the way that there are no rows, it drops the step, and the observation is an empty row, which
+    PySpark can't convert."""
+    try:
+        return seen.get
+    except Py4JJavaError as e:
+        if "assertion failed" not in str(e):
+            raise
+        return {}
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -94,7 +108,7 @@ class Store:
         if not self._exists(path):
             return None
         keys = PARTITIONS[table]
-        if table == "trades":
+        if table in ("trades", "quarantine"):
             return self.spark.read.schema(TRADE_ROW).parquet(path)
         found = self.spark.read.option("mergeSchema", True).parquet(path).schema if table == "import_batches" else self.spark.read.parquet(path).schema
         fields = [T.StructField(f.name, TYPES[f.name] if f.name in keys else f.dataType) for f in found]
@@ -103,9 +117,9 @@ class Store:
     def _write(self, table: str, rows: DataFrame, mode: str) -> None:
         """Appends, or replaces the partitions that ``rows`` has."""
         keys = PARTITIONS[table]
-        if table == "trades":
-            rows = rows.select([(F.col(c) if c in rows.columns else F.lit(None)).cast(TRADE_ROW[c].dataType).alias(c) for c in COLUMNS[table]])
-            rows = rows.repartition(*keys).sortWithinPartitions(*keys, "ts", "sequence_no")
+        if table in ("trades", "quarantine"):
+            rows = rows.select([(F.col(c) if c in rows.columns else F.lit(None)).cast(TRADE_ROW[c].dataType).alias(c) for c in COLUMNS["trades"]])
+            rows = rows.repartition(*keys, F.hour("ts")).sortWithinPartitions(*keys, "ts", "sequence_no")  # a hot day is sorted by many tasks
         out = rows.write.mode(mode).option("compression", "zstd").option("maxRecordsPerFile", FILE_ROWS).option("partitionOverwriteMode", "dynamic")
         (out.partitionBy(*keys) if keys else out).parquet(self._path(table))
 
@@ -115,35 +129,47 @@ class Store:
         rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path), path
 
+    def _staged_and_counted(self, rows: DataFrame, **counts: Column) -> tuple[DataFrame, str, dict[str, int]]:
+        """``rows`` staged, and ``counts`` that the write itself observes: no pass of their own."""
+        seen = Observation()
+        staged, path = self._staged(rows.observe(seen, *[F.coalesce(x, F.lit(0)).alias(k) for k, x in counts.items()]))
+        return staged, path, {k: 0 for k in counts} | observed(seen)
+
     def _drop_staged(self, path: str) -> None:
         fs, p = self._files(path)
         fs.delete(p, True)
 
-    def _touched(self, table: str, rows: DataFrame) -> DataFrame | None:
-        """The stored rows of the partitions that ``rows`` can touch: of their symbols, from their first day to their last."""
+    def partitions_of(self, table: str, rows: DataFrame) -> DataFrame | None:
+        """The stored rows of the symbols (and days) that ``rows`` has; other partitions are not read."""
         old = self.read(table)
         if old is None:
             return None
-        symbols = [r["symbol"] for r in rows.select("symbol").distinct().limit(NAMED_SYMBOLS + 1).collect()]
-        if len(symbols) <= NAMED_SYMBOLS:
-            old = old.filter(F.col("symbol").isin(symbols))
-        if "session_date" in PARTITIONS[table]:
-            r = rows.agg(F.min("session_date").alias("a"), F.max("session_date").alias("b")).first()
-            old = old.filter(F.col("session_date").between(F.lit(r["a"]), F.lit(r["b"])))
-        return old
+        keys = [k for k in PARTITIONS[table] if k in ("symbol", "session_date")]
+        parts = rows.select(*keys).distinct()
+        found = parts.take(NAMED + 1)
+        if len(found) > NAMED:
+            return old.join(parts, keys, "left_semi")
+        days: dict[str, list] = {}
+        for r in found:
+            days.setdefault(r["symbol"], []).append(r["session_date"] if "session_date" in keys else None)
+        named = [(F.col("symbol") == s) & F.col("session_date").isin(d) if "session_date" in keys else F.col("symbol") == s for s, d in days.items()]
+        return old.filter(reduce(lambda a, b: a | b, named, F.lit(False)))
 
     # imports
 
     def add(self, table: str, rows: DataFrame, key: str) -> dict[str, int]:
-        """Appends rows of new keys; received, inserted and duplicates."""
-        old = self._touched(table, rows)
-        received = rows.count()
-        fresh = rows.dropDuplicates([key]) if old is None else new_rows(old, rows, key)
-        staged, path = self._staged(fresh)  # computed once, for the count and the table
-        inserted = staged.count()
-        if inserted:
-            self._write(table, staged, "append")
+        """Appends rows of new keys; received, inserted and duplicates. ``rows`` is evaluated once, and counted by the writes."""
+        staged, path, n = self._staged_and_counted(rows, received=F.count("*"))
+        received = n["received"]
+        if not received:
+            self._drop_staged(path)
+            return {"received": 0, "inserted": 0, "duplicates": 0}
+        old = self.partitions_of(table, staged)
+        fresh = staged.dropDuplicates([key]) if old is None else new_rows(old, staged, key)
+        seen = Observation()
+        self._write(table, fresh.observe(seen, F.count("*").alias("inserted")), "append")
         self._drop_staged(path)
+        inserted = observed(seen).get("inserted", 0)
         return {"received": received, "inserted": inserted, "duplicates": received - inserted}
 
     def add_trades(self, trades: DataFrame) -> dict[str, int]:
@@ -152,42 +178,29 @@ class Store:
     def add_slice(self, trades: DataFrame, fingerprint: str) -> dict[str, int]:
         """New trades of a file, and sides, agents and flags of those stored without; touched days are rewritten."""
         rows = trades.withColumn("event_key", slice_key(fingerprint))
-        old = self._touched("trades", rows)
-        if old is None:
+        if self.read("trades") is None:
             return self.add("trades", rows, "event_key") | {"enriched": 0}
-        fit = rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(old.schema[c].dataType).alias(c) for c in old.columns])
+        fit = rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(TRADE_ROW[c].dataType).alias(c) for c in COLUMNS["trades"]])
+        staged, first, n = self._staged_and_counted(fit, received=F.count("*"))
         # whole partitions are rewritten, so all their rows are needed, but no other partition's
-        days = fit.select("symbol", "session_date").distinct()
-        merged, path = self._staged(enriched(old.join(days, ["symbol", "session_date"], "left_semi"), fit))
-        n = {r["change"]: r["count"] for r in merged.groupBy("change").count().collect()}  # three rows
-        received, inserted = rows.count(), n.get("inserted", 0)
-        if n.get("enriched", 0):
+        old = self.partitions_of("trades", staged).select(*COLUMNS["trades"])
+        merged, second, changed = self._staged_and_counted(enriched(old, staged), inserted=F.count_if(F.col("change") == "inserted"), enriched=F.count_if(F.col("change") == "enriched"))
+        if changed["enriched"]:
             self._write("trades", merged.drop("change"), "overwrite")
-        elif inserted:
+        elif changed["inserted"]:
             self._write("trades", merged.filter("change = 'inserted'").drop("change"), "append")
-        self._drop_staged(path)
-        return {"received": received, "inserted": inserted, "duplicates": received - inserted, "enriched": n.get("enriched", 0)}
+        for path in (first, second):
+            self._drop_staged(path)
+        return {"received": n["received"], "inserted": changed["inserted"], "duplicates": n["received"] - changed["inserted"], "enriched": changed["enriched"]}
 
     def add_references(self, references: DataFrame) -> dict[str, int]:
         return self.add("reference_candles", references.withColumn("reference_key", reference_key()), "reference_key")
 
-    def load_file(self, path: str, *, tick_size: float, symbol: str | None = None, source: str = "csv", strict: bool = True) -> dict:
-        """Loads a file once, whatever its name. Each step is a row of ``import_batches``: RUNNING, then COMPLETED or FAILED. A file
-        that is COMPLETED is skipped; after a failure only the lines that aren't stored yet are added."""
-        mark = csv_trades.fingerprint(self.spark, path)
-        if self.state(mark) == "COMPLETED":
-            return {"state": "SKIPPED", "fingerprint": mark}
-        batch = uuid.uuid4().hex
-        log = lambda state, n=None, message=None: self.record_batch(self.spark.createDataFrame([(batch, mark, path, state, *[(n or {}).get(k) for k in ("received", "inserted", "enriched")], message, datetime.now(timezone.utc))], BATCH))
-        log("RUNNING")
-        try:
-            rows = csv_trades.trades_or_error(csv_trades.read_trades(self.spark, path, tick_size=tick_size, symbol=symbol, source=source, strict=strict))
-            done = self.add_slice(rows, mark)
-        except Exception as e:
-            log("FAILED", message=str(e)[:500])
-            raise
-        log("COMPLETED", done)
-        return {"state": "COMPLETED", "fingerprint": mark} | done
+    def load_file(self, path: str, *, tick_size: float, symbol: str | None = None, source: str = "csv", strict: bool = True, step_rows: int = 5_000_000) -> dict:
+        """Loads a file once, whatever its name, by blocks; a load that broke off goes on at its first unfinished block (``bulk_load``)."""
+        from .bulk_load import load
+
+        return load(self, path, tick_size=tick_size, symbol=symbol, source=source, strict=strict, step_rows=step_rows)
 
     def state(self, fingerprint: str) -> str | None:
         """The last state of a file's load."""
@@ -253,6 +266,16 @@ class Store:
             t = t.filter((F.col("ts") < F.lit(end).cast("timestamp_ntz")) & (F.col("session_date") <= F.lit(end).cast("date")))
         return t
 
+    def load_slice(self, symbol: str, start, end) -> DataFrame:
+        """Trades of a symbol in [start, end), at most three hours, for a deep analysis."""
+        if not symbol.strip():
+            raise ValueError("a slice needs a symbol")
+        if end <= start:
+            raise ValueError("a slice's end must be after its start")
+        if (end - start).total_seconds() > SLICE_SECONDS:
+            raise ValueError("a slice spans three hours at most")
+        return self.load_trades(symbol.strip().upper(), start=start, end=end)
+
     def load_references(self, symbol: str, interval: int | None = None) -> DataFrame:
         """Reference candles of a symbol by start."""
         r = self.read("reference_candles").filter(F.col("symbol") == symbol)
@@ -305,4 +328,4 @@ def canonical_columns(tick_size: float, trade_ids: bool = False) -> list[Column]
 def export_csv(trades: DataFrame, path: str, tick_size: float, trade_ids: bool = False) -> None:
     """Trades as headerless CSV files of which each holds a range of times, in order."""
     rows = trades.select(*canonical_columns(tick_size, trade_ids), F.col("ts").alias("_ts"), F.col("sequence_no").alias("_n"))
-    rows.repartitionByRange("_ts", "_n").sortWithinPartitions("_ts", "_n").drop("_ts", "_n").write.option("emptyValue", "").csv(path)
+    rows.repartitionByRange("_ts", "_n").sortWithinPartitions("_ts", "_n").drop("_ts", "_n").write.option("emptyValue", "").option("escape", '"').csv(path)
