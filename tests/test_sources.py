@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from tests.helpers import one, trades
 from tickloom.functions import normalize as N
 from tickloom.operators.candles import build_candles
-from tickloom.operators.waves import WaveRules, waves
 from tickloom.schema import REFERENCES, TRADES
 from tickloom.sources import csv_trades, store
-from tickloom.streaming.candles import deduplicated, ingest, streaming_candles, streaming_waves
+from tickloom.streaming.candles import deduplicated, ingest, streaming_candles
 
 
 def test_numbers(spark):
@@ -253,9 +252,3 @@ def test_streams_equal_batches(spark, tmp_path):
     got = {tuple(r) for r in spark.table("c").collect()}
     want = {tuple(r) for r in build_candles(t, 60).drop("first_us", "last_us").collect()}
     assert got and got <= want and len(want - got) <= 1  # the last candle is still open
-    rules = WaveRules(window=5)
-    q = streaming_waves(stream, 60, rules).writeStream.format("memory").queryName("w").outputMode("append").option("checkpointLocation", str(tmp_path / "w")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {tuple(r) for r in spark.table("w").collect()}
-    want = {tuple(r) for r in waves(t, 60, rules).select("symbol", "start", "side", "start_idx", "end_idx", "termination").collect()}
-    assert got == want and want

@@ -1,14 +1,10 @@
-"""Candles and waves over streams. Event time must be TIMESTAMP, as watermarks don't take wall-clock times."""
+"""Candles over streams. Event time must be TIMESTAMP, as watermarks don't take wall-clock times."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..schema import CANDLE, order_key
-from ..operators.waves import RULES, WaveRules, WaveState
+from ..schema import order_key
 from ..sources.store import Store
 
 
@@ -27,43 +23,6 @@ def deduplicated(trades: DataFrame, late: str = "5 minutes") -> DataFrame:
     return trades.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", late).dropDuplicatesWithinWatermark(["event_key"]).drop("event_time")
 
 
-def streaming_waves(trades: DataFrame, interval: int, rules: WaveRules = RULES) -> DataFrame:
-    """Ended waves as they end. Each candle keeps its last 25 trades and the detector's state (bounded);
-    trades of a micro-batch are taken in order, and a candle's state goes by timeout after its end."""
-    out = "symbol string, start long, side string, start_idx long, end_idx long, termination string"
-    state = "n long, quantities array<long>, sides array<string>, detector string"
-
-    def step(key, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        import json
-
-        if held.hasTimedOut:
-            held.remove()
-            return
-        n, quantities, sides, saved = held.get if held.exists else (0, [], [], "{}")
-        n, quantities, sides = int(n), [int(x) for x in quantities], list(sides)
-        detector = WaveState(rules, json.loads(saved))
-        df = pd.concat(list(frames)).sort_values(["us", "sequence_no"], kind="stable")
-        found = []
-        for q, side in zip(df.quantity, df.aggressor):
-            quantities.append(int(q))
-            sides.append(side)
-            quantities, sides = quantities[-rules.window :], sides[-rules.window :]
-            buy = sum(x for x, s in zip(quantities, sides) if s == "BUY")
-            sell = sum(x for x, s in zip(quantities, sides) if s == "SELL")
-            directed, total = buy + sell, sum(quantities)
-            wave = detector.step(n, buy, sell, (buy - sell) / directed if directed else 0.0, directed / total if total else 0.0)
-            if wave:
-                found.append((key[0], int(key[1]), wave["side"], wave["start_idx"], wave["end_idx"], wave["termination"]))
-            n += 1
-        held.update((n, quantities, sides, json.dumps(detector.saved())))
-        held.setTimeoutTimestamp(int(max((key[1] + interval) * 1000, held.getCurrentWatermarkMs() + 1)))
-        yield pd.DataFrame(found, columns=[c.split()[0] for c in out.split(", ")])
-
-    t = trades.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", "5 minutes").withColumn("us", F.unix_micros("event_time"))
-    t = t.withColumn("start", (F.floor(F.floor(F.col("us") / 1_000_000) / interval) * interval).cast("long"))
-    return t.groupBy(*CANDLE).applyInPandasWithState(step, out, state, "append", "EventTimeTimeout")
-
-
 def ingest(stream: DataFrame, store: Store, checkpoint: str):
     """Resumable load of a stream of trades into the store. Each micro-batch adds the trades whose event_key isn't stored, so one that is
     run again after a failure adds nothing twice, and a restart goes on where the checkpoint stands."""
