@@ -379,15 +379,16 @@ add(
 
 
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The trades written as headerless CSV and read again."""
+    """The trades, with agents that hold quotes, separators and backslashes, written as headerless CSV and read again."""
     path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
-    store.export_csv(driver_tables.trades(spark, sf_dir), path, driver_tables.TICK, trade_ids=True)
+    odd = lambda c: F.when(F.col(c) != "", F.concat(F.lit('"'), c, F.lit('", \\ S"A'))).otherwise("")
+    store.export_csv(driver_tables.trades(spark, sf_dir).withColumns({c: odd(c) for c in ("buyer_id", "seller_id")}), path, driver_tables.TICK, trade_ids=True)
     t = csv_trades.trades_or_error(csv_trades.read_trades(spark, path, tick_size=driver_tables.TICK))
     return t.select("symbol", micros(t).alias("us"), "session_date", "price_ticks", "quantity", "trade_id", "aggressor", "buyer_id", "seller_id", F.coalesce(is_rlp(), F.lit(False)).alias("rlp"))
 
 
 QUERIES["csv_roundtrip"] = csv_roundtrip
-SQL["csv_roundtrip"] = sql("SELECT symbol, us, session_date, p AS price_ticks, q AS quantity, CAST(seq AS VARCHAR) AS trade_id, side AS aggressor, nullif(buyer, '') AS buyer_id, nullif(seller, '') AS seller_id, rlp FROM t")
+SQL["csv_roundtrip"] = sql("SELECT symbol, us, session_date, p AS price_ticks, q AS quantity, CAST(seq AS VARCHAR) AS trade_id, side AS aggressor, CASE WHEN buyer <> '' THEN '\"' || buyer || '\", \\ S\"A' END AS buyer_id, CASE WHEN seller <> '' THEN '\"' || seller || '\", \\ S\"A' END AS seller_id, rlp FROM t")
 TURNS = "(SELECT count(*) FILTER (WHERE us > b) AS up, count(*) FILTER (WHERE us < b) AS dn FROM (SELECT us, lag(us) OVER (ORDER BY seq) AS b FROM t))"
 add("source_probe", lambda t: csv_trades.source_probe(t, order="sequence_no"), "rows; symbols; symbol; source_order; problem='more than one symbol'", f"FROM (SELECT count(*) AS rows, count(DISTINCT symbol) AS symbols, min(symbol) AS symbol FROM t), LATERAL (SELECT CASE WHEN dn > 0 AND up = 0 THEN 'DESCENDING' WHEN dn = 0 AND up > 0 THEN 'ASCENDING' WHEN dn = 0 THEN 'SAME_TIMESTAMP' ELSE 'MIXED' END AS source_order FROM {TURNS})")
 add(
