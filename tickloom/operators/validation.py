@@ -68,6 +68,29 @@ def direction_baseline(candles: DataFrame, interval: int, horizons: list[int]) -
     return g.withColumns({"flat": n - F.col("up") - F.col("down"), "up_rate": F.col("up") / n, "down_rate": F.col("down") / n})
 
 
+def _outcomes(trades: DataFrame, candles: DataFrame, interval: int, horizons: list[int], rules: WaveRules | None) -> DataFrame:
+    """A row for each hypothesis and horizon that has an outcome."""
+    c = F.col
+    wave = F.when(c("open_side") == "BUY", "UP").when(c("open_side") == "SELL", "DOWN")
+    last = F.when(c("last_way") == "COMPRA", "UP").when(c("last_way") == "VENDA", "DOWN")
+    way = F.when(c("code").isin(UP), "UP").when(c("code").isin(DOWN), "DOWN").when(c("code") == "ONDA_ABERTA_SUSTENTA_FECHAMENTO", wave).when(c("code") == "MUDANCA_CONTROLE_INTRABAR", last)
+    h = _hypotheses(trades, interval, rules, efficiency=False).withColumn("way", way).filter("way IS NOT NULL")
+    x = h.join(_ahead(candles, interval, horizons), CANDLE)
+    up = c("way") == "UP"
+    return x.withColumns({"aligned": F.when(up, c("delta")).otherwise(-c("delta")), "favorable": F.when(up, c("up")).otherwise(c("down")), "adverse": F.when(up, c("down")).otherwise(c("up"))})
+
+
+def calibrated_hypotheses(trades: DataFrame, interval: int, horizons: list[int], references: DataFrame | None = None, rules: WaveRules | None = RULES, least: int = 1) -> DataFrame:
+    """Each session's hypotheses by score bin, with the share of hits that earlier sessions' outcomes give such scores (``calibrate.walk_forward``).
+    An outcome that reaches into a later session would not be known there; none does, as candles look ahead within their session."""
+    from .calibrate import walk_forward
+    from .research import with_session
+
+    trades = indexed_once(trades, interval)
+    x = with_session(_outcomes(trades, gated(trades, interval, references), interval, horizons, rules))
+    return walk_forward(x.withColumn("hit", F.col("aligned") > 0), ["symbol", "code", "horizon"], least=least)
+
+
 def hypothesis_outcomes(trades: DataFrame, interval: int, horizons: list[int], references: DataFrame | None = None, rules: WaveRules | None = RULES, include_synthetic: bool = False) -> DataFrame:
     """Hits of each hypothesis by horizon and direction, with Wilson's interval, the base rate and the lift.
 
@@ -76,13 +99,7 @@ def hypothesis_outcomes(trades: DataFrame, interval: int, horizons: list[int], r
     c = F.col
     trades = indexed_once(trades, interval)  # gates, bars, phases, levels and waves come from one shuffle of the trades
     candles = gated(trades, interval, references, include_synthetic)
-    wave = F.when(c("open_side") == "BUY", "UP").when(c("open_side") == "SELL", "DOWN")
-    last = F.when(c("last_way") == "COMPRA", "UP").when(c("last_way") == "VENDA", "DOWN")
-    way = F.when(c("code").isin(UP), "UP").when(c("code").isin(DOWN), "DOWN").when(c("code") == "ONDA_ABERTA_SUSTENTA_FECHAMENTO", wave).when(c("code") == "MUDANCA_CONTROLE_INTRABAR", last)
-    h = _hypotheses(trades, interval, rules, efficiency=False).withColumn("way", way).filter("way IS NOT NULL")
-    x = h.join(_ahead(candles, interval, horizons), CANDLE)
-    up = c("way") == "UP"
-    x = x.withColumns({"aligned": F.when(up, c("delta")).otherwise(-c("delta")), "favorable": F.when(up, c("up")).otherwise(c("down")), "adverse": F.when(up, c("down")).otherwise(c("up"))})
+    x = _outcomes(trades, candles, interval, horizons, rules)
     sets = [["symbol", "code", "horizon", "way"], ["symbol", "code", "horizon", "way", "confidence"]]
     g = x.groupingSets([[c(k) for k in s] for s in sets], *[c(k) for k in sets[1]]).agg(
         F.count("*").alias("n"),

@@ -7,9 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import aggression, candles, dna, efficiency, interpret, quality, reconcile, research, simulate, trajectory, transitions, validation, waves
+from ..operators import agents, aggression, candles, dna, efficiency, interpret, intervals, quality, reconcile, research, simulate, trajectory, transitions, validation, waves
 from ..sources import csv_trades, derived, driver_tables, store
 from ..sources.scratch import shared_folder
+from ..streaming import live as streaming_live
 from ..schema import is_rlp, micros
 from . import sql as queries_sql
 from .sql import N, sql
@@ -398,3 +399,75 @@ add(
     "FROM (SELECT refs.symbol, refs.start, min(seq) AS first_row, max(seq) AS last_row, arg_min(seq, (us, seq)) AS open_row, arg_max(seq, (us, seq)) AS close_row, count(seq) AS trades, CASE WHEN count(seq) > 0 THEN 'FOUND' ELSE 'NO_TRADES' END AS status FROM refs LEFT JOIN t ON t.symbol = refs.symbol AND t.start = refs.start GROUP BY ALL)",
 )
 add("locate_interval", lambda t: csv_trades.locate_interval(csv_trades.minute_index(t, 1, "sequence_no"), 1_705_312_800, 1_705_399_200), "symbol; first_row; last_row; open_row; close_row; trades; minutes", "FROM (SELECT symbol, min(seq) AS first_row, max(seq) AS last_row, arg_min(seq, (us, seq)) AS open_row, arg_max(seq, (us, seq)) AS close_row, count(*) AS trades, count(DISTINCT us // 60000000) AS minutes FROM t WHERE us >= 1705312800000000 AND us < 1705399200000000 GROUP BY symbol)")
+add(
+    "wave_gap_overlap",
+    lambda t: intervals.wave_gap_overlap(t, DAY_S, 600),
+    f"{ID}; wave; side; gap_from; gap_to; overlap_us=CAST(least(u1, gap_to) - greatest(u0, gap_from) AS BIGINT)",
+    """FROM (SELECT wv.symbol, wv.start, wave, side, a.us AS u0, z.us AS u1 FROM wv JOIN tt a ON a.symbol = wv.symbol AND a.ds = wv.start AND a.i = start_idx JOIN tt z ON z.symbol = wv.symbol AND z.ds = wv.start AND z.i = coalesce(end_idx, last_idx)) w
+      JOIN (SELECT symbol, lag(us) OVER (PARTITION BY symbol, session_date ORDER BY us) AS gap_from, us AS gap_to FROM (SELECT DISTINCT symbol, session_date, us FROM t)) g USING (symbol)
+      WHERE gap_to - gap_from > 600000000 AND gap_from < u1 AND u0 < gap_to""",
+    *DAILY_WAVES,
+    "tt AS (SELECT symbol, us, us // 86400000000 * 86400 AS ds, row_number() OVER (PARTITION BY symbol, us // 86400000000 ORDER BY us, seq) - 1 AS i FROM t)",
+)
+CALIBRATED = OUT.replace("ho AS (SELECT hx.symbol, code", f"ho AS (SELECT hx.symbol, {queries_sql.DAY} AS d, code", 1) + """,
+cb AS (SELECT symbol, code, horizon, d, CAST(least(floor(score * 20 + 1e-9), 19) AS INTEGER) AS bin, count(*) AS n, count(*) FILTER (WHERE al > 0) AS hits FROM ho GROUP BY ALL),
+cp AS (SELECT k.symbol, k.code, k.horizon, k.d, p.bin, sum(p.n) AS n, sum(p.hits) AS hits FROM (SELECT DISTINCT symbol, code, horizon, d FROM cb) k JOIN cb p ON p.symbol = k.symbol AND p.code = k.code AND p.horizon = k.horizon AND p.d < k.d GROUP BY ALL),
+cr AS (SELECT symbol, code, horizon, d, a.a, z.z, sum(hits) / sum(n) AS m FROM cp, range(20) a(a), range(20) z(z) WHERE bin BETWEEN a.a AND z.z GROUP BY ALL),
+cf AS (SELECT symbol, code, horizon, d, i AS bin, max(m) AS fit FROM (SELECT symbol, code, horizon, d, i.i, a, min(m) AS m FROM cr, range(20) i(i) WHERE a <= i.i AND i.i <= z GROUP BY ALL) GROUP BY ALL),
+cs AS (SELECT symbol, code, horizon, d, sum(n) AS seen FROM cp GROUP BY ALL)"""
+add(
+    "calibrated_hypotheses",
+    lambda t, r: validation.calibrated_hypotheses(t, N, HORIZONS, r, rules=None),
+    "symbol; code; horizon; session_date=d; bin; n; hits; ~calibrated=fit; seen=CAST(coalesce(seen, 0) AS BIGINT)",
+    "FROM cb LEFT JOIN cf USING (symbol, code, horizon, d, bin) LEFT JOIN cs USING (symbol, code, horizon, d)",
+    CALIBRATED,
+)
+HHI = "sum(q_ * q_) FILTER (WHERE agent <> '') / (sum(q_) FILTER (WHERE agent <> '') * sum(q_) FILTER (WHERE agent <> ''))"
+SHARED = f"agents=count(*) FILTER (WHERE agent <> ''); quantity=CAST(sum(q_) AS BIGINT); ~hhi={HHI}; ~effective_agents=1 / ({HHI}); ~top_share=max(q_) FILTER (WHERE agent <> '') / sum(q_) FILTER (WHERE agent <> ''); ~named_share=sum(q_) FILTER (WHERE agent <> '') / sum(q_)"
+for by, key in (("", ""), ("_by_level", ", p")):
+    add(
+        f"agent_concentration{by}",
+        (lambda t: agents.concentration(t, N, True)) if by else lambda t: agents.concentration(t, N),
+        f"{ID}; {'price_ticks=p; ' if by else ''}side; {SHARED}",
+        f"FROM ag GROUP BY symbol, start{key}, side HAVING count(*) FILTER (WHERE agent <> '') > 0",
+        AGENTS.format(k=f"symbol, start{key}"),
+    )
+add(
+    "agent_profiles",
+    lambda t: agents.profile_matches(t, N, 4000, 2),
+    "symbol; session_date; next_date; agent; match=agent2; common; ~similarity=sim; same_agent=agent = agent2",
+    "FROM (SELECT a.symbol, a.session_date, a.next_date, a.agent, z.agent AS agent2, count(*) AS common, count(*) / (any_value(a.size) + any_value(z.size) - count(*)) AS sim FROM pj a JOIN pj z ON z.symbol = a.symbol AND z.session_date = a.next_date AND z.item = a.item GROUP BY ALL) WHERE sim >= 0.5",
+    """pi AS (SELECT DISTINCT symbol, session_date, CASE side WHEN 'BUY' THEN buyer ELSE seller END AS agent, (floor(p / 4000.0), least((us - start * 1000000) * 2 // 14400000000, 1), side) AS item FROM t WHERE side <> 'NONE' AND CASE side WHEN 'BUY' THEN buyer ELSE seller END <> ''),
+pn AS (SELECT symbol, session_date, lead(session_date) OVER (PARTITION BY symbol ORDER BY session_date) AS next_date FROM (SELECT DISTINCT symbol, session_date FROM pi)),
+pj AS (SELECT pi.*, next_date, count(*) OVER (PARTITION BY pi.symbol, pi.session_date, agent) AS size FROM pi JOIN pn USING (symbol, session_date))""",
+)
+
+
+def _live(t: DataFrame) -> DataFrame:
+    """Candles of a stream of two parts, of which the second has trades that are late by days; late ones are put aside and absorbed."""
+    spark = t.sparkSession
+    folder = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
+    held = store.Store(spark, f"{folder}/store")
+    late = F.col("sequence_no") % 10 == 3
+    for part in (t.filter(~late), t.filter(late)):
+        part.write.mode("append").parquet(f"{folder}/in")
+        streaming_live.live(spark.readStream.schema(t.schema).parquet(f"{folder}/in"), held, f"{folder}/checkpoint", N).awaitTermination()
+    streaming_live.absorb(held, N)
+    streaming_live.close(held, N)
+    return held.read("live_candles")
+
+
+add("live_candles", _live, f"{ID}; {OHLC}", "FROM c")
+
+
+def _loaded(t: DataFrame) -> DataFrame:
+    """The trades after a bulk load, by blocks, of their export."""
+    spark = t.sparkSession
+    folder = f"{shared_folder(spark)}/bulk-{uuid.uuid4().hex}"
+    store.export_csv(t, f"{folder}/csv", driver_tables.TICK, trade_ids=True)
+    held = store.Store(spark, f"{folder}/store")
+    held.load_file(f"{folder}/csv", tick_size=driver_tables.TICK)
+    return held.read("trades").withColumn("us", micros(t))
+
+
+add("bulk_load", _loaded, "symbol; us; session_date; price_ticks=p; quantity=q; trade_id=CAST(seq AS VARCHAR); aggressor=side; sequence_no=row_number() OVER (ORDER BY us, seq)", "FROM t")

@@ -57,8 +57,9 @@ def stage(store: Store, path: str, place: str, step_rows: int, **options) -> dic
     told.withColumn("value", F.col("value").cast("binary")).write.option("compression", "zstd").parquet(f"{folder}/lines")
     encoding = csv_trades.encoding_told(seen.get)
     raw = spark.read.parquet(f"{folder}/lines").withColumn("value", F.col("value").cast("string"))
-    # steps of about ``step_rows`` rows, numbered without gaps
-    blocks = csv_trades.blocks_of(raw).withColumn("step", F.dense_rank().over(Window.partitionBy("_file").orderBy(F.floor(F.col("_before") / step_rows))) - 1)
+    # a row for each block: lines are numbered over all files of a folder, and steps of about ``step_rows`` rows without gaps
+    blocks = csv_trades.blocks_of(raw).withColumn("_before", F.coalesce(F.sum("_lines").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    blocks = blocks.withColumn("step", F.dense_rank().over(Window.orderBy(F.floor(F.col("_before") / step_rows))) - 1)
     blocks.write.parquet(f"{folder}/blocks")
     blocks = spark.read.parquet(f"{folder}/blocks")
     numbered = csv_trades.number_lines(raw, blocks)
@@ -76,8 +77,9 @@ def step_lines(store: Store, head: dict, step: int) -> DataFrame:
     """The numbered lines of one step; the stage's row groups of other blocks are skipped by their statistics."""
     spark = store.spark
     blocks = spark.read.parquet(f"{head['folder']}/blocks").filter(F.col("step") == step)
-    ends = blocks.agg(F.min("_block"), F.max("_block")).first()
-    raw = spark.read.parquet(f"{head['folder']}/lines").filter(F.col("_block").between(ends[0], ends[1])) if ends[0] is not None else spark.read.parquet(f"{head['folder']}/lines").limit(0)
+    ends = blocks.agg(F.min("_block"), F.max("_block"), F.min("_file"), F.max("_file")).first()
+    raw = spark.read.parquet(f"{head['folder']}/lines")
+    raw = raw.filter(F.col("_block").between(ends[0], ends[1]) & F.col("_file").between(ends[2], ends[3])) if ends[0] is not None else raw.limit(0)
     return csv_trades.number_lines(raw.withColumn("value", F.col("value").cast("string")), blocks.drop("step"))
 
 
@@ -94,7 +96,7 @@ def done_steps(store: Store, fingerprint: str) -> set[int]:
 def load(store: Store, path: str, *, tick_size: float, symbol: str | None = None, source: str = "csv", strict: bool = True, step_rows: int = 5_000_000) -> dict:
     """Loads a file once. ``import_batches`` gets a row RUNNING and one COMPLETED or FAILED; ``import_blocks`` one for each step that is done.
 
-    A file whose content is loaded already is skipped, whatever its name.
+    A file whose content is loaded already is skipped, whatever its name. A folder of files is loaded as one file, in the order of their names; only the first can have a header.
     """
     from .store import BATCH
 
