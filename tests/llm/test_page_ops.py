@@ -2,6 +2,8 @@
 
 import json
 import random
+import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pytest
@@ -416,8 +418,80 @@ def test_anchors_lose_no_match():
         unit = {t for t in ts if rng.random() < 0.8} | {rng.choice(["the", "foo", "of"]) for _ in range(rng.randrange(3))}
         if not unit or unit & has:
             continue
-        size = sum(squares.get(t, other) for t in unit)
-        assert all(sum(squares[t] for t in unit & set(ts2)) / (size**0.5 * n2) < license_scan.LEAST for _, _, ts2, n2 in templates)
+        tf = {t: license_scan.tf(rng.choice([1, 1, 2, 5])) for t in unit}
+        size = sum(w * w * squares.get(t, other) for t, w in tf.items())
+        assert all(sum(tf[t] * ts2[t] * squares[t] for t in unit & set(ts2)) / (size**0.5 * n2) < license_scan.LEAST for _, _, ts2, n2 in templates)
+
+
+def brute_licence(text, least=license_scan.LEAST):
+    """(licence, score, line) by the cosine of every line, every run as wide as a template, and the whole text."""
+    import math
+
+    templates, squares, other, anchors = license_scan._model(least)
+    full, full_squares, full_other = license_scan._full_model()
+
+    def cosine(unit, vector, norm, weights, unknown, sets):
+        tf = {t: 1.0 if sets else 1 + math.log(n) for t, n in unit.items()}
+        size = sum(w * w * weights.get(t, unknown) for t, w in tf.items())
+        dot = sum(tf[t] * (1.0 if sets else vector[t]) * weights[t] for t in tf if t in vector)
+        return round(dot / (math.sqrt(size) * norm), 6) if size else 0.0
+
+    found = []
+    units = [(0, 0, license_scan.counts(text))] + [(k, 0, license_scan.counts(x)) for k, x in enumerate(text.split("\n"), 1)]
+    bare = [re.sub(r"(?i)^[ \t]*(dnl|rem)(?=[ \t])", "", x) for x in text.split("\n")]
+    stream = [(m[0], k) for k, x in enumerate(bare, 1) for m in re.finditer(license_scan.TERM, x.lower())]
+    widths = {sum(license_scan.counts(x).values()) for ts in license_scan.TEMPLATES.values() for x in ts}
+    for width in widths:
+        for first in range(max(1, len(stream))):
+            if stream[first : first + width]:
+                units.append((stream[first][1], 1, Counter(t for t, _ in stream[first : first + width])))
+    for line, run, unit in units:
+        if set(unit) & set(anchors):
+            found += [((False, x, -k, not run, -line), name, x, line) for k, name, ts, norm in templates if (x := cosine(unit, ts, norm, squares, other, False)) >= least]
+    found += [((True, x, -k, True, 0), name, x, 0) for k, name, ts, norm in full if (x := cosine(units[0][2], dict.fromkeys(ts), norm, full_squares, full_other, True)) >= least]
+    return max(found)[1:] if found else None
+
+
+def test_scores_are_the_brute_force_cosines(spark):
+    rng = random.Random(9)
+    notices = [x for ts in license_scan.TEMPLATES.values() for x in ts]
+    plain = "the code of a program is in this file and may use other words version 2 copyright list".split()
+    texts = []
+    for k in range(40):
+        words = [rng.choice(plain) for _ in range(rng.randrange(5, 120))]
+        for _ in range(rng.randrange(0, 3)):
+            some = [w for w in rng.choice(notices).split() if rng.random() < 0.93]
+            at = rng.randrange(len(words))
+            words[at:at] = some + some[: rng.randrange(2)]
+        lines = []
+        while words:
+            n = rng.randrange(1, 14)
+            lines.append(rng.choice(["", "# ", "dnl "]) + " ".join(words[:n]))
+            words = words[n:]
+        texts.append("\n".join(lines))
+    texts += [license_texts.FULL["MIT"], " ".join(license_texts.FULL["BSD-2-Clause"].split()[:-8] + ["more"] * 5), "permission permission permission hereby granted"]
+    got = {r.path: (r.licence, r.score, r.line) for r in license_scan.own_licences(files(spark, [(str(k), t, 1) for k, t in enumerate(texts)])).collect()}
+    want = {str(k): x for k, t in enumerate(texts) if (x := brute_licence(t))}
+    assert got.keys() == want.keys() and len(want) > 15
+    for k, (licence, score, line) in want.items():
+        assert got[k][0] == licence and got[k][1] == pytest.approx(score, abs=2e-6) and (got[k][2] == line or got[k][1] < 1), k
+
+
+def test_a_file_of_many_notices_takes_linear_time(spark):
+    import time
+
+    rng = random.Random(1)
+    notices = [license_scan.TEMPLATES[x][0] for x in ("Apache-2.0", "MIT", "GPL-2.0")]
+    text = "\n".join(" ".join(f"word{rng.randrange(3000)}" for _ in range(6)) + "\n" + rng.choice(notices) for _ in range(2000))
+    assert len(text.split()) > 25_000
+    began = time.perf_counter()
+    [row] = license_scan.own_licences(files(spark, [("a/THIRD-PARTY", text, 1)])).collect()
+    assert (row.licence, row.score, row.line) == ("MIT", 1.0, next(k for k, x in enumerate(text.split("\n"), 1) if x == notices[1])) and time.perf_counter() - began < 40
+
+
+def test_licences_run_no_python_on_executors(spark):
+    plan = license_scan.scan(files(spark, [("a/b", "Released under the MIT License.", 1)]))._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
 
 
 # ---- 10

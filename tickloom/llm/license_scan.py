@@ -2,9 +2,10 @@
 
 Only DataFrame functions run here. A text's units are its lines (headers), runs of terms as wide as a
 template, over line ends and inside lines (wrapped headers, notices in paragraphs), and the text as a
-whole (licence files), which is held against full licence texts too. A unit's vector has the inverse document frequency of each of its terms (among the
-templates; terms of no template have the highest), and a unit is a match if its cosine with a
-template is ``least`` or more. Only units with an anchor term are scored: the other terms of each
+whole (licence files), which is held against full licence texts too. A unit's vector has for each of its terms 1 + ln of its
+frequency in the unit, times the inverse document frequency among the
+templates (terms of no template have the highest), and a unit is a match if its cosine with a
+template is ``least`` or more. Of full texts only the sets of terms are kept, so there frequencies don't count. Only units with an anchor term are scored: the other terms of each
 template weigh so little that no unit without an anchor could reach ``least``. A file
 without a licence of its own takes that of the licence file in its nearest directory upwards.
 """
@@ -62,24 +63,33 @@ FREQUENT = frozenset("a all an and any as at be been by can do either except for
 
 
 def terms(text: str) -> set[str]:
-    return {m[0] for m in re.finditer(TERM, text.lower())}
+    return set(counts(text))
+
+
+def counts(text: str) -> Counter:
+    return Counter(m[0] for m in re.finditer(TERM, text.lower()))
+
+
+def tf(n: int) -> float:
+    """Weight of a term that a unit has ``n`` times."""
+    return 1 + math.log(n)
 
 
 def _model(least: float):
-    """(templates as (number, licence, terms, norm), squared weight of each term, that of others, anchors)."""
-    rows = [(name, terms(t)) for name, texts in TEMPLATES.items() for t in texts]
+    """(templates as (number, licence, weight of each term by its frequency, norm), squared inverse document frequency of each term, that of others, anchors)."""
+    rows = [(name, {t: tf(n) for t, n in sorted(counts(text).items())}) for name, texts in TEMPLATES.items() for text in texts]
     df = Counter(t for _, ts in rows for t in ts)
     weight = lambda n: (1 + math.log((len(rows) + 1) / (n + 1))) ** 2
     squares = {t: weight(df[t]) for t in sorted(df)}
     anchors: set[str] = set()
     for _, ts in rows:
-        # the cosine with a unit without anchors is at most the root of the rest's share in the norm
-        total, rest = sum(squares[t] for t in ts), 0.0
-        for t in sorted(ts, key=lambda t: (t not in FREQUENT, squares[t], t)):
-            rest += squares[t]
+        # the cosine with a unit without anchors is at most the root of the rest's share in the norm, whatever the unit's frequencies are
+        total, rest = sum(w * w * squares[t] for t, w in ts.items()), 0.0
+        for t in sorted(ts, key=lambda t: (t not in FREQUENT, ts[t] ** 2 * squares[t], t)):
+            rest += ts[t] ** 2 * squares[t]
             if math.sqrt(rest / total) >= 0.999 * least:
                 anchors.add(t)
-    return [(k, name, sorted(ts), math.sqrt(sum(squares[t] for t in ts))) for k, (name, ts) in enumerate(rows)], squares, weight(0), sorted(anchors)
+    return [(k, name, ts, math.sqrt(sum(w * w * squares[t] for t, w in ts.items()))) for k, (name, ts) in enumerate(rows)], squares, weight(0), sorted(anchors)
 
 
 def _full_model():
@@ -92,8 +102,18 @@ def _full_model():
     return [(k, name, ts, math.sqrt(sum(squares[t] for t in ts))) for k, name, ts in rows], squares, weight(0)
 
 
-def _terms(c: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(TERM), F.lit(0)))
+def _found(c: Column) -> Column:
+    return F.regexp_extract_all(F.lower(c), F.lit(TERM), F.lit(0))
+
+
+def _counted(units: DataFrame) -> DataFrame:
+    """``terms`` with repeats becomes ``counted``, (term, n) of each distinct one. By sorting, so a text of any length takes n log n steps."""
+    at = F.filter(F.sequence(F.lit(1), F.size("sorted")), lambda i: (i == 1) | (F.get("sorted", i - 1) != F.get("sorted", i - 2)))
+    counted = F.transform("firsts", lambda i, k: F.struct(F.get("sorted", i - 1).alias("term"), (F.coalesce(F.get("firsts", k + 1), F.size("sorted") + 1) - i).alias("n")))
+    names = [c for c in units.columns if c != "terms"]
+    # each step is a column of its own, so that none is worked out again for each element
+    some = units.filter(F.size("terms") > 0).select(*names, F.sort_array("terms").alias("sorted"))
+    return some.select(*names, "sorted", at.alias("firsts")).select(*names, counted.alias("counted"))
 
 
 def _starts(templates, squares, anchors, least: float):
@@ -102,27 +122,44 @@ def _starts(templates, squares, anchors, least: float):
     for k, _, ts, norm in templates:
         order = [m[0] for m in re.finditer(TERM, texts[k].lower())]
         rest, need = (least * norm) ** 2 * 0.999, 0
-        for s in sorted((squares[t] for t in ts), reverse=True):
+        for s in sorted((w * w * squares[t] for t, w in ts.items()), reverse=True):
             if rest > 0:
                 rest, need = rest - s, need + 1
-        rows += [(t, k, q, len(order), need, ts) for q, t in enumerate(order) if t in anchors]
+        rows += [(t, k, q, len(order), need, sorted(ts)) for q, t in enumerate(order) if t in anchors]
     return rows
 
 
+#: Texts are searched for runs in segments of so many terms, which overlap by a template's width at both ends.
+SEGMENT = 128
+
+
 def _runs(some: DataFrame, starts: list) -> DataFrame:
     """``path, rk, line, run, terms`` of the runs of terms that may match: as wide as a template and
-    laid over the text so that an anchor has the same place in both. ``line`` is that of the first term."""
-    spark = some.sparkSession
-    found = lambda c: F.regexp_extract_all(F.lower(c), F.lit(TERM), F.lit(0))
+    laid over the text so that an anchor has the same place in both. ``line`` is that of the first term.
+
+    Lines are numbered once for each text, and a row for an anchor carries its segment, never the text, so the work grows with the text's length.
+    """
+    spark, widest = some.sparkSession, max(width for *_, width, _, _ in starts)
     # comment marks that are words; others hold no term
-    bare = some.select("path", "rk", F.regexp_replace("text", r"(?im)^[ \t]*(dnl|rem)(?=[ \t])", "").alias("text"))
-    at = bare.select("path", "rk", "text", found(F.col("text")).alias("all")).select("path", "rk", "text", "all", F.posexplode("all").alias("pos", "term"))
+    lines = F.transform(F.split("text", "\n"), lambda x: _found(F.regexp_replace(x, r"(?i)^[ \t]*(dnl|rem)(?=[ \t])", "")))
+    by_line = some.select("path", "rk", lines.alias("lines"))
+    numbers = F.flatten(F.transform("lines", lambda ts, i: F.array_repeat(i + 1, F.size(ts))))
+    flat = by_line.select("path", "rk", F.flatten("lines").alias("all"), numbers.alias("numbers")).filter(F.size("all") > 0)
+    begin = lambda k: F.greatest(k * SEGMENT - widest, F.lit(0))
+    part = lambda c, k: F.slice(c, begin(k) + 1, F.lit(SEGMENT + 2 * widest))
+    each = F.transform(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / SEGMENT).cast("int")), lambda k: F.struct(k.alias("segment"), begin(k).alias("begin"), part("all", k).alias("all"), part("numbers", k).alias("numbers")))
+    # the array of segments is exploded, so that no row holds the whole text; the outer form, as for the other Spark pushes a filter on the array's size
+    # below the steps before, which then work their columns out again for each element
+    segments = flat.select("path", "rk", each.alias("each")).select("path", "rk", F.explode_outer("each").alias("x")).select("path", "rk", "x.*")
+    anchors = sorted({t for t, *_ in starts})
+    # an anchor in the overlap is the next segment's
+    here = F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda i: F.get("all", i).isin(anchors) & (F.floor((i + F.col("begin")) / SEGMENT) == F.col("segment")))
+    at = segments.select("path", "rk", "begin", "all", "numbers", here.alias("here")).select("path", "rk", "begin", "all", "numbers", F.explode_outer("here").alias("pos")).filter("pos IS NOT NULL").withColumn("term", F.get("all", F.col("pos")))
     places = spark.createDataFrame(starts, "term string, k int, q int, width int, need int, ts array<string>")
     first = F.greatest(F.col("pos") - F.col("q"), F.lit(0))
-    near = at.join(F.broadcast(places), "term").select("path", "rk", "text", first.alias("first"), "width", "need", "ts", F.array_distinct(F.slice("all", first + 1, F.col("width"))).alias("terms"))
+    near = at.join(F.broadcast(places), "term").select("path", "rk", (first + F.col("begin")).alias("first"), F.get("numbers", first).alias("line"), "width", "need", "ts", F.slice("all", first + 1, F.col("width")).alias("terms"))
     near = near.filter(F.size(F.array_intersect("terms", "ts")) >= F.col("need"))
-    ends = F.aggregate(F.split("text", "\n"), F.struct(F.lit(0).alias("seen"), F.lit(1).alias("line")), lambda a, c: F.struct((a["seen"] + F.size(found(c))).alias("seen"), (a["line"] + (a["seen"] + F.size(found(c)) <= F.col("first")).cast("int")).alias("line")))
-    return near.select("path", "rk", ends["line"].alias("line"), (F.col("first") * F.lit(1000) + F.col("width")).alias("run"), "terms").distinct()
+    return near.select("path", "rk", "line", (F.col("first").cast("long") * 1000 + F.col("width")).alias("run"), "terms").distinct()
 
 
 def own_licences(files: DataFrame, least: float = LEAST) -> DataFrame:
@@ -138,20 +175,26 @@ def own_licences(files: DataFrame, least: float = LEAST) -> DataFrame:
     near = "(^|[^a-z0-9])(" + "|".join(re.escape(a) for a in anchors) + r")([^a-z0-9]|\z)"  # a term can have no letter or digit beside it
     some = files.select(F.coalesce("path", F.lit(NO_PATH)).alias("path"), row_key("text").alias("rk"), text.alias("text")).filter(F.lower("text").rlike(near)).distinct()
     lines = some.select("path", "rk", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("line", "unit"))
-    units = lines.filter(F.lower("unit").rlike(near)).select("path", "rk", "line", F.lit(0).alias("run"), _terms(F.col("unit")).alias("terms")).filter(F.arrays_overlap("terms", has))
+    units = lines.filter(F.lower("unit").rlike(near)).select("path", "rk", "line", F.lit(0).cast("long").alias("run"), _found(F.col("unit")).alias("terms")).filter(F.arrays_overlap("terms", has))
     runs = _runs(some, _starts(templates, squares, set(anchors), least))
-    words = units.unionByName(runs).select("path", "rk", "line", "run", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    weighed = F.aggregate("counted", F.lit(0.0), lambda a, x: a + F.pow(1 + F.log(x["n"]), 2))
+    # the sums come first: beside the generator they would be worked out for each of its rows
+    words = _counted(units.unionByName(runs)).select("path", "rk", "line", "run", F.size("counted").cast("double").alias("sets"), weighed.alias("all_squares"), "counted")
+    words = words.select("path", "rk", "line", "run", "sets", "all_squares", F.explode_outer("counted").alias("x"))  # outer: see _runs
+    words = words.select("path", "rk", "line", "run", "sets", "all_squares", "x.term", (1 + F.log("x.n")).alias("tf"))
     full, full_squares, full_other = _full_model()
     # the two kinds of templates have weights of their own; numbers of full texts come after the others'
-    weigh = lambda rows, ws: [(t, w, [k for k, _, ts, _ in rows if t in ts]) for t, w in ws.items()]
-    weights = spark.createDataFrame([(t, w, ks, False) for t, w, ks in weigh(templates, squares)] + [(t, w, ks, True) for t, w, ks in weigh(full, full_squares)], "term string, square double, ks array<int>, full boolean")
+    weigh = lambda rows, ws, of: [(t, w, [(k, of(ts, t)) for k, _, ts, _ in rows if t in ts]) for t, w in ws.items()]
+    weights = [(t, w, ks, False) for t, w, ks in weigh(templates, squares, lambda ts, t: ts[t])] + [(t, w, ks, True) for t, w, ks in weigh(full, full_squares, lambda ts, t: 1.0)]
+    weights = spark.createDataFrame(weights, "term string, square double, ks array<struct<k:int,w:double>>, full boolean")
     norms = spark.createDataFrame([(k, name, norm) for k, name, _, norm in templates + full], "k int, licence string, norm double")
     unit = ["path", "rk", "line", "run", "full"]
     # both broadcast tables hold the fixed templates' terms only; the texts are read once for both sums below
-    hit = cut(words.join(F.broadcast(weights), "term").filter("NOT full OR line = 0").select(*unit, "n", "square", "ks"))
-    rest = F.first("n") - F.count("*")
-    size = hit.groupBy(*unit).agg((F.sum("square") + rest * F.when(F.col("full"), full_other).otherwise(other)).alias("square_norm"))
-    dots = hit.select(*unit, "square", F.explode("ks").alias("k")).groupBy(*unit, "k").agg(F.sum("square").alias("dot"))
+    own = F.when(F.col("full"), 1.0).otherwise(F.col("tf"))  # of full texts the sets only
+    hit = cut(words.join(F.broadcast(weights), "term").filter("NOT full OR line = 0").select(*unit, F.when(F.col("full"), F.col("sets")).otherwise(F.col("all_squares")).alias("all_squares"), own.alias("tf"), "square", "ks"))
+    rest = F.greatest(F.first("all_squares") - F.sum(F.col("tf") * F.col("tf")), F.lit(0.0))
+    size = hit.groupBy(*unit).agg((F.sum(F.col("tf") * F.col("tf") * F.col("square")) + rest * F.when(F.col("full"), full_other).otherwise(other)).alias("square_norm"))
+    dots = hit.select(*unit, "tf", "square", F.explode("ks").alias("of")).groupBy(*unit, F.col("of.k").alias("k")).agg(F.sum(F.col("tf") * F.col("of.w") * F.col("square")).alias("dot"))
     scored = dots.join(size, unit).join(F.broadcast(norms), "k").withColumn("score", F.round(F.col("dot") / (F.sqrt("square_norm") * F.col("norm")), 6))
     best = F.max_by(F.struct("licence", "score", "line"), F.struct("full", "score", -F.col("k"), F.col("run") == 0, -F.col("line"))).alias("best")
     whole = F.max(F.when(F.col("line") == 0, F.col("score"))).alias("whole_score")
@@ -200,18 +243,17 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     templates, squares, other, _ = _model(LEAST)
     weights = ", ".join(f"('{t}', CAST({w!r} AS DOUBLE))" for t, w in squares.items())
-    rows = ", ".join(f"({k}, '{name}', '{t}', CAST({norm!r} AS DOUBLE))" for k, name, ts, norm in templates for t in ts)
+    rows = ", ".join(f"({k}, '{name}', '{t}', CAST({w!r} AS DOUBLE), CAST({norm!r} AS DOUBLE))" for k, name, ts, norm in templates for t, w in ts.items())
     return rf"""
 WITH f AS (SELECT doc_id, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path, coalesce(text, '') AS text FROM documents),
 weight(term, square) AS (VALUES {weights}),
-template(k, licence, term, norm) AS (VALUES {rows}),
+template(k, licence, term, tw, norm) AS (VALUES {rows}),
 u AS (SELECT doc_id, path, 0 AS line, text AS unit FROM f
       UNION ALL SELECT doc_id, path, generate_subscripts(str_split(text, chr(10)), 1), unnest(str_split(text, chr(10))) FROM f),
-w AS (SELECT doc_id, path, line, len(ts) AS n, unnest(ts) AS term
-      FROM (SELECT doc_id, path, line, list_distinct(regexp_extract_all(lower(unit), '{TERM}')) AS ts FROM u)),
-hit AS MATERIALIZED (SELECT w.*, square FROM w JOIN weight USING (term)),
-size AS (SELECT doc_id, path, line, sum(square) + (any_value(n) - count(*)) * CAST({other!r} AS DOUBLE) AS sq FROM hit GROUP BY ALL),
-dots AS (SELECT doc_id, path, line, k, licence, norm, sum(square) AS dot FROM hit JOIN template USING (term) GROUP BY ALL),
+w AS (SELECT doc_id, path, line, term, 1 + ln(count(*)) AS tf
+      FROM (SELECT doc_id, path, line, unnest(regexp_extract_all(lower(unit), '{TERM}')) AS term FROM u) GROUP BY ALL),
+size AS (SELECT doc_id, path, line, sum(tf * tf * coalesce(square, CAST({other!r} AS DOUBLE))) AS sq FROM w LEFT JOIN weight USING (term) GROUP BY ALL),
+dots AS (SELECT doc_id, path, line, k, licence, norm, sum(tf * tw * square) AS dot FROM w JOIN weight USING (term) JOIN template USING (term) GROUP BY ALL),
 scored AS (SELECT doc_id, path, line, k, licence, round(dot / (sqrt(sq) * norm), 6) AS score FROM dots JOIN size USING (doc_id, path, line)),
 good AS (SELECT * FROM scored WHERE score >= {LEAST}),
 own AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, k, line) = 1),
