@@ -424,7 +424,7 @@ def test_anchors_lose_no_match():
 
 
 def brute_licence(text, least=license_scan.LEAST):
-    """(licence, score, line) by the cosine of every line, every run as wide as a template, and the whole text."""
+    """(licence, score, line) by the cosine of every line, every run that is laid over a template by an anchor, and the whole text."""
     import math
 
     templates, squares, other, anchors = license_scan._model(least)
@@ -440,11 +440,11 @@ def brute_licence(text, least=license_scan.LEAST):
     units = [(0, 0, license_scan.counts(text))] + [(k, 0, license_scan.counts(x)) for k, x in enumerate(text.split("\n"), 1)]
     bare = [re.sub(r"(?i)^[ \t]*(dnl|rem)(?=[ \t])", "", x) for x in text.split("\n")]
     stream = [(m[0], k) for k, x in enumerate(bare, 1) for m in re.finditer(license_scan.TERM, x.lower())]
-    widths = {sum(license_scan.counts(x).values()) for ts in license_scan.TEMPLATES.values() for x in ts}
-    for width in widths:
-        for first in range(max(1, len(stream))):
-            if stream[first : first + width]:
-                units.append((stream[first][1], 1, Counter(t for t, _ in stream[first : first + width])))
+    # a run is laid over a template so that an anchor has the same place in both, and has as many of its terms as a match with it needs
+    for term, _, q, width, need, ts in license_scan._starts(templates, squares, set(anchors), least):
+        for f in {max(p - q, 0) for p, (t, _) in enumerate(stream) if t == term}:
+            run = [t for t, _ in stream[f : f + width]]
+            units += [(stream[f][1], 1, Counter(run))] if len(set(run) & set(ts)) >= need else []
     for line, run, unit in units:
         if set(unit) & set(anchors):
             found += [((False, x, -k, not run, -line), name, x, line) for k, name, ts, norm in templates if (x := cosine(unit, ts, norm, squares, other, False)) >= least]

@@ -397,9 +397,12 @@ def test_leaks_equal_brute_force_on_random_templates(spark):
     docs = [(k, " ".join([*(part() for _ in range(rng.randrange(9))), changed(rng.choice(items[:40])[1]), *(part() for _ in range(rng.randrange(9)))])) for k in range(160)]
     docs += [(200, "He asked: What is the capital of Peru? and left"), (201, "so 12 + 7 - 3 * 4 = 9 10 11 12 13 it is"), (202, "Tom has 4 apples and buys 4 more apples today"), (203, "Tom has 2 apples and buys 9 more apples today"), (204, None)]
     want = {(d, i) for d, text in docs for i, item in items if item and slow_agreement(text, item) >= 0.5}
-    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
-    got = {(r.doc_id, r.item_id) for r in found.collect()}
+    tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(*tables, least_words=1).collect()}
     assert got == want
+    # items of fewer than four words are left out unless they are asked for
+    short = {r.item_id for r in decontaminate.left_out(tables[1]).collect()}
+    assert {43, 44} <= short and {(r.doc_id, r.item_id) for r in decontaminate.leaks(*tables).collect()} == {(d, i) for d, i in want if i not in short}
     assert {(200, 40), (201, 41), (203, 42)} <= got and (202, 42) not in got and len(want) > 100
 
 
@@ -426,6 +429,18 @@ def test_spread_join_is_a_plain_join(spark, how):
     assert common.spread_join(rows.limit(0), one, ["k"], ["i"], how).count() == 0
 
 
+def test_items_too_short_to_tell(spark):
+    rng = random.Random(3)
+    docs = [(k, f"{prose(rng, 20)} yes. They went home {prose(rng, 20)}") for k in range(20)]
+    docs += [(100, f"{prose(rng, 30)} What is the capital of Peru? {prose(rng, 30)}"), (101, "Yes."), (102, f"{prose(rng, 9)} one two three four {prose(rng, 9)}")]
+    items = [(1, "Yes."), (2, "went home"), (3, "What is the capital of Peru?"), (4, "one two three"), (5, "one two three four"), (6, None), (7, "")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.leaks(frame(spark, docs), benchmark).select("doc_id", "item_id").collect()
+    assert sorted(map(tuple, found)) == [(100, 3), (102, 5)]
+    assert {(r.item_id, r.n_words) for r in decontaminate.left_out(benchmark).collect()} == {(1, 1), (2, 2), (4, 3), (6, 0), (7, 0)}
+    assert (101, 1) in {tuple(r) for r in decontaminate.leaks(frame(spark, docs), benchmark, least_words=1).select("doc_id", "item_id").collect()}
+
+
 # ---- 5
 
 

@@ -25,6 +25,8 @@ from .common import BLANK, by_batch, cut, mix, row_key, table, window_hashes
 WIDTH = 8
 #: A window counts only if so many of its tokens are no placeholders.
 LITERALS = 4
+#: An item of fewer words is too short to tell a leak from chance.
+LEAST_WORDS = 4
 #: Benchmarks of up to so many windows (16 bytes each) are broadcast; larger ones are joined by a shuffle.
 BROADCAST_WINDOWS = 2_000_000
 #: Items' texts are broadcast up to so many characters in all.
@@ -281,16 +283,24 @@ def agreement(doc: str | None, item: str | None, tokens: Tokens) -> tuple[int, i
     return len(typed[0]), best[1], best[0], best[2]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) -> DataFrame:
+def left_out(benchmark: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``item_id, text, n_words`` of the items that ``leaks`` doesn't search for: those of fewer than ``least_words`` words, empty ones too."""
+    items = benchmark.select(F.col("item_id").cast("long"), row_key("text").alias("irk"), "text").distinct()
+    words = _item_rows(items).select("item_id", "irk", F.coalesce(F.get("widths", F.lit(1)), F.lit(0)).alias("n_words")).filter(F.col("n_words") < least_words)
+    return items.join(words.withColumnsRenamed({"item_id": "_item_id", "irk": "_irk"}), _same("item_id", "irk")).select("item_id", "text", "n_words")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, least_words: int = LEAST_WORDS) -> DataFrame:
     """``doc_id, rk, item_id, n_windows, n_matched, n_agreeing, coverage, verbatim`` of every leak.
 
     ``benchmark``: item_id, text. Null and empty texts have no windows and leak nothing. An
-    item of fewer than 8 tokens is one window, and leaks wherever that is in a document. Windows of mostly
+    item of fewer than 8 tokens is one window, and leaks wherever that is in a document. One of fewer than ``least_words`` words stands in
+    ordinary texts by chance, so it is no evidence and leaks nothing (``left_out`` lists these). Windows of mostly
     placeholders count only with the item's own values. Equal rows of a table are one. A null doc_id or item_id
     is a key like another. Empty tables give an empty result. Other columns are not read.
     """
     items = benchmark.select(F.col("item_id").cast("long"), row_key("text").alias("irk"), "text").distinct()
-    own = cut(_item_rows(items))
+    own = cut(_item_rows(items).filter(F.get("widths", F.lit(1)) >= least_words))
     widths = sorted(r.w for r in own.select(F.explode("widths").alias("w")).distinct().collect() if r.w)  # 8 at most
     kind = lambda c, plain: own.select("item_id", "irk", F.size("typed").alias("n_typed"), F.size("plain").alias("n_plain"), F.explode(c).alias("hash"), F.lit(plain).alias("plain"))
     wanted = kind("typed", False).unionAll(kind("plain", True))
