@@ -108,11 +108,12 @@ def _found(c: Column) -> Column:
 
 def _counted(units: DataFrame) -> DataFrame:
     """``terms`` with repeats becomes ``counted``, (term, n) of each distinct one. By sorting, so a text of any length takes n log n steps."""
-    at = F.filter(F.sequence(F.lit(1), F.size("sorted")), lambda i: (i == 1) | (F.get("sorted", i - 1) != F.get("sorted", i - 2)))
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.size("sorted"), F.lit(1))), lambda i: (i == 1) | (F.get("sorted", i - 1) != F.get("sorted", i - 2)))
     counted = F.transform("firsts", lambda i, k: F.struct(F.get("sorted", i - 1).alias("term"), (F.coalesce(F.get("firsts", k + 1), F.size("sorted") + 1) - i).alias("n")))
     names = [c for c in units.columns if c != "terms"]
     # each step is a column of its own, so that none is worked out again for each element
-    some = units.filter(F.size("terms") > 0).select(*names, F.sort_array("terms").alias("sorted"))
+    # no filter on terms here: it would be one more search of the text
+    some = units.select(*names, F.sort_array("terms").alias("sorted"))
     return some.select(*names, "sorted", at.alias("firsts")).select(*names, counted.alias("counted"))
 
 
@@ -144,16 +145,16 @@ def _runs(some: DataFrame, starts: list) -> DataFrame:
     lines = F.transform(F.split("text", "\n"), lambda x: _found(F.regexp_replace(x, r"(?i)^[ \t]*(dnl|rem)(?=[ \t])", "")))
     by_line = some.select("path", "rk", lines.alias("lines"))
     numbers = F.flatten(F.transform("lines", lambda ts, i: F.array_repeat(i + 1, F.size(ts))))
-    flat = by_line.select("path", "rk", F.flatten("lines").alias("all"), numbers.alias("numbers")).filter(F.size("all") > 0)
+    flat = by_line.select("path", "rk", F.flatten("lines").alias("all"), numbers.alias("numbers"))
     begin = lambda k: F.greatest(k * SEGMENT - widest, F.lit(0))
     part = lambda c, k: F.slice(c, begin(k) + 1, F.lit(SEGMENT + 2 * widest))
-    each = F.transform(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / SEGMENT).cast("int")), lambda k: F.struct(k.alias("segment"), begin(k).alias("begin"), part("all", k).alias("all"), part("numbers", k).alias("numbers")))
+    each = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size("all") - 1, F.lit(0)) / SEGMENT).cast("int")), lambda k: F.struct(k.alias("segment"), begin(k).alias("begin"), part("all", k).alias("all"), part("numbers", k).alias("numbers")))
     # the array of segments is exploded, so that no row holds the whole text; the outer form, as for the other Spark pushes a filter on the array's size
     # below the steps before, which then work their columns out again for each element
     segments = flat.select("path", "rk", each.alias("each")).select("path", "rk", F.explode_outer("each").alias("x")).select("path", "rk", "x.*")
     anchors = sorted({t for t, *_ in starts})
     # an anchor in the overlap is the next segment's
-    here = F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda i: F.get("all", i).isin(anchors) & (F.floor((i + F.col("begin")) / SEGMENT) == F.col("segment")))
+    here = F.filter(F.sequence(F.lit(0), F.greatest(F.size("all") - 1, F.lit(0))), lambda i: F.get("all", i).isin(anchors) & (F.floor((i + F.col("begin")) / SEGMENT) == F.col("segment")))
     at = segments.select("path", "rk", "begin", "all", "numbers", here.alias("here")).select("path", "rk", "begin", "all", "numbers", F.explode_outer("here").alias("pos")).filter("pos IS NOT NULL").withColumn("term", F.get("all", F.col("pos")))
     places = spark.createDataFrame(starts, "term string, k int, q int, width int, need int, ts array<string>")
     first = F.greatest(F.col("pos") - F.col("q"), F.lit(0))
@@ -170,12 +171,12 @@ def own_licences(files: DataFrame, least: float = LEAST) -> DataFrame:
     """
     spark = files.sparkSession
     templates, squares, other, anchors = _model(least)
-    has = F.array(*[F.lit(a) for a in anchors])
     text = F.coalesce(F.col("text"), F.lit(""))
     near = "(^|[^a-z0-9])(" + "|".join(re.escape(a) for a in anchors) + r")([^a-z0-9]|\z)"  # a term can have no letter or digit beside it
-    some = files.select(F.coalesce("path", F.lit(NO_PATH)).alias("path"), row_key("text").alias("rk"), text.alias("text")).filter(F.lower("text").rlike(near)).distinct()
+    some = files.select(F.coalesce("path", F.lit(NO_PATH)).alias("path"), row_key("text").alias("rk"), text.alias("text")).filter(F.lower("text").rlike(near))
+    some = cut(some)  # searched once, for lines and for runs
     lines = some.select("path", "rk", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("line", "unit"))
-    units = lines.filter(F.lower("unit").rlike(near)).select("path", "rk", "line", F.lit(0).cast("long").alias("run"), _found(F.col("unit")).alias("terms")).filter(F.arrays_overlap("terms", has))
+    units = lines.filter((F.col("line") == 0) | F.lower("unit").rlike(near)).select("path", "rk", "line", F.lit(0).cast("long").alias("run"), _found(F.col("unit")).alias("terms"))
     runs = _runs(some, _starts(templates, squares, set(anchors), least))
     weighed = F.aggregate("counted", F.lit(0.0), lambda a, x: a + F.pow(1 + F.log(x["n"]), 2))
     # the sums come first: beside the generator they would be worked out for each of its rows
@@ -189,12 +190,12 @@ def own_licences(files: DataFrame, least: float = LEAST) -> DataFrame:
     weights = spark.createDataFrame(weights, "term string, square double, ks array<struct<k:int,w:double>>, full boolean")
     norms = spark.createDataFrame([(k, name, norm) for k, name, _, norm in templates + full], "k int, licence string, norm double")
     unit = ["path", "rk", "line", "run", "full"]
-    # both broadcast tables hold the fixed templates' terms only; the texts are read once for both sums below
+    # both broadcast tables hold the fixed templates' terms only; the texts are read once for both sums below. Of rows with equal path and text one counts
     own = F.when(F.col("full"), 1.0).otherwise(F.col("tf"))  # of full texts the sets only
-    hit = cut(words.join(F.broadcast(weights), "term").filter("NOT full OR line = 0").select(*unit, F.when(F.col("full"), F.col("sets")).otherwise(F.col("all_squares")).alias("all_squares"), own.alias("tf"), "square", "ks"))
+    hit = cut(words.join(F.broadcast(weights.drop("ks")), "term").filter("NOT full OR line = 0").select(*unit, F.when(F.col("full"), F.col("sets")).otherwise(F.col("all_squares")).alias("all_squares"), own.alias("tf"), "square", "term").dropDuplicates([*unit, "term"]))
     rest = F.greatest(F.first("all_squares") - F.sum(F.col("tf") * F.col("tf")), F.lit(0.0))
     size = hit.groupBy(*unit).agg((F.sum(F.col("tf") * F.col("tf") * F.col("square")) + rest * F.when(F.col("full"), full_other).otherwise(other)).alias("square_norm"))
-    dots = hit.select(*unit, "tf", "square", F.explode("ks").alias("of")).groupBy(*unit, F.col("of.k").alias("k")).agg(F.sum(F.col("tf") * F.col("of.w") * F.col("square")).alias("dot"))
+    dots = hit.join(F.broadcast(weights.drop("square")), ["term", "full"]).select(*unit, "tf", "square", F.explode("ks").alias("of")).groupBy(*unit, F.col("of.k").alias("k")).agg(F.sum(F.col("tf") * F.col("of.w") * F.col("square")).alias("dot"))
     scored = dots.join(size, unit).join(F.broadcast(norms), "k").withColumn("score", F.round(F.col("dot") / (F.sqrt("square_norm") * F.col("norm")), 6))
     best = F.max_by(F.struct("licence", "score", "line"), F.struct("full", "score", -F.col("k"), F.col("run") == 0, -F.col("line"))).alias("best")
     whole = F.max(F.when(F.col("line") == 0, F.col("score"))).alias("whole_score")
