@@ -107,23 +107,44 @@ def severity(score: Column) -> Column:
 
 
 def paradox_flags(trades: DataFrame, interval: int) -> DataFrame:
-    """A row for each flag of a candle whose aggressor coverage is 30 % or more."""
+    """A row for each flag of a candle whose aggressor coverage is 30 % or more.
+
+    A candle's phases, three at most, stand beside its flow as an array, so each flag is an expression of one row and nothing is read or joined twice.
+    """
     c = F.col
     flow = flow_candle(trades, interval).filter(c("coverage") >= MIN_COVERAGE)
-    phases = flow_phases(trades, interval)
-    covered = flow.select(*CANDLE, "coverage")
-    flag = lambda df, code, score: df.select(*CANDLE, code.alias("code"), F.least(F.lit(1.0), score).alias("score"))
+    parts = ["phase_no", "label", "effort_vs_median", "contracts_per_second", "response", "buy", "sell", "buy_response", "sell_response"]
+    phases = flow_phases(trades, interval).groupBy(*CANDLE).agg(F.array_sort(F.collect_list(F.struct(*parts))).alias("phases"))
+    x = flow.join(phases, CANDLE)
+
+    def flag(when: Column, code: Column, score: Column) -> Column:
+        return F.when(when, F.struct(code.alias("code"), F.least(F.lit(1.0), score).alias("score")))
+
     code = F.when((c("price_change") < 0) & (c("buy") > c("sell")), "BAIXA_COM_COMPRA_AGRESSORA_DOMINANTE").when((c("price_change") > 0) & (c("sell") > c("buy")), "ALTA_COM_VENDA_AGRESSORA_DOMINANTE").otherwise("DIVERGENCIA_PRECO_FLUXO")
-    divergent = flag(flow.filter("relation = 'DIVERGENTE'"), code, 0.45 + 0.30 * F.coalesce("dominance", F.lit(0.0)) + 0.25 * c("coverage"))
-    strongest = effort_events(phases).groupBy(*CANDLE).agg(F.max("effort_vs_median").alias("effort")).join(covered, CANDLE)
-    effort = flag(strongest, F.lit("AGRESSAO_FORTE_SEM_DESLOCAMENTO"), 0.35 + F.least(c("effort"), F.lit(2.0)) * 0.20 + 0.25 * c("coverage"))
-    # a ratio of exactly 0 counts as 1
-    fall = F.when(c("efficiency_ratio") == 0, 1.0).otherwise(c("efficiency_ratio"))
-    decay = flag(efficiency_decay(phases).join(covered, CANDLE), c("code"), 0.55 + (1 - F.greatest(F.lit(0.0), fall)) * 0.35)
-    w = Window.partitionBy(*CANDLE).orderBy("phase_no")
-    steps = phases.withColumns({"speed": F.lag("contracts_per_second").over(w), "before": F.lag("response").over(w)}).filter((c("contracts_per_second") > c("speed") * 1.15) & (c("response") < c("before") * 0.60)).join(covered, CANDLE)
-    faster = flag(steps, F.lit("AGRESSAO_ACELERA_E_EFICIENCIA_CAI"), 0.62 + F.least(c("contracts_per_second") / F.greatest(c("speed"), F.lit(1e-9)) - 1, F.lit(1.0)) * 0.20)
-    return divergent.unionAll(effort).unionAll(decay).unionAll(faster).withColumn("severity", severity(c("score")))
+    divergent = flag(c("relation") == "DIVERGENTE", code, 0.45 + 0.30 * F.coalesce("dominance", F.lit(0.0)) + 0.25 * c("coverage"))
+    strong = F.filter("phases", lambda p: (p["effort_vs_median"] >= 1) & p["label"].isin("BAIXA", "SEM_RESPOSTA", "RESPOSTA_OPOSTA"))
+    effort = F.array_max(F.transform(strong, lambda p: p["effort_vs_median"]))
+    efforts = flag(effort.isNotNull(), F.lit("AGRESSAO_FORTE_SEM_DESLOCAMENTO"), 0.35 + F.least(effort, F.lit(2.0)) * 0.20 + 0.25 * c("coverage"))
+
+    def decay(side_: str) -> Column:
+        """The side's first phase against its last, as in ``efficiency_decay``."""
+        of, response = side_.lower(), f"{side_.lower()}_response"
+        some = F.filter("phases", lambda p: p[of] > 0)
+        first, last = F.get(some, F.lit(0)), F.element_at(F.when(F.size(some) > 0, some), -1)
+        fall = last[response] / first[response]
+        fell = (F.size(some) >= 2) & (first[response] > 0) & (last[of] >= F.greatest(F.lit(1), F.floor(first[of] * 0.5))) & (fall <= 0.4)
+        # a ratio of exactly 0 counts as 1
+        left = F.when(fall == 0, 1.0).otherwise(fall)
+        return flag(fell, F.lit(f"PERDA_EFICIENCIA_{side_}"), 0.55 + (1 - F.greatest(F.lit(0.0), left)) * 0.35)
+
+    def faster(p: Column, i: Column) -> Column:
+        before = F.get("phases", i - 1)
+        quick = (p["contracts_per_second"] > before["contracts_per_second"] * 1.15) & (p["response"] < before["response"] * 0.60)
+        return flag((i > 0) & quick, F.lit("AGRESSAO_ACELERA_E_EFICIENCIA_CAI"), 0.62 + F.least(p["contracts_per_second"] / F.greatest(before["contracts_per_second"], F.lit(1e-9)) - 1, F.lit(1.0)) * 0.20)
+
+    flags = F.array_compact(F.concat(F.array(divergent, efforts, decay("BUY"), decay("SELL")), F.transform("phases", faster)))
+    found = x.select(*CANDLE, flags.alias("flags")).select(*CANDLE, F.explode_outer("flags").alias("flag")).filter("flag IS NOT NULL").select(*CANDLE, "flag.*")
+    return found.withColumn("severity", severity(c("score")))
 
 
 def paradox_scan(trades: DataFrame, interval: int) -> DataFrame:
