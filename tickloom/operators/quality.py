@@ -48,7 +48,7 @@ def schedule_columns(schedules: list[Schedule]) -> dict[str, Column]:
 
 
 def _gaps(trades: DataFrame) -> DataFrame:
-    w = Window.partitionBy(*SESSION).orderBy("us", F.coalesce("sequence_no", F.lit(0)), F.coalesce("trade_id", F.lit("")))
+    w = Window.partitionBy(*SESSION).orderBy("us")  # between trades of one time the gap is 0 in any order
     t = with_start(trades, 60).withColumn("before_us", F.lag("us").over(w)).withColumn("gap", (F.col("us") - F.col("before_us")) / 1e6)
     p95 = F.coalesce(F.percentile("gap", 0.95).over(Window.partitionBy(*SESSION)), F.lit(0.0))
     return t.withColumn("p95", p95).withColumn("threshold", F.greatest(F.lit(60.0), F.least(F.lit(300.0), F.greatest(F.lit(1.0), F.col("p95")) * 20.0)))

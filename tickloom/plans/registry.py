@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import agents, aggression, candles, dna, efficiency, interpret, intervals, quality, reconcile, research, simulate, trajectory, transitions, validation, waves
 from ..sources import csv_trades, derived, driver_tables, store
-from ..sources.scratch import shared_folder
+from ..sources.scratch import cut, shared_folder
 from ..streaming import live as streaming_live
 from ..schema import is_rlp, micros
 from . import sql as queries_sql
@@ -230,8 +230,8 @@ LOG = "least(abs(ln(({0}.{2} + 1.0) / ({1}.{2} + 1.0))) / 2, 1.0)"
 
 
 def _index_and_target(t: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The research index, and of it the first candle of the library's tenth day."""
-    index = research.research_index(t, N, DAILY)
+    """The research index, built once, and of it the first candle of the library's tenth day."""
+    index = cut(research.research_index(t, N, DAILY))
     return index, index.filter((F.col("symbol") == "SYM0") & (F.col("session_date") == F.lit("2024-01-10").cast("date"))).orderBy("start")
 
 

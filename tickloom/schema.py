@@ -72,10 +72,11 @@ def indexed(trades: DataFrame, interval: int) -> DataFrame:
 
 
 def indexed_once(trades: DataFrame, interval: int) -> DataFrame:
-    """Indexed trades, written to the shared folder: for results that several aggregates of the same candles go into."""
+    """Indexed trades, written to the shared folder: for results that several aggregates of the same candles go into. ``idx`` is their order, so what made it,
+    and what tells trades apart in the store, isn't written."""
     from .sources.scratch import cut
 
-    return trades if "idx" in trades.columns else cut(indexed(trades, interval))
+    return trades if "idx" in trades.columns else cut(indexed(trades, interval).drop("trade_id", "sequence_no", "event_key", "source_row"))
 
 
 def in_candle() -> Window:
