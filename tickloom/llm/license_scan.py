@@ -135,7 +135,7 @@ SEGMENT = 128
 
 
 def _runs(some: DataFrame, starts: list) -> DataFrame:
-    """``path, rk, line, run, terms`` of the runs of terms that may match: as wide as a template and
+    """``uid, line, run, terms`` of the runs of terms that may match: as wide as a template and
     laid over the text so that an anchor has the same place in both. ``line`` is that of the first term.
 
     Lines are numbered once for each text, and a row for an anchor carries its segment, never the text, so the work grows with the text's length.
@@ -143,24 +143,24 @@ def _runs(some: DataFrame, starts: list) -> DataFrame:
     spark, widest = some.sparkSession, max(width for *_, width, _, _ in starts)
     # comment marks that are words; others hold no term
     lines = F.transform(F.split("text", "\n"), lambda x: _found(F.regexp_replace(x, r"(?i)^[ \t]*(dnl|rem)(?=[ \t])", "")))
-    by_line = some.select("path", "rk", lines.alias("lines"))
+    by_line = some.select("uid", lines.alias("lines"))
     numbers = F.flatten(F.transform("lines", lambda ts, i: F.array_repeat(i + 1, F.size(ts))))
-    flat = by_line.select("path", "rk", F.flatten("lines").alias("all"), numbers.alias("numbers"))
+    flat = by_line.select("uid", F.flatten("lines").alias("all"), numbers.alias("numbers"))
     begin = lambda k: F.greatest(k * SEGMENT - widest, F.lit(0))
     part = lambda c, k: F.slice(c, begin(k) + 1, F.lit(SEGMENT + 2 * widest))
     each = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size("all") - 1, F.lit(0)) / SEGMENT).cast("int")), lambda k: F.struct(k.alias("segment"), begin(k).alias("begin"), part("all", k).alias("all"), part("numbers", k).alias("numbers")))
     # the array of segments is exploded, so that no row holds the whole text; the outer form, as for the other Spark pushes a filter on the array's size
     # below the steps before, which then work their columns out again for each element
-    segments = flat.select("path", "rk", each.alias("each")).select("path", "rk", F.explode_outer("each").alias("x")).select("path", "rk", "x.*")
+    segments = flat.select("uid", each.alias("each")).select("uid", F.explode_outer("each").alias("x")).select("uid", "x.*")
     anchors = sorted({t for t, *_ in starts})
     # an anchor in the overlap is the next segment's
     here = F.filter(F.sequence(F.lit(0), F.greatest(F.size("all") - 1, F.lit(0))), lambda i: F.get("all", i).isin(anchors) & (F.floor((i + F.col("begin")) / SEGMENT) == F.col("segment")))
-    at = segments.select("path", "rk", "begin", "all", "numbers", here.alias("here")).select("path", "rk", "begin", "all", "numbers", F.explode_outer("here").alias("pos")).filter("pos IS NOT NULL").withColumn("term", F.get("all", F.col("pos")))
+    at = segments.select("uid", "begin", "all", "numbers", here.alias("here")).select("uid", "begin", "all", "numbers", F.explode_outer("here").alias("pos")).filter("pos IS NOT NULL").withColumn("term", F.get("all", F.col("pos")))
     places = spark.createDataFrame(starts, "term string, k int, q int, width int, need int, ts array<string>")
     first = F.greatest(F.col("pos") - F.col("q"), F.lit(0))
-    near = at.join(F.broadcast(places), "term").select("path", "rk", (first + F.col("begin")).alias("first"), F.get("numbers", first).alias("line"), "width", "need", "ts", F.slice("all", first + 1, F.col("width")).alias("terms"))
+    near = at.join(F.broadcast(places), "term").select("uid", (first + F.col("begin")).alias("first"), F.get("numbers", first).alias("line"), "width", "need", "ts", F.slice("all", first + 1, F.col("width")).alias("terms"))
     near = near.filter(F.size(F.array_intersect("terms", "ts")) >= F.col("need"))
-    return near.select("path", "rk", "line", (F.col("first").cast("long") * 1000 + F.col("width")).alias("run"), "terms").distinct()
+    return near.select("uid", "line", (F.col("first").cast("long") * 1000 + F.col("width")).alias("run"), "terms").distinct()
 
 
 def own_licences(files: DataFrame, least: float = LEAST) -> DataFrame:
@@ -174,32 +174,45 @@ def own_licences(files: DataFrame, least: float = LEAST) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     near = "(^|[^a-z0-9])(" + "|".join(re.escape(a) for a in anchors) + r")([^a-z0-9]|\z)"  # a term can have no letter or digit beside it
     some = files.select(F.coalesce("path", F.lit(NO_PATH)).alias("path"), row_key("text").alias("rk"), text.alias("text")).filter(F.lower("text").rlike(near))
-    some = cut(some)  # searched once, for lines and for runs
-    lines = some.select("path", "rk", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("line", "unit"))
-    units = lines.filter((F.col("line") == 0) | F.lower("unit").rlike(near)).select("path", "rk", "line", F.lit(0).cast("long").alias("run"), _found(F.col("unit")).alias("terms"))
+    some = cut(some).withColumn("uid", F.monotonically_increasing_id())  # searched once, for lines and for runs; a number keeps equal rows apart
+    lines = some.select("uid", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("line", "unit"))
+    units = lines.filter((F.col("line") == 0) | F.lower("unit").rlike(near)).select("uid", "line", F.lit(0).cast("long").alias("run"), _found(F.col("unit")).alias("terms"))
     runs = _runs(some, _starts(templates, squares, set(anchors), least))
-    weighed = F.aggregate("counted", F.lit(0.0), lambda a, x: a + F.pow(1 + F.log(x["n"]), 2))
-    # the sums come first: beside the generator they would be worked out for each of its rows
-    words = _counted(units.unionByName(runs)).select("path", "rk", "line", "run", F.size("counted").cast("double").alias("sets"), weighed.alias("all_squares"), "counted")
-    words = words.select("path", "rk", "line", "run", "sets", "all_squares", F.explode_outer("counted").alias("x"))  # outer: see _runs
-    words = words.select("path", "rk", "line", "run", "sets", "all_squares", "x.term", (1 + F.log("x.n")).alias("tf"))
     full, full_squares, full_other = _full_model()
+    squared = lambda x: F.pow(1 + F.log(x["n"]), 2)
+    total = lambda c, of: F.aggregate(c, F.lit(0.0), lambda a, x: a + of(x))
+    known = lambda ws: F.filter("counted", lambda x: x["term"].isin(*ws))
+    counted = _counted(units.unionByName(runs))
+    counted = counted.select("uid", "line", "run", F.size("counted").cast("double").alias("sets"), total("counted", squared).alias("all_squares"), total(known(squares), squared).alias("known"), F.when(F.col("line") == 0, F.size(known(full_squares))).otherwise(0).alias("known_sets"), "counted")
+
+    def fits(part: Column, all_: Column, ws: dict[str, float], unknown: float) -> Column:
+        """A unit's cosine with any template is at most the share of the templates' terms in its norm; the heaviest ones bound it."""
+        most = part * max(ws.values())
+        # an expression that isn't deterministic keeps the filter above the steps before, which it would work out again for each element
+        return F.when(F.monotonically_increasing_id() < 0, False).otherwise(most >= 0.999 * least**2 * (most + (all_ - part) * unknown))
+
+    counted = counted.withColumns({"fits": fits(F.col("known"), F.col("all_squares"), squares, other), "fits_full": fits(F.col("known_sets"), F.col("sets"), full_squares, full_other) & (F.col("line") == 0)}).filter("fits OR fits_full")
+    # the sums come first: beside the generator they would be worked out for each of its rows. Outer: see _runs
+    words = counted.select("uid", "line", "run", "sets", "all_squares", "fits", "fits_full", F.explode_outer("counted").alias("x"))
+    words = words.select("uid", "line", "run", "sets", "all_squares", "fits", "fits_full", "x.term", (1 + F.log("x.n")).alias("tf"))
     # the two kinds of templates have weights of their own; numbers of full texts come after the others'
     weigh = lambda rows, ws, of: [(t, w, [(k, of(ts, t)) for k, _, ts, _ in rows if t in ts]) for t, w in ws.items()]
     weights = [(t, w, ks, False) for t, w, ks in weigh(templates, squares, lambda ts, t: ts[t])] + [(t, w, ks, True) for t, w, ks in weigh(full, full_squares, lambda ts, t: 1.0)]
     weights = spark.createDataFrame(weights, "term string, square double, ks array<struct<k:int,w:double>>, full boolean")
     norms = spark.createDataFrame([(k, name, norm) for k, name, _, norm in templates + full], "k int, licence string, norm double")
-    unit = ["path", "rk", "line", "run", "full"]
-    # both broadcast tables hold the fixed templates' terms only; the texts are read once for both sums below. Of rows with equal path and text one counts
+    unit = ["uid", "line", "run", "full"]
+    # both broadcast tables hold the fixed templates' terms only; the texts are read once for both sums below
     own = F.when(F.col("full"), 1.0).otherwise(F.col("tf"))  # of full texts the sets only
-    hit = cut(words.join(F.broadcast(weights.drop("ks")), "term").filter("NOT full OR line = 0").select(*unit, F.when(F.col("full"), F.col("sets")).otherwise(F.col("all_squares")).alias("all_squares"), own.alias("tf"), "square", "term").dropDuplicates([*unit, "term"]))
+    able = F.when(F.col("full"), F.col("fits_full")).otherwise(F.col("fits"))
+    hit = cut(words.join(F.broadcast(weights.drop("ks")), "term").filter(able).select(*unit, F.when(F.col("full"), F.col("sets")).otherwise(F.col("all_squares")).alias("all_squares"), own.alias("tf"), "square", "term"))
     rest = F.greatest(F.first("all_squares") - F.sum(F.col("tf") * F.col("tf")), F.lit(0.0))
     size = hit.groupBy(*unit).agg((F.sum(F.col("tf") * F.col("tf") * F.col("square")) + rest * F.when(F.col("full"), full_other).otherwise(other)).alias("square_norm"))
     dots = hit.join(F.broadcast(weights.drop("square")), ["term", "full"]).select(*unit, "tf", "square", F.explode("ks").alias("of")).groupBy(*unit, F.col("of.k").alias("k")).agg(F.sum(F.col("tf") * F.col("of.w") * F.col("square")).alias("dot"))
     scored = dots.join(size, unit).join(F.broadcast(norms), "k").withColumn("score", F.round(F.col("dot") / (F.sqrt("square_norm") * F.col("norm")), 6))
     best = F.max_by(F.struct("licence", "score", "line"), F.struct("full", "score", -F.col("k"), F.col("run") == 0, -F.col("line"))).alias("best")
     whole = F.max(F.when(F.col("line") == 0, F.col("score"))).alias("whole_score")
-    return scored.filter(F.col("score") >= least).groupBy("path", "rk").agg(best, whole).select(F.nullif("path", F.lit(NO_PATH)).alias("path"), "rk", "best.*", "whole_score")
+    found = scored.filter(F.col("score") >= least).join(some.select("uid", "path", "rk"), "uid")  # equal rows meet again here
+    return found.groupBy("path", "rk").agg(best, whole).select(F.nullif("path", F.lit(NO_PATH)).alias("path"), "rk", "best.*", "whole_score")
 
 
 def scan(files: DataFrame, least: float = LEAST) -> DataFrame:
