@@ -82,6 +82,14 @@ def test_line_numbers_over_blocks(spark, tmp_path, small_blocks):
     assert len(got) == 299 and all(int(r.value.rstrip("x")) == r.source_row for r in got)
 
 
+def test_a_line_is_parsed_once(spark, tmp_path):
+    t = csv_trades.read_trades(spark, lines(tmp_path / "a.csv", 20), tick_size=5)
+    for of in (t.filter("ts IS NOT NULL").select("source_row", "ts"), csv_trades.trades_or_error(t)):
+        plan = of._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_csv") == 1 and plan.count("rightHint=(strategy=broadcast)") == 1
+        assert of.count() == 20
+
+
 def test_quotes_by_the_rules_of_csv(spark, tmp_path):
     agents = ['XP "CCTVM" SA', 'XP"', "a;b", 'x";"y', "back\\", 'back\\"slash', '"', "plain"]
     path = tmp_path / "q.csv"

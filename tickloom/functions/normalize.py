@@ -68,9 +68,12 @@ def brazilian_number(c: Column) -> Column:
     return _as_number(F.replace(F.replace(F.replace(F.trim(c), F.lit(" "), F.lit("")), F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
 
 
-def _wall_clock(value: Column) -> Column:
-    """The parts of a time put together; no session time zone takes part, so no hour is skipped or doubled."""
-    parts = F.split(value, r"[/ :.,T-]+")
+def clock_parts(value: Column) -> Column:
+    return F.split(value, r"[/ :.,T-]+")
+
+
+def _wall_clock(value: Column, parts: Column) -> Column:
+    """The ``parts`` of a time put together; no session time zone takes part, so no hour is skipped or doubled."""
     part = lambda k: F.try_element_at(parts, F.lit(k)).try_cast("int")
     year = lambda k: F.when(F.length(F.try_element_at(parts, F.lit(k))) > 2, part(k)).otherwise(part(k) + F.when(part(k) < 69, 2000).otherwise(1900))
     fraction = F.rpad(F.coalesce(F.try_element_at(parts, F.lit(7)), F.lit("0")), 6, "0")
@@ -80,17 +83,32 @@ def _wall_clock(value: Column) -> Column:
     return F.when(day_first, make(year(3), part(2), part(1))).when(year_first, make(part(1), part(2), part(3))).when(value.rlike(r"^\d{4}-\d{2}-\d{2}([T ]|$)"), value.try_cast("timestamp_ntz"))
 
 
+def clock_texts(whole: Column | None, day: Column | None = None, time: Column | None = None) -> list[Column]:
+    """The texts that a time is looked for in: one text, and a day and a time of day."""
+    out = [F.trim(whole)] if whole is not None else []
+    return out + ([F.concat(F.trim(day), F.lit(" "), F.trim(time))] if day is not None and time is not None else [])
+
+
+def first_time(texts: list[tuple[Column, Column]]) -> Column:
+    """Wall-clock time of the first of ``texts``, each with its ``clock_parts``, that is one."""
+    return F.coalesce(*[_wall_clock(*t) for t in texts]) if texts else F.lit(None).cast("timestamp_ntz")
+
+
 def timestamp(whole: Column | None, day: Column | None = None, time: Column | None = None) -> Column:
     """Wall-clock time of one text, or else of a day and a time of day; null if neither is one."""
-    tries = [_wall_clock(F.trim(whole))] if whole is not None else []
-    if day is not None and time is not None:
-        tries.append(_wall_clock(F.concat(F.trim(day), F.lit(" "), F.trim(time))))
-    return F.coalesce(*tries) if tries else F.lit(None).cast("timestamp_ntz")
+    return first_time([(t, clock_parts(t)) for t in clock_texts(whole, day, time)])
 
 
 def aggressor(c: Column) -> Column:
     """BUY is tested before SELL; RLP, undefined and unknown sides are NONE."""
-    v = F.upper(header_column(F.coalesce(c, F.lit(""))))
+    return side(side_text(c))
+
+
+def side_text(c: Column) -> Column:
+    return F.upper(header_column(F.coalesce(c, F.lit(""))))
+
+
+def side(v: Column) -> Column:
     return F.when(v.isin("BUY", "C", "B", "BUYER") | v.contains("COMPRA"), "BUY").when(v.isin("SELL", "V", "S", "SELLER") | v.contains("VENDA") | v.contains("VENDEDOR"), "SELL").otherwise("NONE")
 
 

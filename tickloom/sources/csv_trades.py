@@ -122,9 +122,9 @@ def blocks_of(lines: DataFrame) -> DataFrame:
 
 
 def number_lines(lines: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``value``, a line's bytes, and ``source_row``, its number in its file. Only a row for each block is shuffled, no lines."""
+    """``value``, a line's bytes, and ``source_row``, its number in its file. Only a row for each block is shuffled and broadcast, no lines."""
     row = F.col("_before") + F.col("_place") - F.col("_first") + 1
-    return lines.join(blocks.drop("_lines"), ["_file", "_block"]).select("value", row.alias("source_row"))
+    return lines.join(F.broadcast(blocks.drop("_lines")), ["_file", "_block"]).select("value", row.alias("source_row"))
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -198,23 +198,31 @@ def read_trades(spark: SparkSession, path: str, *, tick_size: float, symbol: str
 
 
 def parsed(rows: DataFrame, layout: Layout, *, tick_size: float, symbol: str | None = None, source: str = "csv", strict: bool = False) -> DataFrame:
-    """The cells of ``rows`` as trades, with ``problem``, but no ``sequence_no``."""
-    get = lambda n: _field(layout, n)
+    """The cells of ``rows`` as trades, with ``problem``, but no ``sequence_no``.
+
+    What several columns are made of is a column of a step before, so that it is computed once for a line.
+    """
+    cells = rows.select("source_row", "_n_cells", *[_field(layout, n).alias(f"_{n}") for n in layout.fields])
+    get = lambda n: F.col(f"_{n}") if n in layout.fields else None
     text = lambda n: F.lit(None).cast("string") if get(n) is None else get(n)
     number = N.profit_number if layout.profit and not strict else N.generic_number
     given = F.lit(symbol.strip().upper() if symbol else None).cast("string")
-    own = F.upper(text("symbol"))
-    quantity = N.whole_number(get("quantity"))
-    t = rows.select(
+    texts = N.clock_texts(get("timestamp"), get("date"), get("time"))
+    cells = cells.withColumns({"_own": F.upper(text("symbol")), "_number": number(get("price")), "_whole": N.generic_number(get("quantity")), "_side": N.side_text(text("aggressor")), **{f"_at{k}": x for k, x in enumerate(texts)}})
+    cells = cells.withColumns({"_units": N.whole_number(F.col("_whole"), lambda n: n), **{f"_parts{k}": N.clock_parts(F.col(f"_at{k}")) for k in range(len(texts))}})
+    ts = N.first_time([(F.col(f"_at{k}"), F.col(f"_parts{k}")) for k in range(len(texts))])
+    quantity = F.col("_units")
+    t = cells.select(
         "source_row",
         "_n_cells",
-        own.alias("_own"),
-        F.coalesce(given, own).alias("symbol"),
-        N.timestamp(get("timestamp"), get("date"), get("time")).alias("ts"),
-        N.to_ticks(number(get("price")), tick_size).alias("price_ticks"),
+        "_own",
+        F.coalesce(given, F.col("_own")).alias("symbol"),
+        # an expression that isn't deterministic keeps later filters above this step: below, each mention of a column in them would parse the line again
+        F.when(F.monotonically_increasing_id() >= 0, ts).alias("ts"),
+        N.to_ticks(F.col("_number"), tick_size).alias("price_ticks"),
         F.when((quantity > 0) & (get("quantity").rlike(r"^[+]?\d+$") | F.lit(not strict)), quantity).alias("quantity"),
         text("trade_id").alias("trade_id"),
-        N.aggressor(text("aggressor")).alias("aggressor"),
+        N.side(F.col("_side")).alias("aggressor"),
         F.lit(source).alias("source"),
         text("buyer").alias("buyer_id"),
         text("seller").alias("seller_id"),

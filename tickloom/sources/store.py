@@ -327,5 +327,6 @@ def canonical_columns(tick_size: float, trade_ids: bool = False) -> list[Column]
 
 def export_csv(trades: DataFrame, path: str, tick_size: float, trade_ids: bool = False) -> None:
     """Trades as headerless CSV files of which each holds a range of times, in order."""
-    rows = trades.select(*canonical_columns(tick_size, trade_ids), F.col("ts").alias("_ts"), F.col("sequence_no").alias("_n"))
-    rows.repartitionByRange("_ts", "_n").sortWithinPartitions("_ts", "_n").drop("_ts", "_n").write.option("emptyValue", "").option("escape", '"').csv(path)
+    # texts are made behind the exchange, which samples its input and would make them twice
+    rows = trades.repartitionByRange("ts", "sequence_no").sortWithinPartitions("ts", "sequence_no").select(*canonical_columns(tick_size, trade_ids))
+    rows.write.option("emptyValue", "").option("escape", '"').csv(path)
