@@ -556,3 +556,19 @@ def test_fractional_scores_are_added_from_the_start():
         for _ in range(100):
             text = "".join(rng.choice("aabbc  d") for _ in range(rng.randrange(1, 40)))
             assert counter.of(text) == counter._search("▁" + text.replace(" ", "▁"))
+
+
+def test_chat_levels_write_each_settled_call_once(spark, monkeypatch):
+    written, cut = [], chat_format.cut
+
+    def counted(df):
+        out = cut(df)
+        if "place" in out.columns:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(chat_format, "cut", counted)
+    calls = spark.createDataFrame([(1, f"c{k}", 0) for k in range(12)], "conv_id long, call_id string, turn long")
+    needs = spark.createDataFrame([(1, f"c{k}", f"c{k - 1}") for k in range(1, 12)], "conv_id long, call_id string, need string")
+    got = {r.call_id: r.level for r in chat_format.levels(calls, needs).collect()}
+    assert got == {f"c{k}": 2 * k + 1 for k in range(12)} and sum(written) <= 12

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -30,12 +31,16 @@ SCHEMA = "conv_id long, turn long, n_messages long, seq int, kind string, role s
 
 def _writable(text: str) -> str:
     """A lone half of a surrogate pair, which no UTF-8 has, as its escape."""
-    return SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+    return text if text.isascii() else SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+#: Made once, not for each message.
+ENCODER = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
 def canonical(value) -> str:
     """JSON with sorted keys, no blanks, and text as it is, but for lone surrogates, which stay escaped."""
-    return _writable(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+    return _writable(ENCODER.encode(value))
 
 
 def identifier(value) -> str | None:
@@ -48,11 +53,15 @@ def identifier(value) -> str | None:
         return None
 
 
-def _strict(text: str):
-    def no(x):
-        raise ValueError(f"{x} is no JSON")
+def _no(x):
+    raise ValueError(f"{x} is no JSON")
+
 
-    return json.loads(text, parse_constant=no)
+DECODER = json.JSONDecoder(parse_constant=_no)
+
+
+def _strict(text: str):
+    return DECODER.decode(text)
 
 
 def validate(value, schema: dict, at: str = "$") -> list[str]:
@@ -181,7 +190,8 @@ def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
     (results stand between). So each need is a function of the place of what is needed: up to ``first`` it gives (``first``, ``level``),
     from there on the same turn ``steps`` levels higher; one after another, and the later of two, are functions of the same kind. A round
     settles the calls whose needs are settled, and where a needed call waits for one other only, puts that one in its place. So chains take
-    a number of rounds that grows with the logarithm of their length.
+    a number of rounds that grows with the logarithm of their length. A call that settles in the round isn't put in another's place, so what is
+    needed after it is unsettled or settled by it: a round reads and writes only calls that wait and those of the round before, not all of them.
     """
     c = F.col
     turns = calls.groupBy(*ONE).agg(F.min("turn").alias("turn"))
@@ -190,11 +200,13 @@ def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
     place = "struct<at_turn:long,level:long>"
     held = cut(turns.join(edges.select(*ONE).distinct(), ONE, "left_semi").select(*ONE, F.lit(None).cast(place).alias("so_far")))
     done = cut(turns.join(held, ONE, "left_anti").select(*ONE, F.struct("turn", F.lit(1).cast("long")).cast(place).alias("place")))
+    parts, last = [done], done
     while not held.isEmpty():
-        single = edges.groupBy(*ONE).agg(F.count("*").alias("n"), F.first(F.struct("need", "first", "level", "steps")).alias("to")).filter("n = 1").join(held, ONE)
+        there = last.select("conv_id", c("call_id").alias("need"), "place")
+        e = edges.join(there, ["conv_id", "need"], "left")
+        single = e.groupBy(*ONE).agg(F.count("*").alias("n"), F.count("place").alias("known"), F.first(F.struct("need", "first", "level", "steps")).alias("to")).filter("n = 1 AND known = 0").join(held, ONE)
         single = single.select("conv_id", c("call_id").alias("need"), "to", c("so_far").alias("to_so_far"))
-        there = done.select("conv_id", c("call_id").alias("need"), "place")
-        e = edges.join(there, ["conv_id", "need"], "left").join(single, ["conv_id", "need"], "left")
+        e = e.join(single, ["conv_id", "need"], "left")
         f = (c("first"), c("level"), c("steps"))
         settled, jumps = c("place").isNotNull(), c("to").isNotNull()
         found = F.when(settled, _place(*f, c("place"))).when(c("to_so_far").isNotNull(), _place(*f, c("to_so_far")))
@@ -216,9 +228,10 @@ def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
         new = now.filter("waits = 0")
         if new.isEmpty():
             break  # what is left waits for a cycle
-        done = cut(done.unionByName(new.select(*ONE, c("so_far").alias("place"))))
+        last = new.select(*ONE, c("so_far").alias("place"))
+        parts.append(last)
         held = cut(now.filter("waits > 0").drop("waits"))
-    return done.select(*ONE, "place.at_turn", "place.level")
+    return reduce(DataFrame.unionByName, parts).select(*ONE, "place.at_turn", "place.level")
 
 
 def link(messages: DataFrame, tools: dict = TOOLS) -> DataFrame:
