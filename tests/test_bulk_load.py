@@ -136,3 +136,17 @@ def test_writes_count_themselves(spark, tmp_path):
     assert s.add_trades(t) == {"received": 6, "inserted": 2, "duplicates": 4}
     assert s.add_trades(t) == {"received": 6, "inserted": 0, "duplicates": 6}
     assert s.add_slice(t.withColumn("source_row", F.col("sequence_no")), "f") == {"received": 6, "inserted": 6, "duplicates": 0, "enriched": 0}
+
+
+def test_rows_that_are_new_are_not_shuffled(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "db"))
+    t = trades(spark, [(k, 100, 1, "BUY", "A") for k in range(8)]).withColumn("event_key", F.col("trade_id"))
+    old, rows = t.filter("sequence_no <= 3"), t.filter("sequence_no > 3")
+    for held in (None, old):
+        fresh, _ = s._fresh(held, rows, "event_key")
+        plan = fresh._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan and fresh.count() == 5
+    mixed = t.filter("sequence_no >= 2").unionByName(t.filter("sequence_no >= 7"))
+    for held, want in ((None, "2345678"), (old, "45678")):
+        fresh, _ = s._fresh(held, mixed, "event_key")
+        assert sorted(r.event_key for r in fresh.collect()) == list(want)

@@ -164,14 +164,28 @@ class Store:
         if not received:
             self._drop_staged(path)
             return {"received": 0, "inserted": 0, "duplicates": 0}
-        old = self.partitions_of(table, staged)
-        fresh = staged.dropDuplicates([key]) if old is None else new_rows(old, staged, key)
+        fresh, doubts = self._fresh(self.partitions_of(table, staged), staged, key)
         seen = Observation()
         self._write(table, fresh.observe(seen, F.count("*").alias("inserted")), "append")
         self._drop_staged(path)
+        self._drop_staged(doubts)
         inserted = observed(seen).get("inserted", 0)
         return {"received": received, "inserted": inserted, "duplicates": received - inserted}
 
+    def _fresh(self, old: DataFrame | None, rows: DataFrame, key: str) -> tuple[DataFrame, str]:
+        """The first of each key's ``rows`` that isn't among ``old``. Hashes of keys tell which rows may be repeated or stored; only these are compared,
+        so a batch of new rows is neither shuffled nor sorted whole by its keys. With the folder of the doubtful hashes."""
+        hashed = lambda df, stored: df.select(F.xxhash64(key).alias("_hash"), F.lit(stored).alias("_stored"))
+        every = hashed(rows, 0) if old is None else hashed(rows, 0).unionByName(hashed(old, 1))
+        found = every.groupBy("_hash").agg(F.count("*").alias("n"), F.sum("_stored").alias("stored")).filter("n > stored AND n > 1").select("_hash")
+        doubtful, path, n = self._staged_and_counted(found, n=F.count("*"))
+        if not n["n"]:
+            return rows, path
+        rows = rows.withColumn("_hash", F.xxhash64(key))
+        mine = rows.join(doubtful, "_hash", "left_semi").drop("_hash")
+        again = mine.dropDuplicates([key]) if old is None else new_rows(old, mine, key)
+        return rows.join(doubtful, "_hash", "left_anti").drop("_hash").unionByName(again), path
+
     def add_trades(self, trades: DataFrame) -> dict[str, int]:
         return self.add("trades", trades.withColumn("event_key", trade_key()), "event_key")
 
